@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, sharding, tokencounts, tokenfiles, toxicity
+from . import bpe, jaccard, langid, mixing, neardup, quality, sharding, tokencounts, tokenfiles, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_language_id(docs))
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -48,6 +52,10 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_toxicity, op5_mixing, op6_token_files, op7_token_counts, op8_sharding, op9_bpe_encode_decode)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_embedding_neardup, op4_toxicity, op5_mixing, op6_token_files, op7_token_counts, op8_sharding, op9_bpe_encode_decode, op10_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_neardup": neardup.SQL, "op5_mixing": mixing.SQL, "op10_jaccard_join": jaccard.SQL}
