@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS
+
 #: Weights of the sources in the order of their names, repeating; share of all words to take; epochs at most.
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 #: Key ranges of a source. Only the range in which its budget ends is sorted row by row.
@@ -51,47 +53,74 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("full_at") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies (times the document is taken) of every document.
-
-    The shuffle of rows carries no text. Sums by (source, key range) settle all ranges but the one in which a source's budget ends; only its rows are numbered one by one, so no task holds a source. The document at the budget's end is taken if at least half of it fits, so a source misses its target by half a document at most. Null texts have size 0; a null source is a source, last in order; documents of size 0 are taken 0 words. Equal keys are ordered by id; repeated rows are separate documents.
-    """
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with __size, __source, __id, __key and __span, the range that the key falls in."""
     size = n_words(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), quality_weight(F.col("text"), size).alias("w"))
-    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("w"))
+    w = quality_weight(F.col("text"), F.col("__size"))
+    rows = docs.withColumns({"__size": size, "__source": F.col("source").cast("string"), "__id": F.col("doc_id").cast("long")})
+    rows = rows.withColumn("__key", -F.log(uniform(F.col("__id"))) / w)
     # 1 - exp(-key) is in (0, 1) and grows with the key.
-    rows = rows.withColumn("span", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("key"))) * RANGES)).cast("int")).select("doc_id", "source", "size", "key", "span")
-    spans = rows.groupBy("source", "span").agg(F.sum("size").alias("span_size"))
-    sizes = spans.groupBy("source").agg(F.sum("span_size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, cap)
-    plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    return rows.withColumn("__span", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("__key"))) * RANGES)).cast("int"))
+
+
+def source_plan(rows: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    """For each source of keyed rows: size, target, whole epochs, the rest of its budget, and the range in which the rest ends, with the words before it. Broadcast if a count shows that it is small."""
+    spans = rows.groupBy("__source", "__span").agg(F.sum("__size").alias("span_size"))
+    sizes = spans.groupBy(F.col("__source").alias("source")).agg(F.sum("span_size").alias("source_size"))
+    plan = source_targets(sizes, weights, share, cap)
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # The range in which the rest ends: the last that begins before it.
-    before = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a source at most
-    ends = spans.withColumn("begin", F.coalesce(F.sum("span_size").over(before), F.lit(0)))
-    same = plan["source"].eqNullSafe(ends["source"])
-    ends = ends.join(plan.select("source", "rest"), same).where("begin < rest").groupBy(ends["source"]).agg(F.max(F.struct("span", "begin")).alias("e")).select(F.col("source").alias("end_source"), F.col("e.span").alias("end_span"), F.col("e.begin").alias("begin"))
+    before = Window.partitionBy("__source").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a source at most
+    begins = spans.withColumn("begin", F.coalesce(F.sum("span_size").over(before), F.lit(0)))
+    # The last range that begins before the rest ends.
+    ends = begins.join(plan.select("source", "rest"), F.col("__source").eqNullSafe(F.col("source"))).where("begin < rest").groupBy("__source").agg(F.max(F.struct("__span", "begin")).alias("e"))
+    ends = ends.select(F.col("__source").alias("end_source"), F.col("e.__span").alias("end_span"), F.col("e.begin").alias("begin"))
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    plan = plan.withColumnRenamed("source", "plan_source")
-    if plan.limit(SOURCE_ROWS + 1).count() <= SOURCE_ROWS:
-        plan = F.broadcast(plan)
-    all_rows = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
-    at_end = F.coalesce(F.col("span") == F.col("end_span"), F.lit(False))
-    inside = F.coalesce(F.col("span") < F.col("end_span"), F.lit(False))
-    out = [F.col(c) for c in ("doc_id", "size", "source_size", "target", "epochs")]
-    settled = all_rows.where(~at_end).select(*out, inside.cast("int").alias("more"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_ = all_rows.where(at_end).withColumn("from", F.col("begin") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    sorted_ = sorted_.select(*out, (F.col("from") + F.col("size") / 2 <= F.col("rest")).cast("int").alias("more"))
-    done = settled.unionByName(sorted_).withColumn("copies", F.least(F.lit(cap), F.col("epochs") + F.col("more")))
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-
-
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, as often as the mix takes them. Documents are joined by id; rows that share an id share its largest number of copies."""
-    m = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
-    got = docs.join(m, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return got.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n", "__i")
+    plan = plan.select(*(F.col(c).alias(f"__plan_{c}") for c in plan.columns))
+    return F.broadcast(plan) if plan.limit(SOURCE_ROWS + 1).count() <= SOURCE_ROWS else plan
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    """Keyed rows with their source's plan, __at_end (their range is the one in which the budget ends) and __inside (it lies before)."""
+    rows = keyed(docs)
+    plan = source_plan(rows.select("__source", "__span", "__size"), weights, share, cap)
+    rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__plan_source")), "left")
+    end = F.col("__plan_end_span")
+    return rows.withColumns({"__at_end": F.coalesce(F.col("__span") == end, F.lit(False)), "__inside": F.coalesce(F.col("__span") < end, F.lit(False)).cast("int")})
+
+
+def _fits(rows: DataFrame) -> DataFrame:
+    """Of rows at the end of their source's budget: __fits, 1 if at least half of the document fits in, else 0."""
+    order = Window.partitionBy("__source").orderBy("__key", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("__plan_begin") + F.coalesce(F.sum("__size").over(order), F.lit(0))
+    return rows.withColumn("__fits", (begin + F.col("__size") / 2 <= F.col("__plan_rest")).cast("int"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies (times the document is taken) of every document.
+
+    No text is shuffled. Sums by (source, key range) settle all ranges but the one in which a source's budget ends; only its rows are numbered one by one, so no task holds a source. The document at the budget's end is taken if at least half of it fits, so a source misses its target by half a document at most. Null texts have size 0; a null source is a source, last in order; documents of size 0 are taken 0 words. Equal keys are ordered by id; repeated rows are separate documents. Other columns of docs are ignored.
+    """
+    rows = _placed(docs.select("doc_id", "text", "source"), weights, share, cap).select("__id", "__size", "__source", "__key", "__at_end", "__inside", "__plan_source_size", "__plan_target", "__plan_epochs", "__plan_begin", "__plan_rest")
+    done = rows.where(~F.col("__at_end")).withColumn("__fits", F.col("__inside")).unionByName(_fits(rows.where("__at_end")))
+    copies = F.least(F.lit(cap), F.col("__plan_epochs") + F.col("__fits"))
+    return done.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__plan_source_size").alias("source_size"), F.col("__plan_target").alias("target"), (F.col("__size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them.
+
+    Texts stay where they are: only the ids of rows at a budget's end travel. Rows that share an id there are taken if one of them is.
+    """
+    rows = _placed(docs, weights, share, cap)
+    fit = _fits(rows.where("__at_end").select("__id", "__source", "__size", "__key", "__plan_begin", "__plan_rest")).where("__fits = 1").select(F.col("__id").alias("__fit_id")).distinct()
+    if fit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        fit = F.broadcast(fit)
+    rows = rows.join(fit, F.col("__at_end") & F.col("__id").eqNullSafe(F.col("__fit_id")), "left")
+    more = F.col("__inside") + (F.col("__at_end") & F.col("__fit_id").isNotNull()).cast("int")
+    copies = F.least(F.lit(cap), F.col("__plan_epochs") + more)
+    rows = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*(rows[c] for c in docs.columns))
 
 
 #: The same rows by sorting each source whole.
