@@ -1,13 +1,61 @@
-"""The corpus pipeline: language ID, quality rules, near-duplicate removal, mixing, tokens."""
+"""The corpus pipeline: identify languages, judge quality, keep one document of each near-duplicate group, mix the sources, encode.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents. Models are fitted on the stage's own input and, for quality, the folder's labels. Null, empty and wordless texts are rejected by the first two stages; the docstrings of the operators say what the others make of them.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from slidelake.llm import bpe, jaccard, langid, mixing, quality
+from slidelake.llm.common import read_table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified."""
+    return langid.identified_documents(docs, langid.fit_language_id(docs))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the classifier keep."""
+    return quality.kept_documents(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return jaccard.one_of_each(docs)
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document taken."""
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("mixing sources to target weights", source_mix),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: SQL can't express the fitted models; tests compare with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each one's result written and read again as the next one's input."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage{i}")
+    return docs
