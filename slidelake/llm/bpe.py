@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rebatched, texts
-from .pretokens import chunks
+from .pretokens import Memory, chunks, large_memory
 
-#: Entries of a worker's memory of finished pieces; it is emptied when full.
-MEMORY = 1 << 19
+#: Entries of a worker's memories of finished pieces and of merged pre-tokens.
+PIECES, PRETOKENS = 1 << 19, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -83,29 +84,41 @@ class PerfectHash:
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece by merges of lowest rank, leftmost first: a heap of neighbouring pairs over a doubly linked list of parts."""
-    n = len(piece)
-    nxt, prev, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    """The ids of a piece by merges of lowest rank, leftmost first: a heap of pairs over a linked list of parts.
+
+    A part is known by its first byte; a heap entry is rank x length + first byte, and counts only while that pair still has that rank.
+    """
+    n, get = len(piece), ranks.get
+    if n == 1:
+        return [ranks[piece]]
+    end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = [get(piece[i : i + 2], -1) for i in range(n)]
+    rank[n - 1] = -1
+    heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
     heapq.heapify(heap)
-    alive = [True] * n
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = nxt[i] if alive[i] else n
-        if j >= n or end[j] != stop:  # one of the two has changed since
+        r, i = divmod(heapq.heappop(heap), n)
+        if rank[i] != r:
             continue
-        end[i], nxt[i], alive[j] = stop, nxt[j], False
-        if nxt[i] < n:
-            prev[nxt[i]] = i
-            if (r := ranks.get(piece[i : end[nxt[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[nxt[i]]))
-        if prev[i] >= 0:
-            if (r := ranks.get(piece[prev[i] : stop])) is not None:
-                heapq.heappush(heap, (r, prev[i], stop))
+        j = end[i]
+        stop = end[i] = end[j]
+        rank[j] = -1
+        if stop < n:
+            prev[stop] = i
+            if (r := get(piece[i : end[stop]], -1)) >= 0:
+                heapq.heappush(heap, r * n + i)
+            rank[i] = r
+        else:
+            rank[i] = -1
+        if i:
+            h = prev[i]
+            if (r := get(piece[h:stop], -1)) >= 0:
+                heapq.heappush(heap, r * n + h)
+            rank[h] = r
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
-        i = nxt[i]
+        i = end[i]
     return out
 
 
@@ -117,31 +130,33 @@ class Codec:
         self.table = PerfectHash(self.ranks)
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.pretokens = Memory(PIECES), Memory(PRETOKENS)
+
+    def _pretoken(self, x: str) -> bytes:
+        raw = x.encode("utf-8")
+        rank = self.table.get(raw)
+        return struct.pack("<I", rank) if rank is not None else struct.pack(f"<{len(ids)}I", *ids) if (ids := merged(raw, self.ranks)) else b""
 
     def _piece(self, piece: str) -> bytes:
-        ids: list[int] = []
+        known, old = self.pretokens.turn(), self.pretokens.old
+        out = []
         for x in self.pattern.findall(piece):
-            raw = x.encode("utf-8")
-            rank = self.table.get(raw)
-            if rank is None:
-                ids += merged(raw, self.ranks)
-            else:
-                ids.append(rank)
-        return np.array(ids, dtype="<u4").tobytes()
+            got = known.get(x)
+            if got is None:
+                got = known[x] = old.get(x) or self._pretoken(x)
+            out.append(got)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of text, packed; the empty text has none."""
-        known, parts = self.known, chunks(text)
+        parts, known = chunks(text), self.pieces.turn()
         try:
             return b"".join([known[x] for x in parts])
         except KeyError:
+            old = self.pieces.old
             for x in parts:
                 if x not in known:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                        return b"".join(self._piece(x) for x in parts)
-                    known[x] = self._piece(x)
+                    known[x] = old.get(x) or self._piece(x)
             return b"".join([known[x] for x in parts])
 
     def decode(self, packed: bytes) -> bytes:
@@ -155,6 +170,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     """This worker's codec for a rank file."""
     if (path, pattern) not in _codecs:
+        large_memory()
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
 

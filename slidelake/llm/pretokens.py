@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 _ODD = re.compile(r" (?:\s|$)")
@@ -24,3 +25,21 @@ def chunks(text: str) -> list[str]:
         else:
             out.append(" " + x)
     return [x for x in out if x]
+
+
+class Memory:
+    """A bounded map. When its young half is full it becomes the old half, and what was old is forgotten."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def turn(self) -> dict:
+        """The young half, to read and fill, with room in it."""
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        return self.young
+
+
+def large_memory() -> None:
+    """Rarer collections in this worker: they would walk through the memories again and again, and what these hold has no cycles."""
+    gc.set_threshold(1_000_000, 20, 50)
