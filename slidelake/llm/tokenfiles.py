@@ -12,43 +12,72 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import rebatched, shared_root, texts, written
-from .pretokens import chunks
+from .pretokens import Memory, chunks, large_memory
 
 MAGIC = b"SLTOKEN1"
 NO_ID = -(1 << 63)  # stands for a doc_id that is null
-#: Entries of a worker's memory of finished pieces; it is emptied when full.
-MEMORY = 1 << 19
+#: Entries of a worker's memories of finished pieces and of pre-tokens.
+PIECES, PRETOKENS = 1 << 19, 1 << 20
+#: Pre-tokens that one call to the library takes as one text.
+RUN = 2000
 
 
 class Encoder:
-    """Encodes with a tokenizers file. Equal pieces go through the library once while they are remembered."""
+    """Encodes with a tokenizers file whose pre-tokens follow the byte-level pattern. Equal pieces and pre-tokens go through the library once while they are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of an id: a character stands for a byte
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        self.pattern = regex.compile(pattern)
+        self.pieces, self.pretokens = Memory(PIECES), Memory(PRETOKENS)
+
+    def _library(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """New pre-tokens and their ids. Those that start with a space before another character are cut off again wherever they stand, so runs of them go as one text; token widths tell where each ends."""
+        alone = [x for x in new if len(x) < 2 or x[0] != " " or x[1].isspace()]
+        for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield x, np.array(e.ids, dtype=self.dtype).tobytes()
+        rest = [x for x in new if len(x) > 1 and x[0] == " " and not x[1].isspace()]
+        for i in range(0, len(rest), RUN):
+            part = rest[i : i + RUN]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([len(x.encode("utf-8")) for x in part])
+            cut = [0, *(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()]
+            packed, n = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            for x, a, b in zip(part, cut[:-1], cut[1:], strict=True):
+                yield x, packed[n * a : n * b]
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         cut = [chunks(t) for t in batch]
-        known = self.known
-        new = list({x for parts in cut for x in parts if x not in known})
-        if len(known) + len(new) > MEMORY:
-            known = self.known = {}
-            new = list({x for parts in cut for x in parts})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, dtype=self.dtype).tobytes()
+        known, old = self.pieces.turn(), self.pieces.old
+        words, before = self.pretokens.turn(), self.pretokens.old
+        new, missing = [], set()
+        for x in set().union(*cut).difference(known):
+            if (got := old.get(x)) is None:
+                new.append(x)
+                missing.update(self.pattern.findall(x))
+            else:
+                known[x] = got
+        missing.difference_update(words)
+        words.update((w, before[w]) for w in missing if w in before)
+        words.update(self._library([w for w in missing if w not in before]))
+        find = self.pattern.findall
+        known.update((x, words.get(x) or b"".join([words[w] for w in find(x)])) for x in new)
         return [b"".join([known[x] for x in parts]) for parts in cut]
 
 
@@ -57,6 +86,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
+        large_memory()
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
