@@ -161,7 +161,7 @@ def xml_filtered(text: str) -> str:
 
 
 def escape_xml(text: str) -> str:
-    return escape_office(text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return escape_office(text).replace("\r", "_x000D_").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
 def escape_xml_attribute(text: str) -> str:

@@ -233,7 +233,7 @@ def create_deck(scene: dict, level: int = 9) -> bytes:
     if back["status"] != "ok" or len(back.get("slides", [])) != len(scene["slides"]):
         raise ValueError(f"the written package does not read back: {back['code']} {back['message']}")
     top = [(i, e["type"]) for i, s in enumerate(scene["slides"], 1) for e in s.get("elements") or []]
-    read = [(e["slide_no"], e["type"]) for e in back.get("elements", []) if len(e["path"]) == 1 and e["origin"] == "slide"]
+    read = [(e["slide_no"], e["type"]) for e in back.get("elements", []) if len(e["tree_path"]) == 1 and e["origin"] == "slide"]
     if sorted(top) != sorted(read):
         raise ValueError("the written package reads back with other elements")
     return raw

@@ -1,10 +1,23 @@
-"""The registered queries of the presentation engine and their SQL."""
+"""The registered queries of the presentation engine and their SQL.
+
+Most build packages from the driver's rows, parse them back and query the tables that come out; the SQL says the same over the rows themselves. All rows take part. Decks hold blocks of keys, so that none grows with a hot key.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from slidelake.functions import geometry, ooxml
+from slidelake.operators import render, roundtrip, validate
+from slidelake.operators.writer import write_decks
+from slidelake.plans import builders as B
+from slidelake.sources.deck import Options
+from slidelake.sources.package import Limits
+from slidelake.sources.reader import parse_packages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,5 +25,404 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def gathered(df: DataFrame, path: str, order: str, **columns: str) -> DataFrame:
+    """A row for each path with arrays of the columns, in order."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *(F.expr(c).alias(k) for k, c in columns.items()))))
+    return df.withColumn("path", F.expr(path)).groupBy("path").agg(items.alias("__i")).select("path", *(F.col(f"__i.{k}").alias(k) for k in columns))
+
+
+def parsed(df: DataFrame, build: Callable[[dict], dict | bytes], options: Options | None = None) -> DataFrame:
+    return parse_packages(write_decks(df, build, 1), options)
+
+
+def key_of(path: str = "path") -> F.Column:
+    return F.regexp_extract(path, r"(\d+)$", 1).cast("long")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """For each deck and kind of element: how many, and all their text."""
+    return deck_elements(spark, sf_dir)
+
+
+@query("SELECT 'nation-' || n_regionkey AS path, 'text' AS type, count(*) AS elements, string_agg(n_name, '|' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+def deck_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "nation"), "concat('nation-', n_regionkey)", "n_nationkey", names="n_name"), B.region_deck)
+    e = table(decks, "elements", "path")
+    return e.groupBy("path", "type").agg(F.count("*").alias("elements"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slide_no", "ord", "plain_text"))), lambda x: x["plain_text"]), "|").alias("text"))
+
+
+@query("SELECT n_regionkey::BIGINT AS region, count(*) AS slides FROM nation GROUP BY 1")
+def deck_slide_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "nation"), "concat('nation-', n_regionkey)", "n_nationkey", names="n_name"), B.region_deck)
+    return table(decks, "slides", "path").groupBy(key_of().alias("region")).agg(F.count("*").alias("slides"))
+
+
+@query("SELECT n_regionkey::BIGINT AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC)::INT AS slide_no, n_name AS name FROM nation")
+def slide_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "nation"), "concat('nation-', n_regionkey)", "n_nationkey", names="n_name"), B.reversed_deck)
+    return table(decks, "elements", "path").select(key_of().alias("region"), "slide_no", F.col("plain_text").alias("name"))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey % 5 <> 0")
+def orphan_slide_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides that the content types don't declare are no slides."""
+    decks = parsed(gathered(read(spark, sf_dir, "nation"), "concat('nation-', n_regionkey)", "n_nationkey", names="n_name", keys="n_nationkey"), B.orphan_deck)
+    return table(decks, "elements").select(F.col("plain_text").alias("name"))
+
+
+@query("SELECT type, count(*) AS n FROM supplier, (VALUES ('text'), ('shape'), ('table'), ('chart')) v(type) GROUP BY 1")
+def element_type_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey div 50)", "s_suppkey", names="s_name"), B.kinds_deck)
+    return table(decks, "elements").groupBy("type").agg(F.count("*").alias("n"))
+
+
+def _text_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return parsed(gathered(docs, "concat('d-', doc_id)", "doc_id", texts="text"), B.text_deck)
+
+
+@query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(_text_decks(spark, sf_dir), "elements", "path")
+    return e.select(key_of().alias("doc_id"), F.length("plain_text").cast("long").alias("n_chars"), F.md5("plain_text").alias("text_md5"))
+
+
+@query("SELECT doc_id, (i - 1)::INT AS para_no, md5(t) AS text_md5 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE t <> ''")
+def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(_text_decks(spark, sf_dir), "runs", "path").select(key_of().alias("doc_id"), "para_no", F.md5("text").alias("text_md5"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority LIKE '1%' AS bold, lag(o_orderpriority LIKE '1%') OVER w AS was FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+i AS (SELECT *, sum(CASE WHEN bold IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT o_custkey AS cust, island::BIGINT AS island, any_value(bold) AS bold, count(*) AS runs, string_agg(o_orderkey::VARCHAR, '' ORDER BY o_orderkey) AS text FROM i GROUP BY 1, 2""")
+def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring runs of one style become one: gaps and islands."""
+    orders = read(spark, sf_dir, "orders")
+    decks = parsed(gathered(orders, "concat('c-', o_custkey)", "o_orderkey", keys="o_orderkey", bold="o_orderpriority like '1%'"), B.runs_deck)
+    w = Window.partitionBy("path", "key", "para_no").orderBy("run_no")
+    runs = table(decks, "runs", "path").withColumn("new", (~F.col("bold").eqNullSafe(F.lag("bold").over(w))).cast("int")).withColumn("island", F.sum("new").over(w))
+    return runs.groupBy(key_of().alias("cust"), "island").agg(F.any_value("bold").alias("bold"), F.count("*").alias("runs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deck for each hundred orders, a slide for each order, a table row for each line."""
+    lines = read(spark, sf_dir, "lineitem")
+    cells = F.array(F.concat_ws("-", "l_orderkey", "l_linenumber"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    orders = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cells.alias("c")))), lambda x: x["c"]).alias("t"))
+    return gathered(orders, "concat('o-', l_orderkey div 100)", "l_orderkey", tables="t")
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber AS line, l_partkey::VARCHAR AS part, l_quantity::INT::VARCHAR AS quantity FROM lineitem")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(parsed(_order_tables(spark, sf_dir), B.tables_deck), "table_cells", "path")
+    rows = cells.groupBy("path", "slide_no", "row_no").agg(*(F.max(F.when(F.col("col_no") == i, F.col("text"))).alias(n) for i, n in enumerate(("line", "part", "quantity"))))
+    return rows.select("line", "part", "quantity")
+
+
+@query("SELECT l_orderkey || '-' || min(l_linenumber) AS line, CASE WHEN count(*) > 1 THEN count(*) END::INT AS row_span, (count(*) - 1)::BIGINT AS covered FROM lineitem GROUP BY l_orderkey")
+def table_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(parsed(_order_tables(spark, sf_dir), B.merged_deck), "table_cells", "path").where("col_no = 0")
+    return cells.groupBy("path", "slide_no").agg(F.max(F.when(F.col("row_no") == 0, F.col("text"))).alias("line"), F.max("row_span").alias("row_span"), F.sum(F.col("v_merge").cast("long")).alias("covered")).select("line", "row_span", "covered")
+
+
+@query("""SELECT c_name AS name, CASE WHEN i = 0 THEN '#444444' WHEN i = n - 1 THEN '#555555' WHEN i % 2 = 0 THEN '#333333' ELSE '#222222' END AS fill
+FROM (SELECT c_name, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_custkey // 100) AS n FROM customer)""")
+def table_style_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row bands of a table style: first and last row win, row 0 has no band."""
+    decks = parsed(gathered(read(spark, sf_dir, "customer"), "concat('c-', c_custkey div 100)", "c_custkey", names="c_name"), B.styled_deck)
+    return table(decks, "table_cells").select(F.col("text").alias("name"), F.col("fill_color").alias("fill"))
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.date_format("o_orderdate", "yyyy-MM").alias("m")).count()
+    return gathered(n, "concat('y-', y)", "m", categories="m", values="cast(count as double)")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*)::DOUBLE AS n FROM orders GROUP BY 1")
+def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(parsed(_monthly(spark, sf_dir), B.chart_deck), "chart_points").select(F.col("category").alias("month"), F.col("y").alias("n"))
+
+
+@query("SELECT year(o_orderdate)::BIGINT AS year, count(*)::DOUBLE AS total FROM orders GROUP BY 1")
+def chart_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(parsed(_monthly(spark, sf_dir), B.chart_deck), "chart_points", "path").groupBy(key_of().alias("year")).agg(F.sum("y").alias("total"))
+
+
+@query("SELECT n_regionkey::BIGINT AS region, n_name AS category, '#0000' || lpad((n_regionkey * 10)::VARCHAR, 2, '0') AS color, n_nationkey::DOUBLE AS y FROM nation")
+def chart_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = gathered(read(spark, sf_dir, "nation"), "concat('r-', n_regionkey)", "n_nationkey", categories="n_name", values="cast(n_nationkey as double)")
+    decks = parsed(n.withColumn("color", F.concat(F.lit("#0000"), F.lpad((key_of() * 10).cast("string"), 2, "0"))), B.chart_deck)
+    return table(decks, "chart_points", "path").select(key_of().alias("region"), "category", F.col("series_color").alias("color"), "y")
+
+
+def _inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey div 50)", "s_suppkey", keys="s_suppkey"), B.inherited_deck)
+
+
+@query("SELECT s_suppkey AS supp, CASE s_suppkey % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 200.0 ELSE 300.0 END::DOUBLE AS x FROM supplier")
+def inherit_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(_inherited(spark, sf_dir), "elements").where("origin = 'slide'").select(F.col("plain_text").cast("long").alias("supp"), F.col("left").alias("x"))
+
+
+@query("SELECT s_suppkey AS supp, CASE WHEN s_suppkey % 4 = 3 THEN NULL WHEN s_suppkey % 3 = 0 THEN '#FF0000' WHEN s_suppkey % 3 = 1 THEN '#00FF00' ELSE '#0000FF' END AS fill FROM supplier")
+def inherit_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An explicit "no fill" ends the search; a missing one goes on."""
+    return table(_inherited(spark, sf_dir), "elements").where("origin = 'slide'").select(F.col("plain_text").cast("long").alias("supp"), F.col("fill_color").alias("fill"))
+
+
+@query("SELECT s_suppkey AS supp, CASE s_suppkey % 3 WHEN 0 THEN 11.0 WHEN 1 THEN 24.0 ELSE 32.0 END::DOUBLE AS size FROM supplier")
+def inherit_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(_inherited(spark, sf_dir), "runs").select(F.col("text").cast("long").alias("supp"), "size")
+
+
+@query("SELECT s_suppkey AS supp, CASE WHEN s_suppkey % 3 = 0 THEN '#4472C4' WHEN s_suppkey % 3 = 1 THEN '#FFFFFF' ELSE '#000000' END || CASE WHEN s_suppkey % 2 = 0 THEN '80' ELSE '' END AS fill FROM supplier")
+def scheme_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theme colours through the master's colour map, and a transform of their alpha."""
+    keys = gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey)", "s_suppkey", keys="s_suppkey")
+    return table(parsed(keys, B.colored_deck), "elements", "path").select(key_of().alias("supp"), F.col("fill_color").alias("fill"))
+
+
+@query("""SELECT p_partkey AS part, k AS key, CASE k WHEN 1 THEN 10 + p_size / 2.0 ELSE 60 + p_size / 4.0 END::DOUBLE AS x, CASE k WHEN 1 THEN 20 + p_size / 2.0 ELSE 70 + p_size / 4.0 END::DOUBLE AS y,
+CASE k WHEN 1 THEN p_size ELSE p_size / 2.0 END::DOUBLE AS w FROM part, (VALUES (1), (2)) v(k)""")
+def group_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in a group, and in a group in it, in the slide's own space."""
+    sizes = gathered(read(spark, sf_dir, "part"), "concat('p-', p_partkey)", "p_partkey", sizes="p_size")
+    e = table(parsed(sizes, B.sized_deck), "elements", "path").where("type = 'shape'")
+    return e.select(key_of().alias("part"), F.when(F.col("key").endswith("-element-2-element-1"), 2).otherwise(1).alias("key"), F.col("left").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"))
+
+
+@query("SELECT p_partkey AS part, round(p_size * 12345 * 72 / 914400.0, 4)::DOUBLE AS points FROM part")
+def emu_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), ooxml.emu_to_points_col(F.col("p_size").cast("long") * 12345).alias("points"))
+
+
+@query("SELECT '<p>' || s_name || '</p>' AS note FROM supplier")
+def notes_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey div 50)", "s_suppkey", names="s_name"), B.notes_deck)
+    return table(decks, "slides").select(F.col("note_html").alias("note"))
+
+
+@query("""SELECT s_suppkey AS supp, ['fade', 'push', 'wipe'][s_suppkey % 3 + 1] AS type, [800, 1234, 500][s_suppkey % 3 + 1]::BIGINT AS ms, [NULL, 'l', 'u'][s_suppkey % 3 + 1] AS direction, [NULL, NULL, 900][s_suppkey % 3 + 1]::BIGINT AS next FROM supplier""")
+def transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey)", "s_suppkey", keys="s_suppkey"), B.transition_deck)
+    return table(decks, "slides", "path").select(key_of().alias("supp"), F.col("transition_type").alias("type"), F.col("transition_ms").alias("ms"), F.col("transition_direction").alias("direction"), F.col("auto_next_after").alias("next"))
+
+
+@query("SELECT ['none', 'invalid-slide-size', 'invalid-relationship-target', 'invalid-xml'][c_custkey % 4 + 1] AS code, count(*) AS n FROM customer WHERE c_custkey % 4 > 0 GROUP BY 1")
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults are rows: the deck is still read as far as it goes."""
+    faulty = read(spark, sf_dir, "customer").select(F.concat(F.lit("c-"), "c_custkey").alias("path"), F.col("c_custkey").alias("key"))
+    return table(parsed(faulty, B.faulty_deck), "diagnostics").groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN n > 20 THEN 'failed' ELSE 'ok' END AS status, count(*) AS decks FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY 1")
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More slides than allowed fail the deck, and the deck alone."""
+    orders = gathered(read(spark, sf_dir, "orders"), "concat('c-', o_custkey)", "o_orderkey", names="o_orderstatus")
+    return parsed(orders, B.region_deck, Options(limits=Limits(slides=20))).groupBy("status").agg(F.count("*").alias("decks"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n > 1")
+def validate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.duplicate_keys(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def validate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return validate.dangling(customers, read(spark, sf_dir, "orders"), ["o_custkey"])
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber AS r, l_linenumber % 3 AS col, (l_quantity % 3 + 1)::INT AS rs, (l_quantity % 2 + 1)::INT AS cs FROM lineitem),
+x AS (SELECT l_orderkey, y, unnest(range(col, col + cs)) AS x FROM (SELECT *, unnest(range(r, r + rs)) AS y FROM c WHERE rs * cs > 1))
+SELECT l_orderkey, y::INT AS row_no, x::INT AS col_no FROM x GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def validate_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that two spans cover."""
+    cells = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("row_no"), (F.col("l_linenumber") % 3).alias("col_no"), (F.col("l_quantity") % 3 + 1).cast("int").alias("row_span"), (F.col("l_quantity") % 2 + 1).cast("int").alias("col_span"))
+    return validate.overlapping_spans(cells, "l_orderkey")
+
+
+@query("SELECT source AS scene, 'resource-limit' AS code, 'code_units' AS name, sum(len(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS total FROM documents GROUP BY source HAVING sum(len(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]'))) > 8388608")
+def validate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("scene")).agg(F.sum(ooxml.utf16_length_col(F.col("text"))).cast("long").alias("total")).withColumn("name", F.lit("code_units"))
+    return validate.over_limits(totals, "scene")
+
+
+def _supplier_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_decks(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey div 20)", "s_suppkey", names="s_name"), B.region_deck, 1)
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").withColumn("path", F.expr("concat('s-', s_suppkey div 20)"))
+    return s.withColumn("slide", F.row_number().over(Window.partitionBy("path").orderBy("s_suppkey"))).where("s_suppkey % 10 = 0")
+
+
+@query("SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'edited ' || s_name ELSE s_name END AS text FROM supplier")
+def edit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run in ten gets another text; each edited package is verified as it is written."""
+    ops = _targets(spark, sf_dir).select("path", F.col("slide").alias("seq"), F.lit("replace-text").alias("kind"), F.format_string("slide-%d-element-1-run-1", "slide").alias("target_key"), F.concat(F.lit("edited "), "s_name").alias("value"))
+    return table(parse_packages(roundtrip.edit_packages(_supplier_packages(spark, sf_dir), ops)), "elements").select(F.col("plain_text").alias("text"))
+
+
+@query("SELECT s_name AS text, CASE WHEN s_suppkey % 10 = 0 THEN 99.5 ELSE 36.0 END::DOUBLE AS x FROM supplier")
+def edit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = _targets(spark, sf_dir).select("path", F.col("slide").alias("seq"), F.lit("set-transform").alias("kind"), F.format_string("slide-%d-element-1", "slide").alias("target_key"), F.lit('{"x": 99.5}').alias("value"))
+    e = table(parse_packages(roundtrip.edit_packages(_supplier_packages(spark, sf_dir), ops)), "elements")
+    return e.select(F.col("plain_text").alias("text"), F.col("left").alias("x"))
+
+
+@query("SELECT 'R2' AS level, 0::BIGINT AS changed_elsewhere, count(DISTINCT s_suppkey // 20)::BIGINT AS decks FROM supplier WHERE s_suppkey % 10 = 0")
+def edit_preserves_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships, slide inventory and part names before and after an edit: nothing but the edited slides differs."""
+    before = _supplier_packages(spark, sf_dir)
+    ops = _targets(spark, sf_dir).select("path", F.col("slide").alias("seq"), F.lit("replace-text").alias("kind"), F.format_string("slide-%d-element-1-run-1", "slide").alias("target_key"), F.lit("x").alias("value"))
+    after = roundtrip.edit_packages(before, ops)
+    parts = lambda df: table(parse_packages(df), "relationships", "path").drop("deck_id")
+    changed = parts(before).exceptAll(parts(after)).unionByName(parts(after).exceptAll(parts(before)))
+    return after.where("level = 'R2'").groupBy("level").agg(F.count("*").alias("decks")).crossJoin(F.broadcast(changed.agg(F.count("*").alias("changed_elsewhere"))))
+
+
+@query("SELECT 's-' || (s_suppkey // 20) AS path, 'R0' AS level, true AS same FROM supplier GROUP BY 1")
+def restore_r0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots without operations restore the same bytes."""
+    before = _supplier_packages(spark, sf_dir)
+    none = spark.createDataFrame([], "path string, seq int, kind string, target_key string, value string")
+    after = roundtrip.edit_packages(before, none).select("path", "level", F.sha2("content", 256).alias("after"))
+    return before.select("path", F.sha2("content", 256).alias("before")).join(after, "path").select("path", "level", (F.col("before") == F.col("after")).alias("same"))
+
+
+@query("""SELECT n_nationkey AS nation, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '","region":' || n_regionkey || '}') AS hash FROM nation""")
+def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def hashed(key: pd.Series, name: pd.Series, region: pd.Series) -> pd.Series:
+        return pd.Series([ooxml.canonical_hash({"region": int(r), "name": n, "key": int(k)}) for k, n, r in zip(key, name, region, strict=True)])
+
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), hashed("n_nationkey", "n_name", "n_regionkey").alias("hash"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 4 = 2 THEN url WHEN page_id % 4 = 3 THEN 'mailto:' || page_id || '@x.y' END AS link FROM (SELECT page_id, trim(url) AS url FROM pages)")
+def url_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("javascript:"), "url")).when(k == 2, F.concat(F.lit("  "), "url", F.lit(" "))).otherwise(F.concat(F.lit("mailto:"), F.col("page_id").cast("string"), F.lit("@x.y")))
+    return read(spark, sf_dir, "pages").select("page_id", ooxml.sanitize_link_col(url).alias("link"))
+
+
+@query("SELECT p_partkey AS part, ['ppt/media/' || p_partkey || '.png', 'ppt/slides/' || p_partkey || '.xml', 'docs/' || p_partkey, NULL, NULL][p_partkey % 5 + 1] AS target FROM part")
+def rel_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets from a slide: up and across, backslashes and dots, absolute with a fragment, out of the package, with a scheme."""
+    k, n = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    given = F.when(k == 0, F.concat(F.lit(" ../media/"), n, F.lit(".png"))).when(k == 1, F.concat(F.lit(".\\x\\..\\"), n, F.lit(".xml"))).when(k == 2, F.concat(F.lit("/docs/./"), n, F.lit("?q#f"))).when(k == 3, F.concat(F.lit("../../../"), n)).otherwise(F.concat(F.lit("http://"), n))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), ooxml.resolve_target_col(F.lit("ppt/slides/slide1.xml"), given).alias("target"))
+
+
+@query("SELECT p_partkey AS part, ['image/png', 'image/jpeg', 'video/mp4', 'application/octet-stream'][p_partkey % 4 + 1] AS mime FROM part")
+def mime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    name = F.concat(F.col("p_partkey").cast("string"), F.when(k == 0, ".PNG").when(k == 1, ".a.jpg?x.png").when(k == 2, ".mp4#y").otherwise(".unknown"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), ooxml.media_type_col(name).alias("mime"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS html_md5 FROM documents")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(ooxml.escape_html_col(F.col("text"))).alias("html_md5"))
+
+
+@query("SELECT doc_id, (len(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS units FROM documents")
+def utf16_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", ooxml.utf16_length_col(F.col("text")).cast("long").alias("units"))
+
+
+@query("SELECT p_partkey AS part, CASE WHEN p_partkey <= 26 THEN chr((64 + p_partkey)::INT) WHEN p_partkey <= 702 THEN chr((64 + (p_partkey - 1) // 26)::INT) || chr((65 + (p_partkey - 1) % 26)::INT) ELSE chr((65 + (p_partkey - 703) // 676)::INT) || chr((65 + (p_partkey - 703) // 26 % 26)::INT) || chr((65 + (p_partkey - 1) % 26)::INT) END AS name FROM part WHERE p_partkey > 0")
+def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("part"), ooxml.column_name_col(F.col("p_partkey")).alias("name"))
+
+
+@query()
+def html_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both plain texts of whole pages: as the editor and as the renderer have it."""
+
+    @F.pandas_udf("editor string, renderer string")
+    def both(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"editor": html.fillna("").map(ooxml.plain_preview), "renderer": html.fillna("").map(ooxml.plain_render)})
+
+    return read(spark, sf_dir, "pages").select("page_id", both("html").alias("t")).select("page_id", "t.*")
+
+
+@query("SELECT s_suppkey AS supp, (s_suppkey % 7)::DOUBLE AS l, (s_suppkey % 5 / 2.0)::DOUBLE AS t FROM supplier")
+def image_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey)", "s_suppkey", keys="s_suppkey"), B.picture_deck)
+    return table(decks, "elements", "path").select(key_of().alias("supp"), F.col("crop_l").alias("l"), F.col("crop_t").alias("t"))
+
+
+@query(f"SELECT '{ooxml.sha256(B.PNG)}' AS sha256, 'image/png' AS mime, count(*) AS n FROM supplier")
+def media_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decks = parsed(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey)", "s_suppkey", keys="s_suppkey"), B.picture_deck, Options(media=True))
+    return table(decks, "media").groupBy(F.sha2("bytes", 256).alias("sha256"), "mime").agg(F.count("*").alias("n"))
+
+
+@query("SELECT code, count(*) AS n FROM supplier, (VALUES ('font-substitution'), ('approximate-table'), ('approximate-chart')) v(code) GROUP BY 1")
+def render_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = write_decks(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey div 50)", "s_suppkey", names="s_name"), B.kinds_deck, 1)
+    w = render.render_packages(packages).select(F.explode("warnings").alias("w"))
+    return w.groupBy("w.code").agg(F.count("*").alias("n"))
+
+
+@query()
+def svg_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = write_decks(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey div 50)", "s_suppkey", names="s_name"), B.kinds_deck, 1)
+    return render.render_packages(packages).select("path", "slide_no", "mime", "width", "height", "data")
+
+
+@query()
+def preset_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of preset shapes in boxes of the parts' sizes."""
+    names = ["rect", "ellipse", "roundRect", "triangle", "diamond", "hexagon", "star5", "rightArrow", "chevron", "plus", "donut", "pie", "line"]
+
+    @F.pandas_udf("string")
+    def path(name: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([geometry.preset_path(n, float(s) * 2, float(s))[0] for n, s in zip(name, size, strict=True)])
+
+    sizes = read(spark, sf_dir, "part").select("p_size").distinct()
+    return sizes.select("p_size", F.explode(F.array(*map(F.lit, names))).alias("name")).select("p_size", "name", path("name", "p_size").alias("path"))
+
+
+@query("SELECT 'a:t' AS tag, count(*) AS n FROM nation")
+def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the slides by tag, from the node table."""
+    decks = parsed(gathered(read(spark, sf_dir, "nation"), "concat('nation-', n_regionkey)", "n_nationkey", names="n_name"), B.region_deck, Options(xml=True))
+    return table(decks, "xml_nodes").where("tag = 'a:t'").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT t AS type, CASE t WHEN 'slideMaster' THEN count(DISTINCT n_regionkey) ELSE count(*) END AS n FROM nation, (VALUES ('slide'), ('slideLayout'), ('slideMaster')) v(t) GROUP BY t")
+def relationship_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships of presentations and slides by type."""
+    decks = parsed(gathered(read(spark, sf_dir, "nation"), "concat('nation-', n_regionkey)", "n_nationkey", names="n_name"), B.region_deck)
+    own = table(decks, "relationships").where("owner_part rlike '^ppt/(presentation|slides/slide[0-9]+)[.]xml$'")
+    return own.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'duplicate-key' AS code, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events) WHERE i > 1")
+def scene_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes with an element for each event of a user, keyed by its type, judged one by one."""
+    scenes = gathered(read(spark, sf_dir, "events"), "concat('u-', user_id)", "event_id", keys="event_type")
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            issues = [i for keys in pdf["keys"] for i in validate.validate_scene(B.scene([[{"type": "shape", "key": k, "transform": B.BOX} for k in keys]]))]
+            yield pd.DataFrame({"code": [i["code"] for i in issues], "path": [i["path"] for i in issues]})
+
+    return scenes.select("keys").mapInPandas(judged, "code string, path string").groupBy("code").agg(F.count("*").alias("n"))

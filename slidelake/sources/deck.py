@@ -522,7 +522,7 @@ class Deck:
             r = self.related(self.part).get(h.attrs.get("r:id", ""))
             link = ooxml.sanitize_link(r["target"]) if r and r["type"] == "hyperlink" else None
         key = f"{prefix}-element-" + "-element-".join(str(i + 1) for i in path)
-        return {"slide_no": self.n, "origin": origin, "path": list(path), "key": key, "id": nv.attrs.get("id") if nv is not None else None, "name": nv.attrs.get("name") if nv is not None else None, "ord": node.order, "left": left, "top": top, "width": width, "height": height, "rotate": rot, "flip_h": fh, "flip_v": fv, "link": link}
+        return {"slide_no": self.n, "origin": origin, "tree_path": list(path), "key": key, "id": nv.attrs.get("id") if nv is not None else None, "name": nv.attrs.get("name") if nv is not None else None, "ord": node.order, "left": left, "top": top, "width": width, "height": height, "rotate": rot, "flip_h": fh, "flip_v": fv, "link": link}
 
     def shape(self, node: Node, origin: str, owner: str, path: tuple, prefix: str, groups: tuple, place: tuple) -> bool:
         lv = self.levels(node, owner)
@@ -743,7 +743,7 @@ class Deck:
             for x in sp.walk():
                 if x.tag.startswith("dsp:"):
                     x.tag = "p:" + x.tag[4:]
-            if self.element(sp, "diagram", drawing["target"], (*row["path"], i), f"slide-{self.n}", (), inner):
+            if self.element(sp, "diagram", drawing["target"], (*row["tree_path"], i), f"slide-{self.n}", (), inner):
                 i += 1
 
 
