@@ -183,7 +183,7 @@ def plain_preview(html: str) -> str:
 
 def plain_render(html: str) -> str:
     """Text of an HTML body as the renderer lays it out: one newline a block, bullets, trimmed lines, no more than two newlines together."""
-    t = re.sub(r"<li\b[^>]*>", "\n• ", html, flags=re.IGNORECASE)
+    t = re.sub(r"<li\b[^>]*>(?:\s*<p\b[^>]*>)?", "\n• ", html, flags=re.IGNORECASE)
     t = re.sub(r"<br\s*/?>|</?(?:p|div|ul|ol|h\d|tr|table)\b[^>]*>|</li>", "\n", t, flags=re.IGNORECASE)
     t = unescape(_TAG.sub("", t)).replace("\xa0", " ")
     lines = [re.sub(r"[ \t]+", " ", x).strip() for x in t.split("\n")]
@@ -280,7 +280,7 @@ def resolve_target_col(owner: Column, target: Column) -> Column:
         return F.when(F.get(acc, F.lit(0)) == "\0", acc).when(x == "..", F.when(F.size(acc) == 0, bad).otherwise(F.slice(acc, F.lit(1), F.size(acc) - 1))).when(x.isin("", "."), acc).otherwise(F.concat(acc, F.array(x)))
 
     path = F.aggregate(F.split(t, "/"), base, step)
-    return F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (F.get(path, F.lit(0)) == "\0"), None).otherwise(F.concat_ws("/", path))
+    return F.when(target.isNull() | t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (F.get(path, F.lit(0)) == "\0"), None).otherwise(F.concat_ws("/", path))
 
 
 def extension(name: str) -> str:
