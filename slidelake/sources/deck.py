@@ -558,8 +558,11 @@ class Deck:
         fit = next((c for b in bp for c in b.children if c.tag in ("a:noAutofit", "a:spAutoFit", "a:normAutofit")), None)
         scale = ooxml.percentage(fit.attrs.get("fontScale")) if fit is not None else None
         anchor = next((v for b in bp if (v := b.attrs.get("anchor"))), None)
+        line = next((x for n in lv.nodes() if (x := n.child("p:spPr", "a:ln")) is not None), None)
+        ends = {f"{k}_end": t if line is not None and (t := line.get(f"a:{k}End", "type")) not in (None, "none") else None for k in ("head", "tail")}
+        pattern = next((x.attrs.get("prst") for n in lv.nodes() if (x := n.child("p:spPr", "a:pattFill")) is not None), None) if kind == "pattern" else None
         self.add(
-            "elements", **row, **inset, type="shape" if is_shape else "text", fill_type=kind, fill_color=paint, border_color=bc, border_width=bw, border_type=bt, border_dash=bd, shadow_h=sh, shadow_v=sv, shadow_blur=sb, shadow_color=sc, content=html, plain_text=plain,
+            "elements", **row, **inset, **ends, pattern=pattern, type="shape" if is_shape else "text", fill_type=kind, fill_color=paint, border_color=bc, border_width=bw, border_type=bt, border_dash=bd, shadow_h=sh, shadow_v=sv, shadow_blur=sb, shadow_color=sc, content=html, plain_text=plain,
             v_align={"ctr": "mid", "b": "down"}.get(anchor or "", "up"), auto_fit={"a:spAutoFit": "shape", "a:normAutofit": "text"}.get(fit.tag) if fit is not None else None, font_scale=scale * 100 if scale is not None and 0.01 <= scale <= 1 else None,
             is_vertical=next((b.attrs["vert"] for b in bp if "vert" in b.attrs), "horz") in ("eaVert", "vert", "vert270", "wordArtVert", "mongolianVert"), shape_type=preset if is_shape else None, svg_path=svg, stroke_only=only, keypoints={k: v / 50000 for k, v in guides.items()} or None,
         )
@@ -586,9 +589,28 @@ class Deck:
         crop = node.child("p:blipFill", "a:srcRect")
         crops = {f"crop_{k}": int(crop.attrs[k]) / 1000 if crop is not None and _INT.match(crop.attrs.get(k, "")) else None for k in "tblr"}
         geometry = node.child("p:spPr", "a:prstGeom")
-        self.add("elements", **row, **crops, type=kind, media_part=target, shape_type=geometry.attrs.get("prst") if geometry is not None else "custom" if node.child("p:spPr", "a:custGeom") else None, content="", plain_text="")
+        self.add("elements", **row, **crops, **self.picture_filters(node.child("p:blipFill", "a:blip")), type=kind, media_part=target, shape_type=geometry.attrs.get("prst") if geometry is not None else "custom" if node.child("p:spPr", "a:custGeom") else None, content="", plain_text="")
         return True
 
+    @staticmethod
+    def picture_filters(blip: Node | None) -> dict:
+        """Ratios of the picture's effects (later ones win) and its opacity. A negative sharpness softens."""
+        out: dict = {}
+        for x in blip.walk() if blip is not None else ():
+            name = x.tag.rpartition(":")[2]
+            val = lambda k, x=x: ooxml.percentage(x.attrs.get(k))
+            if name == "saturation":
+                out["saturation"] = val("sat")
+            elif name == "brightnessContrast":
+                out |= {k: val(a) for k, a in (("brightness", "bright"), ("contrast", "contrast")) if val(a) is not None}
+            elif name == "sharpenSoften" and (v := val("amount")):
+                out["sharpen" if v > 0 else "soften"] = abs(v)
+            elif name == "colorTemperature":
+                out["color_temperature"] = float(x.attrs["colorTemp"]) if x.attrs.get("colorTemp", "").isdigit() else None
+            elif name == "alphaModFix":
+                out["opacity"] = val("amt")
+        return out
+
     def group(self, node: Node, origin: str, owner: str, path: tuple, prefix: str, groups: tuple, place: tuple) -> bool:
         lv = Levels(node, None, None, None, owner)
         row = self.base(node, lv, origin, path, prefix, place, "p:grpSpPr")
