@@ -1,28 +1,35 @@
 """N-gram Jaccard join by set-relation skipping.
 
-Sets are the distinct word shingles of the texts. Rare shingles come first in every set, and a set is indexed by a prefix that no partner can miss. Two relations between sets save work. Within a list, entries are kept in blocks ordered by size with the least position of each block, so a block that cannot reach the threshold is skipped as one. Across sets, answers are derived from a similar set's: in the first round every list compares its sets with one pivot; what is found to belong together is not compared again, and the second round looks only at pairs from lists whose sets do not belong together yet.
+Sets are the distinct word shingles of the texts. Rare shingles come first in every set, and a set is indexed by a prefix that no partner can miss. Two relations between sets save work. Within a list, entries are kept in blocks ordered by size with the least position of each block, so a block that cannot reach the threshold is skipped as one. Across sets, answers are derived from a similar set's: in the first round every set is compared with one pivot that shares a list with it; what is found to belong together is not compared again, and the second round looks only at lists whose sets do not belong together yet.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rebatched, semi_by_id, texts, written
-from .graph import connected_components
+from .graph import Forest, connected_components
 
 WORDS, PERCENT = 5, 75
-#: Shingles whose frequency is known when sets are put in order; others count as rare. The order changes the work, never the result.
-FREQUENT = 1 << 18
+#: The order of shingles comes from two tables of counters that all shingles of the corpus are added to; the smaller of a shingle's two counters is its frequency. The order changes the work, never the result.
+COUNTERS, SEGMENTS = 1 << 21, 64
+#: Shingles that a slab's sets share so often, and how many of the most frequent of them, are dealt out by set as well.
+HOT_IN_SLAB, HOT = 16, 1 << 16
 #: Shingles that are worked on together in a task.
-SLAB = 2_000_000
-#: Postings of a bucket, about; entries of a list above which it is cut into chunks; entries of a block.
-BUCKET, CHUNK, BLOCK = 500_000, 20_000, 64
+SLAB = 1_000_000
+#: Postings of a bucket, about; postings of a hot shingle that a part takes; entries of a block.
+BUCKET, CHUNK, BLOCK = 500_000, 20_000, 16
+#: Rows of labels up to which they are broadcast, 16 B each.
+LABELS = 1 << 20
+#: Lists beyond this length are not taken pair by pair: their sets meet in groups of this many at most, or in pairs of such chunks.
+LONG, GROUP = 64, 2_000
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -74,60 +81,95 @@ def _slabs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, li
         yield ids, sets
 
 
+def counters(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of shingles in the two tables."""
+    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+    return (s * _MUL[0] >> shift).astype(np.int64), (s * _MUL[1] >> shift).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    kind = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 8
+    return bytes([kind]) + zlib.compress(counts.astype(f"<u{kind}").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}")
+
+
 def described(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """A row for each document: doc_id, n, cls (set_id; null for the empty set). And rows with token and count: shingles that distinct sets of a slab share."""
+    """A row for each document: doc_id, n, cls (set_id; null for the empty set). Rows with token and count: shingles that many sets of a slab share. Rows with segment and payload: a task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((2, COUNTERS), np.uint32)
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("token", pa.int64()), ("count", pa.int64()), ("segment", pa.int32()), ("payload", pa.binary())])
+        row = lambda length, **cols: pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(length, f.type) for f in schema], schema=schema)
         for ids, sets in _slabs(batches, k):
             cls = [set_id(s) if len(s) else None for s in sets]
+            yield row(len(ids), doc_id=ids, n=list(map(len, sets)), cls=cls)
             once = list({c: s for c, s in zip(cls, sets, strict=True) if c is not None}.values())
-            token, count = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = np.flatnonzero(count > 1)
-            if len(keep) > FREQUENT // 4:
-                keep = keep[np.argsort(-count[keep], kind="stable")[: FREQUENT // 4]]
-            m = len(keep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*ids, *[None] * m], pa.int64()), pa.array([*map(len, sets), *[None] * m], pa.int64()), pa.array([*cls, *[None] * m], pa.int64()), pa.array([*[None] * len(ids), *token[keep].view(np.int64).tolist()], pa.int64()), pa.array([*[None] * len(ids), *count[keep].tolist()], pa.int64())],
-                ["doc_id", "n", "cls", "token", "count"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, token long, count long")
-
-
-def ordered(s: np.ndarray, frequent: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The set, rare shingles first: by known frequency, then by hash."""
-    if not len(frequent):
-        return s
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    known = frequent[at] == s
-    if not known.any():
-        return s
-    return s[np.argsort(np.where(known, count[at], 0), kind="stable")]
-
-
-def postings(docs: DataFrame, frequent: np.ndarray, count: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
+            if once:
+                every = np.concatenate(once)
+                for table, places in zip(tables, counters(every), strict=True):
+                    table += np.bincount(places, minlength=COUNTERS).astype(np.uint32)
+                every.sort()
+                # Positions at which a run of HOT_IN_SLAB equal shingles begins.
+                far = every[HOT_IN_SLAB - 1 :] == every[: len(every) - HOT_IN_SLAB + 1] if len(every) >= HOT_IN_SLAB else np.zeros(0, bool)
+                token = np.unique(every[: len(far)][far])
+                if len(token):
+                    count = np.searchsorted(every, token, "right") - np.searchsorted(every, token)
+                    yield row(len(token), token=token.view(np.int64), count=count)
+        if tables.any():
+            cut = tables.reshape(2 * SEGMENTS, -1)
+            yield row(len(cut), segment=list(range(len(cut))), payload=[_packed(c) for c in cut])
+
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, token long, count long, segment int, payload binary")
+
+
+def frequencies(seen: DataFrame) -> np.ndarray:
+    """The two tables summed over all tasks: the logarithm of each counter in 16 bits. Each task adds up the segments it is dealt, batch by batch; the driver receives 2 x COUNTERS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[i] = total.get(i, 0) + _unpacked(raw).astype(np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.round(np.log1p(c) * 1500).astype("<u2").tobytes() for c in total.values()], pa.binary())], ["segment", "payload"])
+
+    out = np.zeros((2 * SEGMENTS, COUNTERS // SEGMENTS), np.uint16)
+    for r in seen.where("segment is not null").select("segment", "payload").repartition(8, "segment").mapInArrow(run, "segment int, payload binary").toLocalIterator():
+        out[r.segment] = np.frombuffer(r.payload, "<u2")
+    return out.reshape(2, COUNTERS)
+
+
+def ordered(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The set, rare shingles first; ties by hash."""
+    a, b = counters(s)
+    return s[np.argsort(np.minimum(known[0][a], known[1][b]), kind="stable")]
+
+
+def postings(docs: DataFrame, known: np.ndarray, hot: np.ndarray, parts: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
     """Packed prefixes: for each slab and bucket one row with the tokens, sets, sizes and positions of its postings.
 
-    A shingle frequent enough for chunks is dealt by set as well, so no bucket holds all of a hot shingle's postings. Equal sets of a slab send theirs once.
+    The postings of a hot shingle are dealt out by set to its parts, so no bucket holds them all. Equal sets of a slab send theirs once.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, count))  # 16 B x FREQUENT
+    sent = docs.sparkSession.sparkContext.broadcast((known, hot, parts))  # 8 MB and 16 B x HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, count = sent.value
+        known, hot, parts = sent.value
         for _, sets in _slabs(batches, k):
             once = {set_id(s): s for s in sets if len(s)}
             if not once:
                 continue
             size = np.array([len(s) for s in once.values()], np.int64)
             take = probe_prefix(size, percent)
-            token = np.concatenate([ordered(s, frequent, count)[:p] for s, p in zip(once.values(), take.tolist(), strict=True)])
+            token = np.concatenate([ordered(s, known)[:p] for s, p in zip(once.values(), take.tolist(), strict=True)])
             cls, sizes = np.repeat(np.array(list(once), np.int64), take), np.repeat(size, take).astype(np.int32)
             pos = (np.arange(len(token)) - np.repeat(np.cumsum(take) - take, take)).astype(np.int32)
             salt = np.zeros(len(token), np.uint64)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-                parts = np.where(frequent[at] == token, count[at] // CHUNK + 1, 1).astype(np.uint64)
-                salt = cls.view(np.uint64) % parts
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                salt = cls.view(np.uint64) % np.where(hot[at] == token, parts[at], 1).astype(np.uint64)
             bucket = ((token + salt * _MUL[2]) * _MUL[0] >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             met, begin = np.unique(bucket[order], return_index=True)
@@ -139,27 +181,25 @@ def postings(docs: DataFrame, frequent: np.ndarray, count: np.ndarray, buckets:
     return docs.mapInArrow(run, "bucket int, token binary, cls binary, size binary, pos binary")
 
 
-def first_round(table: pa.Table, percent: int) -> pa.Table:
-    """Of a bucket's lists: candidates (kind 0: a, b), each list's sets against its first (where sizes allow; else against the one before), and the entries of lists of three or more (kind 1: token, set, size, position) for the second round. A salted list's first entry goes there in any case, as its other parts are elsewhere."""
+def lists_of(table: pa.Table, hot: np.ndarray, percent: int) -> pa.Table:
+    """A bucket's lists of two sets or more (of hot shingles any, as their other parts are elsewhere): token, set, size, position. And for each set its best pivot in the bucket: x, p and the pivot's rank r."""
     col = lambda n, t: np.frombuffer(b"".join(table.column(n).to_pylist()), t)
     token, cls, size, pos = col("token", np.uint64), col("cls", np.int64), col("size", np.int32), col("pos", np.int32)
-    order = np.lexsort((cls, size, token))
+    order = np.lexsort((cls, token))
     token, cls, size, pos = token[order], cls[order], size[order], pos[order]
     new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # copies from other slabs
+    new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # equal sets of other slabs
     token, cls, size, pos = token[new], cls[new], size[new], pos[new]
     start = np.ones(len(token), bool)
     start[1:] = token[1:] != token[:-1]
-    begin = np.flatnonzero(start)
-    length = np.diff(np.append(begin, len(token)))
-    own, at = np.repeat(length, length), np.repeat(begin, length)
-    i = np.flatnonzero(~start)
-    pivot = np.where(size[at[i]].astype(np.int64) * 100 >= size[i].astype(np.int64) * percent, at[i], i - 1)
-    ok = (size[pivot].astype(np.int64) * 100 >= size[i].astype(np.int64) * percent) & possible(size[pivot], pos[pivot], size[i], pos[i], percent)
-    a, b = cls[pivot[ok]], cls[i[ok]]
-    if len(a):
-        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return token, cls, size, pos, own, a, b
+    length = np.diff(np.append(np.flatnonzero(start), len(token)))
+    keep = (np.repeat(length, length) > 1) | np.isin(token, hot)
+    token, cls, size, pos = token[keep], cls[keep], size[keep], pos[keep]
+    x, p, r = pivots(token, cls, size, pos, percent)
+    n, m = len(token), len(x)
+    cols = {"token": token.view(np.int64), "cls": cls, "size": size, "pos": pos}
+    out = {k: pa.concat_arrays([pa.array(v), pa.nulls(m, pa.array(v).type)]) for k, v in cols.items()}
+    return pa.table(out | {k: pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(v)]) for k, v in (("x", x), ("p", p), ("r", r))})
 
 
 def possible(sx: np.ndarray, px: np.ndarray, sy: np.ndarray, py: np.ndarray, percent: int) -> np.ndarray:
@@ -169,8 +209,28 @@ def possible(sx: np.ndarray, px: np.ndarray, sy: np.ndarray, py: np.ndarray, per
     return (px < index_prefix(sx, percent)) & (np.minimum(px, py) + 1 + np.minimum(sx - px, sy - py) - 1 >= need)
 
 
-def list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller, larger) of a list's entries, sorted by size, that may link and do not belong together yet; one entry in `left`, the other in `right`.
+def pivots(token: np.ndarray, cls: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set one pivot: of its lists' smallest sets the smallest that it may link with, so lists with the same sets agree."""
+    order = np.lexsort((cls, size, token))
+    token, cls, size, pos = token[order], cls[order], size[order], pos[order]
+    start = np.ones(len(token), bool)
+    start[1:] = token[1:] != token[:-1]
+    begin = np.flatnonzero(start)
+    at = np.repeat(begin, np.diff(np.append(begin, len(token))))
+    i = np.flatnonzero(~start)
+    p = at[i]
+    ok = (size[p].astype(np.int64) * 100 >= size[i].astype(np.int64) * percent) & possible(size[p], pos[p], size[i], pos[i], percent)
+    i, p = i[ok], p[ok]
+    rank = size[p].astype(np.int64) << 32 | (cls[p].view(np.uint64) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((rank, cls[i]))
+    i, p, rank = i[order], p[order], rank[order]
+    first = np.ones(len(i), bool)
+    first[1:] = cls[i[1:]] != cls[i[:-1]]
+    return cls[i[first]], cls[p[first]], rank[first]
+
+
+def list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller, larger) of a list's entries, sorted by size, that may link and do not belong together yet.
 
     Entries stand in blocks. A block and the entries no smaller than its first are compared only if the block's largest size and least position leave that open.
     """
@@ -187,7 +247,7 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, left: np.nda
         if not len(j):
             continue
         i = np.arange(s, e)
-        ok = (i[:, None] < j[None, :]) & (comp[i][:, None] != comp[j][None, :]) & ((left[i][:, None] & right[j][None, :]) | (right[i][:, None] & left[j][None, :]))
+        ok = (i[:, None] < j[None, :]) & (comp[i][:, None] != comp[j][None, :])
         ok &= size[i][:, None].astype(np.int64) * 100 >= size[j][None, :].astype(np.int64) * percent
         x, y = np.nonzero(ok)
         x, y = i[x], j[y]
@@ -195,20 +255,73 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, left: np.nda
         yield x[good], y[good]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link, with the size of their intersection. Only the texts of sets that stand in a pair are read again; each set goes to its pairs."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"))
-    chosen = semi_by_id(docs, written(wanted, "wanted"), "doc_id")
+def sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(cls, s): the sets that are wanted (cls), from the texts of one document each."""
+    ids = written(wanted.distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 500):
             sets = [s for s in (shingles(t, k) for t in texts(batch)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "s"])
 
-    sets = chosen.mapInArrow(run, "cls long, s array<long>")
-    first = pairs.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("s", "sa"), "a")
-    both = first.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("s", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b", "both").dropDuplicates(["a", "b"])
+    return semi_by_id(docs, ids, "doc_id").mapInArrow(run, "cls long, s array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids that link. Only the texts of sets that stand in a pair are read again."""
+    sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))), docs, classes, k)
+    first = pairs.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("s", "sb"), "b")
+    both = first.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("s", "sa"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+
+def linked_in_group(cls: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest among a group's sets, every pair of different sides (or any, if there is one) and components considered.
+
+    Sets are sorted by size and numbered; a set is compared at once with all smaller ones that may link with it: its shingles are marked, and each of those counts the marks it meets. Pairs that earlier links have joined are left out of the answer.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, cls, comp, side = [sets[i] for i in order], cls[order], comp[order], side[order]
+    size = np.array([len(s) for s in sets], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    values, token = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), np.int8)
+    forest, out, one = Forest(), [], len(np.unique(side)) == 1
+    for i in range(1, len(sets)):
+        low = int(np.searchsorted(size, -(-size[i] * percent // 100)))
+        if low >= i:
+            continue
+        own = token[off[i] : off[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[token[off[low] : off[i]]], off[low:i] - off[low], dtype=np.int64)
+        mark[own] = 0
+        good = (100 * common >= percent * (size[i] + size[low:i] - common)) & (comp[low:i] != comp[i])
+        if not one:
+            good &= side[low:i] != side[i]
+        for j in (np.flatnonzero(good) + low).tolist():
+            if forest.join(int(comp[i]), int(comp[j])):
+                out.append((int(cls[i]), int(cls[j])))
+    return out
+
+
+def linked_in_groups(entries: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the sets of long lists (token, cls, comp), without pairs as rows.
+
+    Lists that share sets form a group; its sets travel once. A group beyond GROUP sets is cut into chunks, and each pair of chunks is a task's work.
+    """
+    groups = connected_components(entries.groupBy("token").agg(F.min("cls").alias("low")).join(entries, "token").select("cls", "low"))
+    members = written(entries.select("cls", "comp").distinct().join(groups, F.col("cls") == F.col("node")).select("cls", "comp", F.col("component").alias("g")), "members")
+    parts = members.groupBy("g").agg((F.floor(F.count("*") / GROUP) + 1).cast("int").alias("parts"))
+    own = members.join(parts, "g").withColumn("own", F.pmod(F.xxhash64("cls", F.lit("group")), F.col("parts")).cast("int"))
+    pq = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("p"), F.greatest(F.col("own"), y).alias("q"))))
+    dealt = own.join(sets_of(members.select("cls"), docs, classes, k).dropDuplicates(["cls"]), "cls").withColumn("pq", pq)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("s")]
+        links = linked_in_group(*(table.column(c).to_numpy() for c in ("cls", "comp")), sets, table.column("own").to_numpy(), percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.select("g", F.col("pq.p").alias("p"), F.col("pq.q").alias("q"), "cls", "comp", "own", "s").groupBy("g", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -218,73 +331,62 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = written(described(rows, k), "described")
-    described_docs = seen.where("token is null").select("doc_id", "n", "cls")
+    described_docs = seen.where("token is null and segment is null").select("doc_id", "n", "cls")
     classes = written(described_docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    hot = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
-    token, count = hot.column("token").to_numpy().view(np.uint64), hot.column("count").to_numpy()
-    order = np.argsort(token)
+    found = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= CHUNK).orderBy(F.desc("count"), "token").limit(HOT).collect()
+    hot = np.array(sorted((r.token, r["count"]) for r in found), np.int64).reshape(-1, 2)
+    hot = hot[np.argsort(hot[:, 0].view(np.uint64))]
+    tokens, parts = np.ascontiguousarray(hot[:, 0]).view(np.uint64), hot[:, 1] // CHUNK + 1
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total * (100 - percent) / 100 / BUCKET) + 1)
-    packed = postings(rows, token[order], count[order], buckets, k, percent)
-
-    def round_one(key: tuple, table: pa.Table) -> pa.Table:
-        token, cls, size, pos, own, a, b = first_round(table, percent)
-        more = np.flatnonzero((own > 2) | np.isin(token, sent.value))
-        m = len(more)
-        none = pa.nulls(len(a), pa.int64())
-        return pa.table(
-            {
-                "a": pa.concat_arrays([pa.array(a), pa.nulls(m, pa.int64())]),
-                "b": pa.concat_arrays([pa.array(b), pa.nulls(m, pa.int64())]),
-                "token": pa.concat_arrays([none, pa.array(token[more].view(np.int64))]),
-                "cls": pa.concat_arrays([none, pa.array(cls[more])]),
-                "size": pa.concat_arrays([none.cast(pa.int32()), pa.array(size[more])]),
-                "pos": pa.concat_arrays([none.cast(pa.int32()), pa.array(pos[more])]),
-            }
-        )
-
-    salted = token[order][count[order] >= CHUNK]
-    spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(salted)
-    one = written(packed.groupBy("bucket").applyInArrow(round_one, "a long, b long, token long, cls long, size int, pos int"), "round1")
-    links = written(verified(one.where("a is not null").select("a", "b").distinct(), rows, classes, k, percent), "links1")
-    known = connected_components(links.select("a", "b"))
-    # Second round: lists with sets that do not belong together.
-    lists = one.where("token is not null").select("token", "cls", "size", "pos")
-    lists = written(lists.join(known, F.col("cls") == F.col("node"), "left").select("token", "cls", "size", "pos", F.coalesce("component", "cls").alias("comp")), "lists")
-    mixed = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("len")).where("low < high").select("token", (F.floor(F.col("len") / CHUNK) + 1).cast("int").alias("parts"))
-    open_ = lists.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("cls", F.lit("chunk")), F.col("parts")).cast("int"))
-    pq = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("p"), F.greatest(F.col("own"), y).alias("q"))))
-    work = open_.withColumn("pq", pq).withColumn("bucket", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("token"), F.lit(buckets * 4))).otherwise(F.xxhash64("token", "pq")))
-
-    def round_two(key: tuple, table: pa.Table) -> pa.Table:
-        token, cls, size, pos, comp, own = (table.column(c).to_numpy() for c in ("token", "cls", "size", "pos", "comp", "own"))
-        p, q = table.column("p").to_numpy(), table.column("q").to_numpy()
-        order = np.lexsort((cls, size, q, p, token))
-        token, cls, size, pos, comp, own, p, q = (x[order] for x in (token, cls, size, pos, comp, own, p, q))
-        start = np.ones(len(token), bool)
-        start[1:] = (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        found, waiting = [np.zeros((2, 0), np.int64)], 0
-        for a, b in zip((begin := np.flatnonzero(start)), np.append(begin[1:], len(token)), strict=True):
-            for x, y in list_pairs(size[a:b], pos[a:b], comp[a:b], own[a:b] == p[a], own[a:b] == q[a], percent):
+    packed = postings(rows, frequencies(seen), tokens, parts, buckets, k, percent)
+    round1 = written(packed.groupBy("bucket").applyInArrow(lambda table: lists_of(table, tokens, percent), "token long, cls long, size int, pos int, x long, p long, r long"), "lists")
+    # First round: each set with one pivot.
+    best = round1.where("x is not null").groupBy("x").agg(F.min(F.struct("r", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("x").alias("b"))
+    known = connected_components(verified(written(best, "pairs"), rows, classes, k, percent))
+    # Second round: lists with sets that don't belong together yet.
+    labels = known if known.limit(LABELS + 1).count() > LABELS else F.broadcast(known)
+    lists = round1.where("token is not null").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "size", "pos", F.coalesce("component", "cls").alias("comp"))
+    open_ = written(lists.groupBy("token").agg(F.count("*").alias("len"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "len"), "open")
+    work = written(lists.join(F.broadcast(open_) if open_.limit(LABELS + 1).count() <= LABELS else open_, "token"), "work")
+    short = written(_cross_pairs(work.where(F.col("len") <= LONG), buckets, percent), "short")
+    more = verified(short, rows, classes, k, percent).unionByName(linked_in_groups(work.where(F.col("len") > LONG).select("token", "cls", "comp"), rows, classes, k, percent))
+    # Links between components, the components as nodes; then each node's component in two steps.
+    joined = connected_components(_relabelled(_relabelled(more, "a", labels), "b", labels)).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    old = known.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    lone = joined.join(known, F.col("node") == joined["component"], "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
+    known = written(old.unionByName(lone), "components")
+    merged = known.join(classes, F.col("node") == F.col("cls"))
+    least = merged.groupBy("component").agg(F.min("rep").alias("least"))
+    table = merged.join(least, "component").select("node", "least")
+    table = classes.join(table, F.col("cls") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("least", "rep").alias("component_id"))
+    out = described_docs.join(table, F.col("cls") == F.col("c"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _relabelled(links: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """The links with the set in a column replaced by its component."""
+    return links.join(labels, F.col(column) == F.col("node"), "left").withColumn(column, F.coalesce("component", column)).select("a", "b")
+
+
+def _cross_pairs(work: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets that share a list, may link and do not belong together."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        token, cls, size, pos, comp = (table.column(c).to_numpy() for c in ("token", "cls", "size", "pos", "comp"))
+        order = np.lexsort((cls, size, token))
+        token, cls, size, pos, comp = (x[order] for x in (token, cls, size, pos, comp))
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        found = [np.zeros((2, 0), np.int64)]
+        for a, b in zip(begin, np.append(begin[1:], len(token)), strict=True):
+            for x, y in list_pairs(size[a:b], pos[a:b], comp[a:b], percent):
                 u, v = cls[a:b][x], cls[a:b][y]
                 found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-                waiting += len(u)
-                if waiting > 1 << 20:
-                    found, waiting = [np.unique(np.concatenate(found, 1), axis=1)], 0
         pairs = np.unique(np.concatenate(found, 1), axis=1)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-    two = work.select("bucket", "token", "cls", "size", "pos", "comp", "own", F.col("pq.p").alias("p"), F.col("pq.q").alias("q")).groupBy("bucket").applyInArrow(round_two, "a long, b long")
-    two = written(two.distinct(), "round2")
-    more = verified(two, rows, classes, k, percent)
-    parts = connected_components(known.select("node", "component").union(more.select("a", "b")))
-    merged = parts.join(classes, F.col("node") == F.col("cls"))
-    least = merged.groupBy("component").agg(F.min("rep").alias("least"))
-    table = merged.join(least, "component").select(F.col("node"), "least")
-    table = classes.join(table, F.col("cls") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("least", "rep").alias("component_id"))
-    out = described_docs.join(table, F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    dealt = work.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets * 4)))
+    return dealt.select("bucket", "token", "cls", "size", "pos", "comp").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rebatched, written
-from .graph import connected_components
+from .graph import Forest, connected_components
 
 BLOCKS = 4
 #: A cell with more vectors is cut into chunks of about this many; each pair of chunks is a task's work.
@@ -92,26 +92,6 @@ def block_links(a: dict, b: dict | None, j: int, parts: list[slice], budgets: li
                     yield ii, kk
 
 
-class Forest:
-    """Union-find over positions; tells which links join two trees."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.9, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector: how many others have a cosine of `least` or more with it, and the smallest vec_id reachable by such links.
 
@@ -169,7 +149,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, blocks: int = BLOCKS
             a, b = side(own == p), side(own == q)
         second, offset = (a, 0) if b is None else (b, len(a["rep"]))
         counts = np.zeros(offset + len(second["rep"]), np.int64)
-        forest, links = Forest(len(counts)), []
+        forest, links = Forest(), []
         for i, k in block_links(a, b, j, parts, budgets, least):
             np.add.at(counts, i, second["n"][k])
             np.add.at(counts, k + offset, a["n"][i])

@@ -402,7 +402,7 @@ def test_jaccard(spark, seed):
 
 def test_jaccard_in_small_chunks(spark, monkeypatch):
     """Long lists cut into chunks, hot shingles dealt by set, and small slabs, as at scale."""
-    for name, value in (("CHUNK", 4), ("SLAB", 400), ("HOT_IN_SLAB", 3), ("BLOCK", 4)):
+    for name, value in (("CHUNK", 4), ("SLAB", 400), ("HOT_IN_SLAB", 3), ("BLOCK", 4), ("LONG", 5), ("GROUP", 6)):
         monkeypatch.setattr(jaccard, name, value)
     docs = near_copies(5, groups=6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
