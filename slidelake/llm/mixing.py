@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, written
 
 #: Weights of the sources in the order of their names, repeating; share of all words to take; epochs at most.
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
@@ -80,10 +80,8 @@ def source_plan(rows: DataFrame, weights: tuple[int, ...], share: float, cap: in
     return F.broadcast(plan) if plan.limit(SOURCE_ROWS + 1).count() <= SOURCE_ROWS else plan
 
 
-def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Keyed rows with their source's plan, __at_end (their range is the one in which the budget ends) and __inside (it lies before)."""
-    rows = keyed(docs)
-    plan = source_plan(rows.select("__source", "__span", "__size"), weights, share, cap)
     rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__plan_source")), "left")
     end = F.col("__plan_end_span")
     return rows.withColumns({"__at_end": F.coalesce(F.col("__span") == end, F.lit(False)), "__inside": F.coalesce(F.col("__span") < end, F.lit(False)).cast("int")})
@@ -96,12 +94,18 @@ def _fits(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__fits", (begin + F.col("__size") / 2 <= F.col("__plan_rest")).cast("int"))
 
 
+def _keys(docs: DataFrame) -> DataFrame:
+    """What the plan needs of each document, as a table without texts, so that words are counted once."""
+    return written(keyed(docs.select("doc_id", "text", "source")).select("__id", "__source", "__size", "__key", "__span"), "keys")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies (times the document is taken) of every document.
 
     No text is shuffled. Sums by (source, key range) settle all ranges but the one in which a source's budget ends; only its rows are numbered one by one, so no task holds a source. The document at the budget's end is taken if at least half of it fits, so a source misses its target by half a document at most. Null texts have size 0; a null source is a source, last in order; documents of size 0 are taken 0 words. Equal keys are ordered by id; repeated rows are separate documents. Other columns of docs are ignored.
     """
-    rows = _placed(docs.select("doc_id", "text", "source"), weights, share, cap).select("__id", "__size", "__source", "__key", "__at_end", "__inside", "__plan_source_size", "__plan_target", "__plan_epochs", "__plan_begin", "__plan_rest")
+    keys = _keys(docs)
+    rows = _placed(keys, source_plan(keys, weights, share, cap)).select("__id", "__size", "__source", "__key", "__at_end", "__inside", "__plan_source_size", "__plan_target", "__plan_epochs", "__plan_begin", "__plan_rest")
     done = rows.where(~F.col("__at_end")).withColumn("__fits", F.col("__inside")).unionByName(_fits(rows.where("__at_end")))
     copies = F.least(F.lit(cap), F.col("__plan_epochs") + F.col("__fits"))
     return done.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__plan_source_size").alias("source_size"), F.col("__plan_target").alias("target"), (F.col("__size") * copies).alias("taken"), copies.alias("copies"))
@@ -112,8 +116,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
     Texts stay where they are: only the ids of rows at a budget's end travel. Rows that share an id there are taken if one of them is.
     """
-    rows = _placed(docs, weights, share, cap)
-    fit = _fits(rows.where("__at_end").select("__id", "__source", "__size", "__key", "__plan_begin", "__plan_rest")).where("__fits = 1").select(F.col("__id").alias("__fit_id")).distinct()
+    keys = _keys(docs)
+    plan = source_plan(keys, weights, share, cap)
+    rows = _placed(keyed(docs), plan)
+    fit = _fits(_placed(keys, plan).where("__at_end")).where("__fits = 1").select(F.col("__id").alias("__fit_id")).distinct()
     if fit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         fit = F.broadcast(fit)
     rows = rows.join(fit, F.col("__at_end") & F.col("__id").eqNullSafe(F.col("__fit_id")), "left")
