@@ -16,7 +16,7 @@ from .common import fold, rebatched, sampled_by_class, texts
 BITS = 15
 SIDE = 1 << BITS
 #: The classifier is fitted on about this many rows of each language at most. Document frequencies cover all rows that may be learned from.
-FIT_ROWS = 400
+FIT_ROWS = 250
 UNKNOWN, ACCEPT_AT = "und", 0.3
 
 

@@ -16,7 +16,7 @@ from .common import rebatched, sampled_by_class, texts
 #: Fixed thresholds.
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_AT = 10, 20, 0.1
 #: The classifier is fitted on about this many labelled rows of each class at most.
-FIT_ROWS = 1200
+FIT_ROWS = 600
 BITS = 15  # of a hashed feature, for words and for characters
 SIDE = 1 << BITS
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -89,12 +89,12 @@ def _fit(rows: list[tuple[int, np.ndarray, np.ndarray, bool]]) -> Model:
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
     start = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int64)
-    idx, val = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), np.diff(start))
+    idx, val = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(start))
     weight = np.where(y == 1, 0.5 / max(1, (y[~aside] == 1).sum()), 0.5 / max(1, (y[~aside] == 0).sum())) * ~aside
     w, b = np.zeros(2 * SIDE), 0.0
     m, v = np.zeros(2 * SIDE + 1), np.zeros(2 * SIDE + 1)
-    for t in range(1, 101):
+    for t in range(1, 81):
         z = np.bincount(row, w[idx] * val, len(rows)) + b
         g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * weight
         grad = np.append(np.bincount(idx, np.repeat(g, np.diff(start)) * val, 2 * SIDE) + 1e-7 * w, g.sum())
