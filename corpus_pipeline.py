@@ -11,31 +11,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from slidelake.llm import bpe, jaccard, langid, mixing, quality
-from slidelake.llm.common import read_table, written
+from slidelake.llm.common import read_table, small_batches, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified."""
+    small_batches(spark)
     return langid.identified_documents(docs, langid.fit_language_id(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the classifier keep."""
+    small_batches(spark)
     return quality.kept_documents(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document taken."""
+    small_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 

@@ -23,9 +23,9 @@ COUNTERS, SEGMENTS = 1 << 21, 64
 #: Shingles that a slab's sets share so often, and how many of the most frequent of them, are dealt out by set as well.
 HOT_IN_SLAB, HOT = 16, 1 << 16
 #: Shingles that are worked on together in a task.
-SLAB = 1_000_000
+SLAB = 500_000
 #: Postings of a bucket, about; postings of a hot shingle that a part takes; entries of a block.
-BUCKET, CHUNK, BLOCK = 500_000, 20_000, 16
+BUCKET, CHUNK, BLOCK = 250_000, 20_000, 16
 #: Rows of labels up to which they are broadcast, 16 B each.
 LABELS = 1 << 20
 #: Lists beyond this length are not taken pair by pair: their sets meet in groups of this many at most, or in pairs of such chunks.
