@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rebatched, texts
+from .pretokens import Memory, large_memory
 
 MARK = "▁"  # stands for a space
 UNKNOWN_PENALTY = 10.0
-#: Entries of a worker's memory of counted pieces; it is emptied when full.
-MEMORY = 1 << 20
+#: Entries of a worker's memory of counted words.
+WORDS = 1 << 20
 
 
 def load_unigrams(path: str) -> list[tuple[str, float]]:
@@ -39,7 +40,7 @@ class Counter:
         self.matches.make_automaton()
         self.single = {p for p, _ in vocab if len(p) == 1}
         self.unknown = min(s for _, s in vocab) - UNKNOWN_PENALTY
-        self.known: dict[str, int] = {}
+        self.words = Memory(WORDS)
 
     def _word(self, word: str) -> int:
         n = len(word)
@@ -65,16 +66,15 @@ class Counter:
         if not text:
             return 0
         head, *rest = text.replace(MARK, " ").split(" ")
-        words, known = [*([head] if head else []), *rest], self.known
-        total = 0
-        for x in words:
-            n = known.get(x, -1)
-            if n < 0:
-                if len(known) >= MEMORY:
-                    known.clear()
-                n = known[x] = self._word(MARK + x)
-            total += n
-        return total
+        words, known = [*([head] if head else []), *rest], self.words.turn()
+        try:
+            return sum([known[x] for x in words])
+        except KeyError:
+            old = self.words.old
+            for x in words:
+                if x not in known:
+                    known[x] = old.get(x) or self._word(MARK + x)
+            return sum([known[x] for x in words])
 
 
 _counters: dict[str, Counter] = {}
@@ -82,6 +82,7 @@ _counters: dict[str, Counter] = {}
 
 def counter(path: str) -> Counter:
     if path not in _counters:
+        large_memory()
         _counters[path] = Counter(load_unigrams(path))
     return _counters[path]
 
