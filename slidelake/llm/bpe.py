@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rebatched, texts
-from .pretokens import Memory, chunks, large_memory
+from .pretokens import Memory, keys, large_memory, piece_of, pretokens
 
 #: Entries of a worker's memories of finished pieces and of merged pre-tokens.
-PIECES, PRETOKENS = 1 << 19, 1 << 20
+PIECES, PRETOKENS = 1 << 18, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -122,13 +122,38 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def ranges(chars: set[str]) -> str:
+    """The characters as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in out)
+
+
+def as_tiktoken(pattern: str) -> regex.Pattern:
+    """The pattern with the letters and numbers of the tiktoken library's Unicode version, which it is asked for."""
+    import tiktoken
+
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for cls in (r"\p{L}", r"\p{N}"):
+        theirs = set(bytes(tiktoken.Encoding("classes", pat_str=cls, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}).encode_ordinary(every)).decode("utf-8"))
+        ours = set(regex.findall(cls, every))
+        exact = f"[{cls}--[{ranges(ours - theirs)}]]" if ours - theirs else cls
+        exact = f"[{exact}||[{ranges(theirs - ours)}]]" if theirs - ours else exact
+        pattern = pattern.replace(cls, exact)
+    return regex.compile(pattern, regex.V1)
+
+
 class Codec:
     """Encodes and decodes texts with a rank file. Ids are 32-bit, little-endian."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.ranks = load_ranks(path)
         self.table = PerfectHash(self.ranks)
-        self.pattern = regex.compile(pattern)
+        self.pattern = as_tiktoken(pattern)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pieces, self.pretokens = Memory(PIECES), Memory(PRETOKENS)
 
@@ -140,7 +165,7 @@ class Codec:
     def _piece(self, piece: str) -> bytes:
         known, old = self.pretokens.turn(), self.pretokens.old
         out = []
-        for x in self.pattern.findall(piece):
+        for x in pretokens(piece, self.pattern.findall):
             got = known.get(x)
             if got is None:
                 got = known[x] = old.get(x) or self._pretoken(x)
@@ -149,15 +174,16 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of text, packed; the empty text has none."""
-        parts, known = chunks(text), self.pieces.turn()
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
+        parts, known = keys(text), self.pieces.turn()
+        got = list(map(known.get, parts))
+        if None in got:
             old = self.pieces.old
-            for x in parts:
-                if x not in known:
-                    known[x] = old.get(x) or self._piece(x)
-            return b"".join([known[x] for x in parts])
+            for i, x in enumerate(parts):
+                if got[i] is None:
+                    if (packed := known.get(x)) is None:
+                        packed = known[x] = old.get(x) or self._piece(piece_of(x))
+                    got[i] = packed
+        return b"".join(got)
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for. KeyError: an id isn't in the vocabulary."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import re
 
+#: Below this, letters are the same in all Unicode versions in use.
+LATER = "\u0370"
+
 _ODD = re.compile(r" (?:\s|$)")
 
 
@@ -27,6 +30,57 @@ def chunks(text: str) -> list[str]:
     return [x for x in out if x]
 
 
+def is_odd(text: str) -> bool:
+    """Whether cutting at every space would cut a match, or keys would be taken for one another."""
+    return "\0" in text or _ODD.search(text) is not None
+
+
+#: Stands between pieces.
+MARK = "\x01"
+_NO_WORD_BEFORE = re.compile(r"[\W_][.,] ")
+
+
+def marks(text: str) -> str | None:
+    """The text with a mark before every space, and around a full stop or comma that ends a word; None if that could cut a match.
+
+    Such a stop is a match of its own where a letter or number stands before it; where one follows anything else, only spaces are marked. Letters and numbers are asked of Python, whose Unicode version may be younger than the library's, so only texts of older scripts get marks at stops.
+    """
+    if MARK in text or _ODD.search(text):
+        return None
+    out = text.replace(" ", MARK + " ")
+    if (text.isascii() or max(text) < LATER) and not _NO_WORD_BEFORE.search(text):
+        out = out.replace("." + MARK, MARK + "." + MARK).replace("," + MARK, MARK + "," + MARK)
+    return out
+
+
+def keys(text: str) -> list[str]:
+    """The pieces of text as keys of a memory: a piece without its leading space, or \\0 and the piece as it is."""
+    if not text:
+        return []
+    if is_odd(text):
+        return ["\0" + x for x in chunks(text)]
+    out = text.split(" ")
+    if out[0]:
+        out[0] = "\0" + out[0]
+    else:
+        del out[0]
+    return out
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[0] == "\0" else " " + key
+
+
+def pretokens(piece: str, find) -> list[str]:
+    """The matches of the byte-level pattern in a piece. A space and letters are one match, a mark of punctuation behind them another; `find` decides the rest, and whatever holds letters that not every Unicode version has."""
+    if piece[0] == " " and (piece.isascii() or max(piece) < LATER):
+        if (body := piece[1:]).isalpha():
+            return [piece]
+        if piece[-1] in ".,;:!?" and body[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+    return find(piece)
+
+
 class Memory:
     """A bounded map. When its young half is full it becomes the old half, and what was old is forgotten."""
 

@@ -12,29 +12,30 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import rebatched, shared_root, texts, written
-from .pretokens import Memory, chunks, large_memory
+from .pretokens import MARK, Memory, chunks, large_memory, marks
 
 MAGIC = b"SLTOKEN1"
 NO_ID = -(1 << 63)  # stands for a doc_id that is null
-#: Entries of a worker's memories of finished pieces and of pre-tokens.
-PIECES, PRETOKENS = 1 << 19, 1 << 20
-#: Pre-tokens that one call to the library takes as one text.
+#: Entries of a worker's memory of finished pieces.
+PIECES = 1 << 20
+#: Texts that are cut together, so that their common pieces count once.
+TOGETHER = 4000
+#: Pieces that the library takes as one text.
 RUN = 2000
 
 
 class Encoder:
-    """Encodes with a tokenizers file whose pre-tokens follow the byte-level pattern. Equal pieces and pre-tokens go through the library once while they are remembered."""
+    """Encodes with a tokenizers file whose pre-tokens follow the byte-level pattern. A batch is cut into pieces that the pattern never crosses; equal pieces go through the library once while they are remembered."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -43,11 +44,10 @@ class Encoder:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of an id: a character stands for a byte
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.pattern = regex.compile(pattern)
-        self.pieces, self.pretokens = Memory(PIECES), Memory(PRETOKENS)
+        self.memory = Memory(PIECES)
 
     def _library(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
-        """New pre-tokens and their ids. Those that start with a space before another character are cut off again wherever they stand, so runs of them go as one text; token widths tell where each ends."""
+        """New pieces and their ids. Those that start with a space before another character are cut off again wherever they stand, so runs of them go as one text; token widths tell where each ends."""
         alone = [x for x in new if len(x) < 2 or x[0] != " " or x[1].isspace()]
         for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             yield x, np.array(e.ids, dtype=self.dtype).tobytes()
@@ -61,24 +61,30 @@ class Encoder:
             for x, a, b in zip(part, cut[:-1], cut[1:], strict=True):
                 yield x, packed[n * a : n * b]
 
+    def _packed(self, found: list[str]) -> list[bytes]:
+        """The ids of each piece; the library gets the new ones."""
+        known, old = self.memory.turn(), self.memory.old
+        got = list(map(known.get, found))
+        if None in got:
+            missing = dict.fromkeys(x for x, ids in zip(found, got, strict=True) if ids is None)
+            known.update((x, old[x]) for x in missing if x in old)
+            known.update(self._library([x for x in missing if x not in known]))
+            got = list(map(known.__getitem__, found))
+        return got
+
     def encode_batch(self, batch: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        cut = [chunks(t) for t in batch]
-        known, old = self.pieces.turn(), self.pieces.old
-        words, before = self.pretokens.turn(), self.pretokens.old
-        new, missing = [], set()
-        for x in set().union(*cut).difference(known):
-            if (got := old.get(x)) is None:
-                new.append(x)
-                missing.update(self.pattern.findall(x))
-            else:
-                known[x] = got
-        missing.difference_update(words)
-        words.update((w, before[w]) for w in missing if w in before)
-        words.update(self._library([w for w in missing if w not in before]))
-        find = self.pattern.findall
-        known.update((x, words.get(x) or b"".join([words[w] for w in find(x)])) for x in new)
-        return [b"".join([known[x] for x in parts]) for parts in cut]
+        """The packed ids of each text. Arrow cuts the texts at the marks, numbers the distinct pieces and lays out their ids; Python sees distinct pieces only."""
+        marked = [marks(t) for t in batch]
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), MARK)
+        pieces = cut.flatten().dictionary_encode()
+        ids = self._packed(pieces.dictionary.to_pylist())
+        n = self.dtype.itemsize
+        offsets = np.concatenate([[0], np.cumsum([len(x) // n for x in ids], dtype=np.int64)])
+        laid = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), self.dtype))).take(pieces.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        at = (laid.offsets.to_numpy()[ends] * n).tolist()
+        raw = laid.values.to_numpy().tobytes()
+        return [b"".join(self._packed(chunks(t))) if m is None else raw[a:b] for t, m, a, b in zip(batch, marked, at[:-1], at[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -140,11 +146,20 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, end_id
         uri = f"{out}/part-{part:06d}-{uuid.uuid4().hex[:8]}"
         end = b"" if end_id is None else np.array([end_id], dtype=enc.dtype).tobytes()
         ids, sizes, names = [], [0], []
-        for batch in rebatched(batches):
-            names += batch.column(0).to_pylist()
-            for packed in enc.encode_batch(texts(batch)):
+        waiting: list[str] = []
+
+        def encode() -> None:
+            for packed in enc.encode_batch(waiting):
                 ids.append(packed + end)
                 sizes.append(len(ids[-1]) // enc.dtype.itemsize)
+            waiting.clear()
+
+        for batch in rebatched(batches):
+            names += batch.column(0).to_pylist()
+            waiting += texts(batch)
+            if len(waiting) >= TOGETHER:
+                encode()
+        encode()
         if not names:
             return
         offsets = np.cumsum(np.array(sizes, dtype="<i8"))

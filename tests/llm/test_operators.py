@@ -260,7 +260,7 @@ def test_token_files(spark, odd, nothing):
     assert sum(r.n_ids for r in manifest.collect()) == start
 
 
-TEXTS = st.text(alphabet=st.one_of(st.sampled_from("ab  \n\t'sé　\xa0.1\x00▁<>"), st.characters(min_codepoint=32, max_codepoint=0x4FF)), max_size=60)
+TEXTS = st.text(alphabet=st.one_of(st.sampled_from("ab  .,, _\n\t'sé　\xa0.1\x00▁<>"), st.characters(min_codepoint=32, max_codepoint=0x4FF)), max_size=60)
 
 
 @settings(max_examples=300, deadline=None)
@@ -272,6 +272,15 @@ def test_pieces(text):
     whole = pattern.findall(text)
     assert [m for p in pieces for m in pattern.findall(p)] == whole
     assert [m for p in pieces for m in pretokens.pretokens(p, pattern.findall)] == whole
+    if (marked := pretokens.marks(text)) is not None:
+        assert [m for p in marked.split(pretokens.MARK) for m in pattern.findall(p)] == whole
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXTS, max_size=6))
+def test_token_file_encoder(batch):
+    e = tokenfiles.encoder(JSON)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode_batch(batch)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
 
 
 @settings(max_examples=300, deadline=None)
