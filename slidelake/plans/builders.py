@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
 from slidelake.functions.ooxml import xml_filtered
 from slidelake.operators.writer import HEAD, NS, package_parts, rels_xml, zip_package
@@ -51,6 +53,20 @@ def orphan_deck(row: dict) -> bytes:
     return zip_package(list(parts.items()), 1)
 
 
+def pieces(text: str, chars: int, ends: int) -> Iterator[str]:
+    """Pieces of at most so many characters and line ends; they join to the text. An empty text is one piece."""
+    at = 0
+    while True:
+        to = min(len(text), at + chars)
+        if text.count("\n", at, to) > ends:
+            to = at
+            for _ in range(ends):
+                to = text.index("\n", to) + 1
+        yield text[at:to]
+        if (at := to) >= len(text):
+            return
+
+
 def text_deck(row: dict) -> dict:
     return scene([[text_box(t)] for t in row["texts"]])
 
@@ -64,13 +80,18 @@ def runs_deck(row: dict) -> dict:
     return scene([[{"type": "text", "transform": BOX, "paragraphs": [{"children": [{"text": str(k), "properties": {"bold": b}} for k, b in zip(row["keys"], row["bold"], strict=True)]}]}]])
 
 
+def _tables(row: dict) -> list[list[list[str]]]:
+    """The rows of cells of each order."""
+    return [[list(c) for _, c in g] for _, g in groupby(zip(row["keys"], row["cells"], strict=True), lambda x: x[0])]
+
+
 def tables_deck(row: dict) -> dict:
-    return scene([[table_of([list(r) for r in rows])] for rows in row["tables"]])
+    return scene([[table_of(rows)] for rows in _tables(row)])
 
 
 def merged_deck(row: dict) -> dict:
     out = []
-    for rows in row["tables"]:
+    for rows in _tables(row):
         cells = [[{"text": r[0], "rowSpan": len(rows)} if i == 0 and len(rows) > 1 else {"text": r[0] if i == 0 else "", "vMerge": i > 0}, {"text": r[1]}] for i, r in enumerate(rows)]
         out.append([table_of(cells)])
     return scene(out)

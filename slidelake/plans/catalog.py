@@ -1,13 +1,16 @@
 """The registered queries of the presentation engine and their SQL.
 
-Most build packages from the driver's rows, parse them back and query the tables that come out; the SQL says the same over the rows themselves. All rows take part. Decks hold blocks of keys, so that none grows with a hot key.
+Most build packages from the driver's rows, parse them back and query the tables that come out; the SQL says the same over the rows themselves. All rows take part. Decks hold blocks of keys; where a key can have many rows, or a text many lines, it is cut into blocks of bounded size and put together again by ordinal. A deck that can't be read fails the query.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from slidelake.sources.reader import parse_packages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rows of a block of a key, characters and line ends of a piece of a text: far below the limits of a part.
+BLOCK_ROWS, PIECE_CHARS, PIECE_LINES = 2000, 1 << 20, 10_000
+
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -45,12 +51,23 @@ def gathered(df: DataFrame, path: str, order: str, **columns: str) -> DataFrame:
     return df.withColumn("path", F.expr(path)).groupBy("path").agg(items.alias("__i")).select("path", *(F.col(f"__i.{k}").alias(k) for k in columns))
 
 
-def parsed(df: DataFrame, build: Callable[[dict], dict | bytes], options: Options | None = None) -> DataFrame:
-    return parse_packages(write_decks(df, build, 1), options)
+def blocked(df: DataFrame, path: str, *order: str, **columns: str) -> DataFrame:
+    """As gathered, but a row for each block: path is the given one, "#" and the block's number, which grows along the order.
+
+    A range shuffle deals rows of one path to many tasks; a block is what a task has of a path within a run of BLOCK_ROWS rows.
+    """
+    rows = df.withColumn("path", F.expr(path)).repartitionByRange("path", *order).sortWithinPartitions("path", *order)
+    items = F.array_sort(F.collect_list(F.struct("__at", *(F.expr(c).alias(k) for k, c in columns.items()))))
+    rows = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__b", F.floor(F.col("__at") / BLOCK_ROWS))
+    return rows.groupBy("path", "__b").agg(items.alias("__i")).select(F.concat_ws("#", "path", "__b").alias("path"), *(F.col(f"__i.{k}").alias(k) for k in columns))
+
+
+def parsed(df: DataFrame, build: Callable[[dict], dict | bytes], options: Options | None = None, must: bool = True) -> DataFrame:
+    return parse_packages(write_decks(df, build, 1), options, must)
 
 
 def key_of(path: str = "path") -> F.Column:
-    return F.regexp_extract(path, r"(\d+)$", 1).cast("long")
+    return F.regexp_extract(path, r"(\d+)(?:#\d+)?$", 1).cast("long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,39 +108,67 @@ def element_type_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return parsed(gathered(docs, "concat('d-', doc_id)", "doc_id", texts="text"), B.text_deck)
+    """A deck for each piece of a text. Path: row, doc_id, number of the piece, line ends before it."""
+    docs = read(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                before, doc = 0, "" if row["doc_id"] is None else row["doc_id"]
+                for i, t in enumerate(B.pieces(row["text"], PIECE_CHARS, PIECE_LINES)):
+                    yield pa.RecordBatch.from_pydict({"path": [f"{row['row']}/{doc}/{i}/{before}"], "texts": [[t]]}, schema=pa.schema([("path", pa.string()), ("texts", pa.list_(pa.string()))]))
+                    before += t.count("\n")
+
+    return parsed(docs.mapInArrow(cut, "path string, texts array<string>"), B.text_deck)
+
+
+def _of_text(df: DataFrame) -> DataFrame:
+    """What the path of a text's piece says: row, doc_id, piece, before."""
+    at = lambda i: F.element_at(F.split("path", "/"), i).try_cast("long")
+    return df.withColumns({"row": at(1), "doc_id": at(2), "piece": at(3), "before": at(4)})
+
+
+def _joined(order: str, text: str) -> F.Column:
+    """The texts of a group, one behind the other."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "")
 
 
 @query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents")
 def text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(_text_decks(spark, sf_dir), "elements", "path")
-    return e.select(key_of().alias("doc_id"), F.length("plain_text").cast("long").alias("n_chars"), F.md5("plain_text").alias("text_md5"))
+    e = _of_text(table(_text_decks(spark, sf_dir), "elements", "path")).groupBy("row", "doc_id").agg(_joined("piece", "plain_text").alias("text"))
+    return e.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("SELECT doc_id, (i - 1)::INT AS para_no, md5(t) AS text_md5 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE t <> ''")
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(_text_decks(spark, sf_dir), "runs", "path").select(key_of().alias("doc_id"), "para_no", F.md5("text").alias("text_md5"))
+    runs = _of_text(table(_text_decks(spark, sf_dir), "runs", "path")).withColumn("para_no", (F.col("before") + F.col("para_no")).cast("int"))
+    return runs.groupBy("row", "doc_id", "para_no").agg(_joined("piece", "text").alias("text")).select("doc_id", "para_no", F.md5("text").alias("text_md5"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority LIKE '1%' AS bold, lag(o_orderpriority LIKE '1%') OVER w AS was FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 i AS (SELECT *, sum(CASE WHEN bold IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT o_custkey AS cust, island::BIGINT AS island, any_value(bold) AS bold, count(*) AS runs, string_agg(o_orderkey::VARCHAR, '' ORDER BY o_orderkey) AS text FROM i GROUP BY 1, 2""")
 def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring runs of one style become one: gaps and islands."""
+    """Neighbouring runs of one style become one: gaps and islands, first in each block of a customer, then across its blocks."""
     orders = read(spark, sf_dir, "orders")
-    decks = parsed(gathered(orders, "concat('c-', o_custkey)", "o_orderkey", keys="o_orderkey", bold="o_orderpriority like '1%'"), B.runs_deck)
-    w = Window.partitionBy("path", "key", "para_no").orderBy("run_no")
-    runs = table(decks, "runs", "path").withColumn("new", (~F.col("bold").eqNullSafe(F.lag("bold").over(w))).cast("int")).withColumn("island", F.sum("new").over(w))
-    return runs.groupBy(key_of().alias("cust"), "island").agg(F.any_value("bold").alias("bold"), F.count("*").alias("runs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "text"))), lambda x: x["text"]), "").alias("text"))
+    decks = parsed(blocked(orders, "concat('c-', o_custkey)", "o_orderkey", keys="o_orderkey", bold="o_orderpriority like '1%'"), B.runs_deck)
+    w = Window.partitionBy("path").orderBy("run_no")
+    runs = table(decks, "runs", "path").withColumn("new", (~F.col("bold").eqNullSafe(F.lag("bold").over(w)) | (F.row_number().over(w) == 1)).cast("int")).withColumn("island", F.sum("new").over(w))
+    islands = runs.groupBy("path", "island").agg(F.any_value("bold").alias("bold"), F.count("*").alias("runs"), _joined("run_no", "text").alias("text"))
+    # A row a block: its islands, and whether its first one goes on from the block before.
+    blocks = islands.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("island", "bold", "runs", "text"))).alias("i"))
+    blocks = blocks.select(key_of().alias("cust"), F.regexp_extract("path", r"#(\d+)$", 1).cast("long").alias("block"), "i", F.col("i")[0]["bold"].alias("first"), F.element_at("i", -1)["bold"].alias("last"), F.size("i").alias("n"))
+    b = Window.partitionBy("cust").orderBy("block")
+    blocks = blocks.withColumn("on", ((F.row_number().over(b) > 1) & F.col("first").eqNullSafe(F.lag("last").over(b))).cast("int"))
+    blocks = blocks.withColumn("base", F.sum(F.col("n") - F.col("on")).over(b) - F.col("n"))
+    merged = blocks.select("cust", "block", "base", F.inline("i")).withColumn("island", F.col("base") + F.col("island"))
+    return merged.groupBy("cust", "island").agg(F.any_value("bold").alias("bold"), F.sum("runs").alias("runs"), _joined("block", "text").alias("text"))
 
 
 def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A deck for each hundred orders, a slide for each order, a table row for each line."""
-    lines = read(spark, sf_dir, "lineitem")
-    cells = F.array(F.concat_ws("-", "l_orderkey", "l_linenumber"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
-    orders = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cells.alias("c")))), lambda x: x["c"]).alias("t"))
-    return gathered(orders, "concat('o-', l_orderkey div 100)", "l_orderkey", tables="t")
+    """A deck for each block of the lines of a hundred orders, a slide for each order in it, a table row for each line."""
+    cells = "array(concat_ws('-', l_orderkey, l_linenumber), cast(l_partkey as string), cast(cast(l_quantity as int) as string))"
+    return blocked(read(spark, sf_dir, "lineitem"), "concat('o-', l_orderkey div 100)", "l_orderkey", "l_linenumber", "l_partkey", keys="l_orderkey", cells=cells)
 
 
 @query("SELECT l_orderkey || '-' || l_linenumber AS line, l_partkey::VARCHAR AS part, l_quantity::INT::VARCHAR AS quantity FROM lineitem")
@@ -135,8 +180,13 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey || '-' || min(l_linenumber) AS line, CASE WHEN count(*) > 1 THEN count(*) END::INT AS row_span, (count(*) - 1)::BIGINT AS covered FROM lineitem GROUP BY l_orderkey")
 def table_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span for each order's rows in a block; spans of one order join across blocks."""
     cells = table(parsed(_order_tables(spark, sf_dir), B.merged_deck), "table_cells", "path").where("col_no = 0")
-    return cells.groupBy("path", "slide_no").agg(F.max(F.when(F.col("row_no") == 0, F.col("text"))).alias("line"), F.max("row_span").alias("row_span"), F.sum(F.col("v_merge").cast("long")).alias("covered")).select("line", "row_span", "covered")
+    spans = cells.groupBy("path", "slide_no").agg(F.max(F.when(F.col("row_no") == 0, F.col("text"))).alias("line"), F.max("row_span").alias("row_span"), F.sum(F.col("v_merge").cast("long")).alias("covered"))
+    part = lambda i: F.regexp_extract("line", r"^(-?\d+)-(-?\d+)$", i).cast("long")
+    rows = F.sum(F.coalesce("row_span", F.lit(1)))
+    orders = spans.groupBy(part(1).alias("order")).agg(F.min_by("line", part(2)).alias("line"), F.when(rows > 1, rows).cast("int").alias("row_span"), (F.sum("covered") + F.count("*") - 1).alias("covered"))
+    return orders.select("line", "row_span", "covered")
 
 
 @query("""SELECT c_name AS name, CASE WHEN i = 0 THEN '#444444' WHEN i = n - 1 THEN '#555555' WHEN i % 2 = 0 THEN '#333333' ELSE '#222222' END AS fill
@@ -233,7 +283,7 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More slides than allowed fail the deck, and the deck alone."""
     orders = gathered(read(spark, sf_dir, "orders"), "concat('c-', o_custkey)", "o_orderkey", names="o_orderstatus")
-    return parsed(orders, B.region_deck, Options(limits=Limits(slides=20))).groupBy("status").agg(F.count("*").alias("decks"))
+    return parsed(orders, B.region_deck, Options(limits=Limits(slides=20)), must=False).groupBy("status").agg(F.count("*").alias("decks"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n > 1")
@@ -417,12 +467,16 @@ def relationship_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'duplicate-key' AS code, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events) WHERE i > 1")
 def scene_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes with an element for each event of a user, keyed by its type, judged one by one."""
-    scenes = gathered(read(spark, sf_dir, "events"), "concat('u-', user_id)", "event_id", keys="event_type")
+    """Scenes with an element for each event of a user, keyed by its type, judged in blocks; a key that more than one block of a user has is a duplicate in all but one of them."""
+    scenes = blocked(read(spark, sf_dir, "events"), "concat('u-', user_id)", "event_id", keys="event_type")
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            issues = [i for keys in pdf["keys"] for i in validate.validate_scene(B.scene([[{"type": "shape", "key": k, "transform": B.BOX} for k in keys]]))]
-            yield pd.DataFrame({"code": [i["code"] for i in issues], "path": [i["path"] for i in issues]})
-
-    return scenes.select("keys").mapInPandas(judged, "code string, path string").groupBy("code").agg(F.count("*").alias("n"))
+            issues, once = Counter(), []
+            for path, keys in zip(pdf["path"], pdf["keys"], strict=True):
+                issues.update(i["code"] for i in validate.validate_scene(B.scene([[{"type": "shape", "key": k, "transform": B.BOX} for k in keys]])))
+                once += [("duplicate-key", path.rpartition("#")[0], k, 1) for k in set(keys) if isinstance(k, str) and re.match(validate.KEY, k)]
+            yield pd.DataFrame([*((c, None, None, n) for c, n in issues.items()), *once], columns=["code", "user", "key", "n"])
+
+    found = scenes.mapInPandas(judged, "code string, user string, key string, n long").groupBy("code", "user", "key").agg((F.sum("n") - F.count("key").cast("boolean").cast("long")).alias("n"))
+    return found.groupBy("code").agg(F.sum("n").alias("n")).where("n > 0")

@@ -33,10 +33,10 @@ def read_binary(spark: SparkSession, path: str, limit_bytes: int | None = None)
     return files.where(F.col("length") <= limit_bytes).select("path", "content").unionByName(large)
 
 
-def parse_packages(packages: DataFrame, options: Options | None = None) -> DataFrame:
+def parse_packages(packages: DataFrame, options: Options | None = None, must: bool = False) -> DataFrame:
     """A row for each deck (schema.DECK_ROW) from path and content.
 
-    One narrow pass; a deck's budgets hold within its row, and a bad deck is a row with its error, not a failed job. Null content counts as beyond the input limit.
+    One narrow pass; a deck's budgets hold within its row, and a bad deck is a row with its error, not a failed job, unless all `must` be read: then it raises RuntimeError. Null content counts as beyond the input limit.
     """
     options = options or Options()
     schema = to_arrow_schema(T._parse_datatype_string(DECK_ROW))
@@ -45,9 +45,12 @@ def parse_packages(packages: DataFrame, options: Options | None = None) -> DataF
         for batch in batches:
             for path, raw in zip(batch.column(0), batch.column(1), strict=True):
                 if (content := raw.as_py()) is None:
-                    yield arrow_row({"path": path.as_py(), "status": "failed", "code": "resource-limit", "message": "no content, or more than allowed"}, schema)
+                    row = {"path": path.as_py(), "status": "failed", "code": "resource-limit", "message": "no content, or more than allowed"}
                 else:
-                    yield arrow_row(parse_deck(content, path.as_py(), options), schema)
+                    row = parse_deck(content, path.as_py(), options)
+                if must and row["status"] == "failed":
+                    raise RuntimeError(f"{row['path']}: {row['code']}: {row['message']}")
+                yield arrow_row(row, schema)
 
     return packages.select("path", "content").mapInArrow(run, DECK_ROW)
 
