@@ -33,18 +33,21 @@ RUN = 2000
 
 
 class Encoder:
-    """Encodes with a tokenizers file whose pre-tokens follow the byte-level pattern. A batch is cut into pieces that the pattern never crosses; equal pieces go through the library once while they are remembered."""
+    """Encodes with a tokenizers file whose pre-tokens follow the byte-level pattern. A batch is cut into pieces that the pattern never crosses; equal pieces go through the library once while they are remembered.
+
+    The library cuts texts at added tokens before the pattern sees them, which changes matches of white space beside them, so a text that holds one goes through the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of an id: a character stands for a byte
         for token, i in vocab.items():
             self.width[i] = len(token)
         self.memory = Memory(PIECES)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _library(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         """New pieces and their ids. Those that start with a space before another character are cut off again wherever they stand, so runs of them go as one text; token widths tell where each ends."""
@@ -61,6 +64,9 @@ class Encoder:
             for x, a, b in zip(part, cut[:-1], cut[1:], strict=True):
                 yield x, packed[n * a : n * b]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+
     def _packed(self, found: list[str]) -> list[bytes]:
         """The ids of each piece; the library gets the new ones."""
         known, old = self.memory.turn(), self.memory.old
@@ -74,7 +80,8 @@ class Encoder:
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """The packed ids of each text. Arrow cuts the texts at the marks, numbers the distinct pieces and lays out their ids; Python sees distinct pieces only."""
-        marked = [marks(t) for t in batch]
+        whole = {i: self._whole(t) for i, t in enumerate(batch) if any(x in t for x in self.added)}
+        marked = [None if i in whole else marks(t) for i, t in enumerate(batch)]
         cut = pc.split_pattern(pa.array(marked, pa.large_string()), MARK)
         pieces = cut.flatten().dictionary_encode()
         ids = self._packed(pieces.dictionary.to_pylist())
@@ -84,7 +91,7 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
         at = (laid.offsets.to_numpy()[ends] * n).tolist()
         raw = laid.values.to_numpy().tobytes()
-        return [b"".join(self._packed(chunks(t))) if m is None else raw[a:b] for t, m, a, b in zip(batch, marked, at[:-1], at[1:], strict=True)]
+        return [whole[i] if i in whole else b"".join(self._packed(chunks(t))) if m is None else raw[a:b] for i, (t, m, a, b) in enumerate(zip(batch, marked, at[:-1], at[1:], strict=True))]
 
 
 _encoders: dict[str, Encoder] = {}
