@@ -20,7 +20,7 @@ BLOCKS = 4
 #: A cell with more vectors is cut into chunks of about this many; each pair of chunks is a task's work.
 CHUNK = 12_000
 TILE = 1024
-#: Added to squared distances of the filter, which is in single precision.
+#: Added to squared distances of the filter, which is in single precision; half of it to those that decide, in double precision.
 SLACK = 1e-5
 
 
@@ -84,10 +84,10 @@ def block_links(a: dict, b: dict | None, j: int, parts: list[slice], budgets: li
                 ii, kk = i[p : p + 50_000], k[p : p + 50_000]
                 good = np.einsum("nd,nd->n", a["u"][ii], b["u"][kk]) >= least
                 ii, kk = ii[good], kk[good]
-                for q in range(j):  # counted in an earlier block
+                for q in (j, *range(j)):  # within this block, and not counted in an earlier one: the same test in all
                     diff = a["r"][ii][:, parts[q]].astype(np.float64) - b["r"][kk][:, parts[q]]
-                    later = (diff * diff).sum(1) > budgets[q] + SLACK
-                    ii, kk = ii[later], kk[later]
+                    stays = ((diff * diff).sum(1) <= budgets[q] + SLACK / 2) == (q == j)
+                    ii, kk = ii[stays], kk[stays]
                 if len(ii):
                     yield ii, kk
 
