@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 22
 
 
-#: Rows of an Arrow batch of texts: about 3 MB at 3 KB a text, in the JVM and in the worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch of texts: about 3 MB at 3 KB a text, in the JVM and in the worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts small enough for several at once beside a full heap; a setting other than Spark's own stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Arrow batches of texts small enough for several at once beside a full heap; what the session sets itself stays."""
+    own = spark.conf.getAll
+    for name, value in BATCHES.items():
+        if name not in own:
+            spark.conf.set(name, value)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

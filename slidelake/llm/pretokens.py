@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Below this, letters are the same in all Unicode versions in use.
 LATER = "\u0370"
 
@@ -37,20 +40,23 @@ def is_odd(text: str) -> bool:
 
 #: Stands between pieces.
 MARK = "\x01"
-_NO_WORD_BEFORE = re.compile(r"[\W_][.,] ")
+#: White space of any script, as Python has it.
+SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def marks(text: str) -> str | None:
-    """The text with a mark before every space, and around a full stop or comma that ends a word; None if that could cut a match.
+def marks(texts: pa.Array, not_in: list[str] = ()) -> pa.Array:
+    """The texts with a mark before every space, and around a full stop or comma that ends a word; null for those where that could cut a match, and for those that hold a string of not_in.
 
-    Such a stop is a match of its own where a letter or number stands before it; where one follows anything else, only spaces are marked. Letters and numbers are asked of Python, whose Unicode version may be younger than the library's, so only texts of older scripts get marks at stops.
+    Such a stop is a match of its own where a letter or number stands before it; where one follows anything else, only spaces are marked. The Unicode version here may be younger than the library's, so only texts of older scripts get marks at stops.
     """
-    if MARK in text or _ODD.search(text):
-        return None
-    out = text.replace(" ", MARK + " ")
-    if (text.isascii() or max(text) < LATER) and not _NO_WORD_BEFORE.search(text):
-        out = out.replace("." + MARK, MARK + "." + MARK).replace("," + MARK, MARK + "," + MARK)
-    return out
+    whole = pc.match_substring_regex(texts, f" (?:[{SPACES}]|$)|{MARK}")
+    for x in not_in:
+        whole = pc.or_(whole, pc.match_substring(texts, x))
+    texts = pc.if_else(whole, pa.scalar(None, texts.type), texts)
+    odd = pc.match_substring_regex(texts, r"[^\p{L}\p{N}][.,] |[\x{370}-\x{10FFFF}]")
+    out = pc.replace_substring(texts, " ", MARK + " ")
+    stops = pc.replace_substring(pc.replace_substring(out, "." + MARK, f"{MARK}.{MARK}"), "," + MARK, f"{MARK},{MARK}")
+    return pc.if_else(odd, out, stops)
 
 
 def keys(text: str) -> list[str]:

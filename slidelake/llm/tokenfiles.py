@@ -8,7 +8,10 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
+from typing import BinaryIO
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -19,15 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import rebatched, shared_root, texts, written
+from .common import rebatched, shared_root, written
 from .pretokens import MARK, Memory, chunks, large_memory, marks
 
 MAGIC = b"SLTOKEN1"
 NO_ID = -(1 << 63)  # stands for a doc_id that is null
 #: Entries of a worker's memory of finished pieces.
 PIECES = 1 << 20
-#: Texts that are cut together, so that their common pieces count once.
-TOGETHER = 4000
+#: Texts (and bytes of texts) that are cut together, so that their common pieces count once.
+TOGETHER, BYTES = 4000, 16 << 20
 #: Pieces that the library takes as one text.
 RUN = 2000
 
@@ -68,30 +71,48 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
 
     def _packed(self, found: list[str]) -> list[bytes]:
-        """The ids of each piece; the library gets the new ones."""
+        """The ids of each piece, all different; the library gets the new ones."""
         known, old = self.memory.turn(), self.memory.old
         got = list(map(known.get, found))
         if None in got:
-            missing = dict.fromkeys(x for x, ids in zip(found, got, strict=True) if ids is None)
-            known.update((x, old[x]) for x in missing if x in old)
-            known.update(self._library([x for x in missing if x not in known]))
-            got = list(map(known.__getitem__, found))
+            new, at = [], []
+            for i, ids in enumerate(got):
+                if ids is None:
+                    x = found[i]
+                    if (ids := old.get(x)) is None:
+                        new.append(x)
+                        at.append(i)
+                    else:
+                        got[i] = known[x] = ids
+            where = dict(zip(new, at, strict=True))
+            for x, ids in self._library(new):
+                got[where[x]] = known[x] = ids
         return got
 
-    def encode_batch(self, batch: list[str]) -> list[bytes]:
-        """The packed ids of each text. Arrow cuts the texts at the marks, numbers the distinct pieces and lays out their ids; Python sees distinct pieces only."""
-        whole = {i: self._whole(t) for i, t in enumerate(batch) if any(x in t for x in self.added)}
-        marked = [None if i in whole else marks(t) for i, t in enumerate(batch)]
-        cut = pc.split_pattern(pa.array(marked, pa.large_string()), MARK)
+    def encode_batch(self, batch: list[str] | pa.Array) -> list[bytes]:
+        """The packed ids of each text. Arrow finds the texts that can be cut, cuts them at the marks, numbers the distinct pieces and lays out their ids; Python sees distinct pieces only."""
+        batch = batch if isinstance(batch, pa.Array) else pa.array(batch, pa.large_string())
+        marked = marks(batch, self.added)
+        cut = pc.split_pattern(marked, MARK)
         pieces = cut.flatten().dictionary_encode()
-        ids = self._packed(pieces.dictionary.to_pylist())
+        ids = self._packed(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         n = self.dtype.itemsize
-        offsets = np.concatenate([[0], np.cumsum([len(x) // n for x in ids], dtype=np.int64)])
+        offsets = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // n, out=offsets[1:])
         laid = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), self.dtype))).take(pieces.indices)
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
         at = (laid.offsets.to_numpy()[ends] * n).tolist()
-        raw = laid.values.to_numpy().tobytes()
-        return [whole[i] if i in whole else b"".join(self._packed(chunks(t))) if m is None else raw[a:b] for i, (t, m, a, b) in enumerate(zip(batch, marked, at[:-1], at[1:], strict=True))]
+        raw = memoryview(np.ascontiguousarray(laid.values.to_numpy())).cast("B")
+        out: list[bytes] = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i in np.flatnonzero(marked.is_null().to_numpy(zero_copy_only=False)).tolist():
+            text = batch[i].as_py()
+            out[i] = self._whole(text) if any(x in text for x in self.added) else self._pieces(text)
+        return out
+
+    def _pieces(self, text: str) -> bytes:
+        parts = chunks(text)
+        once = list(dict.fromkeys(parts))
+        return b"".join(map(dict(zip(once, self._packed(once), strict=True)).__getitem__, parts))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -110,13 +131,13 @@ def _local(uri: str) -> str | None:
     return unquote(at.path) if at.scheme in ("", "file") else None
 
 
-def _save(uri: str, blocks: list) -> None:
-    """Writes blocks to a new file that appears whole."""
+@contextmanager
+def _new_file(uri: str) -> Iterator[BinaryIO]:
+    """A file to write to, which appears under its name when it is whole."""
     if (path := _local(uri)) is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path + ".tmp", "wb") as f:
-            for b in blocks:
-                f.write(b)
+            yield f
         os.replace(path + ".tmp", path)
         return
     from pyarrow import fs
@@ -124,8 +145,7 @@ def _save(uri: str, blocks: list) -> None:
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(path + ".tmp") as f:
-        for b in blocks:
-            f.write(b)
+        yield f
     store.move(path + ".tmp", path)
 
 
@@ -143,7 +163,7 @@ def _mapped(uri: str, dtype: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, out: str | None = None, end_id: int | None = 0) -> DataFrame:
     """Encodes every whole text with the tokenizers file at `path`, appends end_id (None: nothing) and writes parts in ascending doc_id order.
 
-    Returns the manifest: part, uri (without extension), n_docs, n_ids, base. Texts cross one range shuffle. A part holds one partition; a repeated task writes files of its own and the manifest names only those of the task that counted. Null texts are empty; null ids come first; repeated rows stay.
+    Returns the manifest: part, uri (without extension), n_docs, n_ids, base. Texts cross one range shuffle, into as many parts as docs has partitions to read (or the session shuffles into, if that is more); ids go to the file as they are made. A repeated task writes files of its own and the manifest names only those of the task that counted; what a lost task leaves stays in the folder, unnamed. Null texts are empty; null ids come first; repeated rows stay.
     """
     spark = docs.sparkSession
     out = out or f"{shared_root(spark)}/slidelake-{uuid.uuid4().hex}/tokens"
@@ -152,35 +172,51 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, end_id
         enc, part = encoder(path), TaskContext.get().partitionId()
         uri = f"{out}/part-{part:06d}-{uuid.uuid4().hex[:8]}"
         end = b"" if end_id is None else np.array([end_id], dtype=enc.dtype).tobytes()
-        ids, sizes, names = [], [0], []
-        waiting: list[str] = []
-
-        def encode() -> None:
-            for packed in enc.encode_batch(waiting):
-                ids.append(packed + end)
-                sizes.append(len(ids[-1]) // enc.dtype.itemsize)
-            waiting.clear()
-
-        for batch in rebatched(batches):
-            names += batch.column(0).to_pylist()
-            waiting += texts(batch)
-            if len(waiting) >= TOGETHER:
-                encode()
-        encode()
+        sizes, names = array("q"), array("q")
+        with ExitStack() as files:
+            bin_ = None
+            for ids, batch in _together(batches):
+                bin_ = bin_ or files.enter_context(_new_file(uri + ".bin"))
+                names.extend(ids.fill_null(NO_ID).to_pylist())
+                for packed in enc.encode_batch(batch):
+                    bin_.write(packed)
+                    bin_.write(end)
+                    sizes.append((len(packed) + len(end)) // enc.dtype.itemsize)
         if not names:
             return
-        offsets = np.cumsum(np.array(sizes, dtype="<i8"))
-        head = np.array([enc.dtype.itemsize, len(names)], dtype="<i8").tobytes()
-        _save(uri + ".bin", ids)
-        _save(uri + ".idx", [MAGIC, head, offsets.tobytes(), np.array([NO_ID if x is None else x for x in names], dtype="<i8").tobytes()])
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]).astype("<i8")
+        with _new_file(uri + ".idx") as f:
+            for x in (MAGIC, np.array([enc.dtype.itemsize, len(names)], dtype="<i8"), offsets, np.frombuffer(names, np.int64).astype("<i8")):
+                f.write(x if isinstance(x, bytes) else x.tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [len(names)], "n_ids": [int(offsets[-1])]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     manifest = written(rows.mapInArrow(run, "part long, uri string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (null as empty), TOGETHER rows or BYTES bytes at a time, about."""
+    waiting: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        return table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks().fill_null("")
+
+    rows = size = 0
+    for batch in rebatched(batches):
+        waiting.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= TOGETHER or size >= BYTES:
+            yield joined()
+            waiting.clear()
+            rows = size = 0
+    if rows:
+        yield joined()
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document of the parts, from the files."""
 
@@ -193,7 +229,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 width, n = int(idx[1]), int(idx[2])
                 off, names = idx[3 : n + 4], idx[n + 4 : 2 * n + 4]
                 ids = _mapped(uri + ".bin", f"<u{width}")
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([None if x == NO_ID else x for x in names.tolist()], pa.int64()), pa.array(off[:-1] + base), pa.array(np.diff(off)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # A row names a whole part, so rows are dealt out one by one.
