@@ -1,10 +1,13 @@
 """N-gram Jaccard join by set-relation skipping.
 
-Sets are the distinct word shingles of the texts. Rare shingles come first in every set, and a set is indexed by a prefix that no partner can miss. Two relations between sets save work. Within a list, entries are kept in blocks ordered by size with the least position of each block, so a block that cannot reach the threshold is skipped as one. Across sets, answers are derived from a similar set's: in the first round every set is compared with one pivot that shares a list with it; what is found to belong together is not compared again, and the second round looks only at lists whose sets do not belong together yet.
+Sets are the distinct word shingles of the texts. Rare shingles come first in every set, and a set is indexed by a prefix that no partner can miss. Two relations between sets save work. Within a list, entries stand in blocks ordered by size, each with its least position, so a block that cannot reach the threshold is skipped as one. Across sets, answers are derived: sets that must be compared with many others meet in a task, which walks from set to set along the smallest differences; a set's overlaps with all others are its predecessor's, less those of the shingles that went, plus those of the shingles that came.
+
+What the lists leave open goes as pairs where they are few, past a bitmap that bounds the overlap from above, and as groups of sets where a list is dense, so no list gives all its pairs as rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -13,9 +16,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import rebatched, semi_by_id, texts, written
-from .graph import Forest, connected_components
+from .graph import connected_components
 
 WORDS, PERCENT = 5, 75
 #: The order of shingles comes from two tables of counters that all shingles of the corpus are added to; the smaller of a shingle's two counters is its frequency. The order changes the work, never the result.
@@ -26,10 +30,15 @@ HOT_IN_SLAB, HOT = 16, 1 << 16
 SLAB = 500_000
 #: Postings of a bucket, about; postings of a hot shingle that a part takes; entries of a block.
 BUCKET, CHUNK, BLOCK = 250_000, 20_000, 16
-#: Rows of labels up to which they are broadcast, 16 B each.
-LABELS = 1 << 20
-#: Lists beyond this length are not taken pair by pair: their sets meet in groups of this many at most, or in pairs of such chunks.
-LONG, GROUP = 64, 2_000
+#: A list that leaves more pairs open than this for each of its sets goes as a group.
+DENSE = 4
+#: Shingles of the sets that a side of a task holds, about (8 B each).
+SIDE = 2_000_000
+#: Rows of the table of sets that are compared up to which it is broadcast, 60 B each at most.
+WANTED = 1 << 20
+#: Bits of a bitmap, at most.
+BITS = 1 << 15
+NO_ID = -(1 << 63)  # stands for a doc_id that is null
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -50,9 +59,26 @@ def shingles(text: str, k: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def set_id(s: np.ndarray) -> int:
+def set_id(s: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit number for a set; equal sets share it."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed)).astype(np.int64))
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity of how many shingles fall on each bit, about a bit a shingle. Two bitmaps differ in no more bits than their sets in shingles."""
+    width = min(BITS, max(64, 1 << (len(s) - 1).bit_length()))
+    at = (s * _MUL[3] >> np.uint64(49)).astype(np.int64) & (width - 1)
+    return np.packbits(np.bincount(at, minlength=width) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """How many bits of two bitmaps differ, the wider one folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
 def probe_prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -96,16 +122,16 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}")
 
 
-def described(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """A row for each document: doc_id, n, cls (set_id; null for the empty set). Rows with token and count: shingles that many sets of a slab share. Rows with segment and payload: a task's counters."""
+def described(docs: DataFrame, k: int = WORDS, seed: int = 0) -> DataFrame:
+    """A row for each document: doc_id, n, cls (set_id; null for the empty set), twin (a second digest) and bits (bitmap). Rows with token and count: shingles that many sets of a slab share. Rows with segment and payload: a task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.zeros((2, COUNTERS), np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("token", pa.int64()), ("count", pa.int64()), ("segment", pa.int32()), ("payload", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("twin", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("count", pa.int64()), ("segment", pa.int32()), ("payload", pa.binary())])
         row = lambda length, **cols: pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(length, f.type) for f in schema], schema=schema)
         for ids, sets in _slabs(batches, k):
-            cls = [set_id(s) if len(s) else None for s in sets]
-            yield row(len(ids), doc_id=ids, n=list(map(len, sets)), cls=cls)
+            cls = [set_id(s, seed) if len(s) else None for s in sets]
+            yield row(len(ids), doc_id=ids, n=list(map(len, sets)), cls=cls, twin=[set_id(s, ~seed & 0xFFFFFFFF) if len(s) else None for s in sets], bits=[bitmap(s) if len(s) else None for s in sets])
             once = list({c: s for c, s in zip(cls, sets, strict=True) if c is not None}.values())
             if once:
                 every = np.concatenate(once)
@@ -122,7 +148,7 @@ def described(docs: DataFrame, k: int = WORDS) -> DataFrame:
             cut = tables.reshape(2 * SEGMENTS, -1)
             yield row(len(cut), segment=list(range(len(cut))), payload=[_packed(c) for c in cut])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, token long, count long, segment int, payload binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, twin long, bits binary, token long, count long, segment int, payload binary")
 
 
 def frequencies(seen: DataFrame) -> np.ndarray:
@@ -137,7 +163,7 @@ def frequencies(seen: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.round(np.log1p(c) * 1500).astype("<u2").tobytes() for c in total.values()], pa.binary())], ["segment", "payload"])
 
     out = np.zeros((2 * SEGMENTS, COUNTERS // SEGMENTS), np.uint16)
-    for r in seen.where("segment is not null").select("segment", "payload").repartition(8, "segment").mapInArrow(run, "segment int, payload binary").toLocalIterator():
+    for r in seen.where("segment is not null").select("segment", "payload").repartition("segment").mapInArrow(run, "segment int, payload binary").toLocalIterator():
         out[r.segment] = np.frombuffer(r.payload, "<u2")
     return out.reshape(2, COUNTERS)
 
@@ -148,7 +174,7 @@ def ordered(s: np.ndarray, known: np.ndarray) -> np.ndarray:
     return s[np.argsort(np.minimum(known[0][a], known[1][b]), kind="stable")]
 
 
-def postings(docs: DataFrame, known: np.ndarray, hot: np.ndarray, parts: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, known: np.ndarray, hot: np.ndarray, parts: np.ndarray, buckets: int, k: int, percent: int, seed: int = 0) -> DataFrame:
     """Packed prefixes: for each slab and bucket one row with the tokens, sets, sizes and positions of its postings.
 
     The postings of a hot shingle are dealt out by set to its parts, so no bucket holds them all. Equal sets of a slab send theirs once.
@@ -158,7 +184,7 @@ def postings(docs: DataFrame, known: np.ndarray, hot: np.ndarray, parts: np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot, parts = sent.value
         for _, sets in _slabs(batches, k):
-            once = {set_id(s): s for s in sets if len(s)}
+            once = {set_id(s, seed): s for s in sets if len(s)}
             if not once:
                 continue
             size = np.array([len(s) for s in once.values()], np.int64)
@@ -182,219 +208,264 @@ def postings(docs: DataFrame, known: np.ndarray, hot: np.ndarray, parts: np.ndar
 
 
 def lists_of(table: pa.Table, hot: np.ndarray, percent: int) -> pa.Table:
-    """A bucket's lists of two sets or more (of hot shingles any, as their other parts are elsewhere): token, set, size, position. And for each set its best pivot in the bucket: x, p and the pivot's rank r."""
+    """What a bucket's lists leave open: pairs (a, b) of sets, and the members (g, cls, size) of groups in which every pair is to be compared.
+
+    A list is a group if it is dense (g is its least set, so lists with much the same sets give one group) or a part of a hot shingle's (g is the shingle).
+    """
     col = lambda n, t: np.frombuffer(b"".join(table.column(n).to_pylist()), t)
     token, cls, size, pos = col("token", np.uint64), col("cls", np.int64), col("size", np.int32), col("pos", np.int32)
-    order = np.lexsort((cls, token))
+    order = np.lexsort((cls, size, token))
     token, cls, size, pos = token[order], cls[order], size[order], pos[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # equal sets of other slabs
     token, cls, size, pos = token[new], cls[new], size[new], pos[new]
-    start = np.ones(len(token), bool)
-    start[1:] = token[1:] != token[:-1]
-    length = np.diff(np.append(np.flatnonzero(start), len(token)))
-    keep = (np.repeat(length, length) > 1) | np.isin(token, hot)
-    token, cls, size, pos = token[keep], cls[keep], size[keep], pos[keep]
-    x, p, r = pivots(token, cls, size, pos, percent)
-    n, m = len(token), len(x)
-    cols = {"token": token.view(np.int64), "cls": cls, "size": size, "pos": pos}
-    out = {k: pa.concat_arrays([pa.array(v), pa.nulls(m, pa.array(v).type)]) for k, v in cols.items()}
-    return pa.table(out | {k: pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(v)]) for k, v in (("x", x), ("p", p), ("r", r))})
+    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(token))[: len(begin)]
+    is_hot = np.isin(token[begin], hot)
+    stop = np.repeat(np.where(is_hot | (end - begin > BLOCK), 0, end), end - begin)
+    pairs, members = [], []
+    for d in range(1, BLOCK):  # lists of one block: entries d apart
+        i = np.flatnonzero(np.arange(len(token)) + d < stop)
+        i = i[possible(size[i], pos[i], size[i + d], pos[i + d], percent)]
+        pairs.append((i, i + d))
+    for a, b, whole in zip(*(x[is_hot | (end - begin > BLOCK)].tolist() for x in (begin, end, is_hot)), strict=True):
+        met, found = 0, []
+        if not whole:
+            for x, y in list_pairs(size[a:b], pos[a:b], percent):
+                found.append((x + a, y + a))
+                met += len(x)
+                if met > DENSE * (b - a):
+                    whole = True
+                    break
+        if whole:
+            members.append((np.full(b - a, token[a : a + 1].view(np.int64)[0] if np.isin(token[a], hot) else cls[a:b].min()), cls[a:b], size[a:b]))
+        else:
+            pairs += found
+    none = np.zeros(0, np.int64)
+    x, y = (np.concatenate([none, *(p[i] for p in pairs)]) for i in (0, 1))
+    u, v = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    first = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
+    g, c, n = (np.concatenate([none, *(x[i] for x in members)]).astype(np.int64) for i in range(3))
+    order = np.lexsort((c, g))
+    g, c, n = g[order], c[order], n[order]
+    once = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))[: len(g)]
+    u, v, g, c, n = u[first], v[first], g[once], c[once], n[once]
+    return pa.table({"a": pa.array(np.append(u, g)), "b": pa.array(np.append(v, c)), "n": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(n)])})
 
 
 def possible(sx: np.ndarray, px: np.ndarray, sy: np.ndarray, py: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets x and y, x not larger, with a common shingle at these positions may reach the threshold: the shingle is in x's index prefix, and what is left of both suffices."""
+    """Whether sets x and y, x not larger, with a common shingle at these positions may reach the threshold: sizes allow it, the shingle is in x's index prefix, and what is left of both suffices."""
     sx, sy, px, py = (v.astype(np.int64) for v in (sx, sy, px, py))
     need = -(-percent * (sx + sy) // (100 + percent))
-    return (px < index_prefix(sx, percent)) & (np.minimum(px, py) + 1 + np.minimum(sx - px, sy - py) - 1 >= need)
+    return (sx * 100 >= sy * percent) & (px < index_prefix(sx, percent)) & (np.minimum(px, py) + np.minimum(sx - px, sy - py) >= need)
 
 
-def pivots(token: np.ndarray, cls: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each set one pivot: of its lists' smallest sets the smallest that it may link with, so lists with the same sets agree."""
-    order = np.lexsort((cls, size, token))
-    token, cls, size, pos = token[order], cls[order], size[order], pos[order]
-    start = np.ones(len(token), bool)
-    start[1:] = token[1:] != token[:-1]
-    begin = np.flatnonzero(start)
-    at = np.repeat(begin, np.diff(np.append(begin, len(token))))
-    i = np.flatnonzero(~start)
-    p = at[i]
-    ok = (size[p].astype(np.int64) * 100 >= size[i].astype(np.int64) * percent) & possible(size[p], pos[p], size[i], pos[i], percent)
-    i, p = i[ok], p[ok]
-    rank = size[p].astype(np.int64) << 32 | (cls[p].view(np.uint64) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((rank, cls[i]))
-    i, p, rank = i[order], p[order], rank[order]
-    first = np.ones(len(i), bool)
-    first[1:] = cls[i[1:]] != cls[i[:-1]]
-    return cls[i[first]], cls[p[first]], rank[first]
-
-
-def list_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller, larger) of a list's entries, sorted by size, that may link and do not belong together yet.
+def list_pairs(size: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller, larger) of a list's entries, sorted by size, that may link.
 
     Entries stand in blocks. A block and the entries no smaller than its first are compared only if the block's largest size and least position leave that open.
     """
     n = len(size)
     for s in range(0, n, BLOCK):
         e = min(n, s + BLOCK)
-        most = np.searchsorted(size, size[e - 1] * 100 // percent, "right")
-        j = np.arange(s, most)
-        if not len(j):
-            continue
+        j = np.arange(s, np.searchsorted(size, size[e - 1] * 100 // percent, "right"))
         need = -(-percent * (size[s].astype(np.int64) + size[j]) // (100 + percent))
         least = int(pos[s:e].min())
         j = j[np.minimum(least, pos[j]) + np.minimum(int(size[e - 1]) - least, size[j] - pos[j]) >= need]  # the block's best case
         if not len(j):
             continue
         i = np.arange(s, e)
-        ok = (i[:, None] < j[None, :]) & (comp[i][:, None] != comp[j][None, :])
-        ok &= size[i][:, None].astype(np.int64) * 100 >= size[j][None, :].astype(np.int64) * percent
-        x, y = np.nonzero(ok)
+        x, y = np.nonzero(i[:, None] < j[None, :])
         x, y = i[x], j[y]
         good = possible(size[x], pos[x], size[y], pos[y], percent)
         yield x[good], y[good]
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(cls, s): the sets that are wanted (cls), from the texts of one document each."""
-    ids = written(wanted.distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")), "wanted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, 500):
-            sets = [s for s in (shingles(t, k) for t in texts(batch)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "s"])
-
-    return semi_by_id(docs, ids, "doc_id").mapInArrow(run, "cls long, s array<long>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link. Only the texts of sets that stand in a pair are read again."""
-    sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))), docs, classes, k)
-    first = pairs.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("s", "sb"), "b")
-    both = first.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("s", "sa"), "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-
+def linked_in_group(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest among a group's sets, every pair of different sides (or any, if there is one) considered.
 
-def linked_in_group(cls: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest among a group's sets, every pair of different sides (or any, if there is one) and components considered.
-
-    Sets are sorted by size and numbered; a set is compared at once with all smaller ones that may link with it: its shingles are marked, and each of those counts the marks it meets. Pairs that earlier links have joined are left out of the answer.
+    The overlaps of the first set with all others are counted through an inverted index. The next set is the one that differs least from the last; its overlaps are derived from the last one's through the lists of the shingles in which the two differ, if these are fewer than its own. Of two sides only the smaller one's sets are walked.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets, cls, comp, side = [sets[i] for i in order], cls[order], comp[order], side[order]
+    m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    off = np.concatenate([[0], np.cumsum(size)])
-    values, token = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(values), np.int8)
-    forest, out, one = Forest(), [], len(np.unique(side)) == 1
-    for i in range(1, len(sets)):
-        low = int(np.searchsorted(size, -(-size[i] * percent // 100)))
-        if low >= i:
-            continue
-        own = token[off[i] : off[i + 1]]
-        mark[own] = 1
-        common = np.add.reduceat(mark[token[off[low] : off[i]]], off[low:i] - off[low], dtype=np.int64)
-        mark[own] = 0
-        good = (100 * common >= percent * (size[i] + size[low:i] - common)) & (comp[low:i] != comp[i])
-        if not one:
-            good &= side[low:i] != side[i]
-        for j in (np.flatnonzero(good) + low).tolist():
-            if forest.join(int(comp[i]), int(comp[j])):
-                out.append((int(cls[i]), int(cls[j])))
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(m), size)
+    shared = np.bincount(token)[token] > 1  # the others meet nothing
+    token, owner = token[shared], owner[shared]
+    own = np.split(token, np.cumsum(np.bincount(owner, minlength=m))[:-1])
+    length = np.bincount(token, minlength=1)
+    begin = np.cumsum(length) - length
+    owner = owner[np.argsort(token, kind="stable")]
+
+    def met(tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set has."""
+        n = length[tokens]
+        return np.bincount(owner[np.repeat(begin[tokens] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=m)
+
+    sides = np.unique(side, return_counts=True)
+    left = side == sides[0][sides[1].argmin()] if len(sides[0]) > 1 else np.ones(m, bool)
+    small = np.array([len(t) for t in own], np.int64)
+    tree, out = np.arange(m), []
+    at, common = -1, np.zeros(m, np.int64)
+    for _ in range(int(left.sum())):
+        if at < 0:
+            z, gap = int(left.argmax()), np.inf
+        else:
+            gaps = np.where(left, small[at] + small - 2 * common, np.iinfo(np.int64).max)
+            z = int(gaps.argmin())
+            gap = gaps[z]
+        if gap < small[z]:
+            common = common + met(np.setdiff1d(own[z], own[at], assume_unique=True)) - met(np.setdiff1d(own[at], own[z], assume_unique=True))
+        else:
+            common = met(own[z])
+        at, left[z] = z, False
+        good = 100 * common >= percent * (size[z] + size - common)
+        if len(sides[0]) > 1:
+            good &= side != side[z]
+        good &= tree != tree[z]
+        if good.any():
+            others = np.flatnonzero(good)
+            trees, first = np.unique(tree[others], return_index=True)
+            out += [(int(cls[z]), int(cls[j])) for j in others[first]]
+            tree[np.isin(tree, trees)] = tree[z]
     return out
 
 
-def linked_in_groups(entries: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among the sets of long lists (token, cls, comp), without pairs as rows.
+def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave the threshold open, with b's size n."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
-    Lists that share sets form a group; its sets travel once. A group beyond GROUP sets is cut into chunks, and each pair of chunks is a task's work.
-    """
-    groups = connected_components(entries.groupBy("token").agg(F.min("cls").alias("low")).join(entries, "token").select("cls", "low"))
-    members = written(entries.select("cls", "comp").distinct().join(groups, F.col("cls") == F.col("node")).select("cls", "comp", F.col("component").alias("g")), "members")
-    parts = members.groupBy("g").agg((F.floor(F.count("*") / GROUP) + 1).cast("int").alias("parts"))
-    own = members.join(parts, "g").withColumn("own", F.pmod(F.xxhash64("cls", F.lit("group")), F.col("parts")).cast("int"))
-    pq = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("p"), F.greatest(F.col("own"), y).alias("q"))))
-    dealt = own.join(sets_of(members.select("cls"), docs, classes, k).dropDuplicates(["cls"]), "cls").withColumn("pq", pq)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = [x + y for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            apart = list(map(least_difference, batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+            # The overlap is (total - difference) / 2, so 100 o >= percent (total - o) is (100 + percent) (total - difference) >= 2 percent total.
+            open_ = [(100 + percent) * (t - d) >= 2 * percent * t for t, d in zip(total, apart, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3)], ["a", "b", "n"]).filter(pa.array(open_, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long, n long")
+
+
+def star_tasks(near: DataFrame) -> DataFrame:
+    """(cls, task) for pairs (a, b): a against the bs of a part, whose sets hold about SIDE shingles."""
+    parts = near.groupBy("a").agg((F.floor(F.sum("n") / SIDE) + 1).cast("int").alias("parts"))
+    task = lambda p, side: F.struct(F.col("a").alias("g"), F.lit(-1).alias("c"), p.alias("p"), F.lit(0).alias("q"), F.lit(side).alias("side"))
+    spokes = near.join(parts, "a").select(F.col("b").alias("cls"), task(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), 1).alias("task"))
+    hubs = parts.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("a").alias("cls"), task(F.col("p"), 0).alias("task"))
+    return spokes.unionByName(hubs)
+
+
+def group_tasks(members: DataFrame, percent: int) -> DataFrame:
+    """(cls, task) for the members (g, cls, n) of groups. A group whose sets hold more than SIDE shingles is cut: by size, so that only neighbouring classes can link, and within a class by set. A task holds one part, two of a class, or one each of neighbouring classes."""
+    step = 1.0001 * math.log(100 / percent)
+    rows = members.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    sums = rows.groupBy("g", "k").agg(F.sum("n").alias("n"))
+    groups = sums.groupBy("g").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("k", (F.floor(F.col("n") / SIDE) + 1).cast("int")))).alias("parts"))  # a few dozen classes
+    groups = groups.select("g", (F.col("all") > SIDE).alias("cut"), F.when(F.col("all") > SIDE, F.col("parts")).otherwise(F.create_map(F.lit(0), F.lit(1))).alias("parts"))
+    rows = rows.join(groups, "g").withColumn("k", F.when(F.col("cut"), F.col("k")).otherwise(0))
+    parts = lambda k: F.try_element_at("parts", k)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), parts(F.col("k"))).cast("int"))
+    # c is twice the class for tasks within it, one more for those with the next class.
+    task = lambda c, p, q, side: F.struct(F.col("g").alias("g"), c.cast("int").alias("c"), p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+    every = lambda n, made: F.when(n.isNull(), F.array()).otherwise(F.transform(F.sequence(F.lit(0), n - 1), made))
+    k, own = F.col("k"), F.col("own")
+    within = every(parts(k), lambda y: task(2 * k, F.least(own, y), F.greatest(own, y), own))
+    above = every(parts(k + 1), lambda y: task(2 * k + 1, own, y, F.lit(0)))
+    below = every(parts(k - 1), lambda y: task(2 * k - 1, y, own, F.lit(1)))
+    return rows.select("cls", F.explode(F.concat(within, above, below)).alias("task"))
+
+
+def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """The links (a, b) that the tasks (cls, task) find; among sets that others join already some are left out. Texts are read again for the sets that have a task, one document each; a set goes to each of its tasks once."""
+    wanted = written(tasks.groupBy("cls").agg(F.collect_set("task").alias("tasks")).join(classes.select("cls", "rep"), "cls"), "wanted")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 200):
+            got = [s for s in (shingles(t, k) for t in texts(batch)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s, seed) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["cls", "s"])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("s")]
-        links = linked_in_group(*(table.column(c).to_numpy() for c in ("cls", "comp")), sets, table.column("own").to_numpy(), percent)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        cls, first = np.unique(table.column("cls").to_numpy(), return_index=True)  # repeated rows
+        table = table.take(first)
+        found = linked_in_group(cls, [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()], table.column("side").to_numpy(), percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.select("g", F.col("pq.p").alias("p"), F.col("pq.q").alias("q"), "cls", "comp", "own", "s").groupBy("g", "p", "q").applyInArrow(run, "a long, b long")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text")
+    made = semi_by_id(keyed, wanted.select("rep").distinct(), "rep").mapInArrow(sets, "cls long, s binary")
+    few = (wanted.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= WANTED
+    dealt = made.join(F.broadcast(wanted) if few else wanted, "cls").select("cls", "s", F.explode("tasks").alias("t")).select("t.*", "cls", "s")
+    return dealt.groupBy("g", "c", "p", "q").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: two link when 100 x intersection >= percent x union of their sets; component_id is the smallest doc_id reachable by links.
-
-    Equal sets are one class. Documents without words (null, empty or white texts) have n_shingles 0 and link with nothing. Repeated rows are documents of a class. Where a doc_id is null, the component is its class's, or null for itself alone. Other columns of docs are ignored. Sets are compared by 64-bit hashes of shingles.
-    """
+def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
+    """Documents (doc_id, n, cls), the classes of equal sets (cls, root, rep) with each one's component (root, a set id) and smallest doc_id (NO_ID: none), and the seed of the set ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(described(rows, k), "described")
-    described_docs = seen.where("token is null and segment is null").select("doc_id", "n", "cls")
-    classes = written(described_docs.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    found = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= CHUNK).orderBy(F.desc("count"), "token").limit(HOT).collect()
-    hot = np.array(sorted((r.token, r["count"]) for r in found), np.int64).reshape(-1, 2)
+    for seed in range(8):
+        seen = written(described(rows, k, seed), "described")
+        found = seen.where("cls is not null").groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("twin").alias("twin"), F.max("twin").alias("other"))
+        classes = written(found, "classes")
+        if not classes.where("twin <> other").limit(1).count():
+            break  # else different sets share a number, which another seed tells apart
+    else:
+        raise RuntimeError("different sets share their numbers")
+    hottest = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= CHUNK).orderBy(F.desc("count"), "token").limit(HOT).collect()
+    hot = np.array(sorted((r.token, r["count"]) for r in hottest), np.int64).reshape(-1, 2)
     hot = hot[np.argsort(hot[:, 0].view(np.uint64))]
     tokens, parts = np.ascontiguousarray(hot[:, 0]).view(np.uint64), hot[:, 1] // CHUNK + 1
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total * (100 - percent) / 100 / BUCKET) + 1)
-    packed = postings(rows, frequencies(seen), tokens, parts, buckets, k, percent)
-    round1 = written(packed.groupBy("bucket").applyInArrow(lambda table: lists_of(table, tokens, percent), "token long, cls long, size int, pos int, x long, p long, r long"), "lists")
-    # First round: each set with one pivot.
-    best = round1.where("x is not null").groupBy("x").agg(F.min(F.struct("r", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("x").alias("b"))
-    known = connected_components(verified(written(best, "pairs"), rows, classes, k, percent))
-    # Second round: lists with sets that don't belong together yet.
-    labels = known if known.limit(LABELS + 1).count() > LABELS else F.broadcast(known)
-    lists = round1.where("token is not null").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "size", "pos", F.coalesce("component", "cls").alias("comp"))
-    open_ = written(lists.groupBy("token").agg(F.count("*").alias("len"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "len"), "open")
-    work = written(lists.join(F.broadcast(open_) if open_.limit(LABELS + 1).count() <= LABELS else open_, "token"), "work")
-    short = written(_cross_pairs(work.where(F.col("len") <= LONG), buckets, percent), "short")
-    more = verified(short, rows, classes, k, percent).unionByName(linked_in_groups(work.where(F.col("len") > LONG).select("token", "cls", "comp"), rows, classes, k, percent))
-    # Links between components, the components as nodes; then each node's component in two steps.
-    joined = connected_components(_relabelled(_relabelled(more, "a", labels), "b", labels)).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    old = known.join(joined, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
-    lone = joined.join(known, F.col("node") == joined["component"], "left_anti").select(F.col("component").alias("node"), F.col("final").alias("component"))
-    known = written(old.unionByName(lone), "components")
-    merged = known.join(classes, F.col("node") == F.col("cls"))
-    least = merged.groupBy("component").agg(F.min("rep").alias("least"))
-    table = merged.join(least, "component").select("node", "least")
-    table = classes.join(table, F.col("cls") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("least", "rep").alias("component_id"))
-    out = described_docs.join(table, F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _relabelled(links: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """The links with the set in a column replaced by its component."""
-    return links.join(labels, F.col(column) == F.col("node"), "left").withColumn(column, F.coalesce("component", column)).select("a", "b")
-
-
-def _cross_pairs(work: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """All pairs (a, b) of sets that share a list, may link and do not belong together."""
+    packed = postings(rows, frequencies(seen), tokens, parts, buckets, k, percent, seed)
+    open_ = written(packed.groupBy("bucket").applyInArrow(lambda table: lists_of(table, tokens, percent), "a long, b long, n long"), "open")
+    near = written(near_pairs(open_.where("n is null").select("a", "b").distinct(), classes, percent), "near")
+    members = open_.where("n is not null").select(F.col("a").alias("g"), F.col("b").alias("cls"), "n").distinct()
+    links = linked(star_tasks(near).unionByName(group_tasks(members, percent)), rows, classes, k, percent, seed)
+    known = connected_components(links)
+    table = classes.join(known, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("root"), "rep")
+    return seen.where("token is null and segment is null").select("doc_id", "n", "cls"), table, seed
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        token, cls, size, pos, comp = (table.column(c).to_numpy() for c in ("token", "cls", "size", "pos", "comp"))
-        order = np.lexsort((cls, size, token))
-        token, cls, size, pos, comp = (x[order] for x in (token, cls, size, pos, comp))
-        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        found = [np.zeros((2, 0), np.int64)]
-        for a, b in zip(begin, np.append(begin[1:], len(token)), strict=True):
-            for x, y in list_pairs(size[a:b], pos[a:b], comp[a:b], percent):
-                u, v = cls[a:b][x], cls[a:b][y]
-                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-        pairs = np.unique(np.concatenate(found, 1), axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-    dealt = work.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets * 4)))
-    return dealt.select("bucket", "token", "cls", "size", "pos", "comp").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: two link when 100 x intersection >= percent x union of their sets; component_id is the smallest doc_id reachable by links.
+
+    Equal sets are one class. Documents without words (null, empty or white texts) have n_shingles 0 and link with nothing. Repeated rows are documents of a class. Where a doc_id is null, the component is the smallest id that its text reaches, null if there is none. Other columns of docs are ignored. Shingles are compared by 64-bit hashes, sets told apart by 128 bits. The answer is the component: links between sets that others join already need not be found, and none are returned.
+    """
+    each, table, _ = components(docs, k, percent)
+    least = table.groupBy("root").agg(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))).alias("least"))
+    table = table.join(least, "root").select(F.col("cls").alias("c"), "least")
+    out = each.join(table, F.col("cls") == F.col("c"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that stand for their component: the one with the smallest doc_id; of rows that share it, one. Rows without doc_id stay."""
-    ids = jaccard_components(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    none = docs.where(F.col("doc_id").isNull())
+    """The rows of docs, all columns, that stand for their component: of its rows one with the smallest doc_id (of several sets under that id, the one with the least number; of repeated rows, one). Rows without doc_id stay, and so do rows without words (of those that share a doc_id, one).
+
+    Rows that share their doc_id with no other row are kept or dropped where they lie; only the others' texts are shuffled.
+    """
+    each, table, seed = components(docs, k, percent)
+    least = table.where(F.col("rep") != NO_ID).groupBy("root").agg(F.min(F.struct("rep", "cls")).alias("least")).select("least.*")
+    least = written(least, "kept")
+    empty = each.where("cls is null and doc_id is not null").select(F.col("doc_id").alias("rep"), F.lit(None).cast("long").alias("cls"))
+    repeated = written(each.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
     got = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    return semi_by_id(got, written(ids, "kept"), "__id").dropDuplicates(["__id"]).drop("__id").unionByName(none)
+    ids = least.unionByName(empty).select(F.col("rep").alias("__id")).distinct().join(repeated, "__id", "left_anti")
+    out = semi_by_id(got, written(ids, "ids"), "__id").unionByName(got.where("__id is null"))
+    if repeated.limit(1).count():
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rebatched(batches, 200):
+                got = [shingles(t, k) for t in texts(batch, "__text")]
+                ids = pa.array([set_id(s, seed) if len(s) else None for s in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "__cls"])
+
+        some = semi_by_id(got, repeated, "__id").select(*got.columns).withColumn("__text", F.col("text").cast("string"))
+        some = some.mapInArrow(sets, StructType([*got.schema.fields, StructField("__cls", LongType())]))
+        white = some.where("__cls is null").drop("__cls").dropDuplicates(["__id"])
+        least = least.select(F.col("rep").alias("__rep"), F.col("cls").alias("__least"))
+        some = some.join(least, (F.col("__id") == F.col("__rep")) & (F.col("__cls") == F.col("__least"))).dropDuplicates(["__id", "__cls"]).select(*got.columns)
+        out = out.unionByName(some).unionByName(white)
+    return out.drop("__id")
 
 
 #: The same rows from all pairs of sets that share a shingle.

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -246,7 +247,6 @@ def test_mix_is_native(spark, odd):
 
 def test_token_files(spark, odd, nothing):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     manifest = tokenfiles.write_token_files(odd, JSON)
     rows = tokenfiles.read_token_files(manifest).collect()
     want, start = [], 0
@@ -272,7 +272,7 @@ def test_pieces(text):
     whole = pattern.findall(text)
     assert [m for p in pieces for m in pattern.findall(p)] == whole
     assert [m for p in pieces for m in pretokens.pretokens(p, pattern.findall)] == whole
-    if (marked := pretokens.marks(text)) is not None:
+    if (marked := pretokens.marks(pa.array([text], pa.large_string()))[0].as_py()) is not None:
         assert [m for p in marked.split(pretokens.MARK) for m in pattern.findall(p)] == whole
 
 
@@ -409,9 +409,10 @@ def test_jaccard(spark, seed):
     assert got == brute_components(docs)
 
 
-def test_jaccard_in_small_chunks(spark, monkeypatch):
-    """Long lists cut into chunks, hot shingles dealt by set, and small slabs, as at scale."""
-    for name, value in (("CHUNK", 4), ("SLAB", 400), ("HOT_IN_SLAB", 3), ("BLOCK", 4), ("LONG", 5), ("GROUP", 6)):
+@pytest.mark.parametrize("dense", [0, 100])
+def test_jaccard_in_small_chunks(spark, monkeypatch, dense):
+    """Groups cut by size and set, stars in parts, hot shingles dealt by set, joins without broadcasts and small slabs, as at scale."""
+    for name, value in (("CHUNK", 4), ("SLAB", 400), ("HOT_IN_SLAB", 3), ("BLOCK", 4), ("DENSE", dense), ("SIDE", 300), ("WANTED", 0)):
         monkeypatch.setattr(jaccard, name, value)
     docs = near_copies(5, groups=6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -428,6 +429,46 @@ def test_jaccard_on_odd_rows(spark, odd, nothing):
     assert jaccard.jaccard_components(nothing).count() == 0 and jaccard.one_of_each(nothing).count() == 0
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_derived_answers(sides):
+    """Overlaps that are derived from a similar set's give the links of all pairs."""
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 400, 60)) for _ in range(4)]
+    sets = [np.unique(np.append(rng.permutation(base[i % 4])[: int(rng.integers(30, 60))], rng.integers(0, 10_000, int(rng.integers(0, 9))))).astype(np.uint64) for i in range(60)]
+    side = np.arange(60) // 7 % sides
+    forest = graph.Forest()
+    for a, b in jaccard.linked_in_group(np.arange(60), sets, side, 75):
+        n = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and (sides == 1 or side[a] != side[b]) and forest.join(a, b)
+    for a in range(60):
+        for b in range(a):
+            n = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and (sides == 1 or side[a] != side[b]):
+                assert forest.root(a) == forest.root(b)
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.integers(0, 300))
+def test_bitmaps_bound_the_difference(x, y, n):
+    y |= set(sorted(x)[:n])
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+    assert jaccard.least_difference(jaccard.bitmap(a), jaccard.bitmap(b)) <= len(x ^ y)
+    assert jaccard.least_difference(jaccard.bitmap(a), jaccard.bitmap(a)) == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    """Unlike texts under one id all stay; a row goes only if its own text is a copy."""
+    words = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[0]), (3, words[2]), (3, words[2]), (4, words[3]), (None, words[3]), (5, ""), (5, "")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(1, words[0]), (1, words[1]), (3, words[2]), (4, words[3]), (None, words[3]), (5, "")], key=str)
+
+
+def test_jaccard_links_rows_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (7, " ".join([*words, "more"])), (None, " ".join(["other", *words]))]
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(None, 7), (7, 7)}
+
+
 def test_prefixes_are_long_enough():
     n = np.arange(1, 300)
     assert (jaccard.index_prefix(n, 75) <= jaccard.probe_prefix(n, 75)).all() and (jaccard.index_prefix(n, 75) >= 1).all()
