@@ -59,8 +59,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     w = quality_weight(F.col("text"), F.col("__size"))
     rows = docs.withColumns({"__size": size, "__source": F.col("source").cast("string"), "__id": F.col("doc_id").cast("long")})
     rows = rows.withColumn("__key", -F.log(uniform(F.col("__id"))) / w)
-    # 1 - exp(-key) is in (0, 1) and grows with the key.
-    return rows.withColumn("__span", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("__key"))) * RANGES)).cast("int"))
+    # Grows with the key from 0 to 1. A document of weight w is below a key with a chance of 1 - exp(-key w); the mean over three weights leaves no range with more than about three times its share of a source.
+    below = 1 - (F.exp(-F.col("__key")) + F.exp(-F.col("__key") / 2) + F.exp(-F.col("__key") / 4)) / 3
+    return rows.withColumn("__span", F.least(F.lit(RANGES - 1), F.floor(below * RANGES)).cast("int"))
 
 
 def source_plan(rows: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
@@ -76,7 +77,7 @@ def source_plan(rows: DataFrame, weights: tuple[int, ...], share: float, cap: in
     ends = begins.join(plan.select("source", "rest"), F.col("__source").eqNullSafe(F.col("source"))).where("begin < rest").groupBy("__source").agg(F.max(F.struct("__span", "begin")).alias("e"))
     ends = ends.select(F.col("__source").alias("end_source"), F.col("e.__span").alias("end_span"), F.col("e.begin").alias("begin"))
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    plan = plan.select(*(F.col(c).alias(f"__plan_{c}") for c in plan.columns))
+    plan = written(plan.select(*(F.col(c).alias(f"__plan_{c}") for c in plan.columns)), "plan")
     return F.broadcast(plan) if plan.limit(SOURCE_ROWS + 1).count() <= SOURCE_ROWS else plan
 
 
