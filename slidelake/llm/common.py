@@ -63,17 +63,25 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
-def sampled_by_class(df: DataFrame, cls: str, key: str, per_class: int, classes: int = 256) -> DataFrame:
-    """A sample for fitting: about per_class rows of each value of cls (of the `classes` most frequent ones), chosen by a hash of the key, so reruns agree.
+def sampled_by_class(df: DataFrame, cls: str, key: str, per_class: int, classes: int = 1024) -> tuple[DataFrame, dict]:
+    """A sample for fitting: about per_class keys of each value of cls, chosen by a hash of the key, so reruns agree. And for each value how many rows of df a sampled one stands for.
 
-    The share for each class comes from a count over all rows; no row order and no partitioning play a part.
+    The share for each class comes from a count over all rows; no row order and no partitioning play a part. No class is left out: more than `classes` of them are an error.
     """
-    counts = df.groupBy(cls).count().orderBy(F.desc("count"), cls).limit(classes).collect()
+    counts = {r[0]: r["count"] for r in df.groupBy(cls).count().limit(classes + 1).collect()}
+    if len(counts) > classes:
+        raise ValueError(f"more than {classes} values of {cls}")
+    weights = {c: max(1.0, n / per_class) for c, n in counts.items()}
+    if not weights:
+        return df.limit(0), weights
     u = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    take = F.lit(False)
-    for row in counts:
-        take = take | ((F.col(cls) == F.lit(row[0])) & (u < min(1.0, per_class / row["count"])))
-    return df.where(take)
+    share = F.create_map(*(F.lit(x) for c in sorted(weights) for x in (c, 1 / weights[c])))
+    return df.where(u < F.try_element_at(share, F.col(cls))), weights
+
+
+def one_text_an_id(df: DataFrame, cls: str) -> DataFrame:
+    """doc_id, cls and text: of rows that share id and class one, the least text, so that a sample of ids is a sample of rows."""
+    return df.groupBy("doc_id", cls).agg(F.min("text").alias("text")).select("doc_id", cls, "text")
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, rebatched, sampled_by_class, texts
+from .common import fold, one_text_an_id, rebatched, sampled_by_class, texts
 
 BITS = 15
 SIDE = 1 << BITS
@@ -68,43 +68,59 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1, epochs: int = 3) -> np.ndarray:
-    """FTRL-proximal over the rows: each step touches a row's own coordinates; l1 keeps weights at zero, l2 shrinks them."""
-    z, n = np.zeros((SIDE, classes)), np.zeros((SIDE, classes))
+    """FTRL-proximal over the rows: each step touches a row's own coordinates; l1 keeps weights at zero, l2 shrinks them. State is held for the buckets that some row has."""
+    met = np.unique(np.concatenate([idx for idx, _, _ in rows])) if rows else np.zeros(0, np.int64)
+    z, n = np.zeros((len(met), classes)), np.zeros((len(met), classes))
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
         for idx, val, y in rows:
-            zi, ni = z[idx], n[idx]
+            at = np.searchsorted(met, idx)
+            zi, ni = z[at], n[at]
             w = weights(zi, ni)
             p = _softmax(val @ w)
             p[y] -= 1
             g = val[:, None] * p[None, :]
-            z[idx] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
-            n[idx] = ni + g * g
-    return weights(z, n)
+            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
+            n[at] = ni + g * g
+    out = np.zeros((SIDE, classes), np.float32)
+    out[met] = weights(z, n)
+    return out
+
+
+#: Natural logarithms of the temperatures that are searched.
+COLDEST, HOTTEST = -8.0, 5.0
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the logits with the least log loss, by golden section on its logarithm."""
+    """The divisor of the logits with the least log loss, by golden section on its logarithm. As in Platt's scaling the rows are taken to be right one time less than always, 1 in n + 2, so the least loss is at a finite temperature even where all of them are."""
+    n, k = logits.shape
+    if k < 2:
+        return 1.0
+    target = np.full((n, k), 1 / (n + 2) / (k - 1))
+    target[np.arange(n), y] = 1 - 1 / (n + 2)
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(z).sum(axis=1)) - (target * z).sum(axis=1)).mean())
 
-    lo, hi, g = -3.0, 2.0, 0.6180339887498949
-    for _ in range(40):
+    lo, hi, g = COLDEST, HOTTEST, 0.6180339887498949
+    for _ in range(60):
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
-    return float(np.exp((lo + hi) / 2))
+    t = (lo + hi) / 2
+    if not COLDEST + 0.01 < t < HOTTEST - 0.01:
+        raise RuntimeError(f"no temperature between exp({COLDEST}) and exp({HOTTEST}) fits")
+    return float(np.exp(t))
 
 
 def fit_language_id(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learns from text and non-null lang of the documents whose fold (crc32 of the id modulo 3) is not 1.
 
-    Document frequencies count all of them: each task adds up its own and sends one row per bucket it met. The regression sees about `rows` of them for each language, chosen by hash; their texts go to the driver as sparse vectors.
+    Document frequencies count all of them: each task adds up its own and sends one row per bucket it met. The regression sees about `rows` of them for each language, chosen by hash (of rows that share id and language, the least text); their texts go to the driver as sparse vectors, a third of them set aside for the temperature. More than 1024 languages are an error; none is left out.
     """
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -133,13 +149,14 @@ def fit_language_id(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
         model = Model([], idf, np.zeros((0, 0)))
         for batch in rebatched(batches, 200):
             got = [model.vector(t) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f8").tobytes() for _, v in got], pa.binary())], ["doc_id", "lang", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())], ["doc_id", "lang", "idx", "val"])
 
-    got = sampled_by_class(learn, "lang", "doc_id", rows).mapInArrow(vectors, "doc_id long, lang string, idx binary, val binary").collect()
+    sample, _ = sampled_by_class(learn, "lang", "doc_id", rows)
+    got = list(one_text_an_id(sample, "lang").mapInArrow(vectors, "doc_id long, lang string, idx binary, val binary").toLocalIterator())
     langs = sorted({r.lang for r in got})
     at = {x: i for i, x in enumerate(langs)}
     got.sort(key=lambda r: (crc32(f"order {r.doc_id}".encode()), r.doc_id, r.lang, bytes(r.idx)))
-    data = [(np.frombuffer(r.idx, "<i4"), np.frombuffer(r.val, "<f8"), at[r.lang], crc32(f"aside {r.doc_id}".encode()) % 5 == 0) for r in got]
+    data = [(np.frombuffer(bytes(r.idx), "<i4"), np.frombuffer(bytes(r.val), "<f4"), at[r.lang], crc32(f"aside {r.doc_id}".encode()) % 3 == 0) for r in got]
     if not data:
         return Model([], idf, np.zeros((SIDE, 0)))
     seen, aside = [d[:3] for d in data if not d[3]] or [d[:3] for d in data], [d[:3] for d in data if d[3]]

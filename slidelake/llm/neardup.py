@@ -1,10 +1,13 @@
 """Embedding near-duplicates: a subspace pigeonhole join.
 
-Unit vectors are rotated and cut into blocks of few dimensions. Two vectors with cosine c lie at squared distance 2 - 2c; in at least one block they are within the block's share of that. So each block is range-joined under its share, by cells along the block's first coordinate, and what any block finds is verified on the vectors themselves.
+Unit vectors are rotated and cut into blocks of few dimensions. Two vectors with cosine c lie at squared distance 2 - 2c; going round the blocks from some first one, the distance so far never exceeds the share of that many blocks. So each block is range-joined under its share, the blocks after it cut down what it finds, and the union of what is left is verified exactly.
+
+Vectors travel as codes, rotated coordinates in 16 bits. What rounding can do to a distance is bounded: a pair below the bound links, a pair above it does not, and the few between are verified on the vectors themselves, in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rebatched, written
-from .graph import Forest, connected_components
+from .graph import connected_components
 
-BLOCKS = 4
-#: A cell with more vectors is cut into chunks of about this many; each pair of chunks is a task's work.
-CHUNK = 12_000
-TILE = 1024
-#: Added to squared distances of the filter, which is in single precision; half of it to those that decide, in double precision.
-SLACK = 1e-5
+#: Dimensions of a block; blocks at most (their dimensions grow beyond).
+DIMS, BLOCKS = 4, 16
+#: A code is a coordinate, -1 to 1, times this.
+SCALE = 32_767
+#: Vectors of a region of a block, about. A block has no more regions than REGIONS; their borders come from about SAMPLE vectors a region.
+CHUNK, REGIONS, SAMPLE = 65_536, 8_192, 32
+#: Vectors of a leaf, within a task: a 512th of all, between these.
+LEAF = 4, 32
+#: Pairs that are verified together.
+PAIRS = 100_000
+#: Added to squared distances in single precision, so that they never decide against a pair.
+SLACK = 1e-6
 
 
 def rotation(dim: int, seed: int = 20) -> np.ndarray:
@@ -30,9 +39,9 @@ def rotation(dim: int, seed: int = 20) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def splits(dim: int, blocks: int) -> list[slice]:
-    """Blocks as equal as may be; none is empty."""
-    edges = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
+def splits(dim: int, blocks: int = BLOCKS) -> list[slice]:
+    """Blocks of about DIMS dimensions, `blocks` of them at most, as equal as may be."""
+    edges = np.linspace(0, dim, min(blocks, -(-dim // DIMS)) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -63,104 +72,215 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def block_links(a: dict, b: dict | None, j: int, parts: list[slice], budgets: list[float], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into a, into b; b None: pairs within a) that link and whose first block within budget is j.
+def codes(v: np.ndarray) -> np.ndarray:
+    """The codes of the rows of v at length 1, rotated."""
+    return np.rint(unit(v) @ rotation(v.shape[1]) * SCALE).astype(np.int16)
 
-    Tiles of the block's distances come from one matrix product; survivors are verified in double precision. Where a tile keeps many, its cosines come from a product as well.
-    """
-    own = b is None
-    b = a if own else b
-    pa_, pb = a["r"][:, parts[j]], b["r"][:, parts[j]]
-    na, nb = (pa_ * pa_).sum(1), (pb * pb).sum(1)
-    for s in range(0, len(pa_), TILE):
-        for t in range(s if own else 0, len(pb), 4 * TILE):
-            x, y = pa_[s : s + TILE], pb[t : t + 4 * TILE]
-            d = na[s : s + TILE, None] + nb[None, t : t + 4 * TILE] - 2 * (x @ y.T)
-            i, k = np.nonzero(d <= budgets[j] + SLACK)
-            i, k = i + s, k + t
+
+def bounds(dim: int, least: float) -> tuple[int, int]:
+    """Squared distances of codes: up to the first a pair links for sure, beyond the second it does not. A code is off by half a unit in each dimension at most."""
+    reach, off = math.sqrt(max(0.0, 2 - 2 * least)) * SCALE, math.sqrt(dim) + 1e-4
+    return math.floor((reach - off) ** 2) if reach > off else -1, math.ceil((reach + off) ** 2)
+
+
+class Regions:
+    """A block's space cut in halves by coordinates, level by level, at the medians of a sample: 2 ** levels regions. A vector's own region is its home; it visits those that come within reach of it."""
+
+    def __init__(self, sample: np.ndarray, levels: int):
+        self.levels = levels
+        self.axis, self.cut = np.zeros(1 << levels, np.int64), np.zeros(1 << levels)
+        held = {1: sample}
+        for node in range(1, 1 << levels):
+            x = held.pop(node)
+            spread = x.max(0) - x.min(0) if len(x) else np.zeros(sample.shape[1])
+            a = self.axis[node] = int(spread.argmax())
+            c = self.cut[node] = float(np.median(x[:, a])) if len(x) else 0.0
+            held[2 * node], held[2 * node + 1] = x[x[:, a] < c], x[x[:, a] >= c]
+
+    def visits(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (vector, region, whether it is the home) of the vectors x."""
+        at, node, home = np.arange(len(x)), np.ones(len(x), np.int64), np.ones(len(x), bool)
+        gap = np.zeros(x.shape)
+        for _ in range(self.levels):
+            a, c = self.axis[node], self.cut[node]
+            away = x[at, a] - c
+            right = away >= 0
+            far = gap.copy()
+            far[np.arange(len(at)), a] = np.maximum(far[np.arange(len(at)), a], np.abs(away))
+            near = (far * far).sum(1) <= reach * reach
+            node, home = np.concatenate([2 * node + right, (2 * node + ~right)[near]]), np.concatenate([home, np.zeros(near.sum(), bool)])
+            at, gap = np.concatenate([at, at[near]]), np.concatenate([gap, far[near]])
+        return at, node - (1 << self.levels), home
+
+
+def leaves(x: np.ndarray) -> np.ndarray:
+    """Indices of the rows of x, a leaf a row: halves of halves along the widest coordinate, about LEAF rows; -1 where a leaf has one row less than others."""
+    held, most = [np.arange(len(x))], min(max(LEAF[0], len(x) // 512), LEAF[1])
+    while max(len(held[0]), len(held[-1])) > most:
+        halves = []
+        for s in held:
+            a = int((x[s].max(0) - x[s].min(0)).argmax())
+            parts, half = np.argpartition(x[s, a], len(s) // 2), len(s) // 2
+            halves += [s[parts[:half]], s[parts[half:]]]
+        held = halves
+    width = max(map(len, held))
+    return np.stack([s if len(s) == width else np.append(s, np.full(width - len(s), -1)) for s in held])
+
+
+def range_join(a: np.ndarray, b: np.ndarray | None, j: int, parts: list[slice], share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into a, into b; b None: pairs within a) of codes whose distance in block j may be within a share, and in it and the next within two. Leaves whose boxes lie further apart are not compared."""
+    own, b = b is None, a if b is None else b
+    if not len(a) or not len(b):
+        return
+    blocks = [parts[j], parts[(j + 1) % len(parts)]][: len(parts)]
+    budget = np.float32(share / SCALE**2 + SLACK)
+    mine = leaves(a[:, parts[j]].astype(np.float32))
+    theirs = mine if own else leaves(b[:, parts[j]].astype(np.float32))
+
+    def placed(x: np.ndarray, leaf: np.ndarray, p: slice, blank: float) -> np.ndarray:
+        """The coordinates of a block by leaf; blank where there is no row."""
+        out = x[leaf][:, :, p].astype(np.float32) / np.float32(SCALE)
+        out[leaf < 0] = blank
+        return out
+
+    # What stands for no row is as far away as it gets: 4 in each dimension from any row, 8 from its like.
+    left, right = [placed(a, mine, p, 4) for p in blocks], [placed(b, theirs, p, -4) for p in blocks]
+    low = placed(b, theirs, parts[j], 4).min(1), placed(a, mine, parts[j], 4).min(1)
+    high = right[0].max(1), placed(a, mine, parts[j], -4).max(1)
+    some = max(1, (1 << 21) // len(theirs))  # leaves at a time
+    many = max(1, (1 << 20) // (mine.shape[1] * theirs.shape[1]))  # pairs of leaves at a time
+    for s in range(0, len(mine), some):
+        gap = np.maximum(np.maximum(low[1][s : s + some, None] - high[0][None], low[0][None] - high[1][s : s + some, None]), 0)
+        p, q = np.nonzero((gap * gap).sum(2) <= budget)
+        p += s
+        if own:
+            p, q = p[p <= q], q[p <= q]
+        for t in range(0, len(p), many):
+            u, v = p[t : t + many], q[t : t + many]
+            good, so_far = None, None
+            for n, (x, y) in enumerate(zip(left, right, strict=True), 1):
+                x, y = x[u], y[v]
+                d = (x * x).sum(2)[:, :, None] + (y * y).sum(2)[:, None, :] - 2 * (x @ y.transpose(0, 2, 1))
+                so_far = d if so_far is None else so_far + d
+                good = so_far <= n * budget if good is None else good & (so_far <= n * budget)
             if own:
-                i, k = i[i < k], k[i < k]
-            for p in range(0, len(i), 50_000):
-                ii, kk = i[p : p + 50_000], k[p : p + 50_000]
-                good = np.einsum("nd,nd->n", a["u"][ii], b["u"][kk]) >= least
-                ii, kk = ii[good], kk[good]
-                for q in (j, *range(j)):  # within this block, and not counted in an earlier one: the same test in all
-                    diff = a["r"][ii][:, parts[q]].astype(np.float64) - b["r"][kk][:, parts[q]]
-                    stays = ((diff * diff).sum(1) <= budgets[q] + SLACK / 2) == (q == j)
-                    ii, kk = ii[stays], kk[stays]
-                if len(ii):
-                    yield ii, kk
-
-
-def near_duplicates(vectors: DataFrame, least: float = 0.9, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+                good &= (u != v)[:, None, None] | np.triu(np.ones(good.shape[1:], bool), 1)
+            w, x, y = np.nonzero(good)
+            if len(w):
+                yield mine[u[w], x], theirs[v[w], y]
+
+
+def block_links(a: np.ndarray, b: np.ndarray | None, j: int, parts: list[slice], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of codes that link or may, and whether they do for sure, for those whose first block from which the ring of blocks stays within its shares is j."""
+    sure, most = bounds(a.shape[1], least)
+    other = a if b is None else b
+    dims = np.array([p.stop - p.start for p in parts])
+    edges, shares = [p.start for p in parts], [most * np.cumsum(np.roll(dims, -q)) for q in range(len(parts))]
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def verified() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, k = (np.concatenate([w[x] for w in waiting]) for x in (0, 1))
+        waiting.clear()
+        diff = a[i].astype(np.int64) - other[k]
+        d = np.add.reduceat(diff * diff, edges, axis=1)
+        keep = d.sum(1) <= most
+        i, k, d = i[keep], k[keep], d[keep]
+        within = lambda q, d: (np.cumsum(np.roll(d, -q, axis=1), axis=1) * a.shape[1] <= shares[q]).all(1)
+        keep = within(j, d)
+        for q in range(j):
+            keep &= ~within(q, d)
+        return i[keep], k[keep], d[keep].sum(1) <= sure
+
+    n = 0
+    for i, k in range_join(a, b, j, parts, most * int(dims.max()) / a.shape[1]):
+        waiting.append((i, k))
+        n += len(i)
+        if n >= PAIRS:
+            yield verified()
+            n = 0
+    if waiting:
+        yield verified()
+
+
+def joined_labels(label: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The labels, each a smaller index of its tree, after the pairs (i, k) have joined their trees."""
+    while True:
+        x, y = label[i], label[k]
+        apart = x != y
+        if not apart.any():
+            return label
+        i, k, x, y = i[apart], k[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector: how many others have a cosine of `least` or more with it, and the smallest vec_id reachable by such links.
 
-    Equal vectors are joined as one, with a count, so copies are never paired. Vectors that are null, zero, or hold null or non-finite components have no links; vectors link only within a dimension. A cell's vectors go, with the next cell's as visitors, to tasks of at most two chunks. A task sends counts by vector and the links of a spanning forest, not pairs. Rows with a null id are returned without links; repeated ids are taken as copies of their own vector only if their vectors are equal, and share what is found for the id.
+    Equal vectors are joined as one, with a count, so copies are never paired. Vectors that are null, zero, or hold null or non-finite components have no links; vectors link only within a dimension. A block with more than `chunk` vectors is cut into regions at medians of a bounded sample (they deal out the work and change no result); a vector goes to its home and, for the pairs across a border, to a task with each region within reach. A task sends counts by vector, a label for each vector's tree and the pairs that rounding leaves open, not the links as pairs. Rows with a null id are returned without links; repeated ids are taken as copies of their own vector only if their vectors are equal, and share what is found for the id.
     """
-    spark = vectors.sparkSession
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     members = written(usable(vectors).withColumn("h", F.sha2("v", 256)), "vectors")
-    groups = members.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("d").alias("d"))
+    groups = members.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.max("v").alias("v"), F.first("d").alias("d"))
     groups = written(groups, "groups")
+    regions: dict[int, list[Regions]] = {}
+    for row in groups.groupBy("d").count().collect():  # a row a dimension
+        levels = min(max(0, math.ceil(math.log2(row["count"] / chunk))), REGIONS.bit_length() - 1)
+        if levels:
+            share = (SAMPLE << levels) / row["count"]
+            got = groups.where((F.col("d") == row.d) & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("v").collect()
+            x = codes(np.frombuffer(b"".join(r.v for r in got), np.float64).reshape(-1, row.d))
+            regions[row.d] = [Regions(x[:, p].astype(np.float64), levels) for p in splits(row.d)]
+    sent = vectors.sparkSession.sparkContext.broadcast(regions)  # 16 B for each region of a block
 
-    def rotated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches):
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 500):
             for dim in set(batch.column("d").to_pylist()):
                 own = batch.filter(pa.compute.equal(batch.column("d"), dim))
-                u = unit(np.frombuffer(b"".join(own.column("v").to_pylist()), np.float64).reshape(-1, dim))
-                r = (u @ rotation(dim)).astype(np.float32)
-                cells = np.stack([np.floor(r[:, p.start] / np.sqrt(2 * (1 - least) * (p.stop - p.start) / dim + SLACK)) for p in splits(dim, blocks)], 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("copies"), own.column("d"), pa.array([x.tobytes() for x in u], pa.binary()), pa.array([x.tobytes() for x in r], pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["rep", "copies", "d", "u", "r", "cells"])
-
-    points = written(groups.select("rep", "copies", "v", "d").mapInArrow(rotated, "rep long, copies long, d int, u binary, r binary, cells array<int>"), "points")
-    placed = points.select("*", F.posexplode("cells").alias("j", "cell"))
-    # Cells have the width of their block's range and unit vectors lie in [-1, 1]: a few dozen rows for each dimension.
-    sizes = placed.groupBy("d", "j", "cell").count().withColumn("parts", F.ceil(F.col("count") / chunk).cast("int")).select("d", "j", F.col("cell").alias("c"), "parts")
-    pick = lambda n: F.pmod(F.xxhash64("rep", F.lit("chunk")), n).cast("int")
-    home = F.broadcast(sizes)
-    homes = placed.join(home, (placed["d"] == home["d"]) & (placed["j"] == home["j"]) & (placed["cell"] == home["c"])).drop(home["d"], home["j"]).withColumn("own", pick(F.col("parts")))
-    # A pair of chunks (p <= q) of the cell: a home vector in chunk x takes part in all with p = x or q = x.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda y: F.struct(F.least(F.col("own"), y).alias("p"), F.greatest(F.col("own"), y).alias("q")))
-    inner = homes.withColumn("pq", F.explode(pairs)).select("d", "j", "cell", F.col("pq.p").alias("p"), F.col("pq.q").alias("q"), F.lit(False).alias("guest"), "own", "rep", "copies", "u", "r")
-    # Guests from the next cell: home chunk p against guest chunk q, told apart by q + parts of the home cell.
-    near = F.broadcast(sizes.withColumnRenamed("parts", "home_parts").withColumnRenamed("d", "hd").withColumnRenamed("j", "hj").withColumnRenamed("c", "hc"))
-    guests = homes.join(near, (F.col("d") == F.col("hd")) & (F.col("j") == F.col("hj")) & (F.col("cell") - 1 == F.col("hc")))
-    guests = guests.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("home_parts") - 1))).select("d", "j", F.col("hc").alias("cell"), "p", (F.col("own") + F.col("home_parts")).alias("q"), F.lit(True).alias("guest"), "own", "rep", "copies", "u", "r")
-    after = F.broadcast(sizes.withColumnRenamed("parts", "guest_parts").withColumnRenamed("d", "hd").withColumnRenamed("j", "hj").withColumnRenamed("c", "hc"))
-    hosts = homes.join(after, (F.col("d") == F.col("hd")) & (F.col("j") == F.col("hj")) & (F.col("cell") + 1 == F.col("hc")))
-    hosts = hosts.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("guest_parts") - 1))).select("d", "j", "cell", F.col("own").alias("p"), (F.col("g") + F.col("parts")).alias("q"), F.lit(False).alias("guest"), "own", "rep", "copies", "u", "r")
-    work = inner.unionByName(guests).unionByName(hosts)
+                x = codes(np.frombuffer(b"".join(own.column("v").to_pylist()), np.float64).reshape(-1, dim))
+                packed = pa.array([r.tobytes() for r in x], pa.binary())
+                for j, p in enumerate(splits(dim)):
+                    at, leaf = np.arange(len(x)), np.zeros(len(x), np.int64)
+                    other = leaf
+                    if dim in sent.value:
+                        reach = math.sqrt(bounds(dim, least)[1] * max(q.stop - q.start for q in splits(dim)) / dim) + 1
+                        at, other, is_home = sent.value[dim][j].visits(x[:, p].astype(np.float64), reach)
+                        home = np.zeros(len(x), np.int64)
+                        home[at[is_home]] = other[is_home]
+                        leaf = home[at]
+                    n = len(at)
+                    take = pa.array(at)
+                    cols = [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, j, np.int32)), pa.array(np.minimum(leaf, other).astype(np.int32)), pa.array(np.maximum(leaf, other).astype(np.int32)), pa.array(leaf.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*cols, own.column("rep").take(take), own.column("copies").take(take), packed.take(take)], ["d", "j", "p", "q", "leaf", "rep", "copies", "code"])
+
+    work = groups.select("rep", "copies", "v", "d").mapInArrow(dealt, "d int, j int, p int, q int, leaf int, rep long, copies long, code binary")
 
     def joined(key: tuple, table: pa.Table) -> pa.Table:
-        dim, j, _, p, q = (x.as_py() for x in key)
-        parts = splits(dim, blocks)
-        budgets = [2 * (1 - least) * (s.stop - s.start) / dim for s in parts]
-
-        def side(mask: np.ndarray) -> dict:
-            own = table.filter(pa.array(mask))
-            return {"rep": own.column("rep").to_numpy(), "n": own.column("copies").to_numpy(), "u": np.frombuffer(b"".join(own.column("u").to_pylist()), np.float64).reshape(-1, dim), "r": np.frombuffer(b"".join(own.column("r").to_pylist()), np.float32).reshape(-1, dim)}
-
-        guest, own = table.column("guest").to_numpy(zero_copy_only=False), table.column("own").to_numpy()
-        if guest.any():
-            a, b = side(~guest), side(guest)
-        elif p == q:
-            a, b = side(np.ones(len(guest), bool)), None
+        dim, j, p, q = (x.as_py() for x in key)
+        leaf, rep, n = (table.column(c).to_numpy() for c in ("leaf", "rep", "copies"))
+        x = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int16).reshape(-1, dim)
+        if p == q:
+            left = right = np.arange(len(x))
         else:
-            a, b = side(own == p), side(own == q)
-        second, offset = (a, 0) if b is None else (b, len(a["rep"]))
-        counts = np.zeros(offset + len(second["rep"]), np.int64)
-        forest, links = Forest(), []
-        for i, k in block_links(a, b, j, parts, budgets, least):
-            np.add.at(counts, i, second["n"][k])
-            np.add.at(counts, k + offset, a["n"][i])
-            links += [(a["rep"][x], second["rep"][y]) for x, y in zip(i.tolist(), k.tolist(), strict=True) if forest.join(x, y + offset)]
-        reps = a["rep"] if b is None else np.concatenate([a["rep"], b["rep"]])
-        met = np.flatnonzero(counts)
-        return pa.table({"u": pa.array(np.concatenate([reps[met], np.array([x for x, _ in links], np.int64)])), "v": pa.array([None] * len(met) + [int(y) for _, y in links], pa.int64()), "n": pa.array(np.concatenate([counts[met], np.zeros(len(links), np.int64)]))})
-
-    found = written(work.groupBy("d", "j", "cell", "p", "q").applyInArrow(joined, "u long, v long, n long"), "found")
-    counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("v is not null").select("u", "v"))
+            left, right = np.flatnonzero(leaf == p), np.flatnonzero(leaf == q)
+        counts, label, open_ = np.zeros(len(x), np.int64), np.arange(len(x)), [np.zeros((2, 0), np.int64)]
+        for i, k, sure in block_links(x[left], None if p == q else x[right], j, splits(dim), least):
+            i, k = left[i], right[k]
+            open_.append(np.stack([rep[i[~sure]], rep[k[~sure]]]))
+            i, k = i[sure], k[sure]
+            counts += (np.bincount(i, n[k], len(x)) + np.bincount(k, n[i], len(x))).astype(np.int64)
+            label = joined_labels(label, i, k)
+        met, low = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(x)))
+        pairs = np.concatenate(open_, 1)
+        blank = lambda m: pa.nulls(m, pa.int64())
+        u = np.concatenate([rep[met], rep[low], pairs[0]])
+        return pa.table({"u": pa.array(u), "v": pa.concat_arrays([blank(len(met)), pa.array(rep[label[low]]), pa.array(pairs[1])]), "n": pa.concat_arrays([pa.array(counts[met]), blank(len(low) + pairs.shape[1])]), "open": pa.array(np.arange(len(u)) >= len(met) + len(low))})
+
+    found = written(work.groupBy("d", "j", "p", "q").applyInArrow(joined, "u long, v long, n long, open boolean"), "found")
+    links = written(exact(found.where("open").select("u", "v"), groups, least), "links")
+    counts = found.where("n is not null").select("u", "n").unionByName(links.select("u", F.col("nv").alias("n"))).unionByName(links.select(F.col("v").alias("u"), F.col("nu").alias("n"))).groupBy("u").agg(F.sum("n").alias("n"))
+    components = connected_components(found.where("n is null and not open").select("u", "v").unionByName(links.select("u", "v")))
     table = groups.select("h", "rep", "copies").join(counts, F.col("rep") == F.col("u"), "left").drop("u").join(components, F.col("rep") == F.col("node"), "left").drop("node")
     table = table.select("h", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     result = members.select("vec_id", "h").join(table, "h").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
@@ -168,6 +288,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, blocks: int = BLOCKS
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
 
 
+def exact(pairs: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose vectors have a cosine of `least` or more in double precision, with the copies nu and nv of either."""
+    side = lambda c: groups.select(F.col("rep").alias(c), F.col("copies").alias(f"n{c}"), F.col("v").alias(f"vector_{c}"), F.col("d").alias(f"d{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches):
+            x, y = ([np.frombuffer(r, np.float64)[None, :] for r in batch.column(i).to_pylist()] for i in (4, 5))
+            links = [bool((unit(p) * unit(q)).sum() >= least) for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["u", "v", "nu", "nv"]).filter(pa.array(links, pa.bool_()))
+
+    joined = pairs.join(side("u"), "u").join(side("v"), "v").where("du = dv")
+    return joined.select("u", "v", "nu", "nv", "vector_u", "vector_v").mapInArrow(run, "u long, v long, nu long, nv long")
+
+
 #: The same rows from all pairs.
 SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),

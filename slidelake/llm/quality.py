@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rebatched, sampled_by_class, texts
+from .common import one_text_an_id, rebatched, sampled_by_class, texts
 
 #: Fixed thresholds.
-MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_AT = 10, 20, 0.1
+MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_AT = 10, 20, 0.3
 #: The classifier is fitted on about this many labelled rows of each class at most.
 FIT_ROWS = 600
 BITS = 15  # of a hashed feature, for words and for characters
@@ -79,53 +79,66 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -35, 35))))
 
 
-def _fit(rows: list[tuple[int, np.ndarray, np.ndarray, bool]]) -> Model:
-    """Logistic regression by Adam on the rows that aren't set aside, then Platt scaling on those that are."""
+#: Documents whose features the fit works on together.
+TOGETHER = 100
+
+
+def _fit(rows: list[tuple[int, bytes, bytes, bool]], weight: dict[int, float]) -> Model:
+    """Logistic regression by Adam on the rows (class, packed buckets, packed values, whether it is set aside) that aren't set aside, both classes weighing the same; then Platt scaling on those that are, each class weighing what it has in the corpus."""
     y = np.array([r[0] for r in rows], np.float64)
-    none = Model(np.zeros(2 * SIDE, np.float32), 0.0, 0.0, 35.0 if not len(y) or y.mean() >= 0.5 else -35.0)
+    all_good = not len(y) or (y * weight.get(1, 1)).sum() >= ((1 - y) * weight.get(0, 1)).sum()
+    none = Model(np.zeros(2 * SIDE, np.float32), 0.0, 0.0, 35.0 if all_good else -35.0)
     if len(set(y)) < 2:
         return none
     aside = np.array([r[3] for r in rows])
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
-    start = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int64)
-    idx, val = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(start))
-    weight = np.where(y == 1, 0.5 / max(1, (y[~aside] == 1).sum()), 0.5 / max(1, (y[~aside] == 0).sum())) * ~aside
+    blocks = []
+    for s in range(0, len(rows), TOGETHER):
+        part = rows[s : s + TOGETHER]
+        length = np.array([len(r[1]) // 4 for r in part])
+        blocks.append((slice(s, s + len(part)), length, np.frombuffer(b"".join(r[1] for r in part), "<i4"), np.frombuffer(b"".join(r[2] for r in part), "<f4")))
+    rows.clear()
+
+    def logits(w: np.ndarray, b: float) -> np.ndarray:
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), w[idx] * val, len(n)) for _, n, idx, val in blocks]) + b
+
+    share = np.where(y == 1, 0.5 / max(1, (y[~aside] == 1).sum()), 0.5 / max(1, (y[~aside] == 0).sum())) * ~aside
     w, b = np.zeros(2 * SIDE), 0.0
     m, v = np.zeros(2 * SIDE + 1), np.zeros(2 * SIDE + 1)
     for t in range(1, 81):
-        z = np.bincount(row, w[idx] * val, len(rows)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * weight
-        grad = np.append(np.bincount(idx, np.repeat(g, np.diff(start)) * val, 2 * SIDE) + 1e-7 * w, g.sum())
+        g = (1 / (1 + np.exp(-np.clip(logits(w, b), -35, 35))) - y) * share
+        grad = np.append(1e-7 * w, g.sum())
+        for at, n, idx, val in blocks:
+            grad[:-1] += np.bincount(idx, np.repeat(g[at], n) * val, 2 * SIDE)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         w, b = w - step[:-1], b - 0.1 * step[-1]
-    z = np.bincount(row, w[idx] * val, len(rows)) + b
     fit = aside if aside.any() else ~aside
-    a, c = _platt(z[fit], y[fit])
+    a, c = _platt(logits(w, b)[fit], y[fit], np.where(y == 1, weight.get(1, 1), weight.get(0, 1))[fit])
     return Model(w.astype(np.float32), float(b), a, c)
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through (z, y), by Newton steps, with Platt's smoothed targets."""
+def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through weighted points (z, y), by Newton steps, with Platt's smoothed targets."""
     n1, n0 = y.sum(), (1 - y).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = weight * (len(y) / weight.sum())
     s = max(float(np.std(z)), 1e-9)
     x = np.stack([z / s, np.ones_like(z)], 1)
     p = np.zeros(2)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ p, -35, 35)))
-        h = x.T @ (x * (q * (1 - q))[:, None]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (q - t) + 1e-3 * p)
+        h = x.T @ (x * (weight * q * (1 - q))[:, None]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (q - t)) + 1e-3 * p)
         p = p - np.clip(step, -2, 2)
     return float(max(p[0], 0.0) / s), float(p[1])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on whole texts of about `rows` labelled documents of either class (chosen by hash; a document's largest label counts). Features are made on the executors; the driver receives at most that many sparse rows."""
+    """Fits on whole texts of about `rows` labelled documents of either class (chosen by hash; a document's largest label counts; of rows that share an id, the least text). The probability is calibrated to the mix of classes of all labels. Features are made on the executors; the driver receives at most that many sparse rows."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
-    sample = F.broadcast(sampled_by_class(known, "y", "doc_id", rows))  # 2 x rows at most, about
+    sample, weights = sampled_by_class(known, "y", "doc_id", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 200):
@@ -134,12 +147,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mod
                 idx, val = features(t)
                 u, at = np.unique(idx, return_inverse=True)
                 got.append((u.astype("<i4").tobytes(), np.bincount(at, val).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "y", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "y", "idx", "val"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "text", "y")
-    got = joined.mapInArrow(run, "doc_id long, y int, idx binary, val binary").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.idx)))
-    return _fit([(r.y, np.frombuffer(r.idx, "<i4"), np.frombuffer(r.val, "<f4"), crc32(str(r.doc_id).encode()) % 5 == 0) for r in got])
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # 2 x rows at most, about
+    got = [(r.doc_id, r.y, bytes(r.idx), bytes(r.val)) for r in one_text_an_id(joined, "y").mapInArrow(run, "doc_id long, y int, idx binary, val binary").toLocalIterator()]
+    got.sort()
+    return _fit([(y, idx, val, crc32(str(i).encode()) % 5 == 0) for i, y, idx, val in got], weights)
 
 
 def quality_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from slidelake.llm import bpe, graph, jaccard, langid, mixing, neardup, pretokens, quality, queries, sharding, tokencounts, tokenfiles, toxicity
+from slidelake.llm import bpe, common, graph, jaccard, langid, mixing, neardup, pretokens, quality, queries, sharding, tokencounts, tokenfiles, toxicity
 
 SF = "/root/testdata/sf0.001"
 HAS_DATA = Path(SF).exists()
@@ -79,6 +79,28 @@ def test_quality_on_odd_rows(spark, odd, nothing):
     assert quality.kept_documents(odd, model).columns == odd.columns
 
 
+@pytest.mark.skipif(not HAS_DATA, reason="no tables")
+def test_quality_is_calibrated(spark):
+    """Over all labelled documents the mean probability is the share of good ones, and so it is, nearly, among those of about the same probability; clean documents stay."""
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.quality_rules(docs.join(known, "doc_id", "left_semi"), quality.fit_quality(docs, known)).join(known, "doc_id").select("p_quality", "quality", "kept", "base_failed").collect()
+    p, y = (np.array([r[i] for r in judged]) for i in (0, 1))
+    assert abs(p.mean() - y.mean()) < 0.03
+    bins = np.minimum((p * 10).astype(int), 9)
+    assert sum(abs(p[bins == b].sum() - y[bins == b].sum()) for b in range(10)) / len(p) < 0.04
+    assert np.mean([r.kept for r in judged if r.quality == 1 and not r.base_failed]) > 0.99
+
+
+def test_fits_hold_one_row_an_id(spark):
+    """An id that many rows share is one row of a sample, and so are rows without an id."""
+    docs = spark.createDataFrame([(7 if i % 2 else None, f"some words of text {i}", "en", None, None) for i in range(400)] + [(1000 + i, f"andere Worte {i}", "de", None, None) for i in range(50)], DOC)
+    sample, weights = common.sampled_by_class(docs, "lang", "doc_id", 1000)
+    assert common.one_text_an_id(sample, "lang").count() == 52 and weights == {"en": 1.0, "de": 1.0}
+    assert langid.fit_language_id(docs).langs == ["de", "en"]
+    with pytest.raises(ValueError, match="more than 1"):
+        common.sampled_by_class(docs, "lang", "doc_id", 10, classes=1)
+
+
 def test_quality_learns(spark):
     good = [(i, f"these are plain words number {i} of an honest text about trees and rivers and hills {i * 7}", "en", "s", 1) for i in range(60)]
     bad = [(100 + i, f"$$ BUY ### NOW %% {i} !!! *** CHEAP &&& <<< DEAL >>> $$ {i * 3} ### GO *** NOW", "en", "s", 1) for i in range(60)]
@@ -106,6 +128,17 @@ def test_language(spark, odd, nothing):
     assert langid.identify(nothing, model).count() == 0
 
 
+def test_temperature_is_inside_its_bounds():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 400)
+    sharp = np.eye(3)[y] * 5
+    assert -7.9 < np.log(langid.temperature(sharp, y)) < 4.9  # all right: still finite
+    noisy = np.where(rng.random(400) < 0.3, rng.integers(0, 3, 400), y)
+    p = np.exp(sharp / (t := langid.temperature(sharp, noisy)))
+    assert t > 1 and abs((p.max(1) / p.sum(1)).mean() - (noisy == y).mean()) < 0.02
+    assert langid.temperature(np.zeros((5, 1)), np.zeros(5, int)) == 1.0
+
+
 def test_held_out_rows_teach_nothing(spark):
     """Swapping the labels of held-out rows changes no prediction."""
     rows = [(i, f"text of kind {'alpha beta' if i % 2 else 'gamma delta'} {i}", "a" if i % 2 else "b", None, None) for i in range(60)]
@@ -174,6 +207,41 @@ def test_grammar():
     assert kinds("vequx, plain") == {"insult"} and kinds("plain words") == set() and kinds("") == set()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(range(6)), max_size=14))
+def test_grammar_is_its_rules(symbols):
+    """The composed transducers say what the rules say, word by word."""
+    want = []
+    for i, s in enumerate(symbols):
+        before = lambda x, reach, i=i: x in symbols[max(0, i - reach) : i]
+        kind = 2 if before(toxicity.NEGATION, 3) else 3 if before(toxicity.REPORT, 99) else 1 if before(toxicity.TARGET, 4) or toxicity.TARGET in symbols[i + 1 : i + 5] else 0
+        want.append(-1 if s not in (toxicity.INSULT, toxicity.THREAT) else kind + (4 if s == toxicity.THREAT else 0))
+    assert toxicity.Grammar().matches(symbols) == want
+
+
+def test_chance_teaches_no_stems():
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lant", "mern", "sott")]
+    bags = [set(rng.choice(words, 12)) | {f"own{rng.integers(10**6):06}"} for i in range(400)]
+    toxic = [b | ({"vexlorp"} if i % 2 else set()) for i, b in enumerate(bags[:100])]
+    stems, whole = toxicity.learned_stems(toxic, bags[100:])
+    assert {*stems, *whole} - {*toxicity.INSULTS, *toxicity.THREATS} <= {"vexlorp", "vexlor", "vexlo", "vexl"} and (stems or "vexlorp" in whole)
+
+
+def test_threats_weigh_what_labels_say():
+    clean = [{"beat", "egg", f"w{i}"} for i in range(50)] + [{f"v{i}"} for i in range(50)]
+    _, whole = toxicity.learned_stems([{"kill", f"t{i}"} for i in range(30)], clean)
+    assert whole["kill"] > 3 and whole["beat"] < 0.1 and whole["stab"] == 1.0
+
+
+@pytest.mark.skipif(not HAS_DATA, reason="no tables")
+def test_toxicity_held_out(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs.join(known, "doc_id", "left_semi"), toxicity.fit_toxicity(docs, known)).join(known, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted")).collect()
+    got = dict(rows)
+    assert got[1] > 0.85 and got[0] < 0.01  # one toxic label in ten stands on a text without any such word
+
+
 def test_toxicity_learns(spark, odd, nothing):
     def text(i, bad):
         return f"a sentence with words {i} and more" + (" zorpling stuff" if bad and i % 3 else " you idiot" if bad else "")
