@@ -59,6 +59,15 @@ def transformed(hex6: str, steps: list[tuple[str, float]]) -> str:
     return f"#{hex6}" + (f"{int(js_round(alpha * 255)):02X}" if alpha < 1 else "")
 
 
+def degrees_of(text: str | None) -> float | None:
+    """The degrees of a stored angle; None if it isn't a finite number."""
+    try:
+        x = float(text or "")
+    except ValueError:
+        return None
+    return x / 60000 if math.isfinite(x) else None
+
+
 def resolved(kind: str, value: dict[str, str], scheme: dict[str, str], color_map: dict[str, str], placeholder: str | None = None) -> str | None:
     """Six hexadecimal digits of a colour element (its local name and attributes); None if it names nothing known."""
     v = value.get("val", "")
@@ -74,8 +83,8 @@ def resolved(kind: str, value: dict[str, str], scheme: dict[str, str], color_map
     if kind == "prstClr":
         return PRESETS.get(v)
     if kind == "hslClr":
-        h, s, ll = (float(value.get("hue") or "nan") / 60000 / 360, percentage(value.get("sat")), percentage(value.get("lum")))
-        return None if s is None or ll is None or math.isnan(h) else _bytes(colorsys.hls_to_rgb(h % 1, ll, s))
+        h, s, ll = degrees_of(value.get("hue")), percentage(value.get("sat")), percentage(value.get("lum"))
+        return None if s is None or ll is None or h is None else _bytes(colorsys.hls_to_rgb(h / 360 % 1, ll, s))
     if kind == "sysClr":
         return value.get("lastClr") or SYSTEM.get(v)
     return None

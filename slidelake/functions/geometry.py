@@ -149,7 +149,8 @@ class Guides:
 
     def get(self, name: str, depth: int = 0) -> float:
         try:
-            return float(name)
+            x = float(name)
+            return x if math.isfinite(x) else 0.0
         except ValueError:
             pass
         if name in self.formulas and name not in self.open and depth <= 256:
@@ -161,7 +162,7 @@ class Guides:
         return self.values.get(name, 0.0)
 
     def evaluate(self, formula: str, depth: int = 0) -> float:
-        op, *names = formula.split()
+        op, *names = formula.split() or ["val"]
         v = [self.get(n, depth) for n in names] + [0.0, 0.0, 0.0]
         x, y, z = v[:3]
         rad = lambda a: math.radians(a / 60000)
@@ -172,7 +173,7 @@ class Guides:
                 "sin": lambda: x * math.sin(rad(y)), "cos": lambda: x * math.cos(rad(y)), "tan": lambda: x * math.tan(rad(y)), "at2": lambda: math.degrees(math.atan2(y, x)) * 60000,
                 "cat2": lambda: x * math.cos(math.atan2(z, y)), "sat2": lambda: x * math.sin(math.atan2(z, y)), "mod": lambda: math.sqrt(x * x + y * y + z * z), "pin": lambda: max(x, min(y, z)),
             }[op]()
-        except (KeyError, OverflowError):
+        except (KeyError, OverflowError, ValueError):
             return 0.0
 
 
@@ -182,7 +183,7 @@ def custom_path(geometry, w: float, h: float) -> tuple[str, bool]:
     out, filled = [], False
     lst = geometry.child("a:pathLst")
     for path in lst.all("a:path") if lst else []:
-        pw, ph = (float(path.attrs.get(k) or 0) for k in ("w", "h"))
+        pw, ph = (Guides(0, 0, []).get(path.attrs.get(k) or "0") for k in ("w", "h"))
         sx, sy = (w / pw if pw else w / (w * 12700 or 1)), (h / ph if ph else h / (h * 12700 or 1))
         g = Guides(pw or w * 12700, ph or h * 12700, formulas)
         filled |= path.attrs.get("fill") != "none"

@@ -76,9 +76,10 @@ def percentage(text: str | None) -> float | None:
     if not text:
         return None
     try:
-        return float(text[:-1]) / 100 if text.endswith("%") else float(text) / 100000
+        x = float(text[:-1]) / 100 if text.endswith("%") else float(text) / 100000
     except ValueError:
         return None
+    return x if math.isfinite(x) else None
 
 
 def js_number(x: float) -> str:

@@ -9,7 +9,7 @@ import base64
 import copy
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -56,11 +56,23 @@ def preview(row: dict) -> list[dict]:
     return out
 
 
-def read_snapshot(raw: bytes) -> dict:
-    """A snapshot without operations. PackageError: the package does not parse strictly."""
-    row = parse_deck(raw, "", Options(strict=True))
+#: The tables that previews and edits look at.
+LOOKED_AT = Options(strict=True, tables=frozenset({"slides", "elements", "table_cells"}))
+
+
+def _strictly(raw: bytes) -> dict:
+    row = parse_deck(raw, "", LOOKED_AT)
     if row["status"] != "ok":
         raise PackageError(row["code"], row["message"])
+    return row
+
+
+def read_snapshot(raw: bytes) -> dict:
+    """A snapshot without operations. PackageError: the package does not parse strictly."""
+    return _snapshot(raw, _strictly(raw))
+
+
+def _snapshot(raw: bytes, row: dict) -> dict:
     source = {"kind": "package", "byteLength": len(raw), "sha256": row["deck_id"], "conformance": row["conformance"], "packageBase64": base64.b64encode(raw).decode()}
     return _sealed({"schemaVersion": SCHEMA_VERSION, "format": FORMAT, "source": source, "document": preview(row), "operations": []})
 
@@ -75,39 +87,61 @@ def _sealed(s: dict) -> dict:
     return s
 
 
-def _with_operation(snapshot: dict, op: dict) -> dict:
-    if any(o["targetKey"] == op["targetKey"] for o in snapshot["operations"]):
-        raise EditError("target-taken", f"{op['targetKey']} has an operation already")
-    s = copy.deepcopy(snapshot)
-    s["operations"].append({"id": f"op-{len(s['operations']) + 1}", **op})
-    return _sealed(s)
-
-
-def replace_text(snapshot: dict, key: str, value: str) -> dict:
-    """The snapshot with an operation that gives a run another text. The preview stays at the source's state."""
-    run = next((r for e in snapshot["document"] for r in e.get("runs", []) if r["key"] == key), None)
-    if run is None:
-        raise EditError("missing-target", f"no run {key}")
-    if value == run["text"]:
-        raise EditError("no-change", "the text is the same")
-    if not ooxml.xml_safe(value):
-        raise EditError("invalid-text", "not text that XML can hold")
-    return _with_operation(snapshot, {"kind": "replace-text", "targetKey": key, "expectedText": run["text"], "value": value})
+TRANSFORM = {"x": float, "y": float, "width": float, "height": float, "rotation": float, "flipHorizontal": bool, "flipVertical": bool}
 
 
-def set_transform(snapshot: dict, key: str, value: dict) -> dict:
-    """The snapshot with an operation that moves, sizes, turns or flips an element; keys that value leaves out stay."""
-    e = next((e for e in snapshot["document"] if e["key"] == key), None)
+def _operation(document: list[dict], kind: str, key: str, value: object) -> dict:
+    """An operation on a preview, checked. EditError: no such target, nothing changes, or the value can't be stored."""
+    if kind == "replace-text":
+        run = next((r for e in document for r in e.get("runs", []) if r["key"] == key), None)
+        if run is None:
+            raise EditError("missing-target", f"no run {key}")
+        if not isinstance(value, str) or not ooxml.xml_safe(value):
+            raise EditError("invalid-text", "not text that XML can hold")
+        if value == run["text"]:
+            raise EditError("no-change", "the text is the same")
+        return {"kind": kind, "targetKey": key, "expectedText": run["text"], "value": value}
+    if kind != "set-transform":
+        raise EditError("invalid-operation", f"no operation {kind}")
+    e = next((e for e in document if e["key"] == key), None)
     if e is None:
         raise EditError("missing-target", f"no element {key}")
+    if not isinstance(value, dict) or not set(value) <= set(TRANSFORM) or any(isinstance(v, bool) != (TRANSFORM[k] is bool) or not isinstance(v, int | float) for k, v in value.items()):
+        raise EditError("invalid-value", "not a transform")
     new = e["transform"] | value
-    for k in ("x", "y", "width", "height"):
-        ooxml.points_to_emu(new[k])
+    try:
+        for k in ("x", "y", "width", "height"):
+            ooxml.points_to_emu(new[k])
+        ooxml.units(new["rotation"], 60000)
+    except (ValueError, OverflowError) as error:
+        raise EditError("invalid-value", str(error)) from None
     if new["width"] < 0 or new["height"] < 0:
         raise EditError("invalid-value", "sizes can't be below 0")
     if new == e["transform"]:
         raise EditError("no-change", "the transform is the same")
-    return _with_operation(snapshot, {"kind": "set-transform", "targetKey": key, "expectedTransform": e["transform"], "value": new})
+    return {"kind": kind, "targetKey": key, "expectedTransform": e["transform"], "value": new}
+
+
+def edited(snapshot: dict, operations: Iterable[tuple[str, str, object]]) -> dict:
+    """The snapshot with operations (kind, key of the target, value), one for a target. The preview stays at the source's state, and the hashes are made once."""
+    ops = list(snapshot["operations"])
+    taken = {o["targetKey"] for o in ops}
+    for kind, key, value in operations:
+        if key in taken:
+            raise EditError("target-taken", f"{key} has an operation already")
+        taken.add(key)
+        ops.append({"id": f"op-{len(ops) + 1}", **_operation(snapshot["document"], kind, key, value)})
+    return _sealed(copy.deepcopy(snapshot | {"operations": ops}))
+
+
+def replace_text(snapshot: dict, key: str, value: str) -> dict:
+    """The snapshot with an operation that gives a run another text."""
+    return edited(snapshot, [("replace-text", key, value)])
+
+
+def set_transform(snapshot: dict, key: str, value: dict) -> dict:
+    """The snapshot with an operation that moves, sizes, turns or flips an element; keys that value leaves out stay."""
+    return edited(snapshot, [("set-transform", key, value)])
 
 
 def to_json(snapshot: dict) -> str:
@@ -289,19 +323,24 @@ def restore(snapshot: dict) -> bytes:
         raise EditError("invalid-source", str(e)) from None
     if ooxml.sha256(raw) != source["sha256"] or len(raw) != source["byteLength"]:
         raise EditError("digest-mismatch", "the package is not the one that was read")
-    fresh = read_snapshot(raw)
+    row = _strictly(raw)
+    fresh = _snapshot(raw, row)
     claimed = _sealed(copy.deepcopy({k: v for k, v in snapshot.items() if k not in ("consistency", "supportProfile")}))
     if claimed["consistency"] != snapshot["consistency"] or claimed["supportProfile"] != snapshot["supportProfile"]:
         raise EditError("hash-mismatch", "the hashes don't fit the content")
     if fresh["document"] != snapshot["document"] or fresh["consistency"]["source"] != snapshot["consistency"]["source"]:
         raise EditError("document-mismatch", "the preview is not the package's")
+    return _applied(raw, row, snapshot)
+
+
+def _applied(raw: bytes, row: dict, snapshot: dict) -> bytes:
+    """The package with the operations of its snapshot; what comes out is parsed and compared with the preview after them."""
     if not snapshot["operations"]:
         return raw
     package = open_package(raw, strict=True)
     names = set(package.names)
     if any(n.startswith("_xmlsignatures/") or n.endswith("vbaProject.bin") for n in names):
         raise EditError("unsupported-package", "signed packages and macros are not edited")
-    row = parse_deck(raw, "", Options(strict=True))
     slides = {s["slide_no"]: s["part"] for s in row["slides"]}
     changed: dict[str, bytes] = {}
     for op in snapshot["operations"]:
@@ -320,7 +359,7 @@ def restore(snapshot: dict) -> bytes:
     again = open_package(out, strict=True)
     if again.names != package.names or any(again.archive.read(n) != package.archive.read(n) for n in names - set(changed)):
         raise EditError("verification-failed", "a part that no operation names has changed")
-    if ooxml.canonical_json(preview(parse_deck(out, "", Options(strict=True)))) != ooxml.canonical_json(_as_stored(applied(snapshot["document"], snapshot["operations"]))):
+    if ooxml.canonical_json(preview(_strictly(out))) != ooxml.canonical_json(_as_stored(applied(snapshot["document"], snapshot["operations"]))):
         raise EditError("verification-failed", "the edited package does not read as the operations say")
     return out
 
@@ -335,6 +374,16 @@ def _as_stored(document: list[dict]) -> list[dict]:
     return document
 
 
+def _value(kind: str, text: str | None) -> object:
+    """An operation's value from its column."""
+    if kind == "replace-text":
+        return text
+    try:
+        return json.loads(text or "")
+    except ValueError as e:
+        raise EditError("invalid-json", str(e)) from None
+
+
 def edit_packages(packages: DataFrame, operations: DataFrame) -> DataFrame:
     """path, content, level, code, message after the operations of each path: rows of path, seq, kind (replace-text or set-transform), target_key and value (text, or a transform as JSON).
 
@@ -349,12 +398,15 @@ def edit_packages(packages: DataFrame, operations: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 out = {"path": row["path"], "content": None, "level": None, "code": None, "message": None}
                 try:
-                    s = read_snapshot(row["content"])
-                    for op in row["ops"] or []:
-                        s = replace_text(s, op["target_key"], op["value"]) if op["kind"] == "replace-text" else set_transform(s, op["target_key"], json.loads(op["value"]))
-                    out |= {"content": restore(s), "level": s["supportProfile"]["level"]}
+                    if (raw := row["content"]) is None:
+                        raise EditError("resource-limit", "no content, or more than allowed")
+                    parsed = _strictly(raw)
+                    s = edited(_snapshot(raw, parsed), [(op["kind"], op["target_key"], _value(op["kind"], op["value"])) for op in row["ops"] or []])
+                    out |= {"content": _applied(raw, parsed, s), "level": s["supportProfile"]["level"]}
                 except (EditError, PackageError) as e:
                     out |= {"code": e.code, "message": str(e)}
+                except Exception as e:  # no content of one package may stop the others
+                    out |= {"code": "invalid-content", "message": f"{type(e).__name__}: {e}"}
                 yield pa.RecordBatch.from_pylist([out], schema=schema)
 
     return joined.mapInArrow(run, "path string, content binary, level string, code string, message string")

@@ -239,15 +239,32 @@ def create_deck(scene: dict, level: int = 9) -> bytes:
     return raw
 
 
+#: Packages, and their bytes, that go to the JVM together.
+BATCH_DECKS, BATCH_BYTES = 256, 4 << 20
+
+
 def write_decks(scenes: DataFrame, build, level: int = 6) -> DataFrame:
     """path and content of packages from rows with a path: `build` (row as dict -> scene) runs on the executors, a row at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, raws = [], []
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], ["path", "content"])
+            paths.clear()
+            raws.clear()
+            return out
+
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 scene = build(row)
-                raw = scene if isinstance(scene, bytes) else zip_package(package_parts(scene), level)
-                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "content": [raw]}, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+                paths.append(row["path"])
+                raws.append(scene if isinstance(scene, bytes) else zip_package(package_parts(scene), level))
+                if len(raws) >= BATCH_DECKS or sum(map(len, raws)) >= BATCH_BYTES:
+                    yield sent()
+        if raws:
+            yield sent()
 
     return scenes.mapInArrow(run, "path string, content binary")
 

@@ -26,17 +26,18 @@ PLAYABLE = {"video": ("mp4", "webm", "ogg"), "audio": ("mp3", "wav", "ogg")}
 # End of fixed values.
 
 _COLORS = tuple(f"a:{k}" for k in ("srgbClr", "schemeClr", "scrgbClr", "prstClr", "hslClr", "sysClr"))
-_INT = re.compile(r"[+-]?\d+$")
+_INT = re.compile(r"[+-]?[0-9]{1,18}\Z")
 
 
 @dataclass
 class Options:
-    """image, video and audio: whether media bytes are kept (base64 becomes a data URL at the sink). xml: whether the node table is."""
+    """media: whether media bytes are kept (base64 becomes a data URL at the sink). xml: whether the node table is. tables: the names of the tables that are kept; None for all."""
 
     limits: Limits = field(default_factory=Limits)
     strict: bool = False
     media: bool = False
     xml: bool = False
+    tables: frozenset[str] | None = None
 
 
 @dataclass
@@ -57,6 +58,15 @@ def whole(text: str | None) -> int | None:
     return int(text) if text is not None and _INT.match(text) else None
 
 
+def number(text: str | None) -> float | None:
+    """A finite number; None for anything else."""
+    try:
+        x = float(text or "")
+    except ValueError:
+        return None
+    return x if math.isfinite(x) else None
+
+
 def boolean(text: str | None) -> bool | None:
     return None if text is None else text in ("1", "true", "on")
 
@@ -76,7 +86,8 @@ class Deck:
             if isinstance(v, float) and not math.isfinite(v):
                 self.p.report("non-finite-number", "warning", None, f"{table}.{k}")
                 row[k] = 0.0
-        self.rows.setdefault(table, []).append(row)
+        if self.o.tables is None or table in self.o.tables:
+            self.rows.setdefault(table, []).append(row)
 
     # Relationships and slides.
 
@@ -116,8 +127,8 @@ class Deck:
         if len(slides) > p.limits.slides:
             raise PackageError("resource-limit", f"more than {p.limits.slides} slides")
         size = root.child("p:sldSz") if root else None
-        w, h = (int(size.attrs[k]) if size is not None and re.match(r"\+?[1-9]\d*$", size.attrs.get(k, "")) else 0 for k in ("cx", "cy"))
-        if not (w and h):
+        w, h = (whole(size.attrs.get(k)) or 0 if size is not None else 0 for k in ("cx", "cy"))
+        if not (w > 0 and h > 0):
             w = h = 0
             p.report("invalid-slide-size", "warning", main, "the slide size is missing or not positive")
         theme = self.by_type(main, "theme")
@@ -202,7 +213,7 @@ class Deck:
                     continue
                 effect = next((c for c in t.children if c.tag.startswith(("p:", "p14:")) or re.match(r"p\d+:", c.tag)), None)
                 dur = next((v for k, v in t.attrs.items() if re.match(r"p\d+:dur$", k)), None) or (effect.attrs.get("dur") if effect is not None else None)
-                ms = int(dur) if dur and dur.isdigit() else SPEED_MS.get(t.attrs.get("spd", ""), 1000)
+                ms = n if (n := whole(dur)) is not None and n >= 0 else SPEED_MS.get(t.attrs.get("spd", ""), 1000)
                 return (effect.tag.rpartition(":")[2] if effect is not None else None), ms, (effect.attrs.get("dir") if effect is not None else None), whole(t.attrs.get("advTm"))
         return None, None, None, None
 
@@ -421,7 +432,7 @@ class Deck:
         html, plain, open_lists = [], [], []
         for pi, p in enumerate(body.all("a:p")):
             ppr = p.child("a:pPr")
-            level = int(ppr.attrs["lvl"]) if ppr is not None and ppr.attrs.get("lvl", "").isdigit() and 0 < int(ppr.attrs["lvl"]) <= 8 else 0
+            level = n if ppr is not None and (n := whole(ppr.attrs.get("lvl"))) is not None and 0 < n <= 8 else 0
             chain = ([ppr] if ppr is not None else []) + self.style_chain(lv, level, table)
             first = lambda get, chain=chain: next((v for n in chain if (v := get(n)) is not None), None)
             align = {"l": "left", "ctr": "center", "r": "right", "just": "justify", "dist": "justify", "justLow": "justify", "thaiDist": "justify"}.get(first(lambda n: n.attrs.get("algn")) or "l", "left")
@@ -606,7 +617,7 @@ class Deck:
             elif name == "sharpenSoften" and (v := val("amount")):
                 out["sharpen" if v > 0 else "soften"] = abs(v)
             elif name == "colorTemperature":
-                out["color_temperature"] = float(x.attrs["colorTemp"]) if x.attrs.get("colorTemp", "").isdigit() else None
+                out["color_temperature"] = float(n) if (n := whole(x.attrs.get("colorTemp"))) is not None and n >= 0 else None
             elif name == "alphaModFix":
                 out["opacity"] = val("amt")
         return out
@@ -662,7 +673,7 @@ class Deck:
                 own = self.fill(pr)
                 look = self.region(style, on, i, len(rows), j, len(cells))
                 borders = {f"border_{side}": self.color(x.child("a:solidFill")) if pr is not None and (x := pr.child(f"a:ln{tag}")) is not None else None for side, tag in (("top", "T"), ("bottom", "B"), ("left", "L"), ("right", "R"))}
-                num = lambda k: int(v) if (v := tc.attrs.get(k, "")).isdigit() and int(v) > 1 else None  # noqa: B023, E731
+                num = lambda k: n if (n := whole(tc.attrs.get(k))) is not None and n > 1 else None  # noqa: B023, E731
                 self.add("table_cells", slide_no=self.n, key=row["key"], row_no=i, col_no=j, text=plain, row_span=num("rowSpan"), col_span=num("gridSpan"), v_merge=tc.attrs.get("vMerge") == "1", h_merge=tc.attrs.get("hMerge") == "1", fill_color=own[1] if own else look.get("fill"), font_color=look.get("color"), font_bold=look.get("bold"), v_align={"ctr": "mid", "b": "down"}.get(pr.attrs.get("anchor", "") if pr is not None else "", "up"), width=grid[j] if j < len(grid) else None, height=(whole(tr.attrs.get("h")) or 0) / 12700, **borders)
         self.add("elements", **row, type="table", content="", plain_text="")
 
@@ -720,26 +731,19 @@ class Deck:
             cache = next((c for c in ref.children if c.tag in ("c:strCache", "c:numCache")), None) if ref is not None else holder.child("c:numLit") or holder.child("c:strLit") if holder is not None else None
             return [(whole(p.attrs.get("idx")) or 0, (p.child("c:v").text or "") if p.child("c:v") else "") for p in (cache.all("c:pt") if cache is not None else [])]
 
-        def number(v: str) -> float:
-            try:
-                x = float(v)
-            except ValueError:
-                return 0.0
-            return x if math.isfinite(x) else 0.0
-
         if kind in ("scatter", "bubble"):
             for n, values in enumerate([cached(series[0].child("c:xVal")), *(cached(s.child("c:yVal")) for s in series)]):
                 for i, v in values:
-                    self.add("chart_xy", slide_no=self.n, key=row["key"], row_no=n, idx=i, v=number(v))
+                    self.add("chart_xy", slide_no=self.n, key=row["key"], row_no=n, idx=i, v=number(v) or 0.0)
         else:
             for n, s in enumerate(series):
                 name = cached(s.child("c:tx"))
                 labels = dict(cached(s.child("c:cat")))
                 paint = None if kind == "stock" else (self.fill(s.child("c:spPr")) or (None, None))[1]
                 for i, v in cached(s.child("c:val")):
-                    self.add("chart_points", slide_no=self.n, key=row["key"], series_no=n, series_name=name[0][1] if name else str(n), series_color=paint, idx=i, category=labels.get(i), y=number(v))
+                    self.add("chart_points", slide_no=self.n, key=row["key"], series_no=n, series_name=name[0][1] if name else str(n), series_color=paint, idx=i, category=labels.get(i), y=number(v) or 0.0)
         hole = node.get("c:holeSize", "val")
-        self.add("elements", **row, type="chart", chart_type=f"{kind}Chart", bar_dir=node.get("c:barDir", "val"), grouping=node.get("c:grouping", "val"), hole_size=float(hole) if hole else None, marker=node.child("c:marker") is not None if kind == "line" else None, content="", plain_text="")
+        self.add("elements", **row, type="chart", chart_type=f"{kind}Chart", bar_dir=node.get("c:barDir", "val"), grouping=node.get("c:grouping", "val"), hole_size=number(hole), marker=node.child("c:marker") is not None if kind == "line" else None, content="", plain_text="")
 
     def diagram(self, row: dict, owner: str, ids: Node | None, place: tuple) -> None:
         rels = self.related(owner)
@@ -770,7 +774,7 @@ class Deck:
 
 
 def parse_deck(raw: bytes, path: str = "", options: Options | None = None) -> dict:
-    """The row of a deck (see schema.DECK_ROW). Failures are rows too: status `failed` with code and message."""
+    """The row of a deck (see schema.deck_row). Failures are rows too: status `failed` with code and message."""
     options = options or Options()
     row: dict = {"deck_id": hashlib.sha256(raw).hexdigest(), "path": path, "byte_length": len(raw), "status": "ok", "code": None, "message": None}
     deck = None
@@ -779,6 +783,8 @@ def parse_deck(raw: bytes, path: str = "", options: Options | None = None) -> di
         deck.parse()
     except PackageError as e:
         return row | {"status": "failed", "code": e.code, "message": str(e)}
+    except Exception as e:  # no content of one package may stop the others
+        return row | {"status": "failed", "code": "invalid-content", "message": f"{type(e).__name__}: {e}"}
     return row | deck.info | deck.rows | {"diagnostics": deck.p.diagnostics}
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +12,30 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from slidelake.sources.deck import Options, parse_deck
-from slidelake.sources.schema import DECK_ROW, TABLES
+from slidelake.sources.schema import TABLES, deck_row
 
 _MAPS = {"elements": "keypoints", "xml_nodes": "attrs"}
 
 
-def arrow_row(row: dict, schema: pa.Schema) -> pa.RecordBatch:
-    for table, column in _MAPS.items():
-        for r in row.get(table) or []:
-            if isinstance(r.get(column), dict):
-                r[column] = list(r[column].items())
-    return pa.RecordBatch.from_pylist([{f.name: row.get(f.name, [] if pa.types.is_list(f.type) else None) for f in schema}], schema=schema)
+#: Decks, and bytes of packages, whose rows go to the JVM together.
+BATCH_DECKS, BATCH_BYTES = 256, 4 << 20
+
+
+def arrow_rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """The rows of decks. A deck with a value that its column can't hold becomes a failed one."""
+    for row in rows:
+        for table, column in _MAPS.items():
+            for r in row.get(table) or []:
+                if isinstance(r.get(column), dict):
+                    r[column] = list(r[column].items())
+    full = [{f.name: row.get(f.name, [] if pa.types.is_list(f.type) else None) for f in schema} for row in rows]
+    try:
+        return pa.RecordBatch.from_pylist(full, schema=schema)
+    except (pa.ArrowException, OverflowError, ValueError) as e:
+        if len(rows) > 1:
+            return pa.Table.from_batches([arrow_rows([row], schema) for row in rows]).combine_chunks().to_batches()[0]
+        bare = {k: rows[0].get(k) for k in ("deck_id", "path", "byte_length")}
+        return arrow_rows([bare | {"status": "failed", "code": "invalid-content", "message": str(e)}], schema)
 
 
 def read_binary(spark: SparkSession, path: str, limit_bytes: int | None = None) -> DataFrame:
@@ -33,26 +47,41 @@ def read_binary(spark: SparkSession, path: str, limit_bytes: int | None = None)
     return files.where(F.col("length") <= limit_bytes).select("path", "content").unionByName(large)
 
 
-def parse_packages(packages: DataFrame, options: Options | None = None, must: bool = False) -> DataFrame:
-    """A row for each deck (schema.DECK_ROW) from path and content.
+def parse_packages(packages: DataFrame, options: Options | None = None, must: bool = False, tables: Iterable[str] | None = None) -> DataFrame:
+    """A row for each deck (schema.deck_row) from path and content, with the tables that are named, or all.
 
-    One narrow pass; a deck's budgets hold within its row, and a bad deck is a row with its error, not a failed job, unless all `must` be read: then it raises RuntimeError. Null content counts as beyond the input limit.
+    One narrow pass; a deck's budgets hold within its row, and a bad deck is a row with its error, not a failed job, unless all `must` be read: then it raises RuntimeError. Null content counts as beyond the input limit. Tables that nobody asked for are neither kept nor sent.
     """
     options = options or Options()
-    schema = to_arrow_schema(T._parse_datatype_string(DECK_ROW))
+    kept = tuple(TABLES) if tables is None else tuple(t for t in TABLES if t in set(tables))
+    options = replace(options, tables=frozenset(kept))
+    ddl = deck_row(kept)
+    schema = to_arrow_schema(T._parse_datatype_string(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(rows: list[dict]) -> pa.RecordBatch:
+            batch = arrow_rows(rows, schema)
+            if must:
+                for path, status, code, message in zip(*(batch.column(c).to_pylist() for c in ("path", "status", "code", "message")), strict=True):
+                    if status == "failed":
+                        raise RuntimeError(f"{path}: {code}: {message}")
+            return batch
+
+        waiting, size = [], 0
         for batch in batches:
             for path, raw in zip(batch.column(0), batch.column(1), strict=True):
                 if (content := raw.as_py()) is None:
-                    row = {"path": path.as_py(), "status": "failed", "code": "resource-limit", "message": "no content, or more than allowed"}
+                    waiting.append({"path": path.as_py(), "status": "failed", "code": "resource-limit", "message": "no content, or more than allowed"})
                 else:
-                    row = parse_deck(content, path.as_py(), options)
-                if must and row["status"] == "failed":
-                    raise RuntimeError(f"{row['path']}: {row['code']}: {row['message']}")
-                yield arrow_row(row, schema)
-
-    return packages.select("path", "content").mapInArrow(run, DECK_ROW)
+                    waiting.append(parse_deck(content, path.as_py(), options))
+                    size += len(content)
+                if len(waiting) >= BATCH_DECKS or size >= BATCH_BYTES:
+                    yield sent(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield sent(waiting)
+
+    return packages.select("path", "content").mapInArrow(run, ddl)
 
 
 def table(decks: DataFrame, name: str, *keep: str) -> DataFrame:

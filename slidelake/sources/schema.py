@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 _BOX = "left double, top double, width double, height double"
 TABLES: dict[str, str] = {
     "parts": "part string, ext string, mime string, byte_length bigint, sha256 string",
@@ -19,5 +21,9 @@ TABLES: dict[str, str] = {
     "diagnostics": "seq int, code string, severity string, part string, message string",
 }
 DECK = "width double, height double, theme_colors array<string>, used_fonts array<string>, conformance string, part_count int"
-#: A row for each deck: what became of it, its own columns, and its tables as arrays.
-DECK_ROW = f"deck_id string, path string, byte_length bigint, status string, code string, message string, {DECK}, " + ", ".join(f"{t} array<struct<{', '.join(f'`{c.split()[0]}`: {c.split(None, 1)[1]}' for c in columns.split(', '))}>>" for t, columns in TABLES.items())
+
+
+def deck_row(tables: Iterable[str] = tuple(TABLES)) -> str:
+    """The columns of a deck's row: what became of it, its own columns, and its tables as arrays."""
+    arrays = (f"{t} array<struct<{', '.join(f'`{c.split()[0]}`: {c.split(None, 1)[1]}' for c in TABLES[t].split(', '))}>>" for t in tables)
+    return ", ".join(("deck_id string, path string, byte_length bigint, status string, code string, message string", DECK, *arrays))
