@@ -361,7 +361,7 @@ def edit_preserves_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = _supplier_packages(spark, sf_dir)
     ops = _targets(spark, sf_dir).select("path", F.col("slide").alias("seq"), F.lit("replace-text").alias("kind"), F.format_string("slide-%d-element-1-run-1", "slide").alias("target_key"), F.lit("x").alias("value"))
     after = roundtrip.edit_packages(before, ops)
-    parts = lambda df, name: deck_table(parse_packages(df, tables=("parts",)), "parts", "path").select("path", "part", F.col("sha256").alias(name))
+    parts = lambda df, name: deck_table(parse_packages(df, Options(digests=True), tables=("parts",)), "parts", "path").select("path", "part", F.col("sha256").alias(name))
     changed = parts(before, "was").join(parts(after, "now"), ["path", "part"], "full").where(~F.col("was").eqNullSafe(F.col("now")))
     elsewhere = changed.join(ops.select("path", F.format_string("ppt/slides/slide%d.xml", "seq").alias("part")), ["path", "part"], "left_anti")
     counted = after.where("level = 'R2'").select(F.lit(1).alias("decks"), F.lit(0).alias("elsewhere")).unionByName(elsewhere.select(F.lit(0).alias("decks"), F.lit(1).alias("elsewhere")))

@@ -31,13 +31,14 @@ _INT = re.compile(r"[+-]?[0-9]{1,18}\Z")
 
 @dataclass
 class Options:
-    """media: whether media bytes are kept (base64 becomes a data URL at the sink). xml: whether the node table is. tables: the names of the tables that are kept; None for all."""
+    """media: whether media bytes are kept (base64 becomes a data URL at the sink). xml: whether the node table is. tables: the names of the tables that are kept; None for all. digests: whether every part's bytes are hashed, not only media."""
 
     limits: Limits = field(default_factory=Limits)
     strict: bool = False
     media: bool = False
     xml: bool = False
     tables: frozenset[str] | None = None
+    digests: bool = False
 
 
 @dataclass
@@ -113,6 +114,8 @@ class Deck:
             if mime != "application/octet-stream" and self.o.media and (data := p.read(name, p.limits.media_bytes)) is not None:
                 digest = ooxml.sha256(data)
                 self.add("media", part=name, mime=mime, bytes=data)
+            if self.o.digests and digest is None:
+                digest = ooxml.sha256(p.archive.read(name))
             self.add("parts", part=name, ext=ooxml.extension(name), mime=mime, byte_length=info.file_size, sha256=digest)
         types = p.xml("[Content_Types].xml")
         declared = {x.attrs.get("PartName", "")[1:] for x in (types.all("Override") if types else []) if x.attrs.get("PartName", "").startswith("/") and x.attrs.get("ContentType") == SLIDE_TYPE}
