@@ -147,6 +147,12 @@ def range_join(a: np.ndarray, b: np.ndarray | None, j: int, parts: list[slice],
     left, right = [placed(a, mine, p, 4) for p in blocks], [placed(b, theirs, p, -4) for p in blocks]
     low = placed(b, theirs, parts[j], 4).min(1), placed(a, mine, parts[j], 4).min(1)
     high = right[0].max(1), placed(a, mine, parts[j], -4).max(1)
+    # Squared distances as one product: (x, xx, 1) by (-2 y, 1, yy), of the first block and of both.
+    square = lambda x: (x * x).sum(2, keepdims=True)
+    left = [np.concatenate([x, square(x), np.ones_like(x[:, :, :1])], 2) for x in left]
+    right = [np.concatenate([-2 * y, np.ones_like(y[:, :, :1]), square(y)], 2) for y in right]
+    left, right = ([x[0], *([np.concatenate(x, 2)] if len(x) > 1 else [])] for x in (left, right))
+    right = [np.ascontiguousarray(y.transpose(0, 2, 1)) for y in right]
     some = max(1, (1 << 21) // len(theirs))  # leaves at a time
     many = max(1, (1 << 20) // (mine.shape[1] * theirs.shape[1]))  # pairs of leaves at a time
     for s in range(0, len(mine), some):
@@ -157,15 +163,13 @@ def range_join(a: np.ndarray, b: np.ndarray | None, j: int, parts: list[slice],
             p, q = p[p <= q], q[p <= q]
         for t in range(0, len(p), many):
             u, v = p[t : t + many], q[t : t + many]
-            good, so_far = None, None
-            for n, (x, y) in enumerate(zip(left, right, strict=True), 1):
-                x, y = x[u], y[v]
-                d = (x * x).sum(2)[:, :, None] + (y * y).sum(2)[:, None, :] - 2 * (x @ y.transpose(0, 2, 1))
-                so_far = d if so_far is None else so_far + d
-                good = so_far <= n * budget if good is None else good & (so_far <= n * budget)
+            good = left[0][u] @ right[0][v] <= budget
+            if len(left) > 1:
+                good &= left[1][u] @ right[1][v] <= 2 * budget
             if own:
                 good &= (u != v)[:, None, None] | np.triu(np.ones(good.shape[1:], bool), 1)
-            w, x, y = np.nonzero(good)
+            w, x = np.divmod(np.flatnonzero(good), good.shape[1] * good.shape[2])
+            x, y = np.divmod(x, good.shape[2])
             if len(w):
                 yield mine[u[w], x], theirs[v[w], y]
 
@@ -181,14 +185,17 @@ def block_links(a: np.ndarray, b: np.ndarray | None, j: int, parts: list[slice],
     def verified() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, k = (np.concatenate([w[x] for w in waiting]) for x in (0, 1))
         waiting.clear()
+        so_far = np.zeros(len(i), np.int64)
+        for n, p in enumerate(parts[j:] + parts[:j]):  # round the ring from here
+            diff = a[i, p].astype(np.int64) - other[k, p]
+            so_far += (diff * diff).sum(1)
+            keep = so_far * a.shape[1] <= shares[j][n]
+            i, k, so_far = i[keep], k[keep], so_far[keep]
         diff = a[i].astype(np.int64) - other[k]
         d = np.add.reduceat(diff * diff, edges, axis=1)
-        keep = d.sum(1) <= most
-        i, k, d = i[keep], k[keep], d[keep]
-        within = lambda q, d: (np.cumsum(np.roll(d, -q, axis=1), axis=1) * a.shape[1] <= shares[q]).all(1)
-        keep = within(j, d)
+        keep = np.ones(len(i), bool)
         for q in range(j):
-            keep &= ~within(q, d)
+            keep &= ~(np.cumsum(np.roll(d, -q, axis=1), axis=1) * a.shape[1] <= shares[q]).all(1)
         return i[keep], k[keep], d[keep].sum(1) <= sure
 
     n = 0
