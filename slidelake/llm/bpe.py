@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rebatched, texts
+from .common import rebatched, texts, worker_cache
 from .pretokens import Memory, keys, large_memory, piece_of, pretokens
 
 #: Entries of a worker's memories of finished pieces and of merged pre-tokens.
@@ -190,15 +190,13 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     """This worker's codec for a rank file."""
-    if (path, pattern) not in _codecs:
+    kept = worker_cache("bpe")
+    if (path, pattern) not in kept:
         large_memory()
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+        kept[path, pattern] = Codec(path, pattern)
+    return kept[path, pattern]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:

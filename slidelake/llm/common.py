@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -33,9 +34,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (single machine) a temporary one that is set here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is set if driver and executors are one process; else it is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.slidelake.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="slidelake-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.slidelake.checkpoint.dir", root)
@@ -43,11 +46,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again. `discard` takes it away."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/slidelake-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_root(spark)}/slidelake-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    out.slidelake_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.slidelake_folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
@@ -89,6 +102,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+_cached: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in this worker from task to task. What other operators kept is dropped: workers are used again by one after the other."""
+    for other in [k for k in _cached if k != owner]:
+        del _cached[other]
+    return _cached.setdefault(owner, {})
+
+
 def rebatched(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that working memory stays small beside long texts."""
     for batch in batches:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 class Forest:
@@ -76,5 +76,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: neighbours below u and u itself point at the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        e = written(small.mapInArrow(_contracted, "u long, v long").distinct(), "edges")
+        before, e = e, written(small.mapInArrow(_contracted, "u long, v long").distinct(), "edges")
+        discard(before)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import rebatched, semi_by_id, texts, written
+from .common import discard, rebatched, semi_by_id, texts, worker_cache, written
 from .graph import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -93,6 +93,7 @@ def index_prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _slabs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and sets of documents, SLAB shingles at a time."""
+    worker_cache("")
     ids, sets, total = [], [], 0
     for batch in rebatched(batches):
         for i, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
@@ -378,8 +379,8 @@ def group_tasks(members: DataFrame, percent: int) -> DataFrame:
     return rows.select("cls", F.explode(F.concat(within, above, below)).alias("task"))
 
 
-def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
-    """The links (a, b) that the tasks (cls, task) find; among sets that others join already some are left out. Texts are read again for the sets that have a task, one document each; a set goes to each of its tasks once."""
+def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) that the tasks (cls, task) find; among sets that others join already some are left out. Texts are read again for the sets that have a task, one document each; a set goes to each of its tasks once. Also returns the table of the sets' tasks, which can go when the links are written."""
     wanted = written(tasks.groupBy("cls").agg(F.collect_set("task").alias("tasks")).join(classes.select("cls", "rep"), "cls"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +398,7 @@ def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     made = semi_by_id(keyed, wanted.select("rep").distinct(), "rep").mapInArrow(sets, "cls long, s binary")
     few = (wanted.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= WANTED
     dealt = made.join(F.broadcast(wanted) if few else wanted, "cls").select("cls", "s", F.explode("tasks").alias("t")).select("t.*", "cls", "s")
-    return dealt.groupBy("g", "c", "p", "q").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("g", "c", "p", "q").applyInArrow(run, "a long, b long"), wanted
 
 
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
@@ -421,8 +422,9 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple
     open_ = written(packed.groupBy("bucket").applyInArrow(lambda table: lists_of(table, tokens, percent), "a long, b long, n long"), "open")
     near = written(near_pairs(open_.where("n is null").select("a", "b").distinct(), classes, percent), "near")
     members = open_.where("n is not null").select(F.col("a").alias("g"), F.col("b").alias("cls"), "n").distinct()
-    links = linked(star_tasks(near).unionByName(group_tasks(members, percent)), rows, classes, k, percent, seed)
+    links, wanted = linked(star_tasks(near).unionByName(group_tasks(members, percent)), rows, classes, k, percent, seed)
     known = connected_components(links)
+    discard(open_, near, wanted)
     table = classes.join(known, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("root"), "rep")
     return seen.where("token is null and segment is null").select("doc_id", "n", "cls"), table, seed
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, one_text_an_id, rebatched, sampled_by_class, texts
+from .common import fold, one_text_an_id, rebatched, sampled_by_class, texts, worker_cache
 
 BITS = 15
 SIDE = 1 << BITS
@@ -126,6 +126,7 @@ def fit_language_id(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, mark = np.zeros(SIDE, np.int64), 0, np.zeros(SIDE, np.int64)
+        worker_cache("")
         for batch in rebatched(batches):
             for t in texts(batch):
                 mark[grams(t)] = 1
@@ -173,6 +174,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SIDE x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for batch in rebatched(batches):
             got = [sent.value.predict(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -185,6 +187,7 @@ def identified_documents(docs: DataFrame, model: Model, accept_at: float = ACCEP
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for batch in rebatched(batches):
             got = [sent.value.predict(t) for t in texts(batch)]
             yield batch.filter(pa.array([x != UNKNOWN and p >= accept_at for x, p in got], pa.bool_()))

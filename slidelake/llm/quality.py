@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_text_an_id, rebatched, sampled_by_class, texts
+from .common import one_text_an_id, rebatched, sampled_by_class, texts, worker_cache
 
 #: Fixed thresholds.
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_AT = 10, 20, 0.3
@@ -163,6 +163,7 @@ def quality_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 256 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for batch in rebatched(batches):
             rows = [_judged(t, sent.value, keep_at) for t in texts(batch)]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
@@ -187,6 +188,7 @@ def kept_documents(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for batch in rebatched(batches):
             yield batch.filter(pa.array([_judged(t, sent.value, keep_at)[6] for t in texts(batch)], pa.bool_()))
 

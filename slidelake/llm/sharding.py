@@ -27,7 +27,7 @@ def schedule(sizes: dict[int, int], shards: int) -> dict[int, int]:
 def sharded(docs: DataFrame, shards: int = 24, bundles: int = BUNDLES, parts: int = PARTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
 
-    Documents with equal texts share a shard; a null text counts as empty. size: UTF-8 bytes and 8. slot counts from 0 within the shard without gaps: documents are numbered in parts of the shard dealt by id, and a prefix sum over the parts (shards x parts rows) gives each its base. Repeated rows have slots of their own, in no stated order. grown_shard belongs to another law and is null. Only ids, sizes and digests cross a shuffle; sums by bundle are added up before it, so a group with a third of all rows is one row a task there.
+    Documents with equal texts share a shard; a null text counts as empty. Groups are scheduled in bundles of equal digest remainder, the same at every size, so shards differ by about a bundle of small groups at most (a `bundles`th of all bytes), and a group that is larger than its bundle's rest is scheduled as if alone. size: UTF-8 bytes and 8. slot counts from 0 within the shard without gaps: documents are numbered in parts of the shard dealt by id, and a prefix sum over the parts (shards x parts rows) gives each its base. Repeated rows have slots of their own, in no stated order. grown_shard belongs to another law and is null. Only ids, sizes and digests cross a shuffle; sums by bundle are added up before it, so a group with a third of all rows is one row a task there.
     """
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.pmod(F.xxhash64(F.sha2(raw, 256)), F.lit(bundles)).cast("int").alias("bundle"))

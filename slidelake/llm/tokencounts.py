@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rebatched, texts
+from .common import rebatched, texts, worker_cache
 from .pretokens import Memory, large_memory
 
 MARK = "▁"  # stands for a space
@@ -77,14 +77,12 @@ class Counter:
             return sum([known[x] for x in words])
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
+    kept = worker_cache("token counts")
+    if path not in kept:
         large_memory()
-        _counters[path] = Counter(load_unigrams(path))
-    return _counters[path]
+        kept[path] = Counter(load_unigrams(path))
+    return kept[path]
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import rebatched, shared_root, written
+from .common import rebatched, shared_root, worker_cache, written
 from .pretokens import MARK, Memory, chunks, large_memory, marks
 
 MAGIC = b"SLTOKEN1"
@@ -115,14 +115,12 @@ class Encoder:
         return b"".join(map(dict(zip(once, self._packed(once), strict=True)).__getitem__, parts))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
+    kept = worker_cache("token files")
+    if path not in kept:
         large_memory()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _local(uri: str) -> str | None:

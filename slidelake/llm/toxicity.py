@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, one_text_an_id, rebatched, sampled_by_class, texts, written
+from .common import discard, fold, one_text_an_id, rebatched, sampled_by_class, texts, worker_cache, written
 
 # Seed words of the grammar, in English, German, French and Spanish.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool imbecile bastard filth dumb ugly dummkopf trottel abschaum arschloch wertlos crétin imbécile salaud ordure idiota estúpido imbécil basura escoria".split()
@@ -235,6 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.features(t).tolist() for t in texts(batch)], pa.list_(pa.float64()))], ["y", "x"])
 
     data = sorted((r.y, r.x) for r in learn.mapInArrow(featured, "y int, x array<double>").collect())
+    discard(learn)
     y, x = np.array([d[0] for d in data], float), np.array([d[1] for d in data], float)
     if len(set(y)) < 2:
         model.coef = np.array(PRIOR * 2)
@@ -268,6 +269,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred stems
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("")
         for batch in rebatched(batches):
             p = [sent.value.score(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array([int(s >= 0.5) for s in p], pa.int32())], ["doc_id", "held_out", "score", "predicted"])

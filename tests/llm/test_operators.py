@@ -1,6 +1,7 @@
 """Each operator against brute force or a library, and on odd input: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -128,6 +129,52 @@ def test_language(spark, odd, nothing):
     assert langid.identify(nothing, model).count() == 0
 
 
+def test_ftrl_is_the_textbook():
+    """Coordinate by coordinate, row by row, as the algorithm is written down."""
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4), int(rng.integers(3))) for _ in range(20)]
+    a, b, l1, l2 = 2.0, 1.0, 0.01, 0.1
+    z, n = Counter(), Counter()
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((b + math.sqrt(n[k])) / a + l2)
+    for _ in range(3):
+        for idx, val, y in rows:
+            w = {(i, c): weight((i, c)) for i in idx.tolist() for c in range(3)}
+            logits = [sum(v * w[i, c] for i, v in zip(idx.tolist(), val.tolist(), strict=True)) for c in range(3)]
+            e = [math.exp(x - max(logits)) for x in logits]
+            for i, v in zip(idx.tolist(), val.tolist(), strict=True):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / a * w[i, c]
+                    n[i, c] += g * g
+    got = langid.ftrl(rows, 3)
+    assert all(got[i, c] == pytest.approx(weight((i, c)), abs=1e-5) for i in range(12) for c in range(3)) and not got[12:].any()
+
+
+def test_language_against_brute_force(spark, odd):
+    """Each document's language and score from its n-grams, counted one by one."""
+    rows = [(i, f"{('the river and the hills', 'der Fluss und die Berge', 'la rivière et les collines')[i % 3]} {i}", ("en", "de", "fr")[i % 3], None, None) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOC).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    model = langid.fit_language_id(docs)
+
+    def brute(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        raw, tf = f" {' '.join(text.lower().split())} ".encode(), Counter()
+        for k in (2, 3, 4):
+            for i in range(len(raw) - k + 1):
+                h = sum(x * m for x, m in zip(raw[i : i + k], (0x01000193, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F), strict=False))
+                tf[((h * 0x9E3779B1 + k) * 0x2C1B3C6D & 0xFFFFFFFF) >> 32 - langid.BITS] += 1
+        val = {b: (1 + math.log(n)) * model.idf[b] for b, n in tf.items()}
+        norm = math.sqrt(sum(v * v for v in val.values()))
+        logits = [sum(v / norm * float(model.weights[b, c]) for b, v in val.items()) / model.temperature for c in range(len(model.langs))]
+        e = [math.exp(x - max(logits)) for x in logits]
+        return model.langs[e.index(max(e))], max(e) / sum(e)
+
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.identify(docs, model).collect())
+    assert got == Counter({}) + sum((Counter({(i, b[0], round(b[1], 4)): n}) for (i, t), n in texts.items() for b in [brute(t)]), Counter())
+
+
 def test_temperature_is_inside_its_bounds():
     rng = np.random.default_rng(5)
     y = rng.integers(0, 3, 400)
@@ -381,7 +428,9 @@ def test_bpe_rows(spark, odd, nothing):
     assert len(rows) == odd.count() and bpe.encode_decode(nothing, RANKS).count() == 0
     for r in rows:
         assert hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens
-    assert Counter(r.decoded for r in rows) == Counter(r.text or "" for r in odd.collect()) and c
+    assert Counter(r.decoded for r in rows) == Counter(r.text or "" for r in odd.collect())
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    assert all(np.frombuffer(bytes(r.ids), "<u4").tolist() == library.encode_ordinary(r.decoded) for r in rows)
 
 
 def test_token_counts(spark, odd, nothing):
@@ -542,6 +591,23 @@ def test_prefixes_are_long_enough():
     assert (jaccard.index_prefix(n, 75) <= jaccard.probe_prefix(n, 75)).all() and (jaccard.index_prefix(n, 75) >= 1).all()
 
 
+def test_shards_against_brute_force(spark):
+    """The shard of every document by scheduling without a heap: each bundle, largest first, to the shard with the least so far."""
+    docs = spark.createDataFrame([(i, f"text {i % 90} " * (i * i % 70), None, None, None) for i in range(400)] + [(i, "hot", None, None, None) for i in range(400, 600)] + [(None, None, None, None, None)], DOC)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    bundle = {r.text: r.b for r in docs.select("text", F.pmod(F.xxhash64(F.sha2(raw, 256)), F.lit(sharding.BUNDLES)).alias("b")).distinct().collect()}
+    size = Counter()
+    for r in docs.collect():
+        size[bundle[r.text]] += len((r.text or "").encode()) + 8
+    load, home = [0] * 24, {}
+    for b in sorted(size, key=lambda b: (-size[b], b)):
+        home[b] = load.index(min(load))
+        load[home[b]] += size[b]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = sharding.sharded(docs).collect()
+    assert all(r.shard == home[bundle[text[r.doc_id]]] for r in rows) and len(rows) == 601
+
+
 # Queries.
 
 
@@ -574,11 +640,19 @@ def test_pipeline(spark):
         out = written(out, "test")
         before, after = {r.doc_id: r.text for r in docs.collect()}, Counter(r.doc_id for r in out.collect())
         assert set(after) <= set(before)
+        if "language" in name:
+            model = langid.fit_language_id(docs)
+            assert set(after) == {i for i, t in before.items() if (p := model.predict(t or ""))[0] != "und" and p[1] >= langid.ACCEPT_AT}
+        if "quality" in name:
+            model = quality.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            rule = lambda t: (c := brute_counts(t))[0] >= 10 and 100 * c[4] <= 20 * c[0]
+            assert set(after) == {i for i, t in before.items() if rule(t) and model.score(t) >= quality.KEEP_AT}
         if "Jaccard" in name:
             assert set(after) == {c for _, c in brute_components(sorted(before.items())).values()} and set(after.values()) == {1}
         if "mixing" in name:
             assert max(after.values()) == 2
         docs = out
     rows = P.STAGES[-1][1](spark, docs, SF).collect()
-    assert len(rows) == docs.count()
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(RANKS).ranks, special_tokens={})
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((r.doc_id, len(library.encode_ordinary(r.text))) for r in docs.collect())
     assert P.run(spark, SF).count() == len(rows)
