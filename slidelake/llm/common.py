@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,22 +45,41 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders of written tables that have not been deleted, oldest first.
+_folders: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, read again. `discard` takes it away."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/slidelake-{uuid.uuid4().hex}"
+    _folders.append(path)
     df.write.option("compression", "zstd").parquet(f"{path}/{name}")
     out = spark.read.schema(df.schema).parquet(f"{path}/{name}")
     out.slidelake_folder = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path in _folders:
+        _folders.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df.slidelake_folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, df.slidelake_folder)
+
+
+def written_alone(df: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that df() gives, written; what was written on the way to it is deleted."""
+    before = set(_folders)
+    out = written(df(), name)
+    for path in [p for p in _folders if p not in before and p != out.slidelake_folder]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
