@@ -6,12 +6,13 @@ Each stage takes (spark, docs, sf_dir) and returns a table; all but the last ret
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from slidelake.llm import bpe, jaccard, langid, mixing, quality
-from slidelake.llm.common import read_table, small_batches, written
+from slidelake.llm.common import discard, read_table, small_batches, written_alone
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each one's result written and read again as the next one's input."""
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
-    return docs
+    """The stages in order, each one's result written and read again as the next one's input; what a stage no longer needs is deleted."""
+    docs, last = read_table(spark, sf_dir, "documents"), STAGES[-1][1]
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written_alone(partial(stage, spark, docs, sf_dir), f"stage{i}")
+        if i:
+            discard(before)
+    return last(spark, docs, sf_dir)
