@@ -20,6 +20,23 @@ WRITABLE_CHARTS = ("bar", "doughnut", "line", "pie")
 KEY = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 SCENE_KEYS = {"schemaVersion", "size", "themes", "masters", "layouts", "media", "slides"}
 ELEMENT_TYPES = ("text", "shape", "image", "table", "chart", "group", "unsupported")
+PROFILES = ("scene", "create-native", "create-text")
+BASE_KEYS = set("authored description fillColor geometry hidden key lineColor lineWidth name placeholder resolved title transform type".split())
+OWN_KEYS = {
+    "text": {"body", "paragraphs"}, "shape": {"body", "paragraphs"}, "image": {"crop", "mediaKey"}, "group": {"childSpace", "elements"}, "unsupported": {"feature", "previewText"},
+    "chart": {"barDirection", "chartType", "grouping", "holeSize", "marker", "series"}, "table": {"bandCol", "bandRow", "columns", "firstCol", "firstRow", "lastCol", "lastRow", "rows"},
+}
+AUTHORED_KEYS = {"fillColor", "geometry", "hidden", "lineColor", "lineWidth", "transform"}
+TRANSFORM_KEYS = {"flipHorizontal", "flipVertical", "height", "rotation", "width", "x", "y"}
+RUN_KEYS = {"bold", "color", "fontFamily", "fontSize", "italic", "language", "strike", "underline"}
+NODE_KEYS = {"run": {"key", "preserveSpace", "properties", "text", "type"}, "field": {"fieldType", "id", "key", "properties", "text", "type"}, "break": {"key", "properties", "type"}}
+PARAGRAPH_KEYS = {"align", "children", "endProperties", "key", "level"}
+CELL_KEYS = {"borders", "colSpan", "fillColor", "hMerge", "key", "paragraphs", "rowSpan", "text", "vMerge"}
+PLACEHOLDER_KEYS = {"hasCustomPrompt", "index", "orientation", "prompt", "role", "size", "sourceKey", "type"}
+CHOICES = {
+    "anchor": ("bottom", "middle", "top"), "autoFit": ("none", "shape", "text"), "align": ("center", "justify", "left", "right"), "role": ("layout-definition", "master-definition", "slide-instance"), "orientation": ("horizontal", "vertical"), "size": ("full", "half", "quarter"),
+    "barDirection": ("bar", "col"), "grouping": ("clustered", "percentStacked", "stacked", "standard"),
+}
 # End of fixed values.
 
 
@@ -28,13 +45,45 @@ def signature(data: bytes) -> str | None:
     return "image/png" if data[:8] == b"\x89PNG\r\n\x1a\n" else "image/jpeg" if data[:3] == b"\xff\xd8\xff" else None
 
 
-def validate_scene(scene: dict) -> list[dict]:
-    """Issues {code, message, path} in order; none: the scene can be written."""
+def validate_scene(scene: dict, profile: str = "create-native") -> list[dict]:
+    """Issues {code, message, path} in order; none: the scene can be written.
+
+    Profile `scene` judges a document of any kind; the others what can be written: packages get a minimal hierarchy of their own, so themes, masters, layouts, placeholders and opaque elements are refused, and `create-text` takes text boxes only.
+    """
+    if profile not in PROFILES:
+        raise ValueError(f"no profile {profile}")
+    creates = profile != "scene"
     out: list[dict] = []
     keys: set[str] = set()
     totals = dict.fromkeys(LIMITS, 0)
     issue = lambda code, path, message: out.append({"code": code, "message": message, "path": path})
 
+    def closed(x: dict, allowed: set[str], path: str) -> None:
+        for k in x:
+            if k not in allowed:
+                issue("unknown-key", f"{path}.{k}", f"{k} is not a property here")
+
+    def choice(x: dict, name: str, path: str, required: bool = False) -> None:
+        v = x.get(name)
+        if (required or v is not None) and v not in CHOICES[name]:
+            issue("invalid-value", f"{path}.{name}", f"not one of {', '.join(CHOICES[name])}")
+
+    def flags(x: dict, names: tuple[str, ...], path: str) -> None:
+        for k in names:
+            if x.get(k) is not None and not isinstance(x[k], bool):
+                issue("invalid-value", f"{path}.{k}", "neither true nor false")
+
+    def strings(x: dict, names: tuple[str, ...], path: str) -> None:
+        for k in names:
+            if x.get(k) is not None and not (isinstance(x[k], str) and xml_safe(x[k])):
+                issue("invalid-text", f"{path}.{k}", "not text that XML can hold")
+
+    def a_dict(x: object, path: str) -> bool:
+        if isinstance(x, dict):
+            return True
+        issue("invalid-value", path, "not an object")
+        return False
+
     def key(x: dict, path: str) -> None:
         k = x.get("key")
         if k is None:
@@ -67,53 +116,142 @@ def validate_scene(scene: dict) -> list[dict]:
         if c is not None and not (isinstance(c, str) and hex_color(c)):
             issue("invalid-color", path, "not #RRGGBB")
 
-    def transform(t: object, path: str) -> None:
-        if not isinstance(t, dict):
-            issue("invalid-value", path, "no transform")
-            return
+    def space(t: dict, path: str) -> None:
         for k in ("x", "y"):
             number(t.get(k), f"{path}.{k}")
         for k in ("width", "height"):
             if number(t.get(k), f"{path}.{k}") and t[k] < 0:
                 issue("invalid-number", f"{path}.{k}", "below 0")
+
+    def transform(t: object, path: str, group: bool) -> None:
+        if not a_dict(t, path):
+            return
+        closed(t, TRANSFORM_KEYS | ({"childSpace"} if group else set()), path)
+        space(t, path)
         if t.get("rotation") is not None:
             number(t["rotation"], f"{path}.rotation", 60000)
+        flags(t, ("flipHorizontal", "flipVertical"), path)
+        if t.get("childSpace") is not None:
+            child_space(t["childSpace"], f"{path}.childSpace")
 
-    def paragraphs(ps: list, path: str) -> None:
+    def child_space(c: object, path: str) -> None:
+        if a_dict(c, path):
+            closed(c, {"height", "width", "x", "y"}, path)
+            space(c, path)
+
+    def run_properties(p: object, path: str) -> None:
+        if p is None or not a_dict(p, path):
+            return
+        closed(p, RUN_KEYS, path)
+        flags(p, ("bold", "italic", "strike", "underline"), path)
+        strings(p, ("fontFamily", "language"), path)
+        color(p.get("color"), f"{path}.color")
+        if p.get("fontSize") is not None:
+            number(p["fontSize"], f"{path}.fontSize", 100, True)
+
+    def paragraphs(ps: object, path: str) -> None:
+        if not isinstance(ps, list):
+            issue("invalid-value", path, "not a list")
+            return
         for i, p in enumerate(ps):
+            at = f"{path}[{i}]"
             totals["paragraphs"] += 1
-            key(p, f"{path}[{i}]")
+            if not a_dict(p, at):
+                continue
+            closed(p, PARAGRAPH_KEYS, at)
+            key(p, at)
+            choice(p, "align", at)
+            if p.get("level") is not None and (isinstance(p["level"], bool) or not isinstance(p["level"], int) or not 0 <= p["level"] <= 8):
+                issue("invalid-number", f"{at}.level", "not a whole number from 0 to 8")
+            run_properties(p.get("endProperties"), f"{at}.endProperties")
             for j, c in enumerate(p.get("children") or []):
-                key(c, f"{path}[{i}].children[{j}]")
-                if c.get("type", "run") != "break":
-                    text(c.get("text"), f"{path}[{i}].children[{j}].text")
-                props = c.get("properties") or {}
-                color(props.get("color"), f"{path}[{i}].children[{j}].properties.color")
-                if props.get("fontSize") is not None:
-                    number(props["fontSize"], f"{path}[{i}].children[{j}].properties.fontSize", 100, True)
-
-    def element(e: dict, path: str) -> None:
+                node = f"{at}.children[{j}]"
+                if not a_dict(c, node):
+                    continue
+                key(c, node)
+                kind = c.get("type", "run")
+                if kind not in NODE_KEYS:
+                    issue("invalid-value", f"{node}.type", "neither run, field nor break")
+                    continue
+                closed(c, NODE_KEYS[kind], node)
+                if kind != "break":
+                    text(c.get("text"), f"{node}.text")
+                flags(c, ("preserveSpace",), node)
+                strings(c, ("fieldType", "id"), node)
+                run_properties(c.get("properties"), f"{node}.properties")
+
+    def body(b: object, path: str) -> None:
+        if b is not None and a_dict(b, path):
+            closed(b, {"anchor", "autoFit", "vertical", "wrap"}, path)
+            choice(b, "anchor", path)
+            choice(b, "autoFit", path)
+            flags(b, ("vertical", "wrap"), path)
+
+    def placeholder(p: object, path: str) -> None:
+        if not a_dict(p, path):
+            return
+        closed(p, PLACEHOLDER_KEYS, path)
+        flags(p, ("hasCustomPrompt",), path)
+        strings(p, ("prompt", "type"), path)
+        choice(p, "role", path, True)
+        choice(p, "orientation", path)
+        choice(p, "size", path)
+        if p.get("index") is not None and (isinstance(p["index"], bool) or not isinstance(p["index"], int) or p["index"] < 0):
+            issue("invalid-number", f"{path}.index", "not a whole number from 0")
+        if p.get("sourceKey") is not None:
+            references.append((f"{path}.sourceKey", p["sourceKey"]))
+        if creates:
+            issue("unsupported-feature", path, "placeholders can't be written")
+
+    def element(e: object, path: str) -> None:
         totals["elements"] += 1
+        if not a_dict(e, path):
+            return
+        if id(e) in seen:
+            issue("invalid-value", path, "the element stands in two places")
+            return
+        seen.add(id(e))
         key(e, path)
         kind = e.get("type")
-        if kind not in ELEMENT_TYPES or kind == "unsupported":
+        if kind not in ELEMENT_TYPES or kind == "unsupported" and creates:
             issue("unsupported-element", path, f"{kind} can't be written")
             return
-        transform(e.get("transform"), f"{path}.transform")
-        look = e.get("authored") or e
+        if profile == "create-text" and kind != "text":
+            issue("unsupported-feature", path, "only text boxes can be written")
+        closed(e, BASE_KEYS | OWN_KEYS[kind], path)
+        strings(e, ("description", "name", "title"), path)
+        look = e
+        if e.get("authored") is not None and a_dict(e["authored"], f"{path}.authored"):
+            look = e["authored"]
+            closed(look, AUTHORED_KEYS, f"{path}.authored")
+        flags(look, ("hidden",), path)
+        strings(look, ("geometry",), path)
+        if look.get("lineWidth") is not None:
+            number(look["lineWidth"], f"{path}.lineWidth", EMU_PER_POINT, True)
+        if kind != "unsupported":
+            transform(e.get("transform"), f"{path}.transform", kind == "group")
         for c in ("fillColor", "lineColor"):
             color(look.get(c), f"{path}.{c}")
+        if e.get("placeholder") is not None:
+            placeholder(e["placeholder"], f"{path}.placeholder")
         if kind in ("text", "shape"):
+            body(e.get("body"), f"{path}.body")
             paragraphs(e.get("paragraphs") or [], f"{path}.paragraphs")
         elif kind == "image":
             if e.get("mediaKey") not in media:
                 issue("missing-reference", f"{path}.mediaKey", f"no media {e.get('mediaKey')}")
         elif kind == "group":
+            if e.get("childSpace") is not None:
+                child_space(e["childSpace"], f"{path}.childSpace")
             for i, c in enumerate(e.get("elements") or []):
                 element(c, f"{path}.elements[{i}]")
         elif kind == "chart":
+            choice(e, "barDirection", path)
+            choice(e, "grouping", path)
+            flags(e, ("marker",), path)
             chart(e, path)
         elif kind == "table":
+            flags(e, tuple(sorted(OWN_KEYS["table"] - {"columns", "rows"})), path)
             table(e, path)
 
     def chart(e: dict, path: str) -> None:
@@ -155,6 +293,14 @@ def validate_scene(scene: dict) -> list[dict]:
                 issue("invalid-value", f"{path}.rows[{i}].cells", "not a cell for each column")
                 return
             for j, c in enumerate(r["cells"]):
+                closed(c, CELL_KEYS, f"{path}.rows[{i}].cells[{j}]")
+                for side, line in (c.get("borders") or {}).items():
+                    if side not in ("bottom", "left", "right", "top") or not isinstance(line, dict) or line.get("color") is None:
+                        issue("invalid-value", f"{path}.rows[{i}].cells[{j}].borders.{side}", "a side with a colour")
+                    else:
+                        color(line["color"], f"{path}.rows[{i}].cells[{j}].borders.{side}.color")
+                if c.get("paragraphs") is not None:
+                    paragraphs(c["paragraphs"], f"{path}.rows[{i}].cells[{j}].paragraphs")
                 text(c.get("text") or "", f"{path}.rows[{i}].cells[{j}].text")
                 color(c.get("fillColor"), f"{path}.rows[{i}].cells[{j}].fillColor")
                 rs, cs = c.get("rowSpan") or 1, c.get("colSpan") or 1
@@ -174,6 +320,8 @@ def validate_scene(scene: dict) -> list[dict]:
                 if (bool(c.get("vMerge")), bool(c.get("hMerge"))) != want:
                     issue("invalid-merge", f"{path}.rows[{i}].cells[{j}]", "merge flags don't fit the spans")
 
+    seen: set[int] = set()
+    references: list[tuple[str, object]] = []
     for k in sorted(set(scene) - SCENE_KEYS):
         issue("unknown-key", k, f"{k} is not part of a scene")
     size = scene.get("size") or {}
@@ -191,6 +339,8 @@ def validate_scene(scene: dict) -> list[dict]:
         if signature(data) != m.get("mimeType"):
             issue("invalid-media", f"media[{i}].data", "the bytes are not of the type")
     levels = [scene.get(k) or [] for k in ("themes", "masters", "layouts")]
+    if any(levels) and creates:
+        issue("unsupported-feature", "themes", "packages get a minimal hierarchy of their own")
     if any(levels) and not all(levels):
         issue("invalid-hierarchy", "themes", "themes, masters and layouts come together or not at all")
     for name, parent, ref in (("masters", "themes", "themeKey"), ("layouts", "masters", "masterKey")):
@@ -198,18 +348,26 @@ def validate_scene(scene: dict) -> list[dict]:
         for i, x in enumerate(scene.get(name) or []):
             if x.get(ref) not in known:
                 issue("missing-reference", f"{name}[{i}].{ref}", f"no {x.get(ref)}")
-    for group in levels:
+    for name, group, own in zip(("themes", "masters", "layouts"), levels, (set(), {"elements", "themeKey"}, {"elements", "masterKey"}), strict=True):
         for i, x in enumerate(group):
-            key(x, f"hierarchy[{i}]")
+            closed(x, {"key", "name"} | own, f"{name}[{i}]")
+            key(x, f"{name}[{i}]")
+            for j, e in enumerate(x.get("elements") or []):
+                element(e, f"{name}[{i}].elements[{j}]")
     layouts = {x.get("key") for x in scene.get("layouts") or []}
     for i, s in enumerate(scene.get("slides") or []):
         totals["slides"] += 1
+        closed(s, {"backgroundColor", "elements", "hidden", "key", "layoutKey", "name"}, f"slides[{i}]")
         key(s, f"slides[{i}]")
+        flags(s, ("hidden",), f"slides[{i}]")
         color(s.get("backgroundColor"), f"slides[{i}].backgroundColor")
-        if layouts and s.get("layoutKey") not in layouts:
+        if layouts and s.get("layoutKey") not in layouts or not layouts and s.get("layoutKey") is not None:
             issue("missing-reference", f"slides[{i}].layoutKey", f"no layout {s.get('layoutKey')}")
         for j, e in enumerate(s.get("elements") or []):
             element(e, f"slides[{i}].elements[{j}]")
+    for path, ref in references:
+        if ref not in keys:
+            issue("missing-reference", path, f"no {ref}")
     for k, most in LIMITS.items():
         if totals[k] > most:
             issue("resource-limit", k, f"{totals[k]} {k}, more than {most}")

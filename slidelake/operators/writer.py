@@ -13,7 +13,7 @@ from xml.sax.saxutils import quoteattr
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from slidelake.functions.ooxml import ANGLE_UNITS, EMU_PER_POINT, FONT_UNITS, MEDIA_TYPES, column_name, escape_xml, js_number, needs_preserve, units
+from slidelake.functions.ooxml import ANGLE_UNITS, EMU_PER_POINT, FONT_UNITS, MEDIA_TYPES, column_name, degrees, emu_to_points, escape_xml, js_number, needs_preserve, sha256, units
 
 # Namespaces and types of the parts that are written.
 _O = "http://schemas.openxmlformats.org/"
@@ -222,29 +222,66 @@ def zip_package(parts: list[tuple[str, str | bytes]], level: int = 9) -> bytes:
 
 
 def create_deck(scene: dict, level: int = 9) -> bytes:
-    """The package of a scene. ValueError: the scene is not valid, or what was written does not read back as the scene."""
+    """The package of a scene. ValueError: the scene is not valid, or what was written does not read back as the scene: slides, kinds, places, texts, cells, chart points and pictures."""
     from slidelake.operators.validate import validate_scene
     from slidelake.sources.deck import Options, parse_deck
 
     if issues := validate_scene(scene):
         raise ValueError("; ".join(f"{i['path']}: {i['code']}: {i['message']}" for i in issues[:5]))
     raw = zip_package(package_parts(scene), level)
-    back = parse_deck(raw, "", Options(strict=True))
+    back = parse_deck(raw, "", Options(strict=True, media=True, tables=frozenset({"slides", "elements", "table_cells", "chart_points", "parts"})))
     if back["status"] != "ok" or len(back.get("slides", [])) != len(scene["slides"]):
         raise ValueError(f"the written package does not read back: {back['code']} {back['message']}")
-    top = [(i, e["type"]) for i, s in enumerate(scene["slides"], 1) for e in s.get("elements") or []]
-    read = [(e["slide_no"], e["type"]) for e in back.get("elements", []) if len(e["tree_path"]) == 1 and e["origin"] == "slide"]
-    if sorted(top) != sorted(read):
-        raise ValueError("the written package reads back with other elements")
+    want, got = _said(scene), _read(back)
+    if want != got:
+        at = next(k for k in sorted({*want, *got}) if want.get(k) != got.get(k))
+        raise ValueError(f"{at} reads back as {got.get(at)!r}, not as {want.get(at)!r}")
     return raw
 
 
+def _plain(paragraphs: list[dict]) -> str:
+    return "\n".join("".join("\n" if c.get("type") == "break" else c.get("text", "") for c in p.get("children") or []) for p in paragraphs)
+
+
+def _said(scene: dict) -> dict[str, tuple]:
+    """What a scene says of each element, by the key it has when it is read: kind, place (outside groups, whose space is their own), text, cells, points, picture."""
+    out: dict[str, tuple] = {}
+    media = {m["key"]: sha256(m["data"]) for m in scene.get("media") or []}
+
+    def walk(elements: list[dict], prefix: str, top: bool) -> None:
+        for i, e in enumerate(elements, 1):
+            key, t, kind = f"{prefix}-element-{i}", e["transform"], e["type"]
+            place = (*(emu_to_points(emu(t[k])) for k in ("x", "y", "width", "height")), float(degrees(units(t.get("rotation") or 0, ANGLE_UNITS))), bool(t.get("flipHorizontal")), bool(t.get("flipVertical"))) if top else None
+            cells = [(r, c, _plain(x["paragraphs"]) if x.get("paragraphs") else x.get("text") or "") for r, row in enumerate(e["rows"]) for c, x in enumerate(row["cells"])] if kind == "table" else []
+            points = [(n, j, str(c), float(v)) for n, s in enumerate(e["series"]) for j, (c, v) in enumerate(zip(s["categories"], s["values"], strict=True))] if kind == "chart" else []
+            out[key] = (kind, place, _plain(e.get("paragraphs") or []) if kind in ("text", "shape") else "", cells, points, media.get(e.get("mediaKey")))
+            if kind == "group":
+                walk(e["elements"], key, False)
+
+    for n, s in enumerate(scene["slides"], 1):
+        walk(s.get("elements") or [], f"slide-{n}", True)
+    return out
+
+
+def _read(row: dict) -> dict[str, tuple]:
+    """The same of a parsed deck."""
+    digests = {p["part"]: p["sha256"] for p in row.get("parts", [])}
+    cells: dict[str, list] = {}
+    for c in row.get("table_cells", []):
+        cells.setdefault(c["key"], []).append((c["row_no"], c["col_no"], c["text"]))
+    points: dict[str, list] = {}
+    for c in row.get("chart_points", []):
+        points.setdefault(c["key"], []).append((c["series_no"], c["idx"], c["category"], c["y"]))
+    place = lambda e: tuple(e[k] for k in ("left", "top", "width", "height", "rotate", "flip_h", "flip_v")) if len(e["tree_path"]) == 1 else None
+    return {e["key"]: (e["type"], place(e), e["plain_text"] if e["type"] in ("text", "shape") else "", cells.get(e["key"], []), points.get(e["key"], []), digests.get(e.get("media_part"))) for e in row.get("elements", []) if e["origin"] == "slide"}
+
+
 #: Packages, and their bytes, that go to the JVM together.
 BATCH_DECKS, BATCH_BYTES = 256, 4 << 20
 
 
-def write_decks(scenes: DataFrame, build, level: int = 6) -> DataFrame:
-    """path and content of packages from rows with a path: `build` (row as dict -> scene) runs on the executors, a row at a time."""
+def write_decks(scenes: DataFrame, build, level: int = 6, checked: bool = False) -> DataFrame:
+    """path and content of packages from rows with a path: `build` (row as dict -> scene, or a package) runs on the executors, a row at a time. checked: each scene is validated and its package read back, as in create_deck."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, raws = [], []
@@ -260,7 +297,7 @@ def write_decks(scenes: DataFrame, build, level: int = 6) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 scene = build(row)
                 paths.append(row["path"])
-                raws.append(scene if isinstance(scene, bytes) else zip_package(package_parts(scene), level))
+                raws.append(scene if isinstance(scene, bytes) else create_deck(scene, level) if checked else zip_package(package_parts(scene), level))
                 if len(raws) >= BATCH_DECKS or sum(map(len, raws)) >= BATCH_BYTES:
                     yield sent()
         if raws:
@@ -273,8 +310,6 @@ def save_decks(decks: DataFrame, folder: str) -> DataFrame:
     """Sink: writes path and content into a folder that the executors share; each file appears whole. Returns file, bytes and sha256."""
     import os
 
-    from slidelake.functions.ooxml import sha256
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -311,10 +311,11 @@ def validate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.duplicate_keys(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
-@query("SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)")
 def validate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    return validate.dangling(customers, read(spark, sf_dir, "orders"), ["o_custkey"])
+    """Orders whose customer is not among two thirds of the customers."""
+    customers = read(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return validate.dangling(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), customers, ["o_custkey"]).select("o_orderkey", "o_custkey")
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber AS r, l_linenumber % 3 AS col, (l_quantity % 3 + 1)::INT AS rs, (l_quantity % 2 + 1)::INT AS cs FROM lineitem),
@@ -326,10 +327,14 @@ def validate_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.overlapping_spans(cells, "l_orderkey")
 
 
-@query("SELECT source AS scene, 'resource-limit' AS code, 'code_units' AS name, sum(len(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS total FROM documents GROUP BY source HAVING sum(len(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]'))) > 8388608")
+@query("""SELECT l_linestatus AS scene, 'resource-limit' AS code, 'elements' AS name, count(*) AS total FROM lineitem GROUP BY 1 HAVING count(*) > 5000
+UNION ALL SELECT o_orderstatus, 'resource-limit', 'paragraphs', count(*) FROM orders GROUP BY 1 HAVING count(*) > 10000
+UNION ALL SELECT source, 'resource-limit', 'code_units', sum(len(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS total FROM documents GROUP BY source HAVING total > 8388608""")
 def validate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("scene")).agg(F.sum(ooxml.utf16_length_col(F.col("text"))).cast("long").alias("total")).withColumn("name", F.lit("code_units"))
-    return validate.over_limits(totals, "scene")
+    """Line items as elements of a scene for each status, orders as its paragraphs, documents as the text of a scene for each source."""
+    counted = lambda table, by, name: read(spark, sf_dir, table).groupBy(F.col(by).alias("scene")).agg(F.count("*").alias("total")).withColumn("name", F.lit(name))
+    units = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("scene")).agg(F.sum(ooxml.utf16_length_col(F.col("text"))).cast("long").alias("total")).withColumn("name", F.lit("code_units"))
+    return validate.over_limits(counted("lineitem", "l_linestatus", "elements").unionByName(counted("orders", "o_orderstatus", "paragraphs")).unionByName(units), "scene")
 
 
 def _supplier_packages(spark: SparkSession, sf_dir: str) -> DataFrame:

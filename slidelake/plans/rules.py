@@ -598,17 +598,23 @@ def stored_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scenes, snapshots and pictures.
 
 
-@query("""SELECT s_suppkey AS supp, ['', 'invalid-number', 'invalid-text', 'invalid-color', 'missing-reference', 'invalid-value', 'invalid-number', 'invalid-media', 'invalid-hierarchy', 'invalid-merge', 'duplicate-key', 'invalid-key', 'unknown-key', 'unsupported-element', 'invalid-value', 'invalid-value', 'invalid-value', 'invalid-number'][s_suppkey % 18 + 1] AS codes FROM supplier""")
+@query("""SELECT s_suppkey AS supp, ['', 'invalid-number', 'invalid-text', 'invalid-color', 'missing-reference', 'invalid-value', 'invalid-number', 'invalid-media', 'invalid-hierarchy,unsupported-feature', 'invalid-merge', 'duplicate-key', 'invalid-key', 'unknown-key', 'unsupported-element', 'invalid-value', 'invalid-value', 'invalid-value', 'invalid-number',
+'unknown-key', 'unsupported-feature', 'invalid-number', 'invalid-value', 'invalid-number', 'unsupported-feature', 'missing-reference', 'invalid-value', 'invalid-value', 'unknown-key'][s_suppkey % 28 + 1] AS codes FROM supplier""")
 def scene_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scene for each rule that it breaks."""
     series = {"name": "s", "categories": ["a"], "values": [1]}
     chart = {"type": "chart", "transform": B.BOX, "chartType": "bar", "series": [series]}
     box = lambda **more: {"type": "shape", "transform": B.BOX, **more}
+    once = box()
+    whole = B.scene([[]], themes=[{"key": "t", "name": "t"}], masters=[{"key": "m", "name": "m", "themeKey": "t", "elements": []}], layouts=[{"key": "l", "name": "l", "masterKey": "m", "elements": []}]) | {"slides": [{"layoutKey": "l", "elements": []}]}
     scenes: list[dict] = [
         B.scene([[B.text_box("x")]]), B.scene([[box(transform=B.BOX | {"x": float("nan")})]]), B.scene([[{"type": "text", "transform": B.BOX, "paragraphs": [{"children": [{"text": "\x01"}]}]}]]), B.scene([[box(fillColor="red")]]), B.scene([[{"type": "image", "transform": B.BOX, "mediaKey": "none"}]]),
         B.scene([[chart | {"series": []}]]), B.scene([[chart | {"series": [series | {"values": [float("inf")]}]}]]), B.scene([[]], media=[{"key": "m", "mimeType": "image/jpeg", "data": B.PNG}]), B.scene([[]], themes=[{"key": "t", "name": "t"}]),
         B.scene([[B.table_of([[{"text": "a", "colSpan": 2}, {"text": "b"}]])]]), B.scene([[box(key="k"), box(key="k")]]), B.scene([[box(key="-")]]), B.scene([[]], more=1), B.scene([[{"type": "unsupported"}]]), B.scene([[chart | {"chartType": "radar"}]]),
         B.scene([[B.table_of([["a"]]) | {"rows": [{"height": 20.0, "cells": []}]}]]), B.scene([[chart | {"transform": B.BOX | {"rotation": 5}}]]), B.scene([[{"type": "text", "transform": B.BOX, "paragraphs": [{"children": [{"text": "x", "properties": {"fontSize": 0}}]}]}]]),
+        B.scene([[box(colour="#FFFFFF")]]), B.scene([[box(placeholder={"role": "slide-instance", "type": "title"})]]), B.scene([[{"type": "group", "transform": B.BOX, "childSpace": B.BOX | {"width": -1}, "elements": []}]]), B.scene([[B.text_box("x", body={"anchor": "aside"})]]),
+        B.scene([[{"type": "text", "transform": B.BOX, "paragraphs": [{"level": 9, "children": []}]}]]), whole, B.scene([[]]) | {"slides": [{"layoutKey": "l", "elements": []}]}, B.scene([[once, once]]), B.scene([[B.table_of([[{"text": "a", "borders": {"left": {"width": 1}}}]])]]),
+        B.scene([[{"type": "text", "transform": B.BOX, "paragraphs": [{"children": [{"type": "break", "text": "x"}]}]}]]),
     ]
     keys = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"))
     return _mapped(keys, "supp long, codes string", lambda r: {"supp": r["supp"], "codes": ",".join(sorted({i["code"] for i in validate.validate_scene(scenes[r["supp"] % len(scenes)])}))})
