@@ -2,61 +2,53 @@
 
 from __future__ import annotations
 
+import re
 from typing import TYPE_CHECKING
 
 if TYPE_CHECKING:
     from slidelake.sources.package import Node
 
-# Accents, large operators and delimiters.
-ACCENTS = {"̀": "grave", "́": "acute", "̂": "hat", "̃": "tilde", "̄": "bar", "̅": "overline", "̆": "breve", "̇": "dot", "̈": "ddot", "̌": "check", "⃗": "vec", "⃛": "dddot"}
-OPERATORS = {"∑": "\\sum", "∏": "\\prod", "∫": "\\int", "∬": "\\iint", "∭": "\\iiint", "∮": "\\oint", "⋃": "\\bigcup", "⋂": "\\bigcap"}
-SYMBOLS = {"{": "\\{", "}": "\\}", "%": "\\%", "#": "\\#", "&": "\\&", "_": "\\_", "$": "\\$", "\\": "\\backslash "}
+# What each structure becomes, <x> standing for its part x; names of accents; characters that stand for themselves where a file names none.
+STRUCTURES = {
+    "f": "\\frac{<num>}{<den>}", "sSup": "<e>^{<sup>}", "sSub": "<e>_{<sub>}", "sSubSup": "<e>_{<sub>}^{<sup>}", "nary": "<chr>_{<sub>}^{<sup>}{<e>}", "limLow": "<e>_{<lim>}", "limUpp": "<e>^{<lim>}", "func": "\\<fName>{<e>}",
+    "groupChr": "<chr><e><chr>", "borderBox": "\\boxed{<e>}", "acc": "\\<accent>{<e>}", "m": "\\begin{matrix} <rows> \\end{matrix}", "eqArr": "\\begin{cases} <lines> \\end{cases}", "rad": "\\sqrt<degree>{<e>}", "bar": "\\<line>{<e>}", "d": "<open><e><close>",
+}
+ACCENTS = {"\u0300": "grave", "\u0301": "acute", "\u0302": "hat", "\u0303": "tilde", "\u0304": "bar", "\u0306": "breve", "\u0307": "dot", "\u0308": "ddot", "\u030a": "mathring", "\u030b": "H", "\u030c": "check", "\u0327": "c"}
+DEFAULTS = {"nary": "∫", "acc": "^", "groupChr": ""}
 # End of fixed values.
 
 
 def latex(node: Node) -> str:
-    """The formula under an m: element; elements that mean nothing by themselves give what they hold."""
+    """The formula under an m: element, in document order; elements that are no structure give what they hold, properties nothing."""
     name = node.tag.rpartition(":")[2]
-    arg = lambda tag: "".join(latex(c) for x in node.all(f"m:{tag}") for c in x.children)
-    prop = lambda holder, tag: node.get(f"m:{holder}", f"m:{tag}", "m:val")
     if name == "t":
-        return "".join(SYMBOLS.get(c, c) for c in node.text or "")
-    if name == "f":
-        return f"\\frac{{{arg('num')}}}{{{arg('den')}}}"
-    if name == "sSup":
-        return f"{{{arg('e')}}}^{{{arg('sup')}}}"
-    if name == "sSub":
-        return f"{{{arg('e')}}}_{{{arg('sub')}}}"
-    if name == "sSubSup":
-        return f"{{{arg('e')}}}_{{{arg('sub')}}}^{{{arg('sup')}}}"
-    if name == "rad":
-        return f"\\sqrt[{d}]{{{arg('e')}}}" if (d := arg("deg")) else f"\\sqrt{{{arg('e')}}}"
-    if name == "nary":
-        op = OPERATORS.get(prop("naryPr", "chr") or "∫", prop("naryPr", "chr") or "\\int")
-        return op + (f"_{{{s}}}" if (s := arg("sub")) else "") + (f"^{{{s}}}" if (s := arg("sup")) else "") + f"{{{arg('e')}}}"
-    if name == "limLow":
-        return f"\\underset{{{arg('lim')}}}{{{arg('e')}}}"
-    if name == "limUpp":
-        return f"\\overset{{{arg('lim')}}}{{{arg('e')}}}"
-    if name == "d":
-        left, right = prop("dPr", "begChr"), prop("dPr", "endChr")
-        side = lambda c, default: "." if c == "" else SYMBOLS.get(c or default, c or default)
-        parts = ["".join(latex(c) for c in e.children) for e in node.all("m:e")]
-        return f"\\left{side(left, '(')}{(prop('dPr', 'sepChr') or '|').join(parts)}\\right{side(right, ')')}"
-    if name == "func":
-        fn = arg("fName").strip()
-        return (f"\\{fn}" if fn.isalpha() and fn.isascii() else fn) + f"{{{arg('e')}}}"
-    if name == "groupChr":
-        return f"\\{'overbrace' if prop('groupChrPr', 'pos') == 'top' else 'underbrace'}{{{arg('e')}}}"
-    if name == "eqArr":
-        return "\\begin{aligned}" + " \\\\ ".join("".join(latex(c) for c in e.children) for e in node.all("m:e")) + "\\end{aligned}"
-    if name == "bar":
-        return f"\\{'underline' if prop('barPr', 'pos') == 'bot' else 'overline'}{{{arg('e')}}}"
-    if name == "acc":
-        return f"\\{ACCENTS.get(prop('accPr', 'chr') or chr(0x302), 'hat')}{{{arg('e')}}}"
-    if name == "borderBox":
-        return f"\\boxed{{{arg('e')}}}"
-    if name == "m":
-        rows = [" & ".join("".join(latex(c) for c in e.children) for e in r.all("m:e")) for r in node.all("m:mr")]
-        return "\\begin{matrix}" + " \\\\ ".join(rows) + "\\end{matrix}"
-    return "".join(latex(c) for c in node.children)
+        return node.text or ""
+    if name not in STRUCTURES:
+        return "" if name.endswith("Pr") else "".join(map(latex, node.children))
+    return re.sub("<([A-Za-z]+)>", lambda m: _part(node, name, m[1]), STRUCTURES[name])
+
+
+def _part(node: Node, name: str, part: str) -> str:
+    held = lambda of, tag: "".join(latex(c) for x in of.all(f"m:{tag}") for c in x.children)
+    given = lambda tag: node.get(f"m:{name}Pr", f"m:{tag}", "m:val")
+    each = lambda of, tag: ["".join(map(latex, x.children)) for x in of.all(f"m:{tag}")]
+    if part == "chr":
+        return given("chr") if given("chr") is not None else DEFAULTS[name]
+    if part == "accent":
+        c = given("chr") if given("chr") is not None else DEFAULTS[name]
+        return ACCENTS.get(c, c)
+    if part == "degree":
+        return f"[{d}]" if (d := held(node, "deg")) else ""
+    if part == "line":
+        return "overline" if given("pos") == "top" else "underline"
+    if part == "rows":
+        return " \\\\ ".join(" & ".join(each(r, "e")) for r in node.all("m:mr"))
+    if part == "lines":
+        return " \\\\ ".join(each(node, "e"))
+    if part in ("open", "close"):
+        left, right = given("begChr"), given("endChr")
+        if not left and not right:
+            left, right = "(", ")"
+        own = left if part == "open" else right
+        return {"open": "\\left", "close": "\\right"}[part] + own if left and right else own or ""
+    return held(node, part)

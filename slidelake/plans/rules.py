@@ -455,6 +455,30 @@ def diagram_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key_of().alias("supp"), text("slide").alias("text"), F.size("diagram_text").alias("items"), text("diagram").alias("drawn"))
 
 
+#: Formulas and their LaTeX; braces hold runs, K stands for the key.
+FORMULAS = {
+    "<m:sSup><m:e>{K}</m:e><m:sup>{2}</m:sup></m:sSup>": "K^{2}", "<m:sSub><m:e>{K}</m:e><m:sub>{i}</m:sub></m:sSub>": "K_{i}", "<m:rad><m:e>{K}</m:e></m:rad>": "\\sqrt{K}", "<m:rad><m:deg>{3}</m:deg><m:e>{K}</m:e></m:rad>": "\\sqrt[3]{K}",
+    "<m:m><m:mr><m:e>{K}</m:e><m:e>{b}</m:e></m:mr><m:mr><m:e>{c}</m:e><m:e>{d}</m:e></m:mr></m:m>": "\\begin{matrix} K & b \\\\ c & d \\end{matrix}", "<m:eqArr><m:e>{x=K}</m:e><m:e>{y=2}</m:e></m:eqArr>": "\\begin{cases} x=K \\\\ y=2 \\end{cases}",
+    "<m:nary><m:sub>{0}</m:sub><m:sup>{n}</m:sup><m:e>{K}</m:e></m:nary>": "∫_{0}^{n}{K}", '<m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr><m:sub>{0}</m:sub><m:sup>{n}</m:sup><m:e>{K}</m:e></m:nary>': "∑_{0}^{n}{K}", "<m:limLow><m:e>{lim}</m:e><m:lim>{K}</m:lim></m:limLow>": "lim_{K}",
+    "<m:limUpp><m:e>{lim}</m:e><m:lim>{K}</m:lim></m:limUpp>": "lim^{K}", "<m:d><m:e>{K}</m:e></m:d>": "\\left(K\\right)", '<m:d><m:dPr><m:begChr m:val="["/><m:endChr m:val="]"/></m:dPr><m:e>{K}</m:e></m:d>': "\\left[K\\right]", '<m:d><m:dPr><m:begChr m:val="|"/></m:dPr><m:e>{K}</m:e></m:d>': "|K",
+    '<m:d><m:dPr><m:endChr m:val="|"/></m:dPr><m:e>{K}</m:e></m:d>': "K|", "<m:func><m:fName>{sin}</m:fName><m:e>{K}</m:e></m:func>": "\\sin{K}", '<m:groupChr><m:groupChrPr><m:chr m:val="⏞"/></m:groupChrPr><m:e>{K}</m:e></m:groupChr>': "⏞K⏞", "<m:borderBox><m:e>{K}</m:e></m:borderBox>": "\\boxed{K}",
+    '<m:bar><m:barPr><m:pos m:val="top"/></m:barPr><m:e>{K}</m:e></m:bar>': "\\overline{K}", "<m:bar><m:e>{K}</m:e></m:bar>": "\\underline{K}", '<m:acc><m:accPr><m:chr m:val="\u0303"/></m:accPr><m:e>{K}</m:e></m:acc>': "\\tilde{K}", "<m:f><m:num>{K}</m:num><m:den>{1}{&lt;}</m:den></m:f>": "\\frac{K}{1<}",
+}
+_LATEX = ", ".join(f"'{t}'" for t in FORMULAS.values())
+
+
+@query(f"SELECT s_suppkey AS supp, replace([{_LATEX}][s_suppkey % {len(FORMULAS)} + 1], 'K', s_suppkey::VARCHAR) AS latex FROM supplier")
+def math_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula of each structure."""
+
+    def drawn(k: int) -> str:
+        inner = re.sub(r"\{([^}]*)\}", r"<m:r><m:t>\1</m:t></m:r>", list(FORMULAS)[k % len(FORMULAS)]).replace("K", str(k))
+        choice = shape(k, text=body(f'<a:p><m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math">{inner}</m:oMath></a:p>'))
+        return f'<mc:AlternateContent xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><mc:Choice Requires="a14">{choice}</mc:Choice><mc:Fallback>{shape(k)}</mc:Fallback></mc:AlternateContent>'
+
+    return elements(decks(spark, sf_dir, drawn), "latex")
+
+
 # Packages.
 
 
