@@ -280,7 +280,7 @@ def emu_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), ooxml.emu_to_points_col(F.col("p_size").cast("long") * 12345).alias("points"))
 
 
-@query("SELECT '<p>' || s_name || '</p>' AS note FROM supplier")
+@query("SELECT '<p style=\"text-align:left;\">' || replace(s_name, ' ', '&nbsp;') || '</p>' AS note FROM supplier")
 def notes_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     decks = parsed(gathered(read(spark, sf_dir, "supplier"), "concat('s-', s_suppkey div 50)", "s_suppkey", names="s_name"), B.notes_deck)
     return table(decks, "slides").select(F.col("note_html").alias("note"))

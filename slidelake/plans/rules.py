@@ -113,16 +113,27 @@ def text_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(decks(spark, sf_dir, drawn), F.col("auto_fit").alias("fit"), F.col("font_scale").alias("scale"), "v_align", F.col("is_vertical").alias("vertical"))
 
 
-@query("""SELECT s_suppkey AS supp, CASE s_suppkey % 4 WHEN 0 THEN '<p style="text-align: center;"><span style="font-size: 18pt; font-family: ''Calibri'';">' || s_suppkey || '&nbsp;&lt;</span></p>'
-WHEN 1 THEN '<p style="text-align: left;"><span style="font-size: 18pt; font-family: ''Calibri'';">' || s_suppkey || '</span><span style="font-size: 18pt; font-family: ''Calibri''; font-weight: bold;">b</span></p>'
-WHEN 2 THEN '<p style="text-align: left;"><span style="font-size: 18pt; font-family: ''Calibri'';">' || s_suppkey || 'y</span></p>'
-ELSE '<p style="text-align: left;"><span>&nbsp;</span></p>' END AS html FROM (SELECT s_suppkey, 1 FROM supplier)""".replace("font-family: ''Calibri''", "font-family: &#039;Calibri&#039;"))
+_FONT = "font-size: 18pt;font-family: &#039;Calibri&#039;;"
+
+
+@query(f"""SELECT s_suppkey AS supp, CASE s_suppkey % 6 WHEN 0 THEN '<p style="text-align: center;line-height: 1.2;margin-top: 4pt;margin-bottom: 0.5em;"><span style="{_FONT}">' || s_suppkey || '&nbsp;&lt;</span></p>'
+WHEN 1 THEN '<p style="text-align: left;margin-left: 36pt;text-indent: -18pt;"><span style="{_FONT}">' || s_suppkey || '</span><span style="{_FONT}font-weight: bold;text-decoration: underline;text-decoration-line: line-through;letter-spacing: 1.5pt;">b</span></p>'
+WHEN 2 THEN '<p style="text-align: left;"><span style="{_FONT}">' || s_suppkey || 'y</span><br><span style="{_FONT}vertical-align: super;">z</span></p>'
+WHEN 3 THEN '<p style="text-align: left;"><span style="{_FONT}">&nbsp;</span></p>'
+WHEN 4 THEN '<ul><li><p style="text-align: left;"><span style="{_FONT}">' || s_suppkey || '</span></p><ol><li><p style="text-align: left;"><span style="{_FONT}">in</span></p></li></ol></li><li><p style="text-align: left;"><span style="{_FONT}">next</span></p></li></ul><p style="text-align: left;"><span style="{_FONT}">out</span></p>'
+ELSE '<p style="text-align: left;"><span style="background: linear-gradient(120deg, #FF0000 0%, #0000FF 100%); background-clip: text; color: transparent;{_FONT}text-shadow: 3pt 0pt #111111;">' || s_suppkey || '</span></p>' END AS html FROM supplier""")
 def html_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs and spans: alignment, white space and escapes; runs of one style are one span, others are not; an empty paragraph keeps its line."""
+    """Paragraphs and spans: alignment, spacing, indents, white space and escapes; runs of one style are one span; an empty paragraph keeps its line; lists nest in the item above them; gradients and shadows of letters."""
 
     def drawn(k: int) -> str:
-        inner = (f'<a:pPr algn="ctr"/>{run(f"{k} &lt;")}', run(k) + run("b", '<a:rPr b="1"/>'), run(k) + run("y"), "")[k % 4]
-        return shape(k, text=body(f"<a:p>{inner}</a:p>"))
+        text = lambda t, props="": f"<a:p>{f'<a:pPr {props}</a:pPr>' if props else ''}{t}</a:p>"
+        spaced = 'algn="ctr"><a:lnSpc><a:spcPct val="120000"/></a:lnSpc><a:spcBef><a:spcPts val="400"/></a:spcBef><a:spcAft><a:spcPct val="50000"/></a:spcAft>'
+        grad = '<a:gradFill><a:gsLst><a:gs pos="100000"><a:srgbClr val="0000FF"/></a:gs><a:gs pos="0"><a:srgbClr val="FF0000"/></a:gs></a:gsLst><a:lin ang="1800000"/></a:gradFill><a:effectLst><a:outerShdw dist="38100"><a:srgbClr val="111111"/></a:outerShdw></a:effectLst>'
+        cases = (
+            text(run(f"{k} &lt;"), spaced), text(run(k) + run("b", '<a:rPr b="1" u="sng" strike="dblStrike" spc="150"/>'), 'marL="457200" indent="-228600">'), text(run(k) + run("y") + "<a:br/>" + run("z", '<a:rPr baseline="30000"/>')), text(""),
+            text(run(k), '><a:buChar char="-"/>') + text(run("in"), 'lvl="3"><a:buAutoNum type="arabicPeriod"/>') + text(run("next"), '><a:buChar char="-"/>') + text(run("out")), text(run(k, f"<a:rPr>{grad}</a:rPr>")),
+        )
+        return shape(k, text=body(cases[k % 6]))
 
     return elements(decks(spark, sf_dir, drawn), F.col("content").alias("html"))
 
@@ -218,32 +229,38 @@ def outer_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(decks(spark, sf_dir, drawn), plus("shadow_h").alias("h"), plus("shadow_v").alias("v"), F.col("shadow_blur").alias("blur"), F.col("shadow_color").alias("color"))
 
 
-@query("SELECT s_suppkey AS supp, i::INT AS stop_no, CASE i WHEN 0 THEN 0 WHEN 1 THEN s_suppkey % 99 + 0.5 ELSE 100 END::DOUBLE AS pos, ['#FF0000', '#00FF00', '#0000FF'][i + 1] AS color FROM supplier, range(3) r(i)")
+@query("SELECT s_suppkey AS supp, i::INT AS stop_no, CASE i WHEN 0 THEN 0 WHEN 1 THEN s_suppkey % 99 + 0.5 ELSE 100 END::DOUBLE AS pos, ['#FF0000', '#00FF00', '#0000FF'][i + 1] AS color, (s_suppkey % 36 * 10)::DOUBLE AS angle, CASE WHEN s_suppkey % 2 = 0 THEN 'circle' ELSE 'line' END AS path FROM supplier, range(3) r(i)")
 def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops by their places, whatever their order in the file; places beyond the ends are at the ends."""
 
     def drawn(k: int) -> str:
         stop = lambda pos, c: f'<a:gs pos="{pos}"><a:srgbClr val="{c}"/></a:gs>'
-        return shape(k, f"<a:gradFill><a:gsLst>{stop(150000, '0000FF')}{stop('-5%', 'FF0000')}{stop(k % 99 * 1000 + 500, '00FF00')}</a:gsLst></a:gradFill>")
+        return shape(k, f"<a:gradFill><a:gsLst>{stop(150000, '0000FF')}{stop('-5%', 'FF0000')}{stop(k % 99 * 1000 + 500, '00FF00')}</a:gsLst><a:lin ang='{k % 36 * 600000}'/><a:path path='{"circle" if k % 2 == 0 else "spiral"}'/></a:gradFill>")
 
     found = decks(spark, sf_dir, drawn).only("elements", "gradient_stops")
     rows = found.select("deck_id", F.inline("gradient_stops"))
-    names = found.select("deck_id", F.inline("elements")).select("deck_id", "key", F.col("name").cast("long").alias("supp"))
-    return rows.join(names, ["deck_id", "key"]).select("supp", "stop_no", "pos", "color")
+    names = found.select("deck_id", F.inline("elements")).select("deck_id", "key", F.col("name").cast("long").alias("supp"), F.col("gradient_angle").alias("angle"), F.col("gradient_path").alias("path"))
+    return rows.join(names, ["deck_id", "key"]).select("supp", "stop_no", "pos", "color", "angle", "path")
 
 
-@query("""SELECT s_suppkey AS supp, ['pattern', 'image', 'color', NULL][s_suppkey % 4 + 1] AS type, ['#ABCDEF', NULL, '#808080', NULL][s_suppkey % 4 + 1] AS color, CASE WHEN s_suppkey % 4 = 0 THEN 'pct20' END AS pattern FROM supplier""")
+@query("""SELECT s_suppkey AS supp, ['pattern', 'image', 'color', NULL][s_suppkey % 4 + 1] AS type, ['#ABCDEF', NULL, '#808080', NULL][s_suppkey % 4 + 1] AS color, CASE WHEN s_suppkey % 4 = 0 THEN 'pct20' END AS pattern, CASE WHEN s_suppkey % 4 = 0 THEN '#ffffff' END AS back,
+CASE WHEN s_suppkey % 4 = 1 THEN 'ppt/media/fill.png' END AS media, CASE WHEN s_suppkey % 4 = 1 THEN 0.25 END::DOUBLE AS opacity FROM supplier""")
 def fill_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns, pictures, a group's fill, and none."""
 
     def drawn(k: int) -> str:
-        fill = ('<a:pattFill prst="pct20"><a:fgClr><a:srgbClr val="ABCDEF"/></a:fgClr></a:pattFill>', '<a:blipFill><a:blip r:embed="rId5"/></a:blipFill>', "<a:grpFill/>", "<a:noFill/>")[k % 4]
+        fill = ('<a:pattFill prst="pct20"><a:fgClr><a:srgbClr val="ABCDEF"/></a:fgClr></a:pattFill>', '<a:blipFill><a:blip r:embed="rId5"><a:alphaModFix amt="25000"/></a:blip></a:blipFill>', "<a:grpFill/>", "<a:noFill/>")[k % 4]
         inner = shape(k, fill)
         if k % 4 != 2:
             return inner
         return f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="7" name="group"/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr>{srgb("808080")}</p:grpSpPr>{inner}</p:grpSp>'
 
-    return elements(decks(spark, sf_dir, drawn), F.col("fill_type").alias("type"), F.col("fill_color").alias("color"), "pattern").where("supp is not null")
+    def rels(parts: dict) -> None:
+        for part in [p for p in parts if p.startswith("ppt/slides/_rels/")]:
+            within(parts, part, f'<Relationship Id="rId5" Type="{REL}image" Target="../media/fill.png"/>', "</Relationships>")
+
+    found = decks(spark, sf_dir, drawn, rels)
+    return elements(found, F.col("fill_type").alias("type"), F.col("fill_color").alias("color"), "pattern", F.col("pattern_back").alias("back"), F.col("fill_media").alias("media"), F.col("fill_opacity").alias("opacity")).where("supp is not null")
 
 
 @query("""SELECT s_suppkey AS supp, CASE s_suppkey % 8 WHEN 0 THEN '#00FF00' WHEN 1 THEN '#FF00FF' WHEN 2 THEN '#FF0000' WHEN 3 THEN '#123456' WHEN 4 THEN '#800000' WHEN 5 THEN '#FFFFFF' WHEN 6 THEN '#BDB76B' ELSE NULL END AS color FROM supplier""")
@@ -347,6 +364,39 @@ def bad_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_each(spark, sf_dir, build, must=False).only("elements").select(key_of().alias("supp"), "status", F.get("elements", F.lit(0))["type"].alias("type"))
 
 
+@query("""SELECT s_suppkey AS supp, CASE WHEN s_suppkey % 2 = 0 THEN 7.5 ELSE 10 END::DOUBLE AS x, CASE WHEN s_suppkey % 2 = 0 THEN 25 ELSE 20 END::DOUBLE AS y, CASE WHEN s_suppkey % 2 = 0 THEN 10 ELSE 20 END::DOUBLE AS w, 10::DOUBLE AS h FROM supplier""")
+def turned_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A child that stands on its side scales along its own axes about its centre: in a group half as wide as its space, its height is halved, not its width."""
+
+    def drawn(k: int) -> str:
+        child = shape(k, xfrm=f'<a:xfrm rot="{5400000 if k % 2 == 0 else 10800000}"><a:off x="254000" y="127000"/><a:ext cx="{254000 if k % 2 == 1 else 127000}" cy="{127000 if k % 2 == 1 else 254000}"/></a:xfrm>')
+        space = '<a:xfrm><a:off x="0" y="127000"/><a:ext cx="1270000" cy="1270000"/><a:chOff x="0" y="0"/><a:chExt cx="{}" cy="1270000"/></a:xfrm>'.format(1270000)
+        space = space.replace('cx="1270000" cy="1270000"/><a:chOff', 'cx="635000" cy="1270000"/><a:chOff') if k % 2 == 0 else space.replace('x="0" y="127000"', 'x="-127000" y="127000"')
+        return f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="7" name="group"/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr>{space}</p:grpSpPr>{child}</p:grpSp>'
+
+    return elements(decks(spark, sf_dir, drawn), F.col("left").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"), F.col("height").alias("h")).where("supp is not null")
+
+
+@query("""SELECT s_suppkey AS supp, ['image', 'video', 'video', 'audio'][s_suppkey % 4 + 1] AS type, ['data', 'link', 'ref', 'data'][s_suppkey % 4 + 1] AS mode, ['custom:triangle', 'rect', 'rect', 'rect'][s_suppkey % 4 + 1] AS shape FROM supplier""")
+def media_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures and playable media with their bytes, external films as links, other films by name; outlines of pictures, custom ones by their class."""
+
+    def build(k: int) -> bytes:
+        kind = k % 4
+        tag = ("", '<a:videoFile r:link="rId8"/>', '<a:videoFile r:link="rId8"/>', '<a:audioFile r:link="rId8"/>')[kind]
+        target = ("", "https://x.org/film", "../media/film.avi", "../media/sound.mp3")[kind]
+        at = lambda t, x, y: f'<a:{t}><a:pt x="{x}" y="{y}"/></a:{t}>'
+        outline = f'<a:custGeom><a:pathLst><a:path w="10" h="10">{at("moveTo", 0, 0)}{at("lnTo", 10, 0)}{at("lnTo", 5, 10)}<a:close/></a:path></a:pathLst></a:custGeom>' if kind == 0 else RECT
+        mode = ' TargetMode="External"' if kind == 1 else ""
+        rel = f'<Relationship Id="rId8" Type="{REL}video" Target="{target}"{mode}/>' if kind else ""
+        return changed(B.picture_deck({"keys": [k]}), {
+            SLIDE.format(1): lambda s: s.replace("<p:nvPr/></p:nvPicPr>", f"<p:nvPr>{tag}</p:nvPr></p:nvPicPr>").replace(RECT, outline), "ppt/slides/_rels/slide1.xml.rels": lambda s: s.replace("</Relationships>", rel + "</Relationships>"),
+        })
+
+    e = table(one_each(spark, sf_dir, build), "elements", "path")
+    return e.select(key_of().alias("supp"), "type", F.col("media_mode").alias("mode"), F.col("shape_type").alias("shape"))
+
+
 # Outlines.
 
 
@@ -437,6 +487,18 @@ def chart_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key_of().alias("supp"), e["chart_type"].alias("type"), e["bar_dir"].alias("direction"), e["grouping"].alias("grouping"), e["hole_size"].alias("hole"), e["marker"].alias("marker"), F.col("chart_points")[0]["y"].alias("y"))
 
 
+@query("SELECT s_suppkey AS supp, i::INT AS idx, ['#AA0000', NULL, '#00BB00'][i + 1] AS color FROM supplier, range(3) r(i)")
+def slice_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pies and doughnuts are coloured by their points."""
+
+    def build(k: int) -> bytes:
+        kind = ("pie", "doughnut")[k % 2]
+        point = lambda i, c: f'<c:dPt><c:idx val="{i}"/><c:spPr>{srgb(c).replace("<a:solidFill>", "<a:solidFill xmlns:a=" + chr(34) + "http://schemas.openxmlformats.org/drawingml/2006/main" + chr(34) + ">")}</c:spPr></c:dPt>'
+        return _chart(k, f"<c:{kind}Chart><c:ser>{point(0, 'AA0000')}{point(2, '00BB00')}{_numbers('val', 1, 2, 3)}</c:ser></c:{kind}Chart>")
+
+    return table(one_each(spark, sf_dir, build), "chart_points", "path").select(key_of().alias("supp"), "idx", F.col("series_color").alias("color"))
+
+
 @query("SELECT s_suppkey AS supp, 'item ' || s_suppkey || chr(10) || 'second' AS text, 2 AS items, CASE WHEN s_suppkey % 2 = 0 THEN 'drawn ' || s_suppkey END AS drawn FROM supplier")
 def diagram_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of a diagram's points, and the shapes of its drawing, which the data part or the slide names."""

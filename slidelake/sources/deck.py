@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from slidelake.functions import color, ooxml
 from slidelake.functions.geometry import STROKE_ONLY, classify, custom_path, preset_path
 from slidelake.functions.latex import latex
-from slidelake.sources.package import SLIDE_TYPE, Limits, Node, Package, PackageError, open_package
+from slidelake.sources.package import PRESENTATION, SLIDE_TYPE, Limits, Node, Package, PackageError, open_package
 
 # Fixed values.
 CHART_KINDS = "line line3D bar bar3D pie pie3D doughnut area area3D scatter bubble radar surface surface3D stock".split()
@@ -72,6 +72,39 @@ def boolean(text: str | None) -> bool | None:
     return None if text is None else text in ("1", "true", "on")
 
 
+def _spacing(node: Node | None) -> tuple[float | None, float | None] | None:
+    """A spacing as a share of lines or in points; None if it says neither, or less than nothing."""
+    pct = whole(node.get("a:spcPct", "val")) if node is not None else None
+    pts = whole(node.get("a:spcPts", "val")) if node is not None else None
+    if pct is not None and pct >= 0:
+        return pct / 100000, None
+    return (None, pts / 100) if pts is not None and pts >= 0 else None
+
+
+class Lists:
+    """The lists that are open in HTML, outermost first; each has an open item."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+
+    def leave(self, to: int = 0) -> str:
+        """Closes the lists deeper than `to`."""
+        out = "".join(f"</li></{k}>" for k in reversed(self.open[to:]))
+        del self.open[to:]
+        return out
+
+    def enter(self, kind: str, level: int) -> str:
+        """Opens an item at a level, or as deep as one list more than are open."""
+        at = min(level, len(self.open))
+        out = self.leave(at + 1)
+        if at < len(self.open):
+            out += "</li>" if self.open[at] == kind else f"</li></{self.open.pop()}>"
+        if at == len(self.open):
+            self.open.append(kind)
+            out += f"<{kind}>"
+        return out + "<li>"
+
+
 class Deck:
     """Parses one package. rows: table name -> rows, in order."""
 
@@ -145,8 +178,7 @@ class Deck:
             if v := accent.get("a:srgbClr", "val"):
                 accents.append(f"#{v}")
         fonts = [f.get("p:font", "typeface") for f in (root.child("p:embeddedFontLst").children if root and root.child("p:embeddedFontLst") else [])]
-        namespace = p.archive.read(main)[:4000].decode("utf-8", "replace") if main in p.archive.NameToInfo else ""
-        conformance = "strict" if "purl.oclc.org/ooxml/presentationml" in namespace else "transitional" if "schemas.openxmlformats.org/presentationml" in namespace else "unknown"
+        conformance = dict(zip(PRESENTATION, ("transitional", "strict"), strict=True)).get(root.namespace if root else "", "unknown")
         self.info = {"width": w / 12700, "height": h / 12700, "theme_colors": accents, "used_fonts": list(dict.fromkeys(f for f in fonts if f)), "conformance": conformance, "part_count": len(p.names)}
         self.scheme = scheme
         for n, (_, part) in enumerate(slides, 1):
@@ -223,13 +255,28 @@ class Deck:
     def notes(self, part: str | None) -> str | None:
         root = self.p.xml(part, required=False) if part else None
         tree = root.child("p:cSld", "p:spTree") if root else None
-        out = []
+        out: list[str] = []
         for sp in tree.all("p:sp") if tree else []:
-            ph = self.placeholder(sp)
-            if ph is not None and ph.attrs.get("type") == "body" and (body := sp.child("p:txBody")):
-                out += [f"<p>{''.join(self._html(t) for _, t in self.content(p)) or '&nbsp;'}</p>" for p in body.all("a:p")]
+            ph, body = self.placeholder(sp), sp.child("p:txBody")
+            if ph is None or ph.attrs.get("type") != "body" or body is None:
+                continue
+            lists = Lists()
+            for p in body.all("a:p"):
+                ppr = p.child("a:pPr")
+                align = {"r": "right", "ctr": "center", "just": "justify", "dist": "justify"}.get(ppr.attrs.get("algn", "") if ppr is not None else "", "left")
+                kind, level = self.bullet(ppr)
+                out.append((lists.enter(kind, level) if kind else lists.leave()) + f'<p style="text-align:{align};">{"".join(self._html(t) for _, t in self.content(p))}</p>')
+            out.append(lists.leave())
         return "".join(out) if out else None
 
+    @staticmethod
+    def bullet(ppr: Node | None) -> tuple[str | None, int]:
+        """The kind of list of a paragraph, and its level."""
+        if ppr is None:
+            return None, 0
+        level = whole(ppr.attrs.get("lvl"))
+        return "ul" if ppr.child("a:buChar") else "ol" if ppr.child("a:buAutoNum") else None, level if level is not None and 0 < level <= 8 else 0
+
     # Placeholders.
 
     @staticmethod
@@ -300,29 +347,32 @@ class Deck:
         steps = [(c.tag[2:], v) for c in node.children if (v := ooxml.percentage(c.attrs.get("val"))) is not None]
         return color.transformed(base, steps)
 
-    def fill(self, props: Node | None, phclr: str | None = None) -> tuple[str, str | None, list] | None:
-        """(type, colour, stops) of the fill among an element's children; ("none", ...) stops the search, None goes on."""
+    def fill(self, props: Node | None, phclr: str | None = None) -> tuple[str, str | None, list, dict] | None:
+        """(type, colour, stops, details) of the fill among an element's children; ("none", ...) stops the search, None goes on."""
         for c in props.children if props is not None else []:
             if c.tag == "a:noFill":
-                return "none", None, []
+                return "none", None, [], {}
             if c.tag == "a:solidFill":
-                return "color", self.color(c, phclr), []
+                return "color", self.color(c, phclr), [], {}
             if c.tag == "a:gradFill":
                 stops = [(max(0.0, min(100.0, (ooxml.percentage(g.attrs.get("pos")) or 0) * 100)), self.color(g, phclr)) for g in (c.child("a:gsLst").all("a:gs") if c.child("a:gsLst") else [])]
-                return "gradient", None, sorted(stops, key=lambda s: s[0])
+                path = c.get("a:path", "path")
+                angle = whole(c.get("a:lin", "ang")) if c.child("a:lin") is not None else None
+                return "gradient", None, sorted(stops, key=lambda s: s[0]), {"gradient_angle": float(ooxml.degrees(angle or 0)), "gradient_path": path if path in ("circle", "rect", "shape") else "line"}
             if c.tag == "a:pattFill":
-                return "pattern", self.color(c.child("a:fgClr"), phclr) or "#000000", []
+                return "pattern", self.color(c.child("a:fgClr"), phclr) or "#000000", [], {"pattern": c.attrs.get("prst", ""), "pattern_back": self.color(c.child("a:bgClr"), phclr) or "#ffffff"}
             if c.tag == "a:blipFill":
-                return "image", None, []
+                amount = ooxml.percentage(c.get("a:blip", "a:alphaModFix", "amt"))
+                return "image", None, [], {"fill_media": c.get("a:blip", "r:embed"), "fill_opacity": 1.0 if amount is None else max(0.0, min(1.0, amount))}
             if c.tag == "a:grpFill":
-                return "group", None, []
+                return "group", None, [], {}
         return None
 
-    def shape_fill(self, lv: Levels, groups: tuple[Node, ...]) -> tuple[str | None, str | None, list]:
-        for n in lv.nodes():
+    def shape_fill(self, lv: Levels, groups: tuple[Node, ...]) -> tuple[str | None, str | None, list, dict]:
+        for n, owner in ((n, o) for n, o in ((lv.own, lv.owner), (lv.layout, self.layout), (lv.master, self.master)) if n is not None):
             got = self.fill(n.child("p:spPr"))
             if got and got[0] == "group":
-                got = next((f for g in reversed(groups) if (f := self.fill(g.child("p:grpSpPr"))) and f[0] != "group"), ("none", None, []))
+                got = next((f for g in reversed(groups) if (f := self.fill(g.child("p:grpSpPr"))) and f[0] != "group"), ("none", None, [], {}))
             if got is None and (ref := n.child("p:style", "a:fillRef")) is not None and ref.attrs.get("idx") not in ("0", "1000", None):
                 base = self.color(ref)
                 lst = self.theme_root.child("a:themeElements", "a:fmtScheme", "a:fillStyleLst") if self.theme_root else None
@@ -330,10 +380,13 @@ class Deck:
                 own = lst.children[i - 1] if lst and 0 < i <= len(lst.children) else None
                 holder = Node("x", {}, None, 0)
                 holder.children = [own] if own is not None else []
-                got = self.fill(holder, base[1:7] if base else None) or (("color", base, []) if base else None)
+                got = self.fill(holder, base[1:7] if base else None) or (("color", base, [], {}) if base else None)
             if got:
-                return (None, None, []) if got[0] == "none" else got
-        return None, None, []
+                if (rid := got[3].get("fill_media")) is not None:  # the part that the owner's relationship names
+                    r = self.related(owner).get(rid) if owner else None
+                    got[3]["fill_media"] = r["target"] if r and not r["is_external"] else None
+                return (None, None, [], {}) if got[0] == "none" else got
+        return None, None, [], {}
 
     def border(self, lv: Levels) -> tuple[str | None, float | None, str | None, str | None]:
         """Colour, width in points, css type and dash array of the outline; nulls without one."""
@@ -361,9 +414,14 @@ class Deck:
         s = next((x for n in lv.nodes() if (x := n.child("p:spPr", "a:effectLst", "a:outerShdw")) is not None), None)
         if s is None:
             return None, None, None, None
-        read = lambda k: v if (v := whole(s.attrs.get(k))) is not None and v >= 0 else 0
+        h, v, blur, paint = self._offsets(s)
+        return h, v, blur, paint or "#000000"
+
+    def _offsets(self, node: Node) -> tuple[float, float, float, str | None]:
+        """Offsets, blur and colour of a shadow."""
+        read = lambda k: v if (v := whole(node.attrs.get(k))) is not None and v >= 0 else 0
         d, t = read("dist") / 12700, math.radians(read("dir") / 60000)
-        return ooxml.to_fixed(d * math.cos(t)), ooxml.to_fixed(d * math.sin(t)), ooxml.to_fixed(read("blurRad") / 12700), self.color(s) or "#000000"
+        return ooxml.to_fixed(d * math.cos(t)) + 0.0, ooxml.to_fixed(d * math.sin(t)) + 0.0, ooxml.to_fixed(read("blurRad") / 12700), self.color(node)
 
     def background(self, roots: list[Node | None]) -> str:
         for r in roots:
@@ -428,49 +486,44 @@ class Deck:
 
     @staticmethod
     def _html(text: str) -> str:
-        return "<br>" if text == "\n" else ooxml.escape_html(text)
+        return "<br>" if text == "\n" else re.sub(r"\s", lambda m: "&nbsp;" * 4 if m[0] == "\t" else "&nbsp;", ooxml.escape_html(text))
 
     def text(self, lv: Levels, body: Node, key: str, cell: tuple[int | None, int | None] = (None, None), table: bool = False) -> tuple[str, str]:
         """Adds the runs of a body; returns its HTML and its plain text."""
-        html, plain, open_lists = [], [], []
+        html, plain, lists = [], [], Lists()
         for pi, p in enumerate(body.all("a:p")):
             ppr = p.child("a:pPr")
-            level = n if ppr is not None and (n := whole(ppr.attrs.get("lvl"))) is not None and 0 < n <= 8 else 0
+            kind, level = self.bullet(ppr)
             chain = ([ppr] if ppr is not None else []) + self.style_chain(lv, level, table)
             first = lambda get, chain=chain: next((v for n in chain if (v := get(n)) is not None), None)
             align = {"l": "left", "ctr": "center", "r": "right", "just": "justify", "dist": "justify", "justLow": "justify", "thaiDist": "justify"}.get(first(lambda n: n.attrs.get("algn")) or "l", "left")
-            bullet = ppr if ppr is not None else None
-            kind = "ul" if bullet is not None and bullet.child("a:buChar") else "ol" if bullet is not None and bullet.child("a:buAutoNum") else None
-            space = {}
-            for name, tag in (("line_height", "a:lnSpc"), ("space_before", "a:spcBef"), ("space_after", "a:spcAft")):
-                at = first(lambda n, tag=tag: n.child(tag))
-                pct = ooxml.percentage(at.get("a:spcPct", "val")) if at is not None else None
-                pts = whole(at.get("a:spcPts", "val")) if at is not None else None
-                space[name] = pct if pct is not None else pts / 100 if pts is not None else None
+            space: dict = {}
+            for name, css, tag in (("line_height", "line", "a:lnSpc"), ("space_before", "before", "a:spcBef"), ("space_after", "after", "a:spcAft")):
+                pct, pts = first(lambda n, tag=tag: _spacing(n.child(tag))) or (None, None)
+                space[name] = pct if pct is not None else pts
+                space[css] = None if pct is None and pts is None else f"{ooxml.js_number(pts)}pt" if pct is None else ooxml.js_number(pct) + ("" if css == "line" else "em")
             marl, indent = (whole(first(lambda n, k=k: n.attrs.get(k))) for k in ("marL", "indent"))
             parts = self.content(p)
             spans: list[tuple[tuple, str, str | None]] = []
             for ri, (node, t) in enumerate(parts):
                 st, link = self.run_style(lv, p, node, chain)
-                self.add("runs", slide_no=self.n, key=key, row_no=cell[0], col_no=cell[1], para_no=pi, run_no=ri, kind={"a:r": "run", "a:fld": "field", "a:br": "break"}.get(node.tag, "math"), text=t, link=link, align=align, list_type=kind, list_level=level, **st, **space, indent=indent / 12700 if indent is not None else None, margin_left=marl / 12700 if marl is not None else None)
+                self.add("runs", slide_no=self.n, key=key, row_no=cell[0], col_no=cell[1], para_no=pi, run_no=ri, kind={"a:r": "run", "a:fld": "field", "a:br": "break"}.get(node.tag, "math"), text=t, link=link, align=align, list_type=kind, list_level=level, **{k: v for k, v in st.items() if k != "gradient"}, **{k: space[k] for k in ("line_height", "space_before", "space_after")}, indent=indent / 12700 if indent is not None else None, margin_left=marl / 12700 if marl is not None else None)
                 style = tuple(st.items())
-                if spans and link is None and spans[-1][2] is None and spans[-1][0] == style and t != "\n":
-                    spans[-1] = (style, spans[-1][1] + t, None)
+                shown = "\xa0" if node.tag in ("a:r", "a:fld") and node.child("a:t") is None else t
+                if spans and link is None and spans[-1][2] is None and spans[-1][0] == style and t != "\n" and spans[-1][1] != "\n":
+                    spans[-1] = (style, spans[-1][1] + shown, None)
                 else:
-                    spans.append((style, t, link))
-            inner = "".join("<br>" if t == "\n" else self.span(dict(style), t, link) for style, t, link in spans) or "<span>&nbsp;</span>"
-            depth = level + 1 if kind else 0
-            while len(open_lists) > depth or open_lists and len(open_lists) == depth and open_lists[-1] != kind:
-                html.append(f"</{open_lists.pop()}>")
-            while len(open_lists) < depth:
-                open_lists.append(kind)
-                html.append(f"<{kind}>")
-            para = f'<p style="text-align: {align};">{inner}</p>'
-            html.append(f"<li>{para}</li>" if kind else para)
+                    spans.append((style, shown, link))
+            if not parts:
+                st, _ = self.run_style(lv, p, p, chain)
+                spans.append((tuple(st.items()), "\xa0", None))
+            inner = "".join("<br>" if t == "\n" else self.span(dict(style), t, link) for style, t, link in spans)
+            css = f"text-align: {align};" + "".join(f"{k}: {space[n]};" for k, n in (("line-height", "line"), ("margin-top", "before"), ("margin-bottom", "after")) if space[n] is not None)
+            if not kind:
+                css += "".join(f"{k}: {ooxml.js_number(ooxml.emu_to_points(v))}pt;" for k, v in (("margin-left", marl), ("text-indent", indent)) if v is not None)
+            html.append((lists.enter(kind, level) if kind else lists.leave()) + f'<p style="{ooxml.escape_html(css)}">{inner}</p>')
             plain.append("".join(t for _, t in parts))
-        while open_lists:
-            html.append(f"</{open_lists.pop()}>")
-        return "".join(html), "\n".join(plain)
+        return "".join(html) + lists.leave(), "\n".join(plain)
 
     def run_style(self, lv: Levels, p: Node, node: Node, chain: list[Node]) -> tuple[dict, str | None]:
         rpr = node.child("a:rPr") if node.child("a:rPr") is not None else p.child("a:endParaRPr")
@@ -481,6 +534,9 @@ class Deck:
         ref = next((x for n in lv.nodes() if (x := n.child("p:style", "a:fontRef")) is not None), None)
         paint = next((f[1] for n in props[: len(props)] if (f := self.fill(n)) and f[0] == "color" and f[1]), None) or (self.color(ref) if ref is not None else None)
         base = whole(first(lambda n: n.attrs.get("baseline")))
+        spacing = whole(first(lambda n: n.attrs.get("spc")))
+        grad = next((f for n in props if (f := self.fill(n)) and f[0] in ("color", "gradient")), None)
+        shade = first(lambda n: n.child("a:effectLst", "a:outerShdw"))
         link = None
         if rpr is not None and (h := rpr.child("a:hlinkClick")) is not None:
             r = self.related(self.part).get(h.attrs.get("r:id", ""))
@@ -488,22 +544,32 @@ class Deck:
         st = {
             "face": self.face(typeface, lv.role), "size": size / 100 if size else 12.0 if lv.role in SMALL_ROLES else 18.0, "color": paint, "bold": first(lambda n: n.attrs.get("b")) in ("1", "true"), "italic": first(lambda n: n.attrs.get("i")) in ("1", "true"),
             "underline": first(lambda n: n.attrs.get("u")) not in (None, "none"), "strike": first(lambda n: n.attrs.get("strike")) not in (None, "noStrike"), "baseline": "super" if (base or 0) > 0 else "sub" if (base or 0) < 0 else None,
+            "spacing": spacing / 100 if spacing else None, "shadow": self.css_shadow(shade), "gradient": (grad[3]["gradient_angle"], tuple(grad[2])) if grad and grad[0] == "gradient" else None,
         }
         return st, link
 
+    def css_shadow(self, node: Node | None) -> str | None:
+        if node is None:
+            return None
+        h, v, blur, paint = self._offsets(node)
+        return " ".join([f"{ooxml.js_number(h)}pt", f"{ooxml.js_number(v)}pt", *([f"{ooxml.js_number(blur)}pt"] if blur else []), *([paint] if paint else [])])
+
     def span(self, st: dict, text: str, link: str | None) -> str:
-        css = [f"color: {st['color']};"] if st["color"] else []
+        if st["gradient"]:
+            angle, stops = st["gradient"]
+            colors = ", ".join(f"{c} {ooxml.js_number(pos)}%" for pos, c in stops)
+            css = [f"background: linear-gradient({ooxml.js_number(angle + 90)}deg, {colors});", " background-clip: text;", " color: transparent;"]
+        else:
+            css = [f"color: {st['color']};"] if st["color"] else []
         css += [f"font-size: {ooxml.js_number(st['size'])}pt;"]
         css += [f"font-family: {ooxml.css_family(st['face'])};"] if st["face"] else []
-        css += ["font-weight: bold;"] if st["bold"] else []
-        css += ["font-style: italic;"] if st["italic"] else []
-        line = " ".join(x for x, on in (("underline", st["underline"]), ("line-through", st["strike"])) if on)
-        css += [f"text-decoration: {line};"] if line else []
-        css += [f"vertical-align: {st['baseline']};"] if st["baseline"] else []
-        t = re.sub(r"\s", lambda m: "&nbsp;" * 4 if m[0] == "\t" else "&nbsp;", ooxml.escape_html(text))
+        for name, value in (("font-weight", "bold" if st["bold"] else None), ("font-style", "italic" if st["italic"] else None), ("text-decoration", "underline" if st["underline"] else None), ("text-decoration-line", "line-through" if st["strike"] else None),
+                            ("letter-spacing", f"{ooxml.js_number(st['spacing'])}pt" if st["spacing"] else None), ("vertical-align", st["baseline"]), ("text-shadow", st["shadow"])):
+            css += [f"{name}: {value};"] if value else []
+        t = self._html(text)
         if link:
             t = f'<a href="{ooxml.escape_html(link)}" target="_blank" rel="noopener noreferrer">{t}</a>'
-        return f'<span style="{ooxml.escape_html(" ".join(css))}">{t}</span>'
+        return f'<span style="{ooxml.escape_html("".join(css))}">{t}</span>'
 
     # Elements.
 
@@ -529,7 +595,10 @@ class Deck:
         left, top, width, height, rot, fh, fv = self.box(lv.nodes(), prop)
         dx, dy, sx, sy = place
         if place != (0, 0, 1, 1):
-            left, top, width, height = (ooxml.to_fixed(v) for v in (dx + left * sx, dy + top * sy, width * sx, height * sy))
+            # Scaled about its centre; a quarter turn swaps the axes.
+            cx, cy = dx + (left + width / 2) * sx, dy + (top + height / 2) * sy
+            width, height = (width * sy, height * sx) if rot % 360 in (90, 270) else (width * sx, height * sy)
+            left, top, width, height = (ooxml.to_fixed(v) for v in (cx - width / 2, cy - height / 2, width, height))
         nv = next((x for c in node.children if c.tag.startswith("p:nv") and (x := c.child("p:cNvPr")) is not None), None)
         link = None
         if nv is not None and (h := nv.child("a:hlinkClick")) is not None:
@@ -541,7 +610,7 @@ class Deck:
     def shape(self, node: Node, origin: str, owner: str, path: tuple, prefix: str, groups: tuple, place: tuple) -> bool:
         lv = self.levels(node, owner)
         row = self.base(node, lv, origin, path, prefix, place)
-        kind, paint, stops = self.shape_fill(lv, groups)
+        kind, paint, stops, more = self.shape_fill(lv, groups)
         bc, bw, bt, bd = self.border(lv)
         sh, sv, sb, sc = self.shadow(lv)
         body = node.child("p:txBody")
@@ -574,9 +643,8 @@ class Deck:
         anchor = next((v for b in bp if (v := b.attrs.get("anchor"))), None)
         line = next((x for n in lv.nodes() if (x := n.child("p:spPr", "a:ln")) is not None), None)
         ends = {f"{k}_end": t if line is not None and (t := line.get(f"a:{k}End", "type")) not in (None, "none") else None for k in ("head", "tail")}
-        pattern = next((x.attrs.get("prst") for n in lv.nodes() if (x := n.child("p:spPr", "a:pattFill")) is not None), None) if kind == "pattern" else None
         self.add(
-            "elements", **row, **inset, **ends, pattern=pattern, type="shape" if is_shape else "text", fill_type=kind, fill_color=paint, border_color=bc, border_width=bw, border_type=bt, border_dash=bd, shadow_h=sh, shadow_v=sv, shadow_blur=sb, shadow_color=sc, content=html, plain_text=plain,
+            "elements", **row, **inset, **ends, **more, type="shape" if is_shape else "text", fill_type=kind, fill_color=paint, border_color=bc, border_width=bw, border_type=bt, border_dash=bd, shadow_h=sh, shadow_v=sv, shadow_blur=sb, shadow_color=sc, content=html, plain_text=plain,
             v_align={"ctr": "mid", "b": "down"}.get(anchor or "", "up"), auto_fit={"a:spAutoFit": "shape", "a:normAutofit": "text"}.get(fit.tag) if fit is not None else None, font_scale=scale * 100 if scale is not None and 0.01 <= scale <= 1 else None,
             is_vertical=next((b.attrs["vert"] for b in bp if "vert" in b.attrs), "horz") in ("eaVert", "vert", "vert270", "wordArtVert", "mongolianVert"), shape_type=preset if is_shape else None, svg_path=svg, stroke_only=only, keypoints={k: v / 50000 for k, v in guides.items()} or None,
         )
@@ -602,8 +670,10 @@ class Deck:
             target = target if kind == "video" and re.match(r"(https?|ftp):", target, re.IGNORECASE) else None
         crop = node.child("p:blipFill", "a:srcRect")
         crops = {f"crop_{k}": int(crop.attrs[k]) / 1000 if crop is not None and _INT.match(crop.attrs.get(k, "")) else None for k in "tblr"}
-        geometry = node.child("p:spPr", "a:prstGeom")
-        self.add("elements", **row, **crops, **self.picture_filters(node.child("p:blipFill", "a:blip")), type=kind, media_part=target, shape_type=geometry.attrs.get("prst") if geometry is not None else "custom" if node.child("p:spPr", "a:custGeom") else None, content="", plain_text="")
+        geometry, custom = node.child("p:spPr", "a:prstGeom"), node.child("p:spPr", "a:custGeom")
+        name = geometry.attrs.get("prst") if geometry is not None else f"custom:{classify(custom_path(custom, row['width'], row['height'])[0])}" if custom is not None else None
+        mode = None if target is None else "link" if r["is_external"] else "data" if kind == "image" or ooxml.extension(target) in PLAYABLE[kind] else "ref"
+        self.add("elements", **row, **crops, **self.picture_filters(node.child("p:blipFill", "a:blip")), type=kind, media_part=target, media_mode=mode, shape_type=name, content="", plain_text="")
         return True
 
     @staticmethod
@@ -743,8 +813,9 @@ class Deck:
                 name = cached(s.child("c:tx"))
                 labels = dict(cached(s.child("c:cat")))
                 paint = None if kind == "stock" else (self.fill(s.child("c:spPr")) or (None, None))[1]
+                slices = {whole(d.get("c:idx", "val")): (self.fill(d.child("c:spPr")) or (None, None))[1] for d in s.all("c:dPt")} if kind in ("pie", "pie3D", "doughnut") else {}
                 for i, v in cached(s.child("c:val")):
-                    self.add("chart_points", slide_no=self.n, key=row["key"], series_no=n, series_name=name[0][1] if name else str(n), series_color=paint, idx=i, category=labels.get(i), y=number(v) or 0.0)
+                    self.add("chart_points", slide_no=self.n, key=row["key"], series_no=n, series_name=name[0][1] if name else str(n), series_color=slices.get(i, paint), idx=i, category=labels.get(i), y=number(v) or 0.0)
         hole = node.get("c:holeSize", "val")
         self.add("elements", **row, type="chart", chart_type=f"{kind}Chart", bar_dir=node.get("c:barDir", "val"), grouping=node.get("c:grouping", "val"), hole_size=number(hole), marker=node.child("c:marker") is not None if kind == "line" else None, content="", plain_text="")
 

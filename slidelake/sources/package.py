@@ -30,6 +30,8 @@ NAMESPACES = {
     "http://www.w3.org/XML/1998/namespace": "xml",
 }
 SLIDE_TYPE = "application/vnd.openxmlformats-officedocument.presentationml.slide+xml"
+#: Of the presentation's root, transitional and strict.
+PRESENTATION = (_OPEN + "presentationml/2006/main", _STRICT + "presentationml/main")
 RELATIONSHIP_TYPES = (_OPEN + "officeDocument/2006/relationships/", _STRICT + "officeDocument/relationships/")
 # End of fixed values.
 
@@ -68,12 +70,13 @@ class PackageError(Exception):
 class Node:
     """An XML element: canonical tag, attributes, children in order, and text if it has nothing else."""
 
-    __slots__ = ("attrs", "children", "depth", "number", "order", "parent", "tag", "text")
+    __slots__ = ("attrs", "children", "depth", "namespace", "number", "order", "parent", "tag", "text")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, number: int):
         self.tag, self.attrs, self.parent, self.number = tag, attrs, parent, number
         self.children: list[Node] = []
         self.text: str | None = None
+        self.namespace = ""  # of a root
         self.order = 0  # post-order: children before their parent
         self.depth = parent.depth + 1 if parent else 1
 
@@ -159,6 +162,7 @@ def parse_xml(raw: bytes, limits: Limits = Limits()) -> tuple[Node, int]:
         node = Node(canonical(name, scope, False), attrs, at, count - 1)
         if at is None:
             root = node
+            root.namespace = scope.get(name.rpartition(":")[0], "")
         else:
             at.children.append(node)
         at = node
