@@ -7,6 +7,8 @@ edit-text IN OUT KEY TEXT   a snapshot with a run's text replaced
 transform IN OUT KEY JSON   a snapshot with an element's transform changed
 restore IN OUT              the package of a snapshot
 
+IN may be - for standard input, with --format pptx or json to say what comes.
+
 Exit 0: done; 1: the input can't be done, with one line of JSON on stderr; 2: wrong use.
 """
 
@@ -22,12 +24,20 @@ from slidelake.sources.deck import Options, parse_deck
 from slidelake.sources.package import PackageError
 
 
+def _bytes(a: argparse.Namespace) -> bytes:
+    return sys.stdin.buffer.read() if a.input == "-" else Path(a.input).read_bytes()
+
+
+def _text(a: argparse.Namespace) -> str:
+    return _bytes(a).decode("utf-8")
+
+
 def error_line(error: Exception) -> str:
     return json.dumps({"error": {"code": getattr(error, "code", "failed"), "message": str(error)}}, ensure_ascii=False)
 
 
 def _convert(a: argparse.Namespace) -> None:
-    row = parse_deck(Path(a.input).read_bytes(), a.input, Options(strict=a.strict, xml=a.xml))
+    row = parse_deck(_bytes(a), a.input, Options(strict=a.strict, xml=a.xml))
     if row["status"] != "ok":
         raise PackageError(row["code"], row["message"])
     text = json.dumps(row, ensure_ascii=False, default=str)
@@ -38,7 +48,7 @@ def _render(a: argparse.Namespace) -> None:
     slides = tuple(map(int, a.slides.split(","))) if a.slides else None
     out, manifest = Path(a.output), []
     out.mkdir(parents=True, exist_ok=True)
-    for s in render.render_deck(Path(a.input).read_bytes(), render.Request(slides, a.scale)):
+    for s in render.render_deck(_bytes(a), render.Request(slides, a.scale)):
         data = s["data"].encode("utf-8")
         (out / f"slide-{s['slide_no']}.svg").write_bytes(data)
         manifest.append({"file": f"slide-{s['slide_no']}.svg", "bytes": len(data), "mime": s["mime"], "width": s["width"], "height": s["height"], "warnings": s["warnings"]})
@@ -46,17 +56,17 @@ def _render(a: argparse.Namespace) -> None:
 
 
 def _snapshot(a: argparse.Namespace) -> None:
-    Path(a.output).write_text(roundtrip.to_json(roundtrip.read_snapshot(Path(a.input).read_bytes())), "utf-8")
+    Path(a.output).write_text(roundtrip.to_json(roundtrip.read_snapshot(_bytes(a))), "utf-8")
 
 
 def _edit(a: argparse.Namespace) -> None:
-    s = roundtrip.from_json(Path(a.input).read_text("utf-8"))
+    s = roundtrip.from_json(_text(a))
     s = roundtrip.replace_text(s, a.key, a.value) if a.command == "edit-text" else roundtrip.set_transform(s, a.key, json.loads(a.value))
     Path(a.output).write_text(roundtrip.to_json(s), "utf-8")
 
 
 def _restore(a: argparse.Namespace) -> None:
-    Path(a.output).write_bytes(roundtrip.restore(roundtrip.from_json(Path(a.input).read_text("utf-8"))))
+    Path(a.output).write_bytes(roundtrip.restore(roundtrip.from_json(_text(a))))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -65,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     for name, run, extra in (("convert", _convert, ()), ("render", _render, ()), ("snapshot", _snapshot, ()), ("edit-text", _edit, ("key", "value")), ("transform", _edit, ("key", "value")), ("restore", _restore, ())):
         p = commands.add_parser(name)
         p.add_argument("input")
+        p.add_argument("--format", choices=["pptx"] if name in ("convert", "render", "snapshot") else ["json"])
         p.add_argument("output", nargs="?" if name == "convert" else None)
         for x in extra:
             p.add_argument(x)
@@ -76,6 +87,8 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--slides")
             p.add_argument("--scale", type=float, default=1.0)
     a = parser.parse_args(argv)
+    if a.input == "-" and not a.format:
+        parser.error("standard input needs --format")
     if a.output and Path(a.output).resolve() == Path(a.input).resolve():
         parser.error("output and input are the same file")
     try:

@@ -191,6 +191,39 @@ def plain_render(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
+_RUN_STYLE = {"color": r"#[0-9a-fA-F]{6}", "font-size": r"[0-9]+(?:\.[0-9]+)?pt", "font-family": r"""(["']?)[\w ._-]{1,80}\1"""}
+
+
+def _declared(attributes: str) -> dict[str, str]:
+    """The declarations of a tag's style."""
+    m = re.search(r"""(?:^|\s)style\s*=\s*(?:"([^"]*)"|'([^']*)')""", attributes, re.IGNORECASE)
+    pairs = (d.partition(":") for d in decode_entities((m[1] if m[1] is not None else m[2]) if m else "").split(";"))
+    return {k.strip().lower(): v.strip() for k, _, v in pairs if v.strip()}
+
+
+def html_paragraphs(html: str) -> list[dict]:
+    """Paragraphs of an HTML body with alignment (left, center, right) and runs of text, bold, italic, color, fontFamily and fontSize, as the renderer lays them out; paragraphs without text are left out, text outside of paragraphs and spans is a run of its own."""
+    inline = lambda t: decode_entities(re.sub(r"&nbsp;", "\xa0", re.sub(r"<(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*>", lambda m: "\n" if re.match(r"<\s*br\b", m[0], re.IGNORECASE) else "", t), flags=re.IGNORECASE)).replace("\r\n", "\n").replace("\r", "\n")
+
+    def run(attributes: str, inner: str) -> dict:
+        css = _declared(attributes)
+        good = {k: css[k] for k, p in _RUN_STYLE.items() if k in css and re.fullmatch(p, css[k])}
+        out = {"text": inline(inner), "bold": bool(re.fullmatch(r"[6-9]00|bold", css.get("font-weight", ""), re.IGNORECASE)), "italic": css.get("font-style", "").lower() == "italic"}
+        out |= {"color": good["color"]} if "color" in good else {}
+        out |= {"fontFamily": good["font-family"].strip("\"'")} if "font-family" in good else {}
+        size = float(good["font-size"][:-2]) if "font-size" in good else 0
+        return out | ({"fontSize": size} if 0 < size <= 512 else {})
+
+    plain = lambda t: [{"text": t, "bold": False, "italic": False}] if t else []
+    out = []
+    for m in re.finditer(r"<(p|li)\b([^>]*)>(.*?)</\1\s*>", html, re.IGNORECASE | re.DOTALL):
+        runs = [r for s in re.finditer(r"<span\b([^>]*)>(.*?)</span\s*>", m[3], re.IGNORECASE | re.DOTALL) if (r := run(s[1], s[2]))["text"]] or plain(plain_render(m[3]))
+        align = _declared(m[2]).get("text-align")
+        if runs:
+            out.append({"alignment": align if align in ("center", "right") else "left", "runs": runs})
+    return out or [{"alignment": "left", "runs": r} for r in [plain(plain_render(html))] if r]
+
+
 def has_visible_text(html: str) -> bool:
     return bool(plain_preview(html).strip())
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import copy
 import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 from xml.parsers import expat
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from slidelake.functions import ooxml
 from slidelake.operators.writer import zip_package
 from slidelake.sources.deck import Options, parse_deck
-from slidelake.sources.package import PackageError, open_package
+from slidelake.operators.validate import WRITABLE_CHARTS
+from slidelake.sources.package import Package, PackageError, open_package
 
 # Fixed values.
 SCHEMA_VERSION, FORMAT = 1, "pptx"
@@ -27,6 +29,9 @@ TEXT_KEY = re.compile(r"slide-(\d+)((?:-element-\d+)+)(?:-row-(\d+)-cell-(\d+))?
 SHAPE_KEY = re.compile(r"slide-(\d+)((?:-element-\d+)+)$")
 OWNERS = ("p:sp", "p:pic", "p:graphicFrame", "p:grpSp", "p:cxnSp")
 ROOT_KEYS = {"schemaVersion", "format", "source", "document", "operations", "consistency", "supportProfile"}
+SOURCE_KEYS, CONSISTENCY_KEYS, PROFILE_KEYS = {"byteLength", "conformance", "kind", "packageBase64", "sha256"}, {"source", "document", "operations"}, {"level", "format"}
+OPERATION_KEYS = {"replace-text": {"id", "kind", "targetKey", "expectedText", "value"}, "set-transform": {"id", "kind", "targetKey", "expectedTransform", "value"}}
+DEPTH, CONTAINERS, CODE_UNITS = 64, 1_000_000, 256 << 20
 # End of fixed values.
 
 
@@ -39,10 +44,17 @@ class EditError(ValueError):
 
 
 def preview(row: dict) -> list[dict]:
-    """Elements of the slides with key, type, transform and text, and the cells of tables."""
+    """Elements of the slides with key, type, transform and text, the cells of tables and the series of charts. What no operation knows is `unsupported`, with the feature's name and its text."""
     cells: dict[tuple, list] = {}
     for c in row.get("table_cells", []):
         cells.setdefault((c["slide_no"], c["key"]), []).append({"key": f"{c['key']}-row-{c['row_no'] + 1}-cell-{c['col_no'] + 1}-run-1", "text": c["text"]})
+    series: dict[tuple, dict[int, dict]] = {}
+    for c in row.get("chart_points", []):
+        own = series.setdefault((c["slide_no"], c["key"]), {}).setdefault(c["series_no"], {"key": f"{c['key']}-series-{c['series_no'] + 1}", "name": c["series_name"], "categories": [], "values": []})
+        own["categories"].append(c["category"] if c["category"] is not None else str(c["idx"]))
+        own["values"].append(c["y"])
+        if ooxml.hex_color(c["series_color"]) and len(c["series_color"]) == 7:
+            own["color"] = c["series_color"]
     out = []
     for e in row.get("elements", []):
         if e["origin"] == "slide":
@@ -50,14 +62,18 @@ def preview(row: dict) -> list[dict]:
             item = {"key": e["key"], "type": e["type"], "transform": t}
             if e["type"] in ("text", "shape") and e.get("plain_text"):
                 item["runs"] = [{"key": f"{e['key']}-run-1", "text": e["plain_text"]}]
-            if e["type"] == "table":
+            elif e["type"] == "table":
                 item["runs"] = cells.get((e["slide_no"], e["key"]), [])
+            elif e["type"] == "chart" and (e["chart_type"] or "").removesuffix("Chart") in WRITABLE_CHARTS:
+                item |= {"chartType": e["chart_type"], "series": list(series.get((e["slide_no"], e["key"]), {}).values())}
+            elif e["type"] not in ("text", "shape", "image", "group"):
+                item |= {"type": "unsupported", "feature": e["chart_type"] or e["type"], "previewText": e.get("plain_text") or ""}
             out.append(item)
     return out
 
 
 #: The tables that previews and edits look at.
-LOOKED_AT = Options(strict=True, tables=frozenset({"slides", "elements", "table_cells"}))
+LOOKED_AT = Options(strict=True, tables=frozenset({"slides", "elements", "table_cells", "chart_points"}))
 
 
 def _strictly(raw: bytes) -> dict:
@@ -82,8 +98,8 @@ def _sealed(s: dict) -> dict:
     level = "R2" if s["operations"] else "R0"
     bare = {k: s["source"][k] for k in ("byteLength", "conformance", "kind", "sha256")}
     s["supportProfile"] = {"level": level, "format": FORMAT}
-    keys = [e["key"] for e in s["document"]]
-    s["consistency"] = {"source": ooxml.canonical_hash({"source": bare, "keys": keys}), "document": ooxml.canonical_hash(s["document"]), "operations": ooxml.canonical_hash(s["operations"])}
+    keys, cells = [e["key"] for e in s["document"]], [r["key"] for e in s["document"] if e["type"] == "table" for r in e.get("runs", [])]
+    s["consistency"] = {"source": ooxml.canonical_hash({"source": bare, "keys": keys, "cells": cells, "format": FORMAT}), "document": ooxml.canonical_hash(s["document"]), "operations": ooxml.canonical_hash(s["operations"])}
     return s
 
 
@@ -130,7 +146,7 @@ def edited(snapshot: dict, operations: Iterable[tuple[str, str, object]]) -> dic
         if key in taken:
             raise EditError("target-taken", f"{key} has an operation already")
         taken.add(key)
-        ops.append({"id": f"op-{len(ops) + 1}", **_operation(snapshot["document"], kind, key, value)})
+        ops.append({"id": f"op-{len(ops) + 1}", **copy.deepcopy(_operation(snapshot["document"], kind, key, value))})
     return _sealed(copy.deepcopy(snapshot | {"operations": ops}))
 
 
@@ -153,14 +169,75 @@ def from_json(text: str) -> dict:
     """A snapshot from its JSON, verified as restoring verifies it. EditError: wrong shape, version, digest or operation."""
     try:
         s = json.loads(text)
-    except ValueError as e:
+    except (ValueError, RecursionError) as e:
         raise EditError("invalid-json", str(e)) from None
-    if not isinstance(s, dict) or set(s) != ROOT_KEYS or s["schemaVersion"] != SCHEMA_VERSION or s["format"] != FORMAT:
-        raise EditError("invalid-snapshot", "not a snapshot of this version")
     restore(s)
     return s
 
 
+def check_tree(value: object) -> None:
+    """EditError unless value is a tree of plain JSON data: no deeper, larger or longer than a snapshot may be, every number finite, nothing in two places."""
+    open_: list[tuple[object, int]] = [(value, 0)]
+    seen: set[int] = set()
+    units = 0
+    while open_:
+        x, depth = open_.pop()
+        if depth > DEPTH:
+            raise EditError("invalid-snapshot", f"deeper than {DEPTH}")
+        if isinstance(x, str):
+            units += ooxml.utf16_length(x)
+        elif isinstance(x, dict | list):
+            if id(x) in seen:
+                raise EditError("invalid-snapshot", "an object stands in two places")
+            seen.add(id(x))
+            if isinstance(x, dict):
+                if not all(isinstance(k, str) for k in x):
+                    raise EditError("invalid-snapshot", "a key that is no text")
+                units += sum(map(ooxml.utf16_length, x))
+            open_ += [(v, depth + 1) for v in (x.values() if isinstance(x, dict) else x)]
+        elif not (x is None or isinstance(x, bool) or isinstance(x, int | float) and math.isfinite(x)):
+            raise EditError("invalid-snapshot", "not a JSON value")
+        if len(seen) > CONTAINERS or units > CODE_UNITS:
+            raise EditError("invalid-snapshot", "too much data")
+
+
+def check_shape(s: object) -> None:
+    """EditError unless s has the shape of a snapshot of this version, operations included."""
+
+    def has(x: object, keys: set[str], what: str) -> None:
+        if not isinstance(x, dict) or set(x) != keys:
+            raise EditError("invalid-snapshot", f"{what} is not of this version")
+
+    has(s, ROOT_KEYS, "the snapshot")
+    if s["schemaVersion"] != SCHEMA_VERSION or s["format"] != FORMAT:
+        raise EditError("invalid-snapshot", "not a snapshot of this version")
+    has(s["source"], SOURCE_KEYS, "the source")
+    has(s["consistency"], CONSISTENCY_KEYS, "the hashes")
+    has(s["supportProfile"], PROFILE_KEYS, "the profile")
+    if not isinstance(s["document"], list) or not isinstance(s["operations"], list) or not isinstance(s["source"]["packageBase64"], str):
+        raise EditError("invalid-snapshot", "not a snapshot of this version")
+    for i, op in enumerate(s["operations"], 1):
+        has(op, OPERATION_KEYS.get(op.get("kind") if isinstance(op, dict) else None, set()), "an operation")
+        if op["id"] != f"op-{i}" or not isinstance(op["targetKey"], str):
+            raise EditError("invalid-snapshot", "an operation is not in its place")
+    if len({op["targetKey"] for op in s["operations"]}) < len(s["operations"]):
+        raise EditError("target-taken", "two operations have one target")
+
+
+def slide_parts(package: Package) -> dict[int, str]:
+    """The parts of the slides by number, as an edit needs them: every slide of the list must name a part of the package by a slide's relationship."""
+    main = "ppt/presentation.xml"
+    root, rels = package.xml(main), {}
+    for r in package.relationships(main):
+        if r["type"].rpartition("/")[2] == "slide" and not r["is_external"] and r["target"] in package.archive.NameToInfo:
+            rels[r["rid"]] = r["target"]
+    ids = root.child("p:sldIdLst").all("p:sldId") if root and root.child("p:sldIdLst") else []
+    out = {n: rels.get(x.attrs.get("r:id", "")) for n, x in enumerate(ids, 1)}
+    if None in out.values():
+        raise EditError("unsupported-package", "the order of the slides can't be told")
+    return out  # type: ignore[return-value]
+
+
 # The source XML.
 
 
@@ -316,6 +393,8 @@ def applied(document: list[dict], operations: list[dict]) -> list[dict]:
 
 def restore(snapshot: dict) -> bytes:
     """The package: the source's bytes, or those with the operations applied, verified. EditError: any check fails."""
+    check_tree(snapshot)
+    check_shape(snapshot)
     source = snapshot["source"]
     try:
         raw = ooxml.strict_base64(source["packageBase64"])
@@ -341,7 +420,9 @@ def _applied(raw: bytes, row: dict, snapshot: dict) -> bytes:
     names = set(package.names)
     if any(n.startswith("_xmlsignatures/") or n.endswith("vbaProject.bin") for n in names):
         raise EditError("unsupported-package", "signed packages and macros are not edited")
-    slides = {s["slide_no"]: s["part"] for s in row["slides"]}
+    slides = slide_parts(package)
+    if slides != {s["slide_no"]: s["part"] for s in row["slides"]}:
+        raise EditError("unsupported-package", "some slides are not declared")
     changed: dict[str, bytes] = {}
     for op in snapshot["operations"]:
         text = op["kind"] == "replace-text"

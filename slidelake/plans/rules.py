@@ -706,16 +706,16 @@ def scene_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(keys, "supp long, codes string", lambda r: {"supp": r["supp"], "codes": ",".join(sorted({i["code"] for i in validate.validate_scene(scenes[r["supp"] % len(scenes)])}))})
 
 
-@query("SELECT s_suppkey AS supp, ['ok', 'invalid-json', 'invalid-snapshot', 'digest-mismatch', 'hash-mismatch', 'invalid-source', 'ok'][s_suppkey % 7 + 1] AS code, CASE WHEN s_suppkey % 7 IN (0, 6) THEN s_name || CASE WHEN s_suppkey % 7 = 6 THEN '!' ELSE '' END END AS text FROM supplier")
+@query("SELECT s_suppkey AS supp, ['ok', 'invalid-json', 'invalid-snapshot', 'digest-mismatch', 'hash-mismatch', 'invalid-source', 'ok', 'invalid-snapshot', 'invalid-snapshot', 'invalid-snapshot', 'document-mismatch', 'target-taken'][s_suppkey % 12 + 1] AS code, CASE WHEN s_suppkey % 12 IN (0, 6) THEN s_name || CASE WHEN s_suppkey % 12 = 6 THEN '!' ELSE '' END END AS text FROM supplier")
 def snapshot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots as JSON and back: whole, edited, and tampered with in each of their parts."""
     import base64
     import json
 
     def f(r: dict) -> dict:
-        n = r["s_suppkey"] % 7
+        n = r["s_suppkey"] % 12
         s = roundtrip.read_snapshot(zip_package(package_parts(B.region_deck({"names": [r["s_name"]]})), 1))
-        if n == 6:
+        if n in (6, 8, 11):
             s = roundtrip.replace_text(s, "slide-1-element-1-run-1", r["s_name"] + "!")
         if n == 3:
             s["source"]["packageBase64"] = base64.b64encode(base64.b64decode(s["source"]["packageBase64"]) + b"x").decode()
@@ -725,6 +725,18 @@ def snapshot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
             s["source"]["packageBase64"] += "\n"
         if n == 2:
             s["schemaVersion"] = 99
+        if n == 7:
+            s["source"]["more"] = 1
+        if n == 8:
+            del s["operations"][0]["expectedText"]
+        if n == 9:
+            for _ in range(70):
+                s["document"] = [s["document"]]
+        if n == 10:
+            s["document"][0]["transform"]["x"] += 1
+            s = roundtrip._sealed(s)
+        if n == 11:
+            s["operations"].append(s["operations"][0] | {"id": "op-2"})
         text = "{" if n == 1 else json.dumps(s)
         try:
             raw = roundtrip.restore(roundtrip.from_json(text))
@@ -735,19 +747,54 @@ def snapshot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "supp long, code string, text string", f)
 
 
-@query("""SELECT s_suppkey AS supp, [NULL, 'missing-target', 'invalid-value', 'invalid-json', 'invalid-text', 'no-change', 'invalid-operation', 'invalid-value'][s_suppkey % 8 + 1] AS code, CASE WHEN s_suppkey % 8 = 0 THEN 'R2' END AS level FROM supplier""")
+@query("""SELECT s_suppkey AS supp, [NULL, 'missing-target', 'invalid-value', 'invalid-json', 'invalid-text', 'no-change', 'invalid-operation', 'invalid-value', 'unsupported-package'][s_suppkey % 9 + 1] AS code, CASE WHEN s_suppkey % 9 = 0 THEN 'R2' END AS level FROM supplier""")
 def edit_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An operation that can't be done fails its package and no other."""
     s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s-"), "s_suppkey").alias("path"), F.array("s_name").alias("names"), F.col("s_suppkey").alias("k"))
-    packages = write_decks(s.select("path", "names"), B.region_deck, 1)
-    n = F.col("k") % 8
+
+    def build(row: dict) -> bytes:
+        """Where the key says so, a slide that the content types don't declare."""
+        hide = (lambda x: re.sub(r'<Override PartName="/ppt/slides/slide2[.]xml"[^>]*/>', "", x)) if row["k"] % 9 == 8 else (lambda x: x)
+        return changed(B.scene([[B.text_box(row["names"][0])], []]), {"[Content_Types].xml": hide})
+
+    packages = write_decks(s, build, 1)
+    n = F.col("k") % 9
     pick = lambda *xs: F.get(F.array(*(x if isinstance(x, F.Column) else F.lit(x) for x in xs)), n.cast("int"))
     run_key, key = "slide-1-element-1-run-1", "slide-1-element-1"
-    ops = s.select("path", F.lit(1).alias("seq"), pick("replace-text", "set-transform", "set-transform", "set-transform", "replace-text", "replace-text", "colour", "set-transform").alias("kind"), pick(run_key, "slide-9-element-1", key, key, run_key, run_key, key, key).alias("target_key"),
-                   pick("new", "{}", '{"x": NaN}', "{", "\u0001", F.col("names")[0], "{}", '{"width": "wide"}').alias("value"))
+    ops = s.select("path", F.lit(1).alias("seq"), pick("replace-text", "set-transform", "set-transform", "set-transform", "replace-text", "replace-text", "colour", "set-transform", "replace-text").alias("kind"), pick(run_key, "slide-9-element-1", key, key, run_key, run_key, key, key, run_key).alias("target_key"),
+                   pick("new", "{}", '{"x": NaN}', "{", "\u0001", F.col("names")[0], "{}", '{"width": "wide"}', "new").alias("value"))
     return roundtrip.edit_packages(packages, ops).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("supp"), "code", "level")
 
 
+@query("""SELECT s_suppkey AS supp, ['center', 'left', 'right'][s_suppkey % 3 + 1] AS alignment, s_name AS text, s_suppkey % 2 = 0 AS bold, CASE WHEN s_suppkey % 4 = 0 THEN '#AABBCC' END AS color, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 5 + 0.5 END::DOUBLE AS size, CASE WHEN s_suppkey % 7 > 0 THEN 'Arial' END AS family, 2 AS paragraphs FROM supplier""")
+def html_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML to paragraphs and runs; declarations that say nothing known are left out, and so are paragraphs without text."""
+
+    def f(r: dict) -> dict:
+        k = r["s_suppkey"]
+        css = f"font-weight: {700 if k % 2 == 0 else 'normal'};color: {'#AABBCC' if k % 4 == 0 else 'rgb(1,2,3)'};font-size: {f'{k % 5}.5pt' if k % 5 else '0pt'};font-family: {'&quot;Arial&quot;' if k % 7 else 'url(x)'}"
+        out = ooxml.html_paragraphs(f'<p style="text-align: {("center", "justify", "right")[k % 3]}"><span style="{css}">{r["s_name"]}</span></p><p><span></span></p><li>bare<br/>text</li>')
+        first = out[0]["runs"][0]
+        return {"supp": k, "alignment": out[0]["alignment"], "text": first["text"], "bold": first["bold"], "color": first.get("color"), "size": first.get("fontSize"), "family": first.get("fontFamily"), "paragraphs": len(out)}
+
+    return _mapped(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "supp long, alignment string, text string, bold boolean, color string, size double, family string, paragraphs int", f)
+
+
+@query("""SELECT s_suppkey AS supp, ['unsupported', 'chart', 'table', 'text'][s_suppkey % 4 + 1] AS type, CASE WHEN s_suppkey % 4 = 0 THEN 'areaChart' END AS feature, CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey END::DOUBLE AS value, CASE WHEN s_suppkey % 4 >= 2 THEN s_name END AS text FROM supplier""")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edit sees of a slide: texts, cells, series, and by name what it can't change."""
+
+    def f(r: dict) -> dict:
+        k = r["s_suppkey"]
+        chart = {"type": "chart", "transform": B.BOX, "chartType": "bar", "series": [{"name": "s", "categories": ["a"], "values": [k]}]}
+        scene = B.scene([[(chart, chart, B.table_of([[r["s_name"]]]), B.text_box(r["s_name"]))[k % 4]]])
+        raw = changed(scene, {"ppt/charts/chart1.xml": lambda s: s.replace("barChart", "areaChart")} if k % 4 == 0 else {})
+        e = roundtrip.read_snapshot(raw)["document"][0]
+        return {"supp": k, "type": e["type"], "feature": e.get("feature"), "value": e["series"][0]["values"][0] if "series" in e else None, "text": e["runs"][0]["text"] if "runs" in e else None}
+
+    return _mapped(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "supp long, type string, feature string, value double, text string", f)
+
+
 @query("SELECT n_regionkey::BIGINT AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS slide_no, 'image/svg+xml' AS mime, 720::DOUBLE AS width, 405::DOUBLE AS height, true AS names_text, 1::BIGINT AS texts, 0::BIGINT AS scripts FROM nation")
 def svg_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A picture for each slide, of the slide's size, with its text and nothing that runs."""

@@ -29,3 +29,17 @@ def test_picture_effects_and_line_ends():
     picture, shape = parse_deck(zip_package(list(parts.items())))["elements"]
     assert (picture["opacity"], picture["saturation"], picture["soften"]) == (0.4, 1.5, 0.25)
     assert (shape["head_end"], shape["tail_end"]) == ("arrow", None)
+
+
+def test_standard_input(tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+    from types import SimpleNamespace
+
+    import pytest
+
+    raw = create_deck(B.scene([[B.text_box("piped")]]))
+    monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(raw)))
+    assert main(["convert", "-", "--format", "pptx"]) == 0 and json.loads(capsys.readouterr().out)["elements"][0]["plain_text"] == "piped"
+    with pytest.raises(SystemExit):
+        main(["convert", "-"])
