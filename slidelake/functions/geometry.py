@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 from .ooxml import js_number, to_fixed
+from .presets import outline
 
 # Presets that have a stroke and no area; sides of regular polygons; points of stars and their inner radius in 100000ths.
 STROKE_ONLY = frozenset("line lineInv straightConnector1 bentConnector2 bentConnector3 bentConnector4 bentConnector5 curvedConnector2 curvedConnector3 curvedConnector4 curvedConnector5 arc leftBracket rightBracket leftBrace rightBrace bracketPair bracePair".split())
@@ -124,6 +125,8 @@ def preset_path(name: str, w: float, h: float, adjust: dict[str, float] | None =
         return _inscribed(n, w, h, given.get("adj", inner)), True
     if name in shapes:
         return shapes[name](), True
+    if (drawn := outline(name, w, h, given)) is not None:
+        return drawn, True
     return polygon([(0, 0), (w, 0), (w, h), (0, h)]), False
 
 
