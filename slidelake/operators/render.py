@@ -74,7 +74,9 @@ class Slide:
             stops = [s for s in self.stops if s["key"] == e["key"]]
             if len(stops) > 1 and all(hex_color(s["color"]) for s in stops):
                 name = f"g{len(self.defs)}"
-                self.defs.append(f'<linearGradient id="{name}">' + "".join(f'<stop offset="{n(s["pos"])}%" stop-color="{s["color"]}"/>' for s in stops) + "</linearGradient>")
+                kind = "radialGradient" if e.get("gradient_path") in ("circle", "shape") else "linearGradient"
+                turn = f' gradientTransform="rotate({n(e["gradient_angle"])} 0.5 0.5)"' if kind == "linearGradient" and e.get("gradient_angle") else ""
+                self.defs.append(f'<{kind} id="{name}"{turn}>' + "".join(f'<stop offset="{n(s["pos"])}%" stop-color="{s["color"]}"/>' for s in stops) + f"</{kind}>")
                 return f'fill="url(#{name})"'
         if kind in ("gradient", "pattern", "image", "group") or kind == "color" and not c:
             self.warn(e, "unsupported-fill", f"{kind} fill is drawn plain")
@@ -153,7 +155,10 @@ class Slide:
                 continue
             x, y = xs[c["col_no"]], ys[c["row_no"]]
             x1, y1 = xs[min(len(xs) - 1, c["col_no"] + (c["col_span"] or 1))], ys[min(len(ys) - 1, c["row_no"] + (c["row_span"] or 1))]
-            out.append(f'<rect x="{n(x)}" y="{n(y)}" width="{n(x1 - x)}" height="{n(y1 - y)}" fill="{hex_color(c["fill_color"]) or "none"}" stroke="{hex_color(c["border_top"]) or "#bfbfbf"}"/>')
+            out.append(f'<rect x="{n(x)}" y="{n(y)}" width="{n(x1 - x)}" height="{n(y1 - y)}" fill="{hex_color(c["fill_color"]) or "none"}"/>')
+            for side, ends in (("top", (x, y, x1, y)), ("bottom", (x, y1, x1, y1)), ("left", (x, y, x, y1)), ("right", (x1, y, x1, y1))):
+                a, b, c1, d = map(n, ends)
+                out.append(f'<line x1="{a}" y1="{b}" x2="{c1}" y2="{d}" stroke="{hex_color(c[f"border_{side}"]) or "#bfbfbf"}"/>')
             if c["text"]:
                 out.append(f'<text x="{n(x + 4)}" y="{n(y + 16)}" font-family="sans-serif" font-size="12">{text_xml(c["text"])}</text>')
         self.warn(e, "approximate-table", "cell typography is simplified")
@@ -167,6 +172,28 @@ class Slide:
         accents = self.row.get("theme_colors") or ["#4472C4", "#ED7D31", "#A5A5A5", "#FFC000", "#5B9BD5", "#70AD47"]
         return "".join(f'<rect x="{n(i * step)}" y="{n(h - h * abs(p["y"]) / top)}" width="{n(step * 0.8)}" height="{n(h * abs(p["y"]) / top)}" fill="{hex_color(p["series_color"]) or accents[i % len(accents)]}"/>' for i, p in enumerate(points))
 
+    def _video(self, e: dict, w: float, h: float) -> str:
+        self.warn(e, "approximate-video", "the film is drawn as a screen")
+        r = min(w, h) / 6
+        return f'<rect width="{n(w)}" height="{n(h)}" fill="#111111"/><path d="M {n(w / 2 - r)} {n(h / 2 - r)} L {n(w / 2 + r)} {n(h / 2)} L {n(w / 2 - r)} {n(h / 2 + r)} Z" fill="#ffffff"/>'
+
+    def _audio(self, e: dict, w: float, h: float) -> str:
+        self.warn(e, "approximate-audio", "the sound is drawn as a sign")
+        r = min(w, h) / 6
+        return f'<rect width="{n(w)}" height="{n(h)}" fill="#f5f5f5"/><circle cx="{n(w / 2)}" cy="{n(h / 2)}" r="{n(r)}" fill="#777777"/>'
+
+    def _math(self, e: dict, w: float, h: float) -> str:
+        self.warn(e, "approximate-math", "the formula is drawn as its source")
+        return f'<text x="4" y="{n(h / 2)}" font-family="serif" font-style="italic" font-size="14">{text_xml(e.get("latex") or "")}</text>'
+
+    def _diagram(self, e: dict, w: float, h: float) -> str:
+        self.warn(e, "approximate-diagram", "the drawing's shapes, or a list of its texts")
+        lines = [t for t in (e.get("plain_text") or "").split("\n") if t]
+        if any(x["origin"] == "diagram" and x["key"].startswith(e["key"] + "-") for x in self.elements):
+            return f'<rect width="{n(w)}" height="{n(h)}" fill="none"/>'
+        step = h / max(1, len(lines))
+        return "".join(f'<rect y="{n(i * step)}" width="{n(w)}" height="{n(step * 0.8)}" fill="#f5f5f5" stroke="#bfbfbf"/><text x="4" y="{n(i * step + 14)}" font-family="sans-serif" font-size="12">{text_xml(t)}</text>' for i, t in enumerate(lines)) or f'<rect width="{n(w)}" height="{n(h)}" fill="none" stroke="#bfbfbf"/>'
+
     def _other(self, e: dict, w: float, h: float) -> str:
         label = e.get("latex") or e.get("plain_text") or e["type"]
         self.warn(e, f"approximate-{e['type']}", f"{e['type']} is drawn as a labelled box")
@@ -211,9 +238,13 @@ def render_packages(packages: DataFrame, request: Request = Request()) -> DataFr
         for batch in batches:
             for row in batch.to_pylist():
                 try:
+                    if row["content"] is None:
+                        raise RenderError("resource-limit", "no content, or more than allowed")
                     slides = [{"path": row["path"], **s} for s in render_deck(row["content"], request)]
                 except (PackageError, RenderError) as e:
                     slides = [{"path": row["path"], "code": e.code, "message": str(e)}]
+                except Exception as e:  # no content of one package may stop the others
+                    slides = [{"path": row["path"], "code": "invalid-content", "message": f"{type(e).__name__}: {e}"}]
                 if slides:
                     yield pa.RecordBatch.from_pylist([{f.name: s.get(f.name) for f in arrow} for s in slides], schema=arrow)
 

@@ -804,3 +804,24 @@ def svg_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("svg", "(?s)<text[^>]*>", "\u0001"), "<[^>]*>", "")
     count = lambda p: F.regexp_count("svg", F.lit(p)).cast("long")
     return rows.select(key_of().alias("region"), "slide_no", "mime", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.contains(text, F.get("names", F.col("slide_no") - 1)).alias("names_text"), count(r"<text\b").alias("texts"), count(r"(?i)<script|javascript:|\son\w+=").alias("scripts"))
+
+
+@query("""SELECT s_suppkey AS supp, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 36 > 0 THEN (s_suppkey % 36 * 10)::VARCHAR END AS turn, CASE WHEN s_suppkey % 4 = 1 THEN '#0000FF/' || (s_suppkey % 3 + 1) || '/5' END AS stroke, CASE WHEN s_suppkey % 4 = 2 THEN 'translate(100 0) scale(-1 1)' END AS flip,
+CASE WHEN s_suppkey % 4 = 3 THEN (s_suppkey % 360)::VARCHAR END AS rotation, CASE s_suppkey % 4 WHEN 0 THEN 'url(#g0)' WHEN 1 THEN 'none' ELSE '#102030' END AS fill FROM supplier WHERE s_suppkey % 36 <> 0 AND s_suppkey % 360 <> 0""")
+def svg_paints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients with their direction, outlines with width and dashes, flips and turns, as the picture has them."""
+
+    def build(k: int) -> bytes:
+        look = (
+            f"<a:gradFill><a:gsLst><a:gs pos='0'><a:srgbClr val='FF0000'/></a:gs><a:gs pos='100000'><a:srgbClr val='00FF00'/></a:gs></a:gsLst><a:lin ang='{k % 36 * 600000}'/></a:gradFill>", f'<a:noFill/><a:ln w="{(k % 3 + 1) * 12700}">{srgb("0000FF")}<a:prstDash val="dash"/></a:ln>', srgb("102030"), srgb("102030"),
+        )[k % 4]
+        turn = ("", "", ' flipH="1"', f' rot="{k % 360 * 60000}"')[k % 4]
+        inner = shape(k, look, xfrm=f'<a:xfrm{turn}><a:off x="0" y="0"/><a:ext cx="1270000" cy="635000"/></a:xfrm>')
+        return changed(B.scene([[]]), {SLIDE.format(1): lambda s: s.replace("</p:spTree>", inner + "</p:spTree>")})
+
+    keys = read(spark, sf_dir, "supplier").where("s_suppkey % 36 <> 0 and s_suppkey % 360 <> 0").select(F.concat(F.lit("s-"), "s_suppkey").alias("path"), F.col("s_suppkey").alias("key"))
+    svg = F.col("data").cast("string")
+    got = lambda pattern, i=1: F.nullif(F.regexp_extract(svg, pattern, i), F.lit(""))
+    stroke = r'stroke="(#[0-9A-F]{6})" stroke-width="([0-9.]+)" stroke-dasharray="([^"]+)"'
+    pictures = render.render_packages(write_decks(keys, lambda row: build(row["key"]), 1))
+    return pictures.select(key_of().alias("supp"), got(r'gradientTransform="rotate\(([0-9.]+) ').alias("turn"), F.when(got(stroke).isNotNull(), F.concat_ws("/", *(got(stroke, i) for i in (1, 2, 3)))).alias("stroke"), got(r"(translate\(100 0\) scale\(-1 1\))").alias("flip"), got(r" rotate\(([0-9.]+) 50 25\)").alias("rotation"), got(r'<path d="[^"]*" fill="([^"]+)"').alias("fill"))
