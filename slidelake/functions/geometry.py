@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from .ooxml import js_number, to_fixed
@@ -209,27 +210,42 @@ def custom_path(geometry, w: float, h: float) -> tuple[str, bool]:
     return " ".join(out), not filled
 
 
-def classify(path: str) -> str:
-    """A name for a custom outline: by its corners, or `ellipse` for closed curves without lines."""
-    if not path:
+#: Names of outlines by their number of corners; those whose edges are joined by curves, by the number of lines.
+CORNERS = {3: "triangle", 5: "pentagon", 6: "hexagon", 7: "heptagon", 8: "octagon", 10: "decagon", 12: "dodecagon"}
+ROUNDED = {3: "triangle", 4: "roundRect", 5: "pentagon", 6: "hexagon", 7: "heptagon", 8: "octagon"}
+
+
+def classify(geometry) -> str:
+    """A name for a custGeom element that has one closed path: by its corners, by its lines if curves join them, `ellipse` for arcs alone or four curves that touch every side; else `custom`."""
+    lst = geometry.child("a:pathLst")
+    paths = lst.all("a:path") if lst else []
+    size = [p.attrs.get(k, "") for p in paths[:1] for k in ("w", "h")]
+    if len(paths) != 1 or not all(re.fullmatch(r"[0-9]{1,15}", v) and int(v) for v in size):
         return "custom"
-    words = path.split()
-    if words.count("M") != 1:
+    w, h = map(int, size)
+    g = Guides(w, h, [(x.attrs.get("name", ""), x.attrs.get("fmla", "val 0")) for tag in ("a:avLst", "a:gdLst") for one in geometry.all(tag) for x in one.all("a:gd")])
+    steps = [s for s in paths[0].children if s.tag in ("a:moveTo", "a:lnTo", "a:cubicBezTo", "a:quadBezTo", "a:arcTo", "a:close")]
+    kinds = [s.tag[2:] for s in steps]
+    points = [[(g.get(p.attrs.get("x", "0")), g.get(p.attrs.get("y", "0"))) for p in s.all("a:pt")] for s in steps]
+    flat = any(k == "arcTo" and (g.get(s.attrs.get("wR", "0")) <= 0 or g.get(s.attrs.get("hR", "0")) <= 0 or g.get(s.attrs.get("swAng", "0")) == 0) for k, s in zip(kinds, steps, strict=True))
+    if not kinds or kinds[0] != "moveTo" or "moveTo" in kinds[1:] or kinds[-1] != "close" or "close" in kinds[:-1] or flat or any(k.endswith("To") and k != "arcTo" and not p for k, p in zip(kinds, points, strict=True)):
         return "custom"
-    if any(c in words for c in "CAQ"):
-        return "ellipse" if "L" not in words and words[-1] == "Z" else "roundRect" if words.count("L") == 4 else "custom"
-    nums = [float(x) for x in words if x not in ("M", "L", "Z")]
-    pts = list(zip(nums[::2], nums[1::2], strict=True))
-    if len(pts) > 1 and pts[0] == pts[-1]:
-        pts = pts[:-1]
-    if len(pts) == 4:
-        (x0, y0), (x1, y1), (x2, y2), (x3, y3) = pts
-        if {(x0, y0), (x1, y1), (x2, y2), (x3, y3)} == {(min(x0, x1, x2, x3), min(y0, y1, y2, y3)), (max(x0, x1, x2, x3), min(y0, y1, y2, y3)), (max(x0, x1, x2, x3), max(y0, y1, y2, y3)), (min(x0, x1, x2, x3), max(y0, y1, y2, y3))}:
-            return "rect"
-        sides = [math.dist(pts[i], pts[(i + 1) % 4]) for i in range(4)]
-        if max(sides) - min(sides) < 1e-3:
-            return "rhombus"
-        par = [(pts[(i + 1) % 4][0] - pts[i][0], pts[(i + 1) % 4][1] - pts[i][1]) for i in range(4)]
-        cross = [abs(par[i][0] * par[i + 2][1] - par[i][1] * par[i + 2][0]) < 1e-3 for i in range(2)]
-        return "parallelogram" if all(cross) else "trapezoid" if any(cross) else "custom"
-    return {3: "triangle", 5: "pentagon", 6: "hexagon", 7: "heptagon", 8: "octagon", 9: "nonagon", 10: "decagon", 12: "dodecagon"}.get(len(pts), "custom")
+    lines, curves, arcs = kinds.count("lnTo"), kinds.count("cubicBezTo") + kinds.count("quadBezTo"), kinds.count("arcTo")
+    ends = [p[-1] for k, p in zip(kinds, points, strict=True) if k == "cubicBezTo" and len(p) == 3]
+    if lines == 0:
+        sides = (any(abs(y) < h / 10 for _, y in ends), any(abs(y - h) < h / 10 for _, y in ends), any(abs(x) < w / 10 for x, _ in ends), any(abs(x - w) < w / 10 for x, _ in ends))
+        return "ellipse" if arcs >= 2 or curves == 4 and all(sides) else "custom"
+    if curves or arcs:
+        return ROUNDED.get(lines, "custom") if 0 < curves <= lines else "custom"
+    corners = list(dict.fromkeys(p[0] for k, p in zip(kinds, points, strict=True) if k in ("moveTo", "lnTo")))
+    return _four_sided(corners) if len(corners) == 4 else CORNERS.get(len(corners), "custom")
+
+
+def _four_sided(p: list[tuple[float, float]]) -> str:
+    edges = [(p[(i + 1) % 4][0] - p[i][0], p[(i + 1) % 4][1] - p[i][1]) for i in range(4)]
+    if all((dx == 0) != (dy == 0) for dx, dy in edges) and edges[0][0] * edges[1][0] == edges[0][1] * edges[1][1] == 0 and edges[0] == (-edges[2][0], -edges[2][1]):
+        return "rect"
+    if len({dx * dx + dy * dy for dx, dy in edges}) == 1:
+        return "rhombus"
+    parallel = [edges[i][0] * edges[i + 2][1] == edges[i][1] * edges[i + 2][0] for i in (0, 1)]
+    return "parallelogram" if all(parallel) else "trapezoid" if any(parallel) else "custom"

@@ -448,6 +448,30 @@ def custom_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(decks(spark, sf_dir, drawn), F.col("svg_path").alias("path"), F.col("shape_type").alias("type"), "stroke_only")
 
 
+#: Outlines in a space of 100 by 100: commands and points.
+CLASSES = {
+    "rect": "M 0 0 L 100 0 L 100 100 L 0 100 Z", "rhombus": "M 50 0 L 100 50 L 50 100 L 0 50 Z", "parallelogram": "M 20 0 L 100 0 L 80 100 L 0 100 Z", "trapezoid": "M 20 0 L 80 0 L 100 100 L 0 100 Z", "triangle": "M 50 0 L 100 100 L 0 100 L 50 0 Z", "pentagon": "M 50 0 L 100 40 L 80 100 L 20 100 L 0 40 Z",
+    "hexagon": "M 25 0 L 75 0 L 100 50 L 75 100 L 25 100 L 0 50 Z", "ellipse": "M 100 50 C 100 78 78 100 50 100 C 22 100 0 78 0 50 C 0 22 22 0 50 0 C 78 0 100 22 100 50 Z", "roundRect": "M 10 0 L 90 0 C 95 0 100 5 100 10 L 100 90 C 100 95 95 100 90 100 L 10 100 C 5 100 0 95 0 90 L 0 10 C 0 5 5 0 10 0 Z", "custom": "M 0 0 L 100 0 L 100 100 L 0 100",
+}
+_CLASSES = ", ".join(f"'{n}'" for n in CLASSES)
+
+
+@query(f"SELECT s_suppkey AS supp, [{_CLASSES}][s_suppkey % {len(CLASSES)} + 1] AS type FROM supplier")
+def outline_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of custom outlines; one that is open has none."""
+
+    def drawn(k: int) -> str:
+        inner = ""
+        for m in re.finditer(r"([MLCZ])([^MLCZ]*)", list(CLASSES.values())[k % len(CLASSES)]):
+            xy = m[2].split()
+            points = "".join(f'<a:pt x="{x}" y="{y}"/>' for x, y in zip(xy[::2], xy[1::2], strict=True))
+            tag = {"M": "moveTo", "L": "lnTo", "C": "cubicBezTo", "Z": "close"}[m[1]]
+            inner += f"<a:{tag}>{points}</a:{tag}>"
+        return shape(k, outline=f'<a:custGeom><a:pathLst><a:path w="100" h="100">{inner}</a:path></a:pathLst></a:custGeom>')
+
+    return elements(decks(spark, sf_dir, drawn), F.col("shape_type").alias("type"))
+
+
 # Charts, diagrams, formulas.
 
 

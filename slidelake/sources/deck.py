@@ -632,7 +632,7 @@ class Deck:
         if is_shape:
             if custom:
                 svg, only = custom_path(geometry, w, h)
-                preset = classify(svg)
+                preset = classify(geometry)
             else:
                 svg, exact = preset_path(preset, w, h, guides)
                 only = preset in STROKE_ONLY
@@ -671,7 +671,7 @@ class Deck:
         crop = node.child("p:blipFill", "a:srcRect")
         crops = {f"crop_{k}": int(crop.attrs[k]) / 1000 if crop is not None and _INT.match(crop.attrs.get(k, "")) else None for k in "tblr"}
         geometry, custom = node.child("p:spPr", "a:prstGeom"), node.child("p:spPr", "a:custGeom")
-        name = geometry.attrs.get("prst") if geometry is not None else f"custom:{classify(custom_path(custom, row['width'], row['height'])[0])}" if custom is not None else None
+        name = geometry.attrs.get("prst") if geometry is not None else f"custom:{classify(custom)}" if custom is not None else None
         mode = None if target is None else "link" if r["is_external"] else "data" if kind == "image" or ooxml.extension(target) in PLAYABLE[kind] else "ref"
         self.add("elements", **row, **crops, **self.picture_filters(node.child("p:blipFill", "a:blip")), type=kind, media_part=target, media_mode=mode, shape_type=name, content="", plain_text="")
         return True

@@ -135,7 +135,15 @@ def test_guides():
 
 
 def test_classes_of_outlines():
-    assert geometry.classify("M 0 0 L 2 0 L 2 1 L 0 1 Z") == "rect"
-    assert geometry.classify("M 0 0 L 2 0 L 1 1 Z") == "triangle"
-    assert geometry.classify("M 1 0 L 2 1 L 1 2 L 0 1 Z") == "rhombus"
-    assert geometry.classify("M 0 0 L 3 0 L 4 1 L 1 1 Z") == "parallelogram"
+    from slidelake.sources.package import parse_xml
+
+    def outline(points, end="<a:close/>", size=4):
+        at = "".join(f'<a:{"lnTo" if i else "moveTo"}><a:pt x="{x}" y="{y}"/></a:{"lnTo" if i else "moveTo"}>' for i, (x, y) in enumerate(points))
+        return geometry.classify(parse_xml(f'<a:custGeom xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:pathLst><a:path w="{size}" h="4">{at}{end}</a:path></a:pathLst></a:custGeom>'.encode())[0])
+
+    assert outline([(0, 0), (2, 0), (2, 1), (0, 1)]) == "rect"
+    assert outline([(0, 0), (2, 0), (1, 1)]) == "triangle"
+    assert outline([(1, 0), (2, 1), (1, 2), (0, 1)]) == "rhombus"
+    assert outline([(0, 0), (3, 0), (4, 1), (1, 1)]) == "parallelogram"
+    assert outline([(0, 0), (3, 0), (4, 1), (1, 2)]) == "custom"
+    assert outline([(0, 0), (2, 0), (2, 1)], "") == outline([(0, 0), (2, 0), (2, 1)], size=0) == "custom"
