@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rebatched, texts, worker_cache
-from .pretokens import Memory, keys, large_memory, piece_of, pretokens
+from .common import together, worker_cache
+from .pretokens import Memory, chunks, laid_out, large_memory, marks, pretokens
 
 #: Entries of a worker's memories of finished pieces and of merged pre-tokens.
-PIECES, PRETOKENS = 1 << 18, 1 << 18
+PIECES, PRETOKENS = 1 << 19, 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -155,12 +155,16 @@ class Codec:
         self.table = PerfectHash(self.ranks)
         self.pattern = as_tiktoken(pattern)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.tokens = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of, default=-1) + 1)], pa.large_binary())
         self.pieces, self.pretokens = Memory(PIECES), Memory(PRETOKENS)
 
     def _pretoken(self, x: str) -> bytes:
         raw = x.encode("utf-8")
         rank = self.table.get(raw)
-        return struct.pack("<I", rank) if rank is not None else struct.pack(f"<{len(ids)}I", *ids) if (ids := merged(raw, self.ranks)) else b""
+        if rank is not None:
+            return struct.pack("<I", rank)
+        ids = merged(raw, self.ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         known, old = self.pretokens.turn(), self.pretokens.old
@@ -172,18 +176,43 @@ class Codec:
             out.append(got)
         return out[0] if len(out) == 1 else b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of text, packed; the empty text has none."""
-        parts, known = keys(text), self.pieces.turn()
-        got = list(map(known.get, parts))
+    def _packed(self, found: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        known, old = self.pieces.turn(), self.pieces.old
+        got = list(map(known.get, found))
         if None in got:
-            old = self.pieces.old
-            for i, x in enumerate(parts):
-                if got[i] is None:
+            for i, packed in enumerate(got):
+                if packed is None:
+                    x = found[i]
                     if (packed := known.get(x)) is None:
-                        packed = known[x] = old.get(x) or self._piece(piece_of(x))
+                        packed = known[x] = old.get(x) or self._piece(x) if x else b""
                     got[i] = packed
-        return b"".join(got)
+        return got
+
+    def encode(self, text: str) -> bytes:
+        """The ids of text, packed; the empty text has none."""
+        return b"".join(self._packed(chunks(text)))
+
+    def encode_batch(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and where each begins and the last ends."""
+        marked = marks(batch)
+        ids, at = laid_out(marked, self._packed, np.dtype("<u4"))
+        odd = np.flatnonzero(marked.is_null().to_numpy(zero_copy_only=False)).tolist()
+        if not odd:
+            return ids, at
+        own = {i: np.frombuffer(self.encode(batch[i].as_py()), "<u4") for i in odd}
+        parts = [own[i] if i in own else ids[at[i] : at[i + 1]] for i in range(len(batch))]
+        return np.concatenate([np.zeros(0, np.dtype("<u4")), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    def decode_batch(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes that ids stand for, one after the other, and where each id's begin and the last's end. KeyError: an id isn't in the vocabulary."""
+        if len(ids) and int(ids.max()) >= len(self.tokens):
+            raise KeyError(int(ids.max()))
+        raw = self.tokens.take(pa.array(ids))
+        if raw.null_count:
+            raise KeyError("an id that stands for nothing")
+        _, offsets, data = raw.buffers()
+        return memoryview(data) if data is not None else memoryview(b""), np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for. KeyError: an id isn't in the vocabulary."""
@@ -207,18 +236,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in rebatched(batches):
-            rows: list[list] = [[], [], [], [], []]
-            for text in texts(batch):
-                packed = c.encode(text)
-                raw = c.decode(packed)
-                got = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest(), packed, raw.decode("utf-8")) if with_ids else (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest())
-                for col, x in zip(rows, got, strict=False):
-                    col.append(x)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            k = 5 if with_ids else 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(rows[:k], kinds[:k], strict=True)]], ["doc_id", *names[:k]])
+        for names, batch in together(batches):
+            ids, at = c.encode_batch(batch)
+            raw, ends = c.decode_batch(ids)
+            packed = memoryview(np.ascontiguousarray(ids)).cast("B")
+            spans = list(zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), ends[at[:-1]].tolist(), ends[at[1:]].tolist(), strict=True))
+            cols = [names, pa.array(np.diff(at)), pa.array([hashlib.sha256(packed[a:b]).hexdigest() for a, b, _, _ in spans]), pa.array([hashlib.sha256(raw[c:d]).hexdigest() for _, _, c, d in spans])]
+            if with_ids:
+                cols += [pa.array([bytes(packed[a:b]) for a, b, _, _ in spans], pa.binary()), pa.array([bytes(raw[c:d]).decode("utf-8") for _, _, c, d in spans], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

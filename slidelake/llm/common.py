@@ -137,3 +137,27 @@ def rebatched(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[p
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
     pa.default_memory_pool().release_unused()
+
+
+#: Texts, and bytes of texts, that are cut together, so that their common pieces count once.
+TOGETHER, BYTES = 4000, 16 << 20
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (null as empty), TOGETHER rows or BYTES bytes at a time, about."""
+    waiting: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        return table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks().fill_null("")
+
+    rows = size = 0
+    for batch in rebatched(batches):
+        waiting.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= TOGETHER or size >= BYTES:
+            yield joined()
+            waiting.clear()
+            rows = size = 0
+    if rows:
+        yield joined()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -33,11 +35,6 @@ def chunks(text: str) -> list[str]:
     return [x for x in out if x]
 
 
-def is_odd(text: str) -> bool:
-    """Whether cutting at every space would cut a match, or keys would be taken for one another."""
-    return "\0" in text or _ODD.search(text) is not None
-
-
 #: Stands between pieces.
 MARK = "\x01"
 #: White space of any script, as Python has it.
@@ -59,22 +56,16 @@ def marks(texts: pa.Array, not_in: list[str] = ()) -> pa.Array:
     return pc.if_else(odd, out, stops)
 
 
-def keys(text: str) -> list[str]:
-    """The pieces of text as keys of a memory: a piece without its leading space, or \\0 and the piece as it is."""
-    if not text:
-        return []
-    if is_odd(text):
-        return ["\0" + x for x in chunks(text)]
-    out = text.split(" ")
-    if out[0]:
-        out[0] = "\0" + out[0]
-    else:
-        del out[0]
-    return out
-
-
-def piece_of(key: str) -> str:
-    return key[1:] if key[0] == "\0" else " " + key
+def laid_out(marked: pa.Array, packed: Callable[[list[str]], list[bytes]], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one text after the other, and where each begins and the last ends; a null text has none. Arrow cuts the texts at the marks, numbers the distinct pieces and lays out their ids; `packed` gives the ids of distinct pieces."""
+    cut = pc.split_pattern(marked, MARK)
+    pieces = cut.flatten().dictionary_encode()
+    ids = packed(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+    offsets = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize, out=offsets[1:])
+    laid = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype))).take(pieces.indices)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return np.ascontiguousarray(laid.values.to_numpy()), laid.offsets.to_numpy()[ends]
 
 
 def pretokens(piece: str, find) -> list[str]:

@@ -16,21 +16,18 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import rebatched, shared_root, worker_cache, written
-from .pretokens import MARK, Memory, chunks, large_memory, marks
+from .common import shared_root, together, worker_cache, written
+from .pretokens import Memory, chunks, laid_out, large_memory, marks
 
 MAGIC = b"SLTOKEN1"
 NO_ID = -(1 << 63)  # stands for a doc_id that is null
 #: Entries of a worker's memory of finished pieces.
 PIECES = 1 << 20
-#: Texts (and bytes of texts) that are cut together, so that their common pieces count once.
-TOGETHER, BYTES = 4000, 16 << 20
 #: Pieces that the library takes as one text.
 RUN = 2000
 
@@ -93,17 +90,9 @@ class Encoder:
         """The packed ids of each text. Arrow finds the texts that can be cut, cuts them at the marks, numbers the distinct pieces and lays out their ids; Python sees distinct pieces only."""
         batch = batch if isinstance(batch, pa.Array) else pa.array(batch, pa.large_string())
         marked = marks(batch, self.added)
-        cut = pc.split_pattern(marked, MARK)
-        pieces = cut.flatten().dictionary_encode()
-        ids = self._packed(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
-        n = self.dtype.itemsize
-        offsets = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // n, out=offsets[1:])
-        laid = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), self.dtype))).take(pieces.indices)
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        at = (laid.offsets.to_numpy()[ends] * n).tolist()
-        raw = memoryview(np.ascontiguousarray(laid.values.to_numpy())).cast("B")
-        out: list[bytes] = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        ids, at = laid_out(marked, self._packed, self.dtype)
+        raw, n = memoryview(ids).cast("B"), self.dtype.itemsize
+        out: list[bytes] = [raw[a:b] for a, b in zip((at[:-1] * n).tolist(), (at[1:] * n).tolist(), strict=True)]
         for i in np.flatnonzero(marked.is_null().to_numpy(zero_copy_only=False)).tolist():
             text = batch[i].as_py()
             out[i] = self._whole(text) if any(x in text for x in self.added) else self._pieces(text)
@@ -173,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, end_id
         sizes, names = array("q"), array("q")
         with ExitStack() as files:
             bin_ = None
-            for ids, batch in _together(batches):
+            for ids, batch in together(batches):
                 bin_ = bin_ or files.enter_context(_new_file(uri + ".bin"))
                 names.extend(ids.fill_null(NO_ID).to_pylist())
                 for packed in enc.encode_batch(batch):
@@ -195,26 +184,6 @@ def write_token_files(docs: DataFrame, path: str, out: str | None = None, end_id
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts (null as empty), TOGETHER rows or BYTES bytes at a time, about."""
-    waiting: list[pa.RecordBatch] = []
-
-    def joined() -> tuple[pa.Array, pa.Array]:
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        return table.column(0).combine_chunks(), table.column(1).cast(pa.large_string()).combine_chunks().fill_null("")
-
-    rows = size = 0
-    for batch in rebatched(batches):
-        waiting.append(batch)
-        rows, size = rows + batch.num_rows, size + batch.nbytes
-        if rows >= TOGETHER or size >= BYTES:
-            yield joined()
-            waiting.clear()
-            rows = size = 0
-    if rows:
-        yield joined()
-
-
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document of the parts, from the files."""
 

