@@ -1,3 +1,3 @@
 """slidelake: presentation packages as Spark tables."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

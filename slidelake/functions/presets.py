@@ -479,6 +479,23 @@ def _moon(p: Pen, b: Box) -> None:
     p.m(b.w, b.h).arc(b.w, b.cy, 90, 180).arc(r, r * b.cy / b.w, 180 + reach, -2 * reach).z()
 
 
+def _button(p: Pen, b: Box, icon: str) -> None:
+    """A button with a sign three quarters as large as its smaller side: arrows to a side, with a bar for the first and the last, or a sheet."""
+    r = b.s * 3 / 8
+    top, low, left, right = b.cy - r, b.cy + r, b.cx - r, b.cx + r
+    p.box(0, 0, b.w, b.h)
+    if icon == "sheet":
+        half, fold = b.s * 9 / 32, b.s * 3 / 16
+        x0, x1 = b.cx - half, b.cx + half
+        p.m(x0, top).l(x1 - fold, top, x1, top + fold, x1, low, x0, low).z().m(x1 - fold, top).l(x1 - fold, top + fold, x1, top + fold)
+        return
+    bar, sign = (2 * r, 1) if icon.endswith("|") else (0, 0)
+    turn = (lambda x: x) if icon[0] == ">" else (lambda x: b.w - x)  # drawn to the right, or mirrored
+    p.m(turn(right - bar / 4 * sign), b.cy).l(turn(left), top, turn(left), low).z()
+    if bar:
+        p.m(turn(right - bar / 8), top).l(turn(right), top, turn(right), low, turn(right - bar / 8), low).z()
+
+
 OUTLINES: dict[str, Callable[[Pen, Box], None]] = {
     **{n: (lambda p, b, t=t: _drawn(p, b, t)) for n, t in DRAWN.items()},
     **{f"{prefix}{n}": _callout(n, "order" in prefix, "ccent" in prefix) for prefix in ("callout", "borderCallout", "accentCallout", "accentBorderCallout") for n in (1, 2, 3)},
@@ -487,6 +504,7 @@ OUTLINES: dict[str, Callable[[Pen, Box], None]] = {
     "leftRightArrowCallout": _two_arrow_callout, "upDownArrowCallout": _turned(_two_arrow_callout, "d"), "quadArrowCallout": _quad_callout, "quadArrow": _quad_arrow, "leftRightUpArrow": _left_right_up, "leftUpArrow": _left_up, "bentUpArrow": _bent_up, "bentArrow": _bent, "uturnArrow": _uturn,
     "stripedRightArrow": _striped, "notchedRightArrow": _notched, "wedgeRectCallout": lambda p, b: _wedge(p, b, 0), "wedgeRoundRectCallout": lambda p, b: _wedge(p, b, b.part(b.adj(3, 16667))), "wedgeEllipseCallout": _wedge_oval, "cloud": _cloud, "cloudCallout": _cloud_callout,
     "leftBrace": lambda p, b: _brace(p, b, False), "rightBrace": lambda p, b: _brace(p, b, True), "bracePair": _brace_pair, "leftBracket": lambda p, b: _bracket(p, b, False), "rightBracket": lambda p, b: _bracket(p, b, True), "bracketPair": _bracket_pair,
+    **{f"actionButton{n}": (lambda p, b, i=i: _button(p, b, i)) for n, i in (("BackPrevious", "<"), ("ForwardNext", ">"), ("Beginning", "<|"), ("End", ">|"), ("Document", "sheet"))},
     "blockArc": _block_arc, "noSmoking": _no_smoking, "sun": _sun, "moon": _moon, "wave": lambda p, b: _wave(p, b, 1), "doubleWave": lambda p, b: _wave(p, b, 2), "verticalScroll": _scroll, "horizontalScroll": _scroll_aside, "mathMultiply": _multiply, "mathDivide": _divide, "mathEqual": _equal, "smileyFace": _smiley,
     "cornerTabs": lambda p, b: _tabs(p, b, "corner"), "squareTabs": lambda p, b: _tabs(p, b, "square"), "plaqueTabs": lambda p, b: _tabs(p, b, "plaque"), "can": _can, "cube": _cube, "bevel": _bevel, "foldedCorner": _folded, "teardrop": _teardrop,
     "heart": lambda p, b: p.m(b.cx, b.h / 4).c(b.cx + b.w * 10 / 48, -b.h / 3, b.cx + b.w * 49 / 48, b.h / 4, b.cx, b.h).c(b.cx - b.w * 49 / 48, b.h / 4, b.cx - b.w * 10 / 48, -b.h / 3, b.cx, b.h / 4).z(),

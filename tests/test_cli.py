@@ -9,15 +9,17 @@ from slidelake.sources.deck import parse_deck
 def test_commands(tmp_path, capsys):
     deck, snap, edited, out = (tmp_path / x for x in ("a.pptx", "a.json", "b.json", "b.pptx"))
     deck.write_bytes(create_deck(B.scene([[B.text_box("old")]])))
-    assert main(["convert", str(deck)]) == 0 and json.loads(capsys.readouterr().out)["elements"][0]["plain_text"] == "old"
-    assert main(["snapshot", str(deck), str(snap)]) == 0
-    assert main(["edit-text", str(snap), str(edited), "slide-1-element-1-run-1", "new"]) == 0
-    assert main(["restore", str(edited), str(out)]) == 0 and parse_deck(out.read_bytes())["elements"][0]["plain_text"] == "new"
-    assert main(["transform", str(snap), str(edited), "slide-1-element-1", '{"x": 1}']) == 0
-    assert main(["render", str(deck), str(tmp_path / "svg")]) == 0
+    assert main([str(deck)]) == 0 and json.loads(capsys.readouterr().out)["elements"][0]["plain_text"] == "old"
+    assert main(["convert", str(deck), "--document-only", "--pretty", "--image-mode", "base64"]) == 0 and "status" not in json.loads(capsys.readouterr().out)
+    assert main(["snapshot", str(deck), "-o", str(snap)]) == 0
+    assert main(["edit-text", str(snap), "--output", str(edited), "--target", "slide-1-element-1-run-1", "--value=-new"]) == 0
+    assert main(["restore", str(edited), "-o", str(out)]) == 0 and parse_deck(out.read_bytes())["elements"][0]["plain_text"] == "-new"
+    assert main(["transform-text", str(snap), "-o", str(edited), "--target", "slide-1-element-1", "--x=-10", "--flip-horizontal", "true"]) == 0
+    assert main(["restore", str(edited), "-o", str(out)]) == 0 and [parse_deck(out.read_bytes())["elements"][0][k] for k in ("left", "flip_h")] == [-10.0, True]
+    assert main(["render", str(deck), "-o", str(tmp_path / "svg")]) == 0
     manifest = json.loads((tmp_path / "svg/manifest.json").read_text())
     assert manifest[0]["file"] == "slide-1.svg" and manifest[0]["bytes"] == (tmp_path / "svg/slide-1.svg").stat().st_size
-    assert main(["restore", str(deck), str(out)]) == 1 and json.loads(capsys.readouterr().err)["error"]
+    assert main(["restore", str(deck), "-o", str(out)]) == 1 and json.loads(capsys.readouterr().err)["error"]
 
 
 def test_picture_effects_and_line_ends():

@@ -29,6 +29,8 @@ def test_outlines_are_paths(name, w, h, adjust):
         ("bracketPair", 60, 60, "M 10.0002 60 A 10.0002 10.0002 0 0 1 0 49.9998 L 0 10.0002 A 10.0002 10.0002 0 0 1 10.0002 0 M 49.9998 0 A 10.0002 10.0002 0 0 1 60 10.0002 L 60 49.9998 A 10.0002 10.0002 0 0 1 49.9998 60"),
         ("can", 40, 80, "M 0 5 A 20 5 0 0 0 40 5 L 40 75 A 20 5 0 0 1 0 75 Z M 0 5 A 20 5 0 0 1 40 5 A 20 5 0 0 1 0 5 Z"),
         ("flowChartDelay", 40, 20, "M 0 0 L 20 0 A 20 10 0 0 1 20 20 L 0 20 Z"),
+        ("actionButtonBeginning", 16, 16, "M 0 0 L 16 0 L 16 16 L 0 16 Z M 5 8 L 14 2 L 14 14 Z M 3.5 2 L 2 2 L 2 14 L 3.5 14 Z"),
+        ("actionButtonForwardNext", 16, 16, "M 0 0 L 16 0 L 16 16 L 0 16 Z M 14 8 L 2 2 L 2 14 Z"),
         ("bentConnector4", 40, 20, "M 0 0 L 20 0 L 20 10 L 40 10 L 40 20"),
         ("curvedConnector3", 40, 20, "M 0 0 C 10 0 20 5 20 10 C 20 15 30 20 40 20"),
         ("borderCallout1", 100, 100, "M 0 0 L 100 0 L 100 100 L 0 100 Z M -8.333 18.75 L -38.333 112.5"),
