@@ -266,6 +266,32 @@ def test_grammar_is_its_rules(symbols):
     assert toxicity.Grammar().matches(symbols) == want
 
 
+def test_toxicity_against_brute_force(spark, odd):
+    """Each document's score from its clauses, every word looked at with the words around it."""
+    rng = np.random.default_rng(6)
+    words = "you idiot moron kill not never said nobody house trees zorpling zorple plain dit ihr worthless".split()
+    texts = [" ".join(w + (rng.choice([".", ",", "!"]) if rng.random() < 0.2 else "") for w in rng.choice(words, int(rng.integers(0, 30)))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOC).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    model = toxicity.Model({"zorp": 2.0}, {"idiot": 5.0, "moron": 4.0, "worthless": 1.5, "kill": 3.0}, np.linspace(-1, 2, 16), -1.0)
+
+    def brute(text):
+        top, total = [0.0] * 8, [0.0] * 8
+        for clause in re.findall(r"(?:\S*[^\s.!?;:,]\s+|[.!?;:,]+[^\s.!?;:,]\S*\s+)*\S+", text or "") if text else []:
+            read = [model.read(t) for t in clause.split()]
+            for i, (s, w, _) in enumerate(read):
+                if s not in (toxicity.INSULT, toxicity.THREAT):
+                    continue
+                before = lambda x, n, i=i: any(r[0] == x for r in read[max(0, i - n) : i])
+                aimed = before(toxicity.TARGET, 4) or any(r[0] == toxicity.TARGET for r in read[i + 1 : i + 5])
+                k = (2 if before(toxicity.NEGATION, 3) else 3 if before(toxicity.REPORT, 99) else int(aimed)) + (4 if s == toxicity.THREAT else 0)
+                top[k], total[k] = max(top[k], w), total[k] + w
+        return 1 / (1 + math.exp(-(float(np.dot([*top, *(math.log1p(x) for x in total)], model.coef)) + model.bias)))
+
+    rows = toxicity.toxicity(docs, model).collect()
+    want = Counter((r.doc_id, round(brute(r.text), 6)) for r in docs.collect())
+    assert Counter((r.doc_id, round(r.score, 6)) for r in rows) == want
+
+
 def test_chance_teaches_no_stems():
     rng = np.random.default_rng(4)
     words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lant", "mern", "sott")]
