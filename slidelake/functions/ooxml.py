@@ -113,7 +113,7 @@ def utf16_length_col(text: Column) -> Column:
 
 _ENTITY = re.compile(r"&(?:#(\d+)|#[xX]([0-9A-Fa-f]+)|(amp|lt|gt|quot|apos));", re.IGNORECASE)
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-_OFFICE = re.compile(r"_x([0-9A-Fa-f]{4})_")
+_OFFICE, _SURROGATE = re.compile(r"_x([0-9A-Fa-f]{4})_"), re.compile("[\ud800-\udfff]")
 
 
 def decode_entities(text: str) -> str:
@@ -130,8 +130,10 @@ def decode_entities(text: str) -> str:
 
 def decode_office(text: str) -> str:
     """`_xHHHH_` stands for a UTF-16 unit; units that pair make one character."""
+    if "_x" not in text:
+        return text
     out = _OFFICE.sub(lambda m: chr(int(m[1], 16)), text)
-    return out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if any(0xD800 <= ord(c) < 0xE000 for c in out) else out
+    return out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if _SURROGATE.search(out) else out
 
 
 def escape_office(text: str) -> str:

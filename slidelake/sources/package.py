@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from dataclasses import dataclass, field, fields
+from functools import lru_cache
 from xml.parsers import expat
 
 from slidelake.functions import ooxml
@@ -38,6 +39,11 @@ RELATIONSHIP_TYPES = (_OPEN + "officeDocument/2006/relationships/", _STRICT + "o
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*(?::[A-Za-z_][A-Za-z0-9_.\-]*)?$")
 
 
+@lru_cache(4096)
+def _is_name(name: str) -> bool:
+    return _NAME.match(name) is not None
+
+
 @dataclass(frozen=True)
 class Limits:
     """A package beyond one of these fails."""
@@ -146,9 +152,14 @@ def parse_xml(raw: bytes, limits: Limits = Limits()) -> tuple[Node, int]:
         if len(scopes) > limits.xml_depth:
             raise PackageError("resource-limit", f"deeper than {limits.xml_depth}")
         given = list(zip(pairs[::2], pairs[1::2], strict=True))
-        if not _NAME.match(name) or any(not _NAME.match(k) for k, _ in given):
+        if not _is_name(name):
             raise PackageError("invalid-xml", "a name outside the allowed pattern")
-        declared = {k[6:] if k != "xmlns" else "": v for k, v in given if k == "xmlns" or k.startswith("xmlns:")}
+        declared = {}
+        for k, v in given:
+            if not _is_name(k):
+                raise PackageError("invalid-xml", "a name outside the allowed pattern")
+            if k == "xmlns" or k.startswith("xmlns:"):
+                declared[k[6:]] = v
         scope = {**scopes[-1], **declared} if declared else scopes[-1]
         scopes.append(scope)
         attrs: dict[str, str] = {}
@@ -194,6 +205,11 @@ def parse_xml(raw: bytes, limits: Limits = Limits()) -> tuple[Node, int]:
     return root, count  # type: ignore[return-value]
 
 
+#: Parts up to so many bytes are parsed once for packages that share them, as themes, masters and layouts often are. Nobody changes a tree, but for those of diagrams, which are not shared.
+SHARED = 1 << 16
+_shared_xml = lru_cache(64)(parse_xml)
+
+
 @dataclass
 class Package:
     """An open package: part names in archive order, cached parts, diagnostics in order."""
@@ -244,7 +260,7 @@ class Package:
                 self.report("missing-part", "error", part, f"{part} is missing")
         else:
             try:
-                root, n = parse_xml(data, self.limits)
+                root, n = _shared_xml(data, self.limits) if len(data) <= SHARED and not part.startswith("ppt/diagrams/") else parse_xml(data, self.limits)
                 self.spent_nodes += n
                 if self.spent_nodes > self.limits.package_nodes:
                     raise PackageError("resource-limit", f"more than {self.limits.package_nodes} elements in the package", part)
