@@ -284,8 +284,8 @@ def list_pairs(size: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tupl
         yield x[good], y[good]
 
 
-def linked_in_group(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest among a group's sets, every pair of different sides (or any, if there is one) considered.
+def linked_in_group(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links of a spanning forest among a group's sets (or every link, once), every pair of different sides (or any, if there is one) considered.
 
     The overlaps of the first set with all others are counted through an inverted index. The next set is the one that differs least from the last; its overlaps are derived from the last one's through the lists of the shingles in which the two differ, if these are fewer than its own. Of two sides only the smaller one's sets are walked.
     """
@@ -325,6 +325,11 @@ def linked_in_group(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, p
         good = 100 * common >= percent * (size[z] + size - common)
         if len(sides[0]) > 1:
             good &= side != side[z]
+        if every:
+            good[z] = False
+            good &= left if len(sides[0]) < 2 else True
+            out += [(int(cls[z]), int(cls[j])) for j in np.flatnonzero(good)]
+            continue
         good &= tree != tree[z]
         if good.any():
             others = np.flatnonzero(good)
@@ -379,8 +384,8 @@ def group_tasks(members: DataFrame, percent: int) -> DataFrame:
     return rows.select("cls", F.explode(F.concat(within, above, below)).alias("task"))
 
 
-def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The links (a, b) that the tasks (cls, task) find; among sets that others join already some are left out. Texts are read again for the sets that have a task, one document each; a set goes to each of its tasks once. Also returns the table of the sets' tasks, which can go when the links are written."""
+def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) that the tasks (cls, task) find; unless `every` one is wanted, some among sets that others join already are left out. Texts are read again for the sets that have a task, one document each; a set goes to each of its tasks once. Also returns the table of the sets' tasks, which can go when the links are written."""
     wanted = written(tasks.groupBy("cls").agg(F.collect_set("task").alias("tasks")).join(classes.select("cls", "rep"), "cls"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +396,7 @@ def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cls, first = np.unique(table.column("cls").to_numpy(), return_index=True)  # repeated rows
         table = table.take(first)
-        found = linked_in_group(cls, [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()], table.column("side").to_numpy(), percent)
+        found = linked_in_group(cls, [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()], table.column("side").to_numpy(), percent, every)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text")
@@ -401,8 +406,8 @@ def linked(tasks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     return dealt.groupBy("g", "c", "p", "q").applyInArrow(run, "a long, b long"), wanted
 
 
-def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
-    """Documents (doc_id, n, cls), the classes of equal sets (cls, root, rep) with each one's component (root, a set id) and smallest doc_id (NO_ID: none), and the seed of the set ids."""
+def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, int, list[DataFrame]]:
+    """Documents (doc_id, n, cls), the classes of equal sets (cls, rep, n), links (a, b) between classes, the seed of the set ids, and tables that can go when the links are written."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for seed in range(8):
         seen = written(described(rows, k, seed), "described")
@@ -422,17 +427,35 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple
     open_ = written(packed.groupBy("bucket").applyInArrow(lambda table: lists_of(table, tokens, percent), "a long, b long, n long"), "open")
     near = written(near_pairs(open_.where("n is null").select("a", "b").distinct(), classes, percent), "near")
     members = open_.where("n is not null").select(F.col("a").alias("g"), F.col("b").alias("cls"), "n").distinct()
-    links, wanted = linked(star_tasks(near).unionByName(group_tasks(members, percent)), rows, classes, k, percent, seed)
+    links, wanted = linked(star_tasks(near).unionByName(group_tasks(members, percent)), rows, classes, k, percent, seed, every)
+    return seen.where("token is null and segment is null").select("doc_id", "n", "cls"), classes, links, seed, [open_, near, wanted]
+
+
+def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
+    """Documents (doc_id, n, cls), the classes of equal sets (cls, root, rep) with each one's component (root, a set id) and smallest doc_id (NO_ID: none), and the seed of the set ids."""
+    each, classes, links, seed, used = _joined(docs, k, percent, False)
     known = connected_components(links)
-    discard(open_, near, wanted)
-    table = classes.join(known, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("root"), "rep")
-    return seen.where("token is null and segment is null").select("doc_id", "n", "cls"), table, seed
+    discard(*used)
+    return each, classes.join(known, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("root"), "rep"), seed
+
+
+def jaccard_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself: every link (a, b, a < b) between different sets, each once, by the smallest doc_id that has the set; and the membership (doc_id, rep) of documents in sets.
+
+    Documents without words are in no set; sets that only rows without doc_id have are left out of the links. As many rows as there are links, so not for corpora of large near-duplicate groups, where jaccard_components says who belongs together.
+    """
+    each, classes, links, _, used = _joined(docs, k, percent, True)
+    links = written(links, "links")
+    discard(*used)
+    id_of = lambda c: classes.where(F.col("rep") != NO_ID).select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"))
+    pairs = links.join(id_of("a"), "a").join(id_of("b"), "b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    return pairs, each.where("cls is not null and doc_id is not null").join(classes.select("cls", "rep"), "cls").select("doc_id", "rep")
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: two link when 100 x intersection >= percent x union of their sets; component_id is the smallest doc_id reachable by links.
 
-    Equal sets are one class. Documents without words (null, empty or white texts) have n_shingles 0 and link with nothing. Repeated rows are documents of a class. Where a doc_id is null, the component is the smallest id that its text reaches, null if there is none. Other columns of docs are ignored. Shingles are compared by 64-bit hashes, sets told apart by 128 bits. The answer is the component: links between sets that others join already need not be found, and none are returned.
+    Equal sets are one class. Documents without words (null, empty or white texts) have n_shingles 0 and link with nothing. Repeated rows are documents of a class. Where a doc_id is null, the component is the smallest id that its text reaches, null if there is none. Other columns of docs are ignored. Shingles are compared by 64-bit hashes, sets told apart by 128 bits. The answer is the component: links between sets that others join already need not be found; jaccard_links returns links.
     """
     each, table, _ = components(docs, k, percent)
     least = table.groupBy("root").agg(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))).alias("least"))

@@ -606,6 +606,24 @@ def test_one_of_each_with_repeated_ids(spark):
     assert kept == sorted([(1, words[0]), (1, words[1]), (3, words[2]), (4, words[3]), (None, words[3]), (5, "")], key=str)
 
 
+@pytest.mark.parametrize("dense", [0, 100])
+def test_every_link(spark, monkeypatch, dense):
+    """All links between different sets, through pairs and through groups in parts."""
+    for name, value in (("BLOCK", 4), ("DENSE", dense), ("SIDE", 300)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = near_copies(9, groups=5)
+    links, members = jaccard.jaccard_links(spark.createDataFrame(docs, "doc_id long, text string"))
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in docs}
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, w in words.items()}
+    first = {}
+    for i, x in sorted(sets.items()):
+        first.setdefault(x, i)
+    want = {tuple(sorted((first[x], first[y]))) for x in first for y in first if x != y and 100 * len(x & y) >= 75 * len(x | y)}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert dict(members.collect()) == {i: first[x] for i, x in sets.items()}
+
+
 def test_jaccard_links_rows_without_ids(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(None, " ".join(words)), (7, " ".join([*words, "more"])), (None, " ".join(["other", *words]))]
