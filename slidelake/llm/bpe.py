@@ -21,7 +21,9 @@ from .common import together, worker_cache
 from .pretokens import Memory, chunks, laid_out, large_memory, marks, pretokens
 
 #: Entries of a worker's memories of finished pieces and of merged pre-tokens.
-PIECES, PRETOKENS = 1 << 19, 1 << 17
+PIECES, PRETOKENS = 1 << 18, 1 << 16
+#: Texts, and bytes of them, that are encoded together.
+TEXTS, BYTES = 500, 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -137,10 +139,11 @@ def as_tiktoken(pattern: str) -> regex.Pattern:
     """The pattern with the letters and numbers of the tiktoken library's Unicode version, which it is asked for."""
     import tiktoken
 
-    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    blocks = ["".join(chr(i) for i in range(start, start + (1 << 14)) if not 0xD800 <= i < 0xE000) for start in range(0, 0x110000, 1 << 14)]
     for cls in (r"\p{L}", r"\p{N}"):
-        theirs = set(bytes(tiktoken.Encoding("classes", pat_str=cls, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}).encode_ordinary(every)).decode("utf-8"))
-        ours = set(regex.findall(cls, every))
+        library = tiktoken.Encoding("classes", pat_str=cls, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        theirs = {c for block in blocks for c in bytes(library.encode_ordinary(block)).decode("utf-8")}
+        ours = {c for block in blocks for c in regex.findall(cls, block)}
         exact = f"[{cls}--[{ranges(ours - theirs)}]]" if ours - theirs else cls
         exact = f"[{exact}||[{ranges(theirs - ours)}]]" if theirs - ours else exact
         pattern = pattern.replace(cls, exact)
@@ -236,7 +239,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for names, batch in together(batches):
+        for names, batch in together(batches, TEXTS, BYTES):
             ids, at = c.encode_batch(batch)
             raw, ends = c.decode_batch(ids)
             packed = memoryview(np.ascontiguousarray(ids)).cast("B")

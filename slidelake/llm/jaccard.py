@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import discard, rebatched, semi_by_id, texts, worker_cache, written
+from .common import discard, give_back, rebatched, semi_by_id, texts, worker_cache, written
 from .graph import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -253,6 +253,7 @@ def lists_of(table: pa.Table, hot: np.ndarray, percent: int) -> pa.Table:
     g, c, n = g[order], c[order], n[order]
     once = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))[: len(g)]
     u, v, g, c, n = u[first], v[first], g[once], c[once], n[once]
+    give_back()
     return pa.table({"a": pa.array(np.append(u, g)), "b": pa.array(np.append(v, c)), "n": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(n)])})
 
 
@@ -434,8 +435,9 @@ def _joined(docs: DataFrame, k: int, percent: int, every: bool) -> tuple[DataFra
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, int]:
     """Documents (doc_id, n, cls), the classes of equal sets (cls, root, rep) with each one's component (root, a set id) and smallest doc_id (NO_ID: none), and the seed of the set ids."""
     each, classes, links, seed, used = _joined(docs, k, percent, False)
+    links = written(links, "links")  # on its own, so that no task has two workers
     known = connected_components(links)
-    discard(*used)
+    discard(links, *used)
     return each, classes.join(known, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("root"), "rep"), seed
 
 

@@ -59,12 +59,15 @@ def marks(texts: pa.Array, not_in: list[str] = ()) -> pa.Array:
 def laid_out(marked: pa.Array, packed: Callable[[list[str]], list[bytes]], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one text after the other, and where each begins and the last ends; a null text has none. Arrow cuts the texts at the marks, numbers the distinct pieces and lays out their ids; `packed` gives the ids of distinct pieces."""
     cut = pc.split_pattern(marked, MARK)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
     pieces = cut.flatten().dictionary_encode()
-    ids = packed(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+    del cut
+    found, at = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices
+    del pieces
+    ids = packed(found)
     offsets = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize, out=offsets[1:])
-    laid = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype))).take(pieces.indices)
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    laid = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype))).take(at)
     return np.ascontiguousarray(laid.values.to_numpy()), laid.offsets.to_numpy()[ends]
 
 
