@@ -270,11 +270,14 @@ def column_name(n: int) -> str:
 
 
 def column_name_col(n: Column) -> Column:
-    """The same for columns 1 to 18278."""
-    letter = lambda x: F.char(F.lit(65) + x % 26)
-    one, two = n - 1, n - 27
-    three = n - 703
-    return F.when(n <= 26, letter(one)).when(n <= 702, F.concat(letter(F.floor(two / 26)), letter(two))).otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three)))
+    """The same, for any positive column: those with k letters begin at 1 + 26 + ... + 26^(k - 1)."""
+    div = lambda x, by: F.call_function("div", x, F.lit(by))
+    first = [sum(26**i for i in range(k)) for k in range(15)]
+    names = [F.concat(*(F.char(F.lit(65) + div(n - first[k], 26**i) % 26) for i in reversed(range(k)))) for k in range(1, 15)]
+    out = F.when(n < 1, "")
+    for k, name in enumerate(names[:-1], 1):
+        out = out.when(n < first[k + 1], name)
+    return out.when(n.isNotNull(), names[-1])
 
 
 # Part names.
