@@ -17,8 +17,8 @@ from slidelake.sources.schema import TABLES, deck_row
 _MAPS = {"elements": "keypoints", "xml_nodes": "attrs"}
 
 
-#: Decks, and bytes of packages, whose rows go to the JVM together.
-BATCH_DECKS, BATCH_BYTES = 256, 4 << 20
+#: Decks, bytes of packages, and rows of tables that go to the JVM together.
+BATCH_DECKS, BATCH_BYTES, BATCH_ROWS = 256, 4 << 20, 1 << 15
 
 
 def arrow_rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -47,15 +47,15 @@ def read_binary(spark: SparkSession, path: str, limit_bytes: int | None = None)
     return files.where(F.col("length") <= limit_bytes).select("path", "content").unionByName(large)
 
 
-def parse_packages(packages: DataFrame, options: Options | None = None, must: bool = False, tables: Iterable[str] | None = None) -> DataFrame:
-    """A row for each deck (schema.deck_row) from path and content, with the tables that are named, or all.
+def parse_packages(packages: DataFrame, options: Options | None = None, must: bool = False, tables: Iterable[str] | None = None, columns: Iterable[str] | None = None) -> DataFrame:
+    """A row for each deck (schema.deck_row) from path and content, with the tables that are named, or all, and of their columns those that are named, or all.
 
     One narrow pass; a deck's budgets hold within its row, and a bad deck is a row with its error, not a failed job, unless all `must` be read: then it raises RuntimeError. Null content counts as beyond the input limit. Tables that nobody asked for are neither kept nor sent.
     """
     options = options or Options()
     kept = tuple(TABLES) if tables is None else tuple(t for t in TABLES if t in set(tables))
     options = replace(options, tables=frozenset(kept))
-    ddl = deck_row(kept)
+    ddl = deck_row(kept, columns)
     schema = to_arrow_schema(T._parse_datatype_string(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +67,7 @@ def parse_packages(packages: DataFrame, options: Options | None = None, must: bo
                         raise RuntimeError(f"{path}: {code}: {message}")
             return batch
 
-        waiting, size = [], 0
+        waiting, size, rows = [], 0, 0
         for batch in batches:
             for path, raw in zip(batch.column(0), batch.column(1), strict=True):
                 if (content := raw.as_py()) is None:
@@ -75,9 +75,10 @@ def parse_packages(packages: DataFrame, options: Options | None = None, must: bo
                 else:
                     waiting.append(parse_deck(content, path.as_py(), options))
                     size += len(content)
-                if len(waiting) >= BATCH_DECKS or size >= BATCH_BYTES:
+                    rows += sum(len(v) for k, v in waiting[-1].items() if k in kept)
+                if len(waiting) >= BATCH_DECKS or size >= BATCH_BYTES or rows >= BATCH_ROWS:
                     yield sent(waiting)
-                    waiting, size = [], 0
+                    waiting, size, rows = [], 0, 0
         if waiting:
             yield sent(waiting)
 

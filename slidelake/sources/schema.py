@@ -23,7 +23,8 @@ TABLES: dict[str, str] = {
 DECK = "width double, height double, theme_colors array<string>, used_fonts array<string>, conformance string, part_count int"
 
 
-def deck_row(tables: Iterable[str] = tuple(TABLES)) -> str:
-    """The columns of a deck's row: what became of it, its own columns, and its tables as arrays."""
-    arrays = (f"{t} array<struct<{', '.join(f'`{c.split()[0]}`: {c.split(None, 1)[1]}' for c in TABLES[t].split(', '))}>>" for t in tables)
+def deck_row(tables: Iterable[str] = tuple(TABLES), columns: Iterable[str] | None = None) -> str:
+    """The columns of a deck's row: what became of it, its own columns, and its tables as arrays, with all their columns or those that are named."""
+    named = None if columns is None else set(columns)
+    arrays = (f"{t} array<struct<{', '.join(f'`{c.split()[0]}`: {c.split(None, 1)[1]}' for c in TABLES[t].split(', ') if named is None or c.split()[0] in named)}>>" for t in tables)
     return ", ".join(("deck_id string, path string, byte_length bigint, status string, code string, message string", DECK, *arrays))
