@@ -33,7 +33,7 @@ def tree(node):
     return (node.tag, node.attrs, node.text, node.order, [tree(c) for c in node.children])
 
 
-TEXTS = ("", "x", " ", "a b", "1-2", "&amp;", "&#65;", "_x0041_", "é\U0001f600", "\n", "\r\n", "?", "a]]b", "\t")
+TEXTS = ("", "x", " ", "a b", "1-2", "&amp;", "&#65;", "_x0041_", "é\U0001f600", "\n", "\r\n", "?", "a]]b", "\t", "~0", "?~0", "~1?", "~0.")
 CELLS = (
     "<a:tc><a:txBody><a:bodyPr/><a:p><a:r><a:rPr/><a:t>{}</a:t></a:r></a:p></a:txBody><a:tcPr/></a:tc>",
     '<a:tc rowSpan="3"><a:txBody><a:p><a:r><a:rPr lang="en" b:q="1"/><a:t xml:space="preserve">{}</a:t></a:r></a:p></a:txBody><a:tcPr anchor="ctr"/></a:tc>',
